@@ -20,6 +20,15 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def is_boolean(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.BooleanType)
+
+
+def is_category(dtype: T.DataType) -> bool:
+    """Neither number, boolean nor date: values that name a segment."""
+    return not is_numeric(dtype) and not is_boolean(dtype) and not is_temporal(dtype)
+
+
 def is_float(dtype: T.DataType) -> bool:
     return isinstance(dtype, _FLOATS + (T.DecimalType,))
 
