@@ -72,21 +72,22 @@ def carry_last(
     df: DataFrame,
     wanted: Mapping[str, Column],
     row_id: str = ROW_ID,
-    inclusive: bool = True,
+    before: Mapping[str, Column] | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
     """For each row, the last non-NULL value of an expression at or before it.
 
-    `wanted` maps new column names to expressions; `inclusive=False` looks at
+    `wanted` maps new column names to expressions; those in `before` look at
     earlier rows only. Inside a block this is a window over at most one block of
     rows; across blocks the last value of each block (one row per block, at most
     MAX_BLOCKS of them) is carried on and joined back by broadcast.
     """
     size = block_rows or block_rows_for(df, row_id)
-    names = list(wanted)
+    everything = {**wanted, **(before or {})}
+    names = list(everything)
     block = F.floor(col(row_id) / F.lit(size)).cast("long")
     blocked = df.withColumn("_tw_block", block).withColumns(
-        {f"_tw_x{i}": wanted[n] for i, n in enumerate(names)}
+        {f"_tw_x{i}": everything[n] for i, n in enumerate(names)}
     )
     ends = blocked.groupBy("_tw_block").agg(
         *[
@@ -100,11 +101,13 @@ def carry_last(
         "_tw_block",
         *[F.last(f"_tw_e{i}", ignorenulls=True).over(earlier).alias(f"_tw_c{i}") for i in range(len(names))],
     )
-    end = 0 if inclusive else -1
-    inside = Window.partitionBy("_tw_block").orderBy(col(row_id)).rowsBetween(Window.unboundedPreceding, end)
+    order = Window.partitionBy("_tw_block").orderBy(col(row_id))
+    inside = {
+        n: order.rowsBetween(Window.unboundedPreceding, 0 if n in wanted else -1) for n in names
+    }
     filled = blocked.join(F.broadcast(carried), "_tw_block").withColumns(
         {
-            n: F.coalesce(F.last(f"_tw_x{i}", ignorenulls=True).over(inside), F.col(f"_tw_c{i}"))
+            n: F.coalesce(F.last(f"_tw_x{i}", ignorenulls=True).over(inside[n]), F.col(f"_tw_c{i}"))
             for i, n in enumerate(names)
         }
     )

@@ -39,11 +39,11 @@ def apply_cleaning(
 
     `config` has `remove_duplicates`, `remove_empty_rows`, `missing_actions`
     {column: action} and `outlier_actions` {column: action}. A column that was
-    not approved carries the action "skip".
+    not approved carries the action "skip". Forward fill needs row ids: without
+    `row_id` they are attached in `order_by` or file order and stay in the result.
     """
     df = nan_to_null(df)
-    needs_order = "ffill" in config.get("missing_actions", {}).values() or config.get("remove_duplicates")
-    if row_id is None and needs_order:
+    if row_id is None and "ffill" in config.get("missing_actions", {}).values():
         row_id = ROW_ID
         df = with_row_id(df, order_by, row_id)
     log = AuditLog()
@@ -54,7 +54,6 @@ def apply_cleaning(
 
 
 def _drop_rows(df, config, row_id, log):
-    changed = False
     for step, key, what in (
         (drop_duplicates_first, "remove_duplicates", "duplicate rows"),
         (drop_empty_rows, "remove_empty_rows", "empty rows"),
@@ -67,7 +66,6 @@ def _drop_rows(df, config, row_id, log):
         after_frame = step(df, row_id)
         if step is drop_duplicates_first:
             after_frame = materialise(after_frame)  # one shuffle, read by all later passes
-            changed = True
         removed = before - after_frame.count()
         df = after_frame
         if removed:

@@ -81,9 +81,9 @@ def test_carry_last_matches_pandas(spark, block):
     rows = [(i, rng.randint(0, 9) if rng.random() < 0.2 else None) for i in range(1000)]
     df = spark.createDataFrame(rows, "_row_id long, x int").repartition(6)
     want = pd.Series([x for _, x in rows], dtype=float)
-    at = carry_last(df, {"y": F.col("x")}, block_rows=block).toPandas().sort_values("_row_id")["y"]
-    before = carry_last(df, {"y": F.col("x")}, inclusive=False, block_rows=block).toPandas()
-    before = before.sort_values("_row_id")["y"]
+    got = carry_last(df, {"y": F.col("x")}, before={"z": F.col("x")}, block_rows=block)
+    got = got.toPandas().sort_values("_row_id")
+    at, before = got["y"], got["z"]
     pd.testing.assert_series_equal(at.astype(float).reset_index(drop=True), want.ffill(), check_names=False)
     pd.testing.assert_series_equal(
         before.astype(float).reset_index(drop=True), want.ffill().shift(), check_names=False
