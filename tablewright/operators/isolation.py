@@ -1,0 +1,101 @@
+"""Isolation forest over one column (Liu, Ting and Zhou, 2008). Not part of the default votes.
+
+With a single feature the mean path length is a step function of the value. The
+trees are grown from a bounded sample; scoring looks the step up in Arrow
+batches, and the cut-off comes from exact counts per step.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fv
+from ..functions.columns import ROW_ID, col, nan_to_null
+
+TREES = 100
+SAMPLE = 256
+
+
+def _expected_depth(n: int) -> float:
+    """Mean depth of an unsuccessful search among n values."""
+    if n <= 1:
+        return 0.0
+    if n == 2:
+        return 1.0
+    return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
+
+
+def _grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[list[float], list[float]]:
+    """Cut points in order and the path length of each gap between them."""
+    cuts: list[float] = []
+    lengths: list[float] = []
+    stack = [(np.sort(values), 0, None)]
+    while stack:
+        part, depth, cut = stack.pop()
+        if cut is not None:
+            cuts.append(cut)
+            continue
+        if depth == limit or len(part) <= 1 or part[0] == part[-1]:
+            lengths.append(depth + _expected_depth(len(part)))
+            continue
+        split = rng.uniform(part[0], part[-1])
+        at = np.searchsorted(part, split, side="right")
+        # left part first, then the cut, then the right part
+        stack.append((part[at:], depth + 1, None))
+        stack.append((None, 0, split))
+        stack.append((part[:at], depth + 1, None))
+    return cuts, lengths
+
+
+def _steps(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """All cut points of the forest and the anomaly score between them."""
+    rng = np.random.default_rng(seed)
+    size = min(SAMPLE, len(sample))
+    limit = math.ceil(math.log2(max(size, 2)))
+    trees = [_grow(rng.choice(sample, size, replace=False), limit, rng) for _ in range(TREES)]
+    cuts = np.unique(np.concatenate([np.asarray(c) for c, _ in trees]))
+    inside = np.concatenate([cuts, [np.inf]])  # a point of each step: its right end
+    total = np.zeros(len(inside))
+    for tree_cuts, lengths in trees:
+        total += np.asarray(lengths)[np.searchsorted(np.asarray(tree_cuts), inside, side="left")]
+    scores = 2.0 ** (-(total / TREES) / max(_expected_depth(size), 1e-12))
+    return cuts, scores
+
+
+def outliers_isolation_forest(
+    df: DataFrame,
+    column: str,
+    row_id: str = ROW_ID,
+    contamination: float = fv.ISOLATION_CONTAMINATION,
+    seed: int = fv.ISOLATION_SEED,
+) -> DataFrame:
+    """(row id, value, score) of the rows with the highest anomaly scores."""
+    df = nan_to_null(df)
+    values = df.where(col(column).isNotNull()).select(col(row_id), col(column).cast("double").alias("value"))
+    # A sample of fixed size, chosen by a hash of the row id: each task keeps its
+    # lowest hashes, and the same rows are chosen when a task runs again.
+    drawn = values.orderBy(F.xxhash64(F.lit(seed), col(row_id)), col(row_id)).limit(TREES * SAMPLE)
+    sample = np.array([r["value"] for r in drawn.select("value").collect()])
+    if len(sample) < fv.OUTLIER_MIN_VALUES:
+        return values.withColumn("score", F.lit(None).cast("double")).limit(0)
+    cuts, scores = _steps(sample, seed)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(scores[np.searchsorted(cuts, x.to_numpy(), side="left")])
+
+    scored = values.withColumn("score", score("value"))
+    # At most one row per step of the function.
+    counts = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n")).orderBy("score").toPandas()
+    upto = counts["n"].cumsum().to_numpy()
+    place = (upto[-1] - 1) * (1.0 - contamination)
+    low, high = (counts["score"].iloc[int(np.searchsorted(upto, r, side="right"))] for r in (math.floor(place), math.ceil(place)))
+    threshold = low + (high - low) * (place - math.floor(place))
+    return scored.where(F.col("score") > F.lit(float(threshold)))

@@ -173,34 +173,51 @@ def issues(
     """Findings in report order: missing columns, duplicates, fragmented columns."""
     stats = table_stats(df, row_id) if stats is None else stats
     columns = column_profile(df, row_id) if columns is None else columns
-    missing = columns.where("missing_count > 0").select(
-        F.col("ordinal").alias("position"),
-        F.lit("missing values").alias("issue"),
-        "column_name",
-        F.col("missing_count").alias("amount"),
-    )
     width = len(data_types(df, row_id))
-    twins = stats.where("duplicate_rows > 0").select(
-        F.lit(width).alias("position"),
-        F.lit("duplicate rows").alias("issue"),
-        F.lit(None).cast("string").alias("column_name"),
-        F.col("duplicate_rows").alias("amount"),
+
+    def finding(position: Column, issue: str, name: Column, amount: Column) -> Column:
+        return F.struct(
+            position.cast("int").alias("position"),
+            F.lit(issue).alias("issue"),
+            name.cast("string").alias("column_name"),
+            amount.cast("bigint").alias("amount"),
+        )
+
+    ordinal, name, nothing = F.col("ordinal"), F.col("column_name"), F.lit(None)
+    by_column = columns.select(
+        F.inline(
+            F.array_compact(
+                F.array(
+                    F.when(
+                        F.col("missing_count") > 0,
+                        finding(ordinal, "missing values", name, F.col("missing_count")),
+                    ),
+                    F.when(
+                        _high_cardinality(),
+                        finding(ordinal + width + 1, "high cardinality", name, F.col("unique_count")),
+                    ),
+                )
+            )
+        )
     )
-    fragmented = columns.where(_high_cardinality()).select(
-        (F.col("ordinal") + width + 1).alias("position"),
-        F.lit("high cardinality").alias("issue"),
-        "column_name",
-        F.col("unique_count").alias("amount"),
+    twins = F.when(
+        F.col("duplicate_rows") > 0,
+        finding(F.lit(width), "duplicate rows", nothing, F.col("duplicate_rows")),
     )
-    found = missing.unionByName(twins).unionByName(fragmented)
-    number = found.agg(F.count(F.lit(1)).alias("n"))
-    healthy = number.where("n = 0").select(
-        F.lit(0).alias("position"),
-        F.lit("healthy").alias("issue"),
-        F.lit(None).cast("string").alias("column_name"),
-        F.lit(0).cast("bigint").alias("amount"),
+    found = by_column.unionByName(stats.select(F.inline(F.array_compact(F.array(twins)))))
+    healthy = finding(F.lit(0), "healthy", nothing, F.lit(0))
+    return or_else(found, healthy).orderBy("position")
+
+
+def or_else(findings: DataFrame, fallback: Column) -> DataFrame:
+    """The findings, or one fallback row when there are none.
+
+    Findings number a few per column of the table, so they fit one row.
+    """
+    listed = findings.agg(F.collect_list(F.struct(*findings.columns)).alias("rows"))
+    return listed.select(
+        F.inline(F.when(F.size("rows") == 0, F.array(fallback)).otherwise(F.col("rows")))
     )
-    return found.unionByName(healthy).orderBy("position")
 
 
 def _null_counts(df: DataFrame, types: dict) -> DataFrame:

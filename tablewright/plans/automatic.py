@@ -25,7 +25,7 @@ from ..functions.storage import materialise
 from ..functions.text import has_extra_spaces, number_of, snake_case_labels
 from ..operators import cleaning as c
 from ..operators.ordering import with_row_id
-from ..operators.profile import quality_score, table_stats
+from ..operators.profile import or_else, quality_score, table_stats
 from .audit import AuditLog
 
 
@@ -166,14 +166,13 @@ def cleaning_advice(df: DataFrame, row_id: str | None = None) -> DataFrame:
         nothing.alias("column_name"),
         F.col("duplicate_rows").alias("amount"),
     )
-    advice = found.unionByName(copies).where("amount > 0")
-    fallback = advice.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+    clean = F.struct(
         F.lit(0).alias("position"),
         F.lit("nothing to clean").alias("advice"),
         nothing.alias("column_name"),
         F.lit(0).cast("bigint").alias("amount"),
     )
-    return advice.unionByName(fallback).orderBy("position")
+    return or_else(found.unionByName(copies).where("amount > 0"), clean).orderBy("position")
 
 
 def _all_missing(types: dict):

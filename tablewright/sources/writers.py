@@ -38,7 +38,10 @@ def write_clean(
         df = df.orderBy(col(row_id)).drop(row_id)
     writer = escape_formulas(df).write.mode(mode)
     if file_format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        # blanks around a value belong to it
+        writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     elif file_format == "parquet":
         writer.parquet(path)
     else:
