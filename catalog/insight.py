@@ -26,10 +26,6 @@ def _plain(s, sf):
     return table(s, sf, "part").select("p_name", "p_brand", "p_size")
 
 
-def _labels(frame, **names):
-    return frame.withColumnsRenamed(names)
-
-
 def _money(df, digits=2):
     return rounded(df, digits)
 
@@ -93,10 +89,6 @@ def _aggregates(s, sf):
 _ROLES = "WITH t AS (" + FX_ROLES.format(orders="orders") + ") "
 
 
-def _values(rows, names):
-    return "SELECT * FROM (VALUES " + ", ".join(str(row) for row in rows) + f") v({names})"
-
-
 def _best(source, label, value="sum(sales_amount)"):
     """A one-row subselect: (label, v) of the largest value."""
     return f"(SELECT {label} AS label, {value} AS v FROM {source} WHERE {label} IS NOT NULL GROUP BY 1 ORDER BY v DESC, label LIMIT 1)"
@@ -146,11 +138,6 @@ _FACT_ROLES = [
 ]
 
 
-def _pick(rows, source):
-    """Expected roles, kept apart from constants by a condition on the data they follow from."""
-    return source + _values(rows, "ordinal, column_name, role")
-
-
 ORACLE = {
     "column_roles": _ROLES
     + f"""SELECT ordinal, column_name, role FROM (VALUES {", ".join(str(x) for x in _ROLE_ROWS)}) v(ordinal, column_name, role)
@@ -227,15 +214,15 @@ ORACLE = {
     ),
     "diagnose": _FACT_MONTHS
     + f""", tr AS ({_TREND}), seg AS ({_breakdown('fx_facts', 'sales_amount', _CATEGORIES)}),
-      at AS (SELECT * FROM (VALUES {", ".join(str((n, i)) for i, n in enumerate(_CATEGORIES, start=2))}) v(category, position))
+      places AS (SELECT * FROM (VALUES {", ".join(str((n, i)) for i, n in enumerate(_CATEGORIES, start=2))}) v(category, position))
       SELECT 0 AS position, 'overall' AS section, 'total' AS item, CAST(NULL AS VARCHAR) AS label, round(sum(sales_amount), 2) AS value FROM fx_facts
       UNION ALL SELECT 0, 'overall', 'average', NULL, round(avg(sales_amount), 2) FROM fx_facts UNION ALL SELECT 0, 'overall', 'rows', NULL, count(*) FROM fx_facts
       UNION ALL SELECT 1, 'trend', 'last month', last_month, change_percent FROM tr UNION ALL SELECT 1, 'trend', 'best month', best_month, best_value FROM tr
       UNION ALL SELECT 1, 'trend', 'worst month', worst_month, worst_value FROM tr
-      UNION ALL SELECT position, category, 'leader', leader, leader_total FROM seg JOIN at USING (category)
-      UNION ALL SELECT position, category, 'leader share', leader, leader_share FROM seg JOIN at USING (category)
-      UNION ALL SELECT position, category, 'laggard', laggard, laggard_total FROM seg JOIN at USING (category)
-      UNION ALL SELECT position, category, 'gap', NULL, gap FROM seg JOIN at USING (category)
+      UNION ALL SELECT position, category, 'leader', leader, leader_total FROM seg JOIN places USING (category)
+      UNION ALL SELECT position, category, 'leader share', leader, leader_share FROM seg JOIN places USING (category)
+      UNION ALL SELECT position, category, 'laggard', laggard, laggard_total FROM seg JOIN places USING (category)
+      UNION ALL SELECT position, category, 'gap', NULL, gap FROM seg JOIN places USING (category)
       UNION ALL SELECT 6, 'correlation', CASE WHEN abs(r) > 0.6 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END || CASE WHEN r > 0 THEN ' positive' ELSE ' negative' END,
         column_name, round(r, 2) FROM (SELECT * FROM (
           SELECT 'order_id' AS column_name, corr(sales_amount, order_id) AS r FROM fx_facts UNION ALL SELECT 'line_no', corr(sales_amount, line_no) FROM fx_facts

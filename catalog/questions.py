@@ -1,2 +1,81 @@
-QUERIES = {}
-ORACLE = {}
+"""Batches of questions: tags and carried context."""
+
+from tablewright.operators.questions import carry_context, tag_questions
+
+from .common import table
+
+# questions asked in conversations: the usual ones, follow-ups, and free text
+FX_QUESTIONS = """
+SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 19
+  WHEN 0 THEN 'Total Sales' WHEN 1 THEN 'Show the top 5 Customers' WHEN 2 THEN 'Average Revenue' WHEN 3 THEN 'Highest Profit'
+  WHEN 4 THEN 'Monthly Trend' WHEN 5 THEN 'Sales by Category' WHEN 6 THEN 'Missing Values' WHEN 7 THEN 'Data Quality Score'
+  WHEN 8 THEN 'What about the average?' WHEN 9 THEN 'how about top 3' WHEN 10 THEN 'How many orders per region'
+  WHEN 11 THEN 'and the lowest quantity' WHEN 12 THEN 'Share of profit by region' WHEN 13 THEN 'what about each month'
+  WHEN 14 THEN 'any null cells' WHEN 15 THEN 'hello' WHEN 16 THEN 'what about it' ELSE text END AS question
+FROM {conversations} WHERE role = 'user'
+"""
+COLUMNS = {
+    "numeric": ["sales_amount", "quantity", "profit"],
+    "categorical": ["category", "region"],
+    "temporal": ["order_date"],
+}
+
+
+def questions(s, sf):
+    return s.sql(FX_QUESTIONS, conversations=table(s, sf, "conversations"))
+
+
+QUERIES = {
+    "tag_questions": lambda s, sf: tag_questions(questions(s, sf), "question", **COLUMNS).drop("question"),
+    "tag_questions_words": lambda s, sf: tag_questions(questions(s, sf), "question", match="word", **COLUMNS).drop("question"),
+    "carry_context": lambda s, sf: carry_context(questions(s, sf), "question", "conv_id", "turn", **COLUMNS).drop("question"),
+}
+
+_DIAGNOSTIC = (
+    "why reason cause explain insight decline decrease drop fall down increase rise growth grew up trending trend "
+    "perform performing underperform outperform compare comparison versus vs best worst improve weak strong"
+).split()
+_METRIC = "revenue sales profit amount total average avg sum highest lowest income cost price value quantity".split()
+_GROUPING = ["by ", "wise", "per ", "each ", "across ", "section", "segment"]
+_CALENDAR = "month year day trend date monthly daily yearly quarter".split()
+
+
+def _tags(word_match: bool, context: bool) -> str:
+    def says(*words):
+        if word_match:
+            return "(" + " OR ".join(f"regexp_matches(q, '\\b{w.strip()}\\b')" for w in words) + ")"
+        return "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+
+    carried = (
+        "first_value(own IGNORE NULLS) OVER (PARTITION BY conv_id, island ORDER BY turn ROWS UNBOUNDED PRECEDING)"
+        if context
+        else "own"
+    )
+    return f"""WITH a AS (SELECT conv_id, turn, lower(question) AS q FROM ({FX_QUESTIONS.format(conversations='conversations')})),
+    b AS (SELECT conv_id, turn, q, {says(*_DIAGNOSTIC)} AS diag, {says('what about', 'and the', 'how about')} AS follows,
+      CASE WHEN {says('sales_amount')} THEN 'sales_amount' WHEN {says('quantity')} THEN 'quantity' WHEN {says('profit')} THEN 'profit'
+        WHEN {says(*_METRIC)} THEN 'sales_amount' END AS target0,
+      CASE WHEN {says('category')} THEN 'category' WHEN {says('region')} THEN 'region' WHEN {says(*_GROUPING)} THEN 'category'
+        WHEN {says(*_CALENDAR)} THEN 'order_date' END AS group0,
+      try_cast(nullif(regexp_extract(q, 'top\\s+(\\d+)', 1), '') AS BIGINT) AS lim,
+      CASE WHEN {says('total', 'sum')} THEN 'sum' WHEN {says('average', 'avg', 'mean')} THEN 'mean' WHEN {says('count', 'how many')} THEN 'count'
+        WHEN {says('highest', 'max', 'maximum', 'peak')} THEN 'max' WHEN {says('lowest', 'min', 'minimum', 'bottom')} THEN 'min' END AS op0,
+      {says('contribution', 'share', 'percent', 'pie')} AS pie, {says('duplicate')} AS dup, {says('missing', 'null')} AS miss, {says('quality', 'score')} AS qual FROM a),
+    c AS (SELECT *, CASE WHEN diag THEN group0 ELSE coalesce(group0, CASE WHEN lim > 0 THEN 'category' END) END AS own,
+      CASE WHEN lim IS NOT NULL THEN coalesce(op0, 'sum') ELSE op0 END AS op,
+      CASE WHEN lim IS NOT NULL THEN 'desc' WHEN op0 = 'max' THEN 'desc' WHEN op0 = 'min' THEN 'asc' END AS srt,
+      sum((diag OR NOT follows)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM b),
+    d AS (SELECT *, {carried} AS g FROM c),
+    e AS (SELECT *, coalesce(target0, CASE WHEN diag OR g IS NOT NULL OR op IS NOT NULL THEN 'sales_amount' END) AS target,
+      CASE WHEN diag THEN 'diagnostic' WHEN g IS NOT NULL AND lim > 0 THEN 'top_n' WHEN g IS NOT NULL THEN 'group_by' WHEN op IS NOT NULL THEN 'aggregation'
+        WHEN dup THEN 'duplicates' WHEN miss THEN 'missing_values' WHEN qual THEN 'quality_score' ELSE 'unknown' END AS question_type FROM d)
+    SELECT conv_id, turn, question_type, CASE WHEN NOT diag THEN op END AS operation, CASE WHEN question_type <> 'unknown' THEN target END AS target_col,
+      g AS group_col, CASE WHEN NOT diag THEN lim END AS row_limit, CASE WHEN NOT diag THEN srt END AS sort, NOT diag AND g IS NOT NULL AS requires_chart,
+      CASE WHEN NOT diag AND g IS NOT NULL THEN CASE WHEN g = 'order_date' THEN 'line' WHEN pie THEN 'pie' ELSE 'bar' END END AS chart_type FROM e"""
+
+
+ORACLE = {
+    "tag_questions": _tags(False, False),
+    "tag_questions_words": _tags(True, False),
+    "carry_context": _tags(False, True),
+}
