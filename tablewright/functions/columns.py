@@ -45,9 +45,26 @@ def is_nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, _NESTED)
 
 
+def quoted(name: str) -> str:
+    """A column label in SQL text, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """A column by its exact label, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def double(value: float) -> str:
+    """A double in SQL text, exact."""
+    if value != value or value in (float("inf"), float("-inf")):
+        return f"double('{value}')"
+    return f"{value!r}D" if value >= 0 else f"(-{-value!r}D)"
+
+
+def text_literal(value: str) -> str:
+    """A string in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def dtypes(df: DataFrame, exclude: Iterable[str] = ()) -> dict[str, T.DataType]:
@@ -68,40 +85,43 @@ def name_has(name: str, words: Sequence[str]) -> bool:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and NULL are one kind of missing: keep NULL."""
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, _FLOATS)}
+    floats = {f.name: f.dataType.simpleString() for f in df.schema.fields if isinstance(f.dataType, _FLOATS)}
     if not floats:
         return df
-    return df.select(
+    return df.selectExpr(
         *[
-            F.nanvl(col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
-            if f.name in floats
-            else col(f.name)
-            for f in df.schema.fields
+            f"nanvl({quoted(n)}, CAST(NULL AS {floats[n]})) AS {quoted(n)}" if n in floats else quoted(n)
+            for n in df.columns
         ]
     )
 
 
-def as_text(name: str, dtype: T.DataType) -> Column:
-    """Text that is equal exactly when two values of the column are equal."""
-    value = col(name)
+def text_sql(name: str, dtype: T.DataType) -> str:
+    """SQL for text that is equal exactly when two values of the column are equal."""
+    value = quoted(name)
+    if isinstance(dtype, T.ArrayType):
+        return f"to_json(struct({value}))"
     if is_nested(dtype):
-        return F.to_json(value) if not isinstance(dtype, T.ArrayType) else F.to_json(F.struct(value))
+        return f"to_json({value})"
     if isinstance(dtype, _FLOATS):
-        return (value + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
+        return f"CAST({value} + 0.0D AS STRING)"  # -0.0 and 0.0 are one value
     if isinstance(dtype, T.BinaryType):
-        return F.hex(value)
-    return value.cast("string")
+        return f"hex({value})"
+    return value if is_text(dtype) else f"CAST({value} AS STRING)"
 
 
-def short_key(text: Column, limit: int = 64) -> Column:
-    """The text itself, or its SHA-256 digest when it is longer than a digest.
+def as_text(name: str, dtype: T.DataType) -> Column:
+    """`text_sql` as a column."""
+    return F.expr(text_sql(name, dtype))
+
+
+def short_key(text: str, limit: int = 64) -> str:
+    """SQL for the text itself, or its SHA-256 digest when it is longer than a digest.
 
     Raw texts kept here are at most `limit` characters; digests carry a prefix
     that makes them longer, so a text and a digest never meet.
     """
-    return F.when(F.length(text) <= limit, text).otherwise(
-        F.concat(F.lit("#"), F.sha2(text, 256))
-    )
+    return f"CASE WHEN length({text}) <= {limit} THEN {text} ELSE concat('#', sha2({text}, 256)) END"
 
 
 def row_digest(types: dict[str, T.DataType]) -> Column:
@@ -110,17 +130,18 @@ def row_digest(types: dict[str, T.DataType]) -> Column:
     Grouping whole rows by 32 bytes instead of by every column keeps the shuffle
     small for wide tables and long texts.
     """
-    parts = []
-    for name, dtype in types.items():
-        text = as_text(name, dtype)
-        parts.append(
-            F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
-        )
-    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
+    texts = [text_sql(n, t) for n, t in types.items()]
+    parts = [f"coalesce(concat(length({x}), ':', {x}), '-')" for x in texts]
+    return F.expr(f"unhex(sha2(concat_ws(',', {', '.join(parts)}), 256))")
+
+
+def missing_cells(names: Iterable[str]) -> Column:
+    """Number of NULL cells in a row."""
+    return F.expr(" + ".join(["0", *[f"CAST({quoted(n)} IS NULL AS INT)" for n in names]]))
 
 
 def count_if(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    return F.count_if(condition)
 
 
 def per_column(frame: DataFrame, entries: Sequence[Sequence[Column]]) -> DataFrame:

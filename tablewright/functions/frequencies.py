@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import as_text, col, data_types, is_text, short_key
+from .columns import col, data_types, is_text, quoted, short_key, text_literal, text_sql
 
 CLEARLY_MANY = 1000
 
@@ -22,13 +22,15 @@ def unpivot(df: DataFrame, names: Sequence[str], digest_long: bool = True) -> Da
     """(column_name, value) with every value as text, NULL values left out."""
     types = data_types(df)
     shorten = short_key if digest_long else (lambda text: text)
-    wide = df.select(*[shorten(as_text(n, types[n])).alias(f"c{i}") for i, n in enumerate(names)])
-    labels = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(n))])
+    wide = df.selectExpr(*[f"{shorten(text_sql(n, types[n]))} AS c{i}" for i, n in enumerate(names)])
+    labels = F.expr(
+        "map(" + ", ".join(f"'c{i}', {text_literal(n)}" for i, n in enumerate(names)) + ")[column_name]"
+    )
     if len(names) == 1:
         long = wide.select(F.lit("c0").alias("column_name"), F.col("c0").alias("value"))
     else:
         long = wide.unpivot([], [f"c{i}" for i in range(len(names))], "column_name", "value")
-    return long.where(F.col("value").isNotNull()).withColumn("column_name", labels[F.col("column_name")])
+    return long.where(F.col("value").isNotNull()).withColumn("column_name", labels)
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str], approx: bool = False) -> DataFrame:
@@ -52,7 +54,7 @@ def small_value_sets(df: DataFrame, names: Sequence[str], limit: int) -> dict[st
     """
     if not names:
         return {}
-    row = df.agg(*[F.approx_count_distinct(col(n)).alias(f"d{i}") for i, n in enumerate(names)]).first()
+    row = df.selectExpr(*[f"approx_count_distinct({quoted(n)}) AS d{i}" for i, n in enumerate(names)]).first()
     likely = [n for i, n in enumerate(names) if row[f"d{i}"] <= max(CLEARLY_MANY, 2 * limit)]
     if not likely:
         return {}

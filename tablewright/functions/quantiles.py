@@ -13,16 +13,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import col
+from .columns import double, quoted
 
 ACCURACY = 10_000
-INSIDE_LIMIT = 200_000
+INSIDE_LIMIT = 100_000
 MAX_ROUNDS = 12
 COLUMNS_PER_JOB = 40
 
@@ -66,9 +64,9 @@ def approx_quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """One-pass sketch quantiles (an observed value, rank error 1/accuracy)."""
     names = list(wanted)
-    row = df.agg(
+    row = df.selectExpr(
         *[
-            F.percentile_approx(col(n).cast("double"), list(wanted[n]), accuracy).alias(f"q{i}")
+            f"percentile_approx(CAST({quoted(n)} AS DOUBLE), array({', '.join(map(double, wanted[n]))}), {accuracy}) AS q{i}"
             for i, n in enumerate(names)
         ]
     ).first()
@@ -80,62 +78,52 @@ def approx_quantiles(
 
 def _quantiles(df, wanted, inside_limit):
     names = list(wanted)
-    values = df.select(
-        *[F.nanvl(col(n).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, n in enumerate(names)]
+    values = df.selectExpr(
+        *[f"nanvl(CAST({quoted(n)} AS DOUBLE), CAST(NULL AS DOUBLE)) AS v{i}" for i, n in enumerate(names)]
     )
-    sketch = values.agg(
+    sketch = values.selectExpr(
         *[
-            expr
+            text
             for i, n in enumerate(names)
-            for expr in (
-                F.count(f"v{i}").alias(f"n{i}"),
-                F.min(f"v{i}").alias(f"lo{i}"),
-                F.max(f"v{i}").alias(f"hi{i}"),
-                F.percentile_approx(f"v{i}", _spread(wanted[n]), ACCURACY).alias(f"q{i}"),
+            for text in (
+                f"count(v{i}) AS n{i}",
+                f"min(v{i}) AS lo{i}",
+                f"max(v{i}) AS hi{i}",
+                f"percentile_approx(v{i}, array({', '.join(map(double, _spread(wanted[n])))}), {ACCURACY}) AS q{i}",
             )
         ]
     ).first()
 
-    intervals: dict[tuple[str, float], _Interval] = {}
-    for i, n in enumerate(names):
-        total = sketch[f"n{i}"]
-        if not total:
-            continue
-        low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
-        for k, p in enumerate(wanted[n]):
-            rank = math.floor(_position(total, p))
-            if total <= inside_limit:
-                bounds = (low, high)
-            else:
-                bounds = (sketch[f"q{i}"][2 * k], sketch[f"q{i}"][2 * k + 1])
-            intervals[n, p] = _Interval(f"v{i}", rank, *bounds, min(rank + 1, total - 1))
-
     totals = {n: sketch[f"n{i}"] for i, n in enumerate(names)}
     outer = {f"v{i}": (sketch[f"lo{i}"], sketch[f"hi{i}"]) for i in range(len(names))}
-    pending = [item for (n, _), item in intervals.items() if totals[n] > inside_limit]
-    _measure(values, pending)
-    for item in pending:
-        if not item.covers():  # never trust the sketch blindly
-            item.low, item.high = outer[item.column]
-            _measure(values, [item])
-    for _ in range(MAX_ROUNDS):
-        pending = [item for item in pending if item.inside > inside_limit]
-        if not pending:
-            break
-        _narrow(values, pending)
+    intervals: dict[tuple[str, float], _Interval] = {}
+    for i, n in enumerate(names):
+        for k, p in enumerate(wanted[n] if totals[n] else ()):
+            rank = math.floor(_position(totals[n], p))
+            low, high = sketch[f"q{i}"][2 * k : 2 * k + 2]
+            intervals[n, p] = _Interval(f"v{i}", rank, low, high, min(rank + 1, totals[n] - 1))
+
+    # The sketch leaves 6 / ACCURACY of the values; tighten only where that is too many.
+    wide = [item for (n, _), item in intervals.items() if totals[n] * 6 / ACCURACY > inside_limit]
+    _tighten(values, wide, outer, inside_limit)
     statistics = _order_statistics(values, intervals)
+    missed = {key: item for key, item in intervals.items() if None in statistics[key]}
+    if missed:  # the sketch was off: start again from the whole range
+        for item in missed.values():
+            item.low, item.high = outer[item.column]
+        _tighten(values, list(missed.values()), outer, inside_limit)
+        statistics.update(_order_statistics(values, missed))
 
     result: dict[str, dict[float, float | None]] = {}
     for n in names:
         result[n] = {}
         for p in wanted[n]:
-            pair = statistics.get((n, p))
-            if pair is None:
+            if not totals[n]:
                 result[n][p] = None
                 continue
             position = _position(totals[n], p)
             share = position - math.floor(position)
-            lower, upper = pair
+            lower, upper = statistics[n, p]
             result[n][p] = lower if share == 0 or lower == upper else lower + (upper - lower) * share
     return result
 
@@ -149,23 +137,38 @@ def _spread(probabilities: Sequence[float]) -> list[float]:
     return [x for p in probabilities for x in (max(0.0, p - margin), min(1.0, p + margin))]
 
 
+def _tighten(values, intervals: Sequence[_Interval], outer: Mapping, inside_limit: int) -> None:
+    """Shrink intervals until few enough values lie strictly inside; exact counts check each step."""
+    pending = list(intervals)
+    _measure(values, pending)
+    for item in pending:
+        if not item.covers():
+            item.low, item.high = outer[item.column]
+            _measure(values, [item])
+    for _ in range(MAX_ROUNDS):
+        pending = [item for item in pending if item.inside > inside_limit]
+        if not pending:
+            return
+        _narrow(values, pending)
+
+
 def _measure(values: DataFrame, intervals: Sequence[_Interval]) -> None:
-    """Exact counts left of, strictly inside and up to the end of each interval."""
+    """Exact counts left of, at the ends of and inside each interval."""
     if not intervals:
         return
-    aggregates = []
-    for i, item in enumerate(intervals):
-        v, low, high = F.col(item.column), F.lit(item.low), F.lit(item.high)
-        aggregates += [
-            F.count(F.when(v < low, 1)).alias(f"b{i}"),
-            F.count(F.when(v == low, 1)).alias(f"e{i}"),
-            F.count(F.when((v > low) & (v < high), 1)).alias(f"m{i}"),
-            F.count(F.when(v <= high, 1)).alias(f"u{i}"),
+    row = values.selectExpr(
+        *[
+            f"count_if({item.column} {test}) AS c{i}_{j}"
+            for i, item in enumerate(intervals)
+            for j, test in enumerate(
+                (f"< {double(item.low)}", f"<= {double(item.low)}", f"< {double(item.high)}", f"<= {double(item.high)}")
+            )
         ]
-    row = values.agg(*aggregates).first()
+    ).first()
     for i, item in enumerate(intervals):
-        item.below, item.at_low = row[f"b{i}"], row[f"e{i}"]
-        item.inside, item.upto = row[f"m{i}"], row[f"u{i}"]
+        item.below, to_low, before_high, item.upto = (row[f"c{i}_{j}"] for j in range(4))
+        item.at_low = to_low - item.below
+        item.inside = max(before_high - to_low, 0)
 
 
 def _narrow(values: DataFrame, intervals: Sequence[_Interval]) -> None:
@@ -173,13 +176,15 @@ def _narrow(values: DataFrame, intervals: Sequence[_Interval]) -> None:
     margin = 3.0 / ACCURACY
     aggregates = []
     for i, item in enumerate(intervals):
-        v = F.col(item.column)
-        inner = F.when((v > F.lit(item.low)) & (v < F.lit(item.high)), v)
+        v = item.column
         first = (item.rank - item.below - item.at_low) / item.inside
         second = (item.rank + 1 - item.below - item.at_low) / item.inside
         ends = [min(1.0, max(0.0, first - margin)), min(1.0, max(0.0, second + margin))]
-        aggregates.append(F.percentile_approx(inner, ends, ACCURACY).alias(f"q{i}"))
-    row = values.agg(*aggregates).first()
+        aggregates.append(
+            f"percentile_approx(CASE WHEN {v} > {double(item.low)} AND {v} < {double(item.high)} THEN {v} END, "
+            f"array({double(ends[0])}, {double(ends[1])}), {ACCURACY}) AS q{i}"
+        )
+    row = values.selectExpr(*aggregates).first()
     tried = []
     for i, item in enumerate(intervals):
         low, high = row[f"q{i}"]
@@ -198,50 +203,57 @@ def _narrow(values: DataFrame, intervals: Sequence[_Interval]) -> None:
 
 
 def _order_statistics(values: DataFrame, intervals: Mapping) -> dict:
-    """The two neighbouring values of every wanted rank, from the interval counts."""
-    if not intervals:
-        return {}
-    # Probabilities of a small column share one interval.
-    numbers: dict[tuple[str, float, float], int] = {}
-    for item in intervals.values():
-        numbers.setdefault((item.column, item.low, item.high), len(numbers))
-    tagged = [
-        F.when(
-            (F.col(column) >= F.lit(low)) & (F.col(column) <= F.lit(high)),
-            F.struct(F.lit(number).alias("k"), F.col(column).alias("v")),
-        )
-        for (column, low, high), number in numbers.items()
-    ]
+    """The two neighbouring values of every wanted rank; None outside the intervals.
+
+    Intervals cut the range of a column into cells. Every value falls into one
+    cell; values between intervals are only counted per cell, values inside an
+    interval per value. Running counts over (cell, value) then name the ranks.
+    """
+    columns = sorted({item.column for item in intervals.values()})
+    cells = []
+    for place, column in enumerate(columns):
+        branches = [f"WHEN {column} IS NULL THEN NULL"]
+        number = 0
+        for low, high in _disjoint([(i.low, i.high) for i in intervals.values() if i.column == column]):
+            branches.append(f"WHEN {column} < {double(low)} THEN {_cell(place, number)}")
+            branches.append(f"WHEN {column} <= {double(high)} THEN {_cell(place, number + 1, column)}")
+            number += 2
+        cells.append(f"CASE {' '.join(branches)} ELSE {_cell(place, number)} END")
     counts = (
-        values.select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
-        .groupBy("t.k", "t.v")
+        values.selectExpr(f"explode(array({', '.join(cells)})) AS t")
+        .where("t IS NOT NULL")
+        .groupBy("t.c", "t.k", "t.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # The running count is per interval, which holds at most `inside_limit`
-    # distinct values and its two ends.
-    order = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # A column has at most `inside_limit` distinct values per interval here, and
+    # one row per cell between intervals.
+    order = Window.partitionBy("c").orderBy("k", "v").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.withColumn("upto", F.sum("n").over(order))
-
-    def local_ranks(item):
-        number = numbers[item.column, item.low, item.high]
-        return [(number, item.rank - item.below), (number, item.last - item.below)]
-
-    wanted = sorted({place for item in intervals.values() for place in local_ranks(item)})
-    hit = reduce(
-        or_,
-        [
-            (F.col("k") == number) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-            for number, rank in wanted
-        ],
-    )
+    ranks = sorted({(columns.index(i.column), r) for i in intervals.values() for r in (i.rank, i.last)})
+    hit = " OR ".join(f"(c = {place} AND upto > {rank} AND upto - n <= {rank})" for place, rank in ranks)
     rows = running.where(hit).collect()  # at most two per column and probability
 
-    def value_at(number, rank):
+    def value_at(column, rank):
         return next(
-            r["v"] for r in rows if r["k"] == number and r["upto"] > rank >= r["upto"] - r["n"]
+            r["v"] for r in rows if columns[r["c"]] == column and r["upto"] > rank >= r["upto"] - r["n"]
         )
 
     return {
-        key: tuple(value_at(*place) for place in local_ranks(item))
+        key: (value_at(item.column, item.rank), value_at(item.column, item.last))
         for key, item in intervals.items()
     }
+
+
+def _cell(place: int, number: int, value: str = "CAST(NULL AS DOUBLE)") -> str:
+    return f"named_struct('c', {place}, 'k', {number}, 'v', {value})"
+
+
+def _disjoint(ranges: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Ranges in order, overlapping ones merged."""
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted(ranges):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged

@@ -73,22 +73,20 @@ def longest_null_run(
     carried = carry_last(flags, last_filled, ROW_ID, block_rows=block_rows)
     runs = carried.select(
         F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(f"g{i}"),
-                            F.struct(
-                                F.lit(n).alias("column_name"),
-                                F.coalesce(F.col(f"f{i}"), F.lit(-1)).alias("after"),
-                            ),
-                        )
-                        for i, n in enumerate(chosen)
-                    ]
-                )
+            F.array(
+                *[
+                    F.when(
+                        F.col(f"g{i}"),
+                        F.struct(
+                            F.lit(n).alias("column_name"),
+                            F.coalesce(F.col(f"f{i}"), F.lit(-1)).alias("after"),
+                        ),
+                    )
+                    for i, n in enumerate(chosen)
+                ]
             )
         ).alias("run")
-    )
+    ).where("run IS NOT NULL")
     return (
         runs.groupBy("run.column_name", "run.after")
         .agg(F.count(F.lit(1)).alias("length"))

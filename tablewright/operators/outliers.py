@@ -198,7 +198,7 @@ def outlier_votes(
                 ),
             )
         )
-    votes = df.select(col(row_id), F.explode(F.array_compact(F.array(*entries))).alias("v"))
+    votes = df.select(col(row_id), F.explode(F.array(*entries)).alias("v")).where("v IS NOT NULL")
     order = Window.partitionBy("column_name").orderBy(col(row_id))
     return (
         votes.select("v.column_name", col(row_id), "v.value", "v.methods")

@@ -18,9 +18,11 @@ from ..functions.columns import (
     is_boolean,
     is_nested,
     is_numeric,
+    missing_cells,
     nan_to_null,
-    per_column,
+    quoted,
     row_digest,
+    text_literal,
 )
 from ..functions.frequencies import distinct_counts
 
@@ -33,9 +35,8 @@ def table_stats(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """
     df = nan_to_null(df)
     types = data_types(df, row_id)
-    missing = sum((F.when(col(n).isNull(), 1).otherwise(0) for n in types), F.lit(0))
     groups = (
-        df.select(row_digest(types).alias("digest"), missing.alias("missing"))
+        df.select(row_digest(types).alias("digest"), missing_cells(types).alias("missing"))
         .groupBy("digest", "missing")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -67,35 +68,23 @@ def preview(df: DataFrame, order_by: list[str], limit: int = 10) -> DataFrame:
 
 def _column_facts(df: DataFrame, types: dict) -> DataFrame:
     """One row per column: missing, non-null, min, max, mean; a single wide `agg`."""
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, (n, t) in enumerate(types.items()):
-        aggregates.append(F.count(col(n)).alias(f"n{i}"))
-        if is_numeric(t) or is_boolean(t):
-            x = (col(n).cast("int") if is_boolean(t) else col(n)).cast("double")
-            aggregates += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"avg{i}")]
-    nothing = F.lit(None).cast("double")
-
-    def finite(c: str) -> Column:
-        value = F.col(c)
-        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-
+    aggregates = ["count(1) AS rows"]
     entries = []
     for i, (n, t) in enumerate(types.items()):
+        aggregates.append(f"count({quoted(n)}) AS n{i}")
         numeric = is_numeric(t) or is_boolean(t)
+        facts = ["CAST(NULL AS DOUBLE)"] * 3
+        if numeric:
+            x = f"CAST(CAST({quoted(n)} AS INT) AS DOUBLE)" if is_boolean(t) else f"CAST({quoted(n)} AS DOUBLE)"
+            aggregates += [f"{f}({x}) AS {f}{i}" for f in ("min", "max", "avg")]
+            # NaN compares above every number, so only finite values pass
+            facts = [f"CASE WHEN abs({f}{i}) < double('Infinity') THEN {f}{i} END" for f in ("min", "max", "avg")]
         entries.append(
-            [
-                F.lit(i).alias("ordinal"),
-                F.lit(n).alias("column_name"),
-                F.lit(t.simpleString()).alias("data_type"),
-                (F.col("rows") - F.col(f"n{i}")).alias("missing_count"),
-                F.col(f"n{i}").alias("non_null"),
-                F.lit(numeric).alias("is_numeric"),
-                (finite(f"lo{i}") if numeric else nothing).alias("min_value"),
-                (finite(f"hi{i}") if numeric else nothing).alias("max_value"),
-                (finite(f"avg{i}") if numeric else nothing).alias("mean_value"),
-            ]
+            f"named_struct('ordinal', {i}, 'column_name', {text_literal(n)}, 'data_type', '{t.simpleString()}', "
+            f"'missing_count', rows - n{i}, 'non_null', n{i}, 'is_numeric', {str(numeric).lower()}, "
+            f"'min_value', {facts[0]}, 'max_value', {facts[1]}, 'mean_value', {facts[2]})"
         )
-    return per_column(df.agg(*aggregates), entries)
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def column_profile(df: DataFrame, row_id: str | None = None, approx: bool = False) -> DataFrame:
@@ -221,19 +210,18 @@ def or_else(findings: DataFrame, fallback: Column) -> DataFrame:
 
 
 def _null_counts(df: DataFrame, types: dict) -> DataFrame:
-    df = nan_to_null(df)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), *[count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(types)]
+    return nan_to_null(df).selectExpr(
+        "count(1) AS rows", *[f"count_if({quoted(n)} IS NULL) AS m{i}" for i, n in enumerate(types)]
     )
 
 
 def completeness_score(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Share of filled cells, 0..100, two decimals; 0 for a table without cells."""
     types = data_types(df, row_id)
-    missing = sum((F.col(f"m{i}") for i in range(len(types))), F.lit(0))
-    share = F.try_divide(missing, F.col("rows") * len(types))
-    return _null_counts(df, types).select(
-        F.coalesce(F.bround((1 - share) * 100, 2), F.lit(0.0)).alias("completeness_score")
+    missing = " + ".join(["0", *[f"m{i}" for i in range(len(types))]])
+    share = f"try_divide({missing}, rows * {len(types)})"
+    return _null_counts(df, types).selectExpr(
+        f"coalesce(bround((1 - {share}) * 100, 2), 0.0D) AS completeness_score"
     )
 
 
@@ -241,15 +229,13 @@ def missing_by_column(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Columns with missing values: count, share of rows in percent."""
     types = data_types(df, row_id)
     entries = [
-        [
-            F.lit(i).alias("ordinal"),
-            F.lit(n).alias("column_name"),
-            F.col(f"m{i}").alias("missing_count"),
-            F.coalesce(F.try_divide(F.col(f"m{i}"), F.col("rows")) * 100.0, F.lit(0.0)).alias("missing_percent"),
-        ]
+        f"named_struct('ordinal', {i}, 'column_name', {text_literal(n)}, 'missing_count', m{i}, "
+        f"'missing_percent', coalesce(try_divide(m{i}, rows) * 100.0D, 0.0D))"
         for i, n in enumerate(types)
     ]
-    return per_column(_null_counts(df, types), entries).where("missing_count > 0")
+    return (
+        _null_counts(df, types).selectExpr(f"inline(array({', '.join(entries)}))").where("missing_count > 0")
+    )
 
 
 def duplicate_sample(df: DataFrame, row_id: str, limit: int = 10) -> DataFrame:
