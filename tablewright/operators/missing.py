@@ -24,7 +24,8 @@ from ..functions.columns import (
     is_temporal,
     name_has,
     nan_to_null,
-    per_column,
+    quoted,
+    text_literal,
 )
 from ..functions.frequencies import small_value_sets
 from .ordering import carry_last
@@ -41,7 +42,7 @@ def columns_with_gaps(df: DataFrame, row_id: str | None = None) -> list[str]:
     if not types:
         return []
     df = nan_to_null(df)
-    row = df.agg(*[F.max(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(types)]).first()
+    row = df.selectExpr(*[f"max({quoted(n)} IS NULL) AS m{i}" for i, n in enumerate(types)]).first()
     return [n for i, n in enumerate(types) if row[f"m{i}"]]
 
 
@@ -99,32 +100,25 @@ def missing_position(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """Per column with gaps: is it temporal, is the first/last row missing, is the tail all of it?"""
     df = nan_to_null(df)
     types = data_types(df, row_id)
-    rid = col(row_id)
+    rid = quoted(row_id)
     aggregates, entries = [], []
     for i, (n, t) in enumerate(types.items()):
-        gap = col(n).isNull()
+        gap = f"{quoted(n)} IS NULL"
         aggregates += [
-            count_if(gap).alias(f"m{i}"),
-            F.min_by(gap, rid).alias(f"s{i}"),
-            F.max_by(gap, rid).alias(f"e{i}"),
-            F.min(F.when(gap, rid)).alias(f"g{i}"),
-            F.max(F.when(~gap, rid)).alias(f"v{i}"),
+            f"count_if({gap}) AS m{i}",
+            f"min_by({gap}, {rid}) AS s{i}",
+            f"max_by({gap}, {rid}) AS e{i}",
+            f"min(CASE WHEN {gap} THEN {rid} END) AS g{i}",
+            f"max(CASE WHEN NOT {gap} THEN {rid} END) AS v{i}",
         ]
-        temporal = F.lit(is_temporal_column(n, t))
-        tail = F.coalesce(F.col(f"v{i}") < F.col(f"g{i}"), F.lit(True))
+        temporal = str(is_temporal_column(n, t)).lower()
         entries.append(
-            [
-                F.lit(i).alias("ordinal"),
-                F.lit(n).alias("column_name"),
-                F.lit(is_numeric(t)).alias("is_numeric"),
-                F.col(f"m{i}").alias("missing_count"),
-                temporal.alias("is_temporal"),
-                (temporal & F.col(f"s{i}")).alias("missing_at_start"),
-                (temporal & F.col(f"e{i}")).alias("missing_at_end"),
-                (~temporal & tail).alias("missing_tail_only"),
-            ]
+            f"named_struct('ordinal', {i}, 'column_name', {text_literal(n)}, 'is_numeric', {str(is_numeric(t)).lower()}, "
+            f"'missing_count', m{i}, 'is_temporal', {temporal}, 'missing_at_start', {temporal} AND s{i}, "
+            f"'missing_at_end', {temporal} AND e{i}, 'missing_tail_only', NOT {temporal} AND coalesce(v{i} < g{i}, true))"
         )
-    return per_column(df.agg(*aggregates), entries).where("missing_count > 0")
+    positions = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
+    return positions.where("missing_count > 0")
 
 
 def missing_at_edges(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
@@ -239,11 +233,7 @@ class Rule:
 
 
 def _named(words: list[str]) -> Column:
-    lowered = F.lower("column_name")
-    condition = F.lit(False)
-    for word in words:
-        condition = condition | lowered.contains(word)
-    return condition
+    return F.lower("column_name").rlike("|".join(words))
 
 
 def cause_rules() -> list[Rule]:

@@ -13,7 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import ROW_ID, col, count_if, data_types, is_numeric, name_has, nan_to_null
+from ..functions.columns import (
+    ROW_ID,
+    col,
+    data_types,
+    double,
+    is_numeric,
+    name_has,
+    nan_to_null,
+    quoted,
+    text_literal,
+)
 from ..functions.quantiles import approx_quantiles, exact_quantiles
 
 METHODS = ["IQR", "Z-Score", "Modified Z-Score", "Percentiles"]
@@ -66,34 +76,23 @@ def outlier_stats(
     names = outlier_columns(df, row_id) if columns is None else list(columns)
     if not names:
         return {}
-    x = {n: col(n).cast("double") for n in names}
-    moments = df.agg(
+    moments = df.selectExpr(
         *[
-            e
+            f"{f}(CAST({quoted(n)} AS DOUBLE)) AS {f}{i}"
             for i, n in enumerate(names)
-            for e in (
-                F.count(x[n]).alias(f"n{i}"),
-                F.min(x[n]).alias(f"lo{i}"),
-                F.max(x[n]).alias(f"hi{i}"),
-                F.avg(x[n]).alias(f"avg{i}"),
-                F.stddev_samp(x[n]).alias(f"std{i}"),
-            )
+            for f in ("count", "min", "max", "avg", "stddev_samp")
         ]
     ).first()
-    numbers = {n: i for i, n in enumerate(names) if moments[f"n{i}"] >= fv.OUTLIER_MIN_VALUES}
+    numbers = {n: i for i, n in enumerate(names) if moments[f"count{i}"] >= fv.OUTLIER_MIN_VALUES}
     quantiles = approx_quantiles if approx else exact_quantiles
     found = quantiles(df, {n: _QUANTILES for n in numbers})
-    distance = df.select(
-        *[F.abs(x[n] - F.lit(found[n][0.5])).alias(f"d{i}") for n, i in numbers.items()]
+    distance = df.selectExpr(
+        *[f"abs(CAST({quoted(n)} AS DOUBLE) - {double(found[n][0.5])}) AS d{i}" for n, i in numbers.items()]
     )
     spread = quantiles(distance, {f"d{i}": (0.5,) for i in numbers.values()}) if numbers else {}
     return {
         n: OutlierStats(
-            moments[f"n{i}"],
-            moments[f"lo{i}"],
-            moments[f"hi{i}"],
-            moments[f"avg{i}"],
-            moments[f"std{i}"],
+            *[moments[f"{f}{i}"] for f in ("count", "min", "max", "avg", "stddev_samp")],
             *[found[n][p] for p in _QUANTILES],
             spread[f"d{i}"][0.5],
         )
@@ -101,35 +100,24 @@ def outlier_stats(
     }
 
 
-def _iqr(x: Column, s: OutlierStats) -> Column:
-    low, high = s.iqr_bounds
-    return (x < F.lit(low)) | (x > F.lit(high))
+def _outside(x: str, low: float, high: float) -> str:
+    return f"({x} < {double(low)} OR {x} > {double(high)})"
 
 
-def _zscore(x: Column, s: OutlierStats) -> Column:
-    if not s.std:
-        return F.lit(False)
-    return F.abs((x - F.lit(s.mean)) / F.lit(s.std)) > F.lit(fv.Z_LIMIT)
+def flags(name: str, s: OutlierStats) -> dict[str, str]:
+    """Method -> SQL condition on the column; a missing value is never an outlier."""
+    x = f"CAST({quoted(name)} AS DOUBLE)"
+    zscore = f"abs(({x} - {double(s.mean)}) / {double(s.std)}) > {double(fv.Z_LIMIT)}" if s.std else "false"
+    modified = zscore
+    if s.mad:
+        scaled = f"{double(fv.MODIFIED_Z_FACTOR)} * ({x} - {double(s.median)}) / {double(s.mad)}"
+        modified = f"abs({scaled}) > {double(fv.MODIFIED_Z_LIMIT)}"
+    tests = [_outside(x, *s.iqr_bounds), zscore, modified, _outside(x, s.p1, s.p99)]
+    return {method: f"coalesce({test}, false)" for method, test in zip(METHODS, tests)}
 
 
-def _modified_z(x: Column, s: OutlierStats) -> Column:
-    if not s.mad:
-        return _zscore(x, s)
-    score = F.lit(fv.MODIFIED_Z_FACTOR) * (x - F.lit(s.median)) / F.lit(s.mad)
-    return F.abs(score) > F.lit(fv.MODIFIED_Z_LIMIT)
-
-
-def _percentiles(x: Column, s: OutlierStats) -> Column:
-    return (x < F.lit(s.p1)) | (x > F.lit(s.p99))
-
-
-_TESTS = dict(zip(METHODS, (_iqr, _zscore, _modified_z, _percentiles)))
-
-
-def flags(name: str, stats: OutlierStats) -> dict[str, Column]:
-    """Method -> condition on the column; a missing value is never an outlier."""
-    x = col(name).cast("double")
-    return {m: F.coalesce(test(x, stats), F.lit(False)) for m, test in _TESTS.items()}
+def any_flag(name: str, s: OutlierStats) -> str:
+    return "(" + " OR ".join(flags(name, s).values()) + ")"
 
 
 def _flagged(df: DataFrame, column: str, method: str, row_id: str) -> DataFrame:
@@ -160,13 +148,6 @@ def outliers_percentile(df: DataFrame, column: str, row_id: str = ROW_ID) -> Dat
     return _flagged(df, column, "Percentiles", row_id)
 
 
-def _any(conditions: Mapping[str, Column]) -> Column:
-    result = F.lit(False)
-    for c in conditions.values():
-        result = result | c
-    return result
-
-
 def outlier_votes(
     df: DataFrame,
     row_id: str = ROW_ID,
@@ -186,19 +167,12 @@ def outlier_votes(
         return df.sparkSession.createDataFrame([], schema)
     entries = []
     for n, s in stats.items():
-        tests = flags(n, s)
-        names = F.array_join(
-            F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in tests.items()])), ", "
-        )
+        agreeing = ", ".join(f"CASE WHEN {test} THEN '{method}' END" for method, test in flags(n, s).items())
         entries.append(
-            F.when(
-                _any(tests),
-                F.struct(
-                    F.lit(n).alias("column_name"), col(n).cast("double").alias("value"), names.alias("methods")
-                ),
-            )
+            f"CASE WHEN {any_flag(n, s)} THEN named_struct('column_name', {text_literal(n)}, "
+            f"'value', CAST({quoted(n)} AS DOUBLE), 'methods', concat_ws(', ', {agreeing})) END"
         )
-    votes = df.select(col(row_id), F.explode(F.array(*entries)).alias("v")).where("v IS NOT NULL")
+    votes = df.select(col(row_id), F.expr(f"explode(array({', '.join(entries)}))").alias("v")).where("v IS NOT NULL")
     order = Window.partitionBy("column_name").orderBy(col(row_id))
     return (
         votes.select("v.column_name", col(row_id), "v.value", "v.methods")
@@ -220,20 +194,15 @@ def outlier_summary(
     )
     if not stats:
         return df.sparkSession.createDataFrame([], schema)
-    counts = df.agg(*[count_if(_any(flags(n, s))).alias(f"c{i}") for i, (n, s) in enumerate(stats.items())])
+    counts = df.selectExpr(*[f"count_if({any_flag(n, s)}) AS c{i}" for i, (n, s) in enumerate(stats.items())])
     entries = [
-        F.struct(
-            F.lit(n).alias("column_name"),
-            F.col(f"c{i}").alias("outlier_count"),
-            (F.col(f"c{i}") / F.lit(s.count) * 100.0).alias("outlier_percent"),
-            F.lit(s.iqr_bounds[0]).alias("iqr_lower"),
-            F.lit(s.iqr_bounds[1]).alias("iqr_upper"),
-            F.lit(s.z_bounds[0]).alias("z_lower"),
-            F.lit(s.z_bounds[1]).alias("z_upper"),
-        )
+        f"named_struct('column_name', {text_literal(n)}, 'outlier_count', c{i}, "
+        f"'outlier_percent', c{i} / {double(float(s.count))} * 100.0D, "
+        f"'iqr_lower', {double(s.iqr_bounds[0])}, 'iqr_upper', {double(s.iqr_bounds[1])}, "
+        f"'z_lower', {double(s.z_bounds[0])}, 'z_upper', {double(s.z_bounds[1])})"
         for i, (n, s) in enumerate(stats.items())
     ]
-    return counts.select(F.inline(F.array(*entries))).where("outlier_count > 0")
+    return counts.selectExpr(f"inline(array({', '.join(entries)}))").where("outlier_count > 0")
 
 
 def outlier_features(
@@ -250,25 +219,22 @@ def outlier_features(
         return df.sparkSession.createDataFrame([], schema)
     aggregates, entries = [], []
     for i, (n, s) in enumerate(stats.items()):
-        flagged = _any(flags(n, s))
-        aggregates.append(count_if(flagged).alias(f"c{i}"))
+        flagged, tenfold, factor = any_flag(n, s), "false", "false"
         if s.median > 0:
-            ratio = col(n).cast("double") / F.lit(s.median)
-            aggregates.append(count_if(flagged & (ratio >= 10.0)).alias(f"t{i}"))
-            aggregates.append(count_if(flagged & F.bround(ratio).isin(100.0, 1000.0)).alias(f"u{i}"))
-        else:
-            aggregates += [F.lit(0).alias(f"t{i}"), F.lit(0).alias(f"u{i}")]
+            ratio = f"CAST({quoted(n)} AS DOUBLE) / {double(s.median)}"
+            tenfold, factor = f"{ratio} >= 10", f"bround({ratio}) IN (100, 1000)"
+        aggregates += [
+            f"count_if({flagged}) AS c{i}",
+            f"count_if({flagged} AND {tenfold}) AS t{i}",
+            f"count_if({flagged} AND {factor}) AS u{i}",
+        ]
         entries.append(
-            F.struct(
-                F.lit(n).alias("column_name"),
-                F.col(f"c{i}").alias("outlier_count"),
-                F.lit(s.low < 0).alias("any_negative"),
-                F.lit(s.high > 150).alias("any_above_150"),
-                (F.col(f"t{i}") > 0).alias("any_tenfold"),
-                (F.col(f"u{i}") > 0).alias("unit_factor"),
-            )
+            f"named_struct('column_name', {text_literal(n)}, 'outlier_count', c{i}, "
+            f"'any_negative', {str(s.low < 0).lower()}, 'any_above_150', {str(s.high > 150).lower()}, "
+            f"'any_tenfold', t{i} > 0, 'unit_factor', u{i} > 0)"
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*entries))).where("outlier_count > 0")
+    features = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
+    return features.where("outlier_count > 0")
 
 
 @dataclass(frozen=True)
@@ -290,10 +256,7 @@ def outlier_rules() -> list[OutlierRule]:
     """Cause rules in their fixed order, over the columns of `outlier_features`."""
 
     def named(words: Sequence[str]) -> Column:
-        condition = F.lit(False)
-        for word in words:
-            condition = condition | F.lower("column_name").contains(word)
-        return condition
+        return F.lower("column_name").rlike("|".join(words))
 
     impossible = F.col("any_negative") & named(fv.NEVER_NEGATIVE_WORDS)
     return [

@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import ROW_ID, col
+from ..functions.columns import ROW_ID, col, text_literal
 from .ordering import carry_last, with_row_id
 
 INTENT_COLUMNS = [
@@ -23,31 +23,23 @@ INTENT_COLUMNS = [
 ]
 
 
-def _matcher(text: Column, match: str) -> Callable[[Sequence[str]], Column]:
-    """words -> does the text mention one of them?"""
+def _matcher(match: str) -> Callable[[Sequence[str]], str]:
+    """words -> SQL: does the lowered text mention one of them?"""
     if match == "substring":
-        tests = text.contains
-    elif match == "word":
-        def tests(word):
-            return text.rlike(rf"\b{re.escape(word.strip())}\b")
-    else:
-        raise ValueError(f"unknown match {match!r}")
+        return lambda words: "(" + " OR ".join(f"contains(_tw_text, {text_literal(w)})" for w in words) + ")"
+    if match == "word":
+        return lambda words: (
+            "(_tw_text RLIKE " + text_literal(r"\b(" + "|".join(re.escape(w.strip()) for w in words) + r")\b") + ")"
+        )
+    raise ValueError(f"unknown match {match!r}")
 
-    def mentions(words: Sequence[str]) -> Column:
-        found = F.lit(False)
-        for word in words:
-            found = found | tests(word)
-        return found
 
-    return mentions
-
-
-def _first_of(options: Sequence[tuple[Column, str | None]]) -> Column:
-    """The value of the first condition that holds."""
-    result = F.lit(None).cast("string")
-    for condition, value in reversed(options):
-        result = F.when(condition, F.lit(value)).otherwise(result)
-    return result
+def _first_of(options: Sequence[tuple[str, str | None]]) -> str:
+    """SQL for the value of the first condition that holds."""
+    branches = [
+        f"WHEN {condition} THEN {'NULL' if value is None else text_literal(value)}" for condition, value in options
+    ]
+    return f"CAST(CASE {' '.join(branches)} END AS STRING)" if branches else "CAST(NULL AS STRING)"
 
 
 def tag_questions(
@@ -66,8 +58,7 @@ def tag_questions(
     questions are about. `match="word"` asks for whole words; the default finds
     words inside other words, too.
     """
-    lowered = F.coalesce(F.lower(col(text)), F.lit(""))
-    mentions = _matcher(lowered, match)
+    mentions = _matcher(match)
     metric = numeric[0] if numeric else None
     category = categorical[0] if categorical else None
 
@@ -79,29 +70,29 @@ def tag_questions(
         group_options.append((mentions(fv.GROUPING_WORDS), category))
     if temporal:
         group_options.append((mentions(fv.CALENDAR_WORDS), temporal[0]))
-    number = F.regexp_extract(lowered, fv.TOP_N_PATTERN, 1).try_cast("bigint")
     words = fv.OPERATION_WORDS
-    spoken = _first_of([(mentions(w), op) for op, w, _ in words])
-    order = _first_of([(mentions(w), s) for _, w, s in words])
-
-    parsed = questions.withColumns(
-        {
-            "_tw_diagnostic": mentions(fv.DIAGNOSTIC_WORDS),
-            "_tw_follows": mentions(fv.FOLLOW_UP_PHRASES),
-            "_tw_target": target,
-            "_tw_group": _first_of(group_options),
-            "_tw_limit": number,
-            "_tw_op": F.when(number.isNotNull(), F.coalesce(spoken, F.lit("sum"))).otherwise(spoken),
-            "_tw_sort": F.when(number.isNotNull(), F.lit("desc")).otherwise(order),
-            "_tw_pie": mentions(fv.PIE_WORDS),
-            "_tw_topic": _first_of(
-                [
-                    (mentions(["duplicate"]), "duplicates"),
-                    (mentions(["missing", "null"]), "missing_values"),
-                    (mentions(["quality", "score"]), "quality_score"),
-                ]
-            ),
-        }
+    topics = [
+        (mentions(["duplicate"]), "duplicates"),
+        (mentions(["missing", "null"]), "missing_values"),
+        (mentions(["quality", "score"]), "quality_score"),
+    ]
+    parsed = questions.select(
+        "*", F.coalesce(F.lower(col(text)), F.lit("")).alias("_tw_text")
+    ).selectExpr(
+        "*",
+        f"try_cast(regexp_extract(_tw_text, {text_literal(fv.TOP_N_PATTERN)}, 1) AS BIGINT) AS _tw_limit",
+        f"{mentions(fv.DIAGNOSTIC_WORDS)} AS _tw_diagnostic",
+        f"{mentions(fv.FOLLOW_UP_PHRASES)} AS _tw_follows",
+        f"{target} AS _tw_target",
+        f"{_first_of(group_options)} AS _tw_group",
+        f"{_first_of([(mentions(w), op) for op, w, _ in words])} AS _tw_spoken",
+        f"{_first_of([(mentions(w), s) for _, w, s in words])} AS _tw_order",
+        f"{mentions(fv.PIE_WORDS)} AS _tw_pie",
+        f"{_first_of(topics)} AS _tw_topic",
+    ).selectExpr(
+        "* EXCEPT (_tw_text, _tw_spoken, _tw_order)",
+        "CASE WHEN _tw_limit IS NOT NULL THEN coalesce(_tw_spoken, 'sum') ELSE _tw_spoken END AS _tw_op",
+        "CASE WHEN _tw_limit IS NOT NULL THEN 'desc' ELSE _tw_order END AS _tw_sort",
     )
     limited = F.coalesce(F.col("_tw_limit") > 0, F.lit(False))
     own = F.when(F.col("_tw_diagnostic"), F.col("_tw_group")).otherwise(
