@@ -135,6 +135,21 @@ def row_digest(types: dict[str, T.DataType]) -> Column:
     return F.expr(f"unhex(sha2(concat_ws(',', {', '.join(parts)}), 256))")
 
 
+def row_key(types: dict[str, T.DataType], widest: int = 24) -> list[Column]:
+    """Grouping columns that are equal for equal rows.
+
+    A narrow table groups by its values, long texts shortened to digests; a wide
+    one by a single digest, so that a key never outgrows a few hundred bytes.
+    """
+    if len(types) > widest:
+        return [row_digest(types).alias("k0")]
+    keys = []
+    for i, (n, t) in enumerate(types.items()):
+        fixed = isinstance(t, (T.NumericType, T.BooleanType) + _TIMES)
+        keys.append((col(n) if fixed else F.expr(short_key(text_sql(n, t)))).alias(f"k{i}"))
+    return keys
+
+
 def missing_cells(names: Iterable[str]) -> Column:
     """Number of NULL cells in a row."""
     return F.expr(" + ".join(["0", *[f"CAST({quoted(n)} IS NULL AS INT)" for n in names]]))

@@ -8,6 +8,7 @@ values collapse before the shuffle, and (column, value) spreads over all tasks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +34,51 @@ def unpivot(df: DataFrame, names: Sequence[str], digest_long: bool = True) -> Da
     return long.where(F.col("value").isNotNull()).withColumn("column_name", labels)
 
 
+def _family(dtype: T.DataType) -> str:
+    """The type under which a column is compared; equal values stay equal."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return dtype.simpleString()
+    return "string"
+
+
 def distinct_counts(df: DataFrame, names: Sequence[str], approx: bool = False) -> DataFrame:
-    """(column_name, unique_count) for columns with at least one value."""
-    long = unpivot(df, names)
+    """(column_name, unique_count) for columns with at least one value.
+
+    Columns of one family are stacked together, so numbers and dates keep their
+    fixed-width form and only texts travel as text.
+    """
+    types = data_types(df)
     if approx:
-        return long.groupBy("column_name").agg(F.approx_count_distinct("value").alias("unique_count"))
-    return (
-        long.groupBy("column_name", "value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("unique_count"))
-    )
+        wide = df.selectExpr(*[f"approx_count_distinct({quoted(n)}) AS d{i}" for i, n in enumerate(names)])
+        return wide.selectExpr(
+            "inline(array(" + ", ".join(
+                f"named_struct('column_name', {text_literal(n)}, 'unique_count', d{i})" for i, n in enumerate(names)
+            ) + "))"
+        ).where("unique_count > 0")
+    families: dict[str, list[int]] = {}
+    for i, n in enumerate(names):
+        families.setdefault(_family(types[n]), []).append(i)
+    counted = []
+    for family, members in families.items():
+        cells = []
+        for i in members:
+            n = names[i]
+            value = short_key(text_sql(n, types[n])) if family == "string" else f"CAST({quoted(n)} AS {family})"
+            cells.append(f"{i}, {value}")
+        long = df.selectExpr(f"stack({len(members)}, {', '.join(cells)}) AS (place, value)")
+        counted.append(
+            long.where("value IS NOT NULL")
+            .groupBy("place", "value")
+            .agg(F.lit(1).alias("one"))
+            .groupBy("place")
+            .agg(F.count(F.lit(1)).alias("unique_count"))
+        )
+    labels = f"array({', '.join(map(text_literal, names))})[place]"
+    return reduce(DataFrame.unionAll, counted).selectExpr(f"{labels} AS column_name", "unique_count")
 
 
 def small_value_sets(df: DataFrame, names: Sequence[str], limit: int) -> dict[str, list[str]]:

@@ -47,19 +47,15 @@ def with_row_id(
     placed = materialise(placed.withColumn("_tw_at", F.monotonically_increasing_id()))
     part = F.shiftright("_tw_at", _POSITION_BITS).cast("int")
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    # One small row per partition.
+    # One number per partition; the ids that come before it.
+    sizes = {row["part"]: row["n"] for row in counts.collect()}
     starts, total = [], 0
-    for row in counts.orderBy("part").collect():
-        starts.append((row["part"], total))
-        total += row["n"]
-    offsets = spark.createDataFrame(starts or [(0, 0)], "_tw_part int, _tw_start long")
-    position = F.col("_tw_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return (
-        placed.withColumn("_tw_part", part)
-        .join(F.broadcast(offsets), "_tw_part")
-        .withColumn(name, F.col("_tw_start") + position)
-        .drop("_tw_part", "_tw_start", "_tw_at")
-    )
+    for number in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(number, 0)
+    start = f"array({', '.join(f'{x}L' for x in starts)})[shiftright(_tw_at, {_POSITION_BITS})]"
+    position = f"(_tw_at & {(1 << _POSITION_BITS) - 1}L)"
+    return placed.withColumn(name, F.expr(f"{start} + {position}")).drop("_tw_at")
 
 
 def block_rows_for(df: DataFrame, row_id: str) -> int:

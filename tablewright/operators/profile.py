@@ -22,6 +22,7 @@ from ..functions.columns import (
     nan_to_null,
     quoted,
     row_digest,
+    row_key,
     text_literal,
 )
 from ..functions.frequencies import distinct_counts
@@ -30,16 +31,13 @@ from ..functions.frequencies import distinct_counts
 def table_stats(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row: row_count, column_count, missing_values, duplicate_rows, missing_percent.
 
-    Equal rows share a digest, and with it their number of missing cells, so one
-    grouping by (digest, missing cells) answers all four counts in one scan.
+    Equal rows share their key, and with it their number of missing cells, so one
+    grouping by (key, missing cells) answers all four counts in one scan.
     """
     df = nan_to_null(df)
     types = data_types(df, row_id)
-    groups = (
-        df.select(row_digest(types).alias("digest"), missing_cells(types).alias("missing"))
-        .groupBy("digest", "missing")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    keyed = df.select(*row_key(types), missing_cells(types).alias("missing"))
+    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
     cells = F.col("row_count") * len(types)
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
