@@ -1,11 +1,12 @@
 """Exact quantiles of many columns without a sort and without a hot task.
 
 `percentile` keeps every distinct value of a column in one buffer, which does
-not survive a column of billions of values. Here a bounded sketch
-(`percentile_approx`) only proposes a narrow interval around each wanted rank;
-exact counts then prove that the rank lies inside it, and only values inside are
-grouped by value. All passes read just the wanted columns and combine before
-the shuffle, so a value that fills a third of the table costs one row per task.
+not survive a column of billions of values. Here a random sample of fixed size
+only proposes a narrow interval around each wanted rank; exact counts then prove
+that the rank lies inside it, and only values inside are grouped by value. All
+passes read just the wanted columns and combine before the shuffle, so a value
+that fills a third of the table costs one row per task, and what reaches one
+task does not grow with the table.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .columns import double, quoted
 
-ACCURACY = 10_000
-INSIDE_LIMIT = 100_000
+ACCURACY = 10_000  # of the sketch over the sample
+SAMPLE_VALUES = 4_000_000  # values per column that propose an interval
+INSIDE_LIMIT = 1_000_000  # rows an interval may hold before its values are grouped
 MAX_ROUNDS = 12
 COLUMNS_PER_JOB = 40
+_SEED = 20240607
 
 
 @dataclass
@@ -45,17 +48,22 @@ def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
     inside_limit: int = INSIDE_LIMIT,
+    sample_values: int = SAMPLE_VALUES,
+    rows: int | None = None,
 ) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles, `{column: {p: value}}`; None if no values.
 
     The result has one number per column and probability, so it is returned to
-    the caller as plain numbers that later plans use as literals.
+    the caller as plain numbers that later plans use as literals. `rows` saves a
+    count when the caller knows the number of rows; it only sizes the sample.
     """
     found: dict[str, dict[float, float | None]] = {}
     names = list(wanted)
+    if names and rows is None:
+        rows = df.count()
     for start in range(0, len(names), COLUMNS_PER_JOB):
         part = {name: wanted[name] for name in names[start : start + COLUMNS_PER_JOB]}
-        found.update(_quantiles(df, part, inside_limit))
+        found.update(_quantiles(df, part, inside_limit, sample_values, rows))
     return found
 
 
@@ -76,12 +84,15 @@ def approx_quantiles(
     }
 
 
-def _quantiles(df, wanted, inside_limit):
+def _quantiles(df, wanted, inside_limit, sample_values, rows):
     names = list(wanted)
     values = df.selectExpr(
-        *[f"nanvl(CAST({quoted(n)} AS DOUBLE), CAST(NULL AS DOUBLE)) AS v{i}" for i, n in enumerate(names)]
+        *[f"nanvl(CAST({quoted(n)} AS DOUBLE), CAST(NULL AS DOUBLE)) AS v{i}" for i, n in enumerate(names)],
+        f"rand({_SEED}) AS u",
     )
-    sketch = values.selectExpr(
+    share = min(1.0, sample_values / max(rows, 1))
+    drawn = "" if share == 1.0 else f" FILTER (WHERE u < {double(share)})"
+    summary = values.selectExpr(
         *[
             text
             for i, n in enumerate(names)
@@ -89,29 +100,30 @@ def _quantiles(df, wanted, inside_limit):
                 f"count(v{i}) AS n{i}",
                 f"min(v{i}) AS lo{i}",
                 f"max(v{i}) AS hi{i}",
-                f"percentile_approx(v{i}, array({', '.join(map(double, _spread(wanted[n])))}), {ACCURACY}) AS q{i}",
+                f"{_sketch(f'v{i}', _ends(wanted[n], _margin(rows, share)))}{drawn} AS q{i}",
             )
         ]
     ).first()
 
-    totals = {n: sketch[f"n{i}"] for i, n in enumerate(names)}
-    outer = {f"v{i}": (sketch[f"lo{i}"], sketch[f"hi{i}"]) for i in range(len(names))}
+    totals = {n: summary[f"n{i}"] for i, n in enumerate(names)}
+    outer = {f"v{i}": (summary[f"lo{i}"], summary[f"hi{i}"]) for i in range(len(names))}
     intervals: dict[tuple[str, float], _Interval] = {}
     for i, n in enumerate(names):
         for k, p in enumerate(wanted[n] if totals[n] else ()):
             rank = math.floor(_position(totals[n], p))
-            low, high = sketch[f"q{i}"][2 * k : 2 * k + 2]
-            intervals[n, p] = _Interval(f"v{i}", rank, low, high, min(rank + 1, totals[n] - 1))
+            ends = (summary[f"q{i}"] or [])[2 * k : 2 * k + 2] or outer[f"v{i}"]
+            intervals[n, p] = _Interval(f"v{i}", rank, *ends, min(rank + 1, totals[n] - 1))
 
-    # The sketch leaves 6 / ACCURACY of the values; tighten only where that is too many.
-    wide = [item for (n, _), item in intervals.items() if totals[n] * 6 / ACCURACY > inside_limit]
-    _tighten(values, wide, outer, inside_limit)
+    # Tighten only where an interval holds too many rows to be grouped by value.
+    held = 2 * _margin(rows, share)
+    wide = [item for (n, _), item in intervals.items() if totals[n] * held > inside_limit]
+    _tighten(values, wide, outer, inside_limit, sample_values)
     statistics = _order_statistics(values, intervals)
     missed = {key: item for key, item in intervals.items() if None in statistics[key]}
-    if missed:  # the sketch was off: start again from the whole range
+    if missed:  # the sample was off: start again from the whole range
         for item in missed.values():
             item.low, item.high = outer[item.column]
-        _tighten(values, list(missed.values()), outer, inside_limit)
+        _tighten(values, list(missed.values()), outer, inside_limit, sample_values)
         statistics.update(_order_statistics(values, missed))
 
     result: dict[str, dict[float, float | None]] = {}
@@ -132,12 +144,23 @@ def _position(total: int, p: float) -> float:
     return (total - 1) * p
 
 
-def _spread(probabilities: Sequence[float]) -> list[float]:
-    margin = 3.0 / ACCURACY
+def _margin(rows: int, share: float) -> float:
+    """How far, in rank share, a proposal may be off: five standard errors and the sketch."""
+    error = 0.0 if share >= 1.0 else 2.5 / math.sqrt(max(rows * share, 1.0))
+    return error + 3.0 / ACCURACY
+
+
+def _ends(probabilities: Sequence[float], margin: float) -> list[float]:
     return [x for p in probabilities for x in (max(0.0, p - margin), min(1.0, p + margin))]
 
 
-def _tighten(values, intervals: Sequence[_Interval], outer: Mapping, inside_limit: int) -> None:
+def _sketch(value: str, probabilities: Sequence[float]) -> str:
+    return f"percentile_approx({value}, array({', '.join(map(double, probabilities))}), {ACCURACY})"
+
+
+def _tighten(
+    values: DataFrame, intervals: Sequence[_Interval], outer: Mapping, inside_limit: int, sample_values: int
+) -> None:
     """Shrink intervals until few enough values lie strictly inside; exact counts check each step."""
     pending = list(intervals)
     _measure(values, pending)
@@ -149,7 +172,7 @@ def _tighten(values, intervals: Sequence[_Interval], outer: Mapping, inside_limi
         pending = [item for item in pending if item.inside > inside_limit]
         if not pending:
             return
-        _narrow(values, pending)
+        _narrow(values, pending, sample_values)
 
 
 def _measure(values: DataFrame, intervals: Sequence[_Interval]) -> None:
@@ -171,23 +194,21 @@ def _measure(values: DataFrame, intervals: Sequence[_Interval]) -> None:
         item.inside = max(before_high - to_low, 0)
 
 
-def _narrow(values: DataFrame, intervals: Sequence[_Interval]) -> None:
-    """Propose a smaller interval from a sketch of the strictly inside values."""
-    margin = 3.0 / ACCURACY
+def _narrow(values: DataFrame, intervals: Sequence[_Interval], sample_values: int) -> None:
+    """Propose a smaller interval from a sample of the strictly inside values."""
     aggregates = []
     for i, item in enumerate(intervals):
-        v = item.column
+        share = min(1.0, sample_values / item.inside)
+        margin = _margin(item.inside, share)
         first = (item.rank - item.below - item.at_low) / item.inside
         second = (item.rank + 1 - item.below - item.at_low) / item.inside
         ends = [min(1.0, max(0.0, first - margin)), min(1.0, max(0.0, second + margin))]
-        aggregates.append(
-            f"percentile_approx(CASE WHEN {v} > {double(item.low)} AND {v} < {double(item.high)} THEN {v} END, "
-            f"array({double(ends[0])}, {double(ends[1])}), {ACCURACY}) AS q{i}"
-        )
+        inside = f"{item.column} > {double(item.low)} AND {item.column} < {double(item.high)}"
+        aggregates.append(f"{_sketch(item.column, ends)} FILTER (WHERE {inside} AND u < {double(share)}) AS q{i}")
     row = values.selectExpr(*aggregates).first()
     tried = []
     for i, item in enumerate(intervals):
-        low, high = row[f"q{i}"]
+        low, high = row[f"q{i}"] or (item.low, item.high)
         first = item.rank - item.below - item.at_low
         tried.append(
             replace(

@@ -78,9 +78,12 @@ def outliers_isolation_forest(
     """(row id, value, score) of the rows with the highest anomaly scores."""
     df = nan_to_null(df)
     values = df.where(col(column).isNotNull()).select(col(row_id), col(column).cast("double").alias("value"))
-    # A sample of fixed size, chosen by a hash of the row id: each task keeps its
-    # lowest hashes, and the same rows are chosen when a task runs again.
-    drawn = values.orderBy(F.xxhash64(F.lit(seed), col(row_id)), col(row_id)).limit(TREES * SAMPLE)
+    # A sample of fixed size, chosen by a hash of the row id, so that a task that
+    # runs again chooses the same rows. Twice as many pass the filter as are kept.
+    rows = values.count()
+    place = F.pmod(F.xxhash64(F.lit(seed), col(row_id)), F.lit(1 << 40))
+    share = min(1.0, 2.0 * TREES * SAMPLE / max(rows, 1))
+    drawn = values.where(place < int(share * (1 << 40))).orderBy(place, col(row_id)).limit(TREES * SAMPLE)
     sample = np.array([r["value"] for r in drawn.select("value").collect()])
     if len(sample) < fv.OUTLIER_MIN_VALUES:
         return values.withColumn("score", F.lit(None).cast("double")).limit(0)

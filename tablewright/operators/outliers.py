@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,7 +85,8 @@ def outlier_stats(
         ]
     ).first()
     numbers = {n: i for i, n in enumerate(names) if moments[f"count{i}"] >= fv.OUTLIER_MIN_VALUES}
-    quantiles = approx_quantiles if approx else exact_quantiles
+    most = max((moments[f"count{i}"] for i in range(len(names))), default=0)
+    quantiles = approx_quantiles if approx else partial(exact_quantiles, rows=most)
     found = quantiles(df, {n: _QUANTILES for n in numbers})
     distance = df.selectExpr(
         *[f"abs(CAST({quoted(n)} AS DOUBLE) - {double(found[n][0.5])}) AS d{i}" for n, i in numbers.items()]

@@ -149,7 +149,7 @@ def test_suggested_questions(spark):
         ("diagnostic", None, "sales", "order_date"),
         ("group_by", None, "sales", "category"),
         ("missing_values", None, "sales", None),
-        ("group_by", None, "sales", "order_date"),
+        ("quality_score", None, None, None),
         ("aggregation", "sum", "sales", None),
         ("diagnostic", None, "sales", None),
     ]
