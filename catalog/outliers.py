@@ -1,5 +1,7 @@
 """Extreme values: methods, votes, summary, causes."""
 
+from pyspark.sql import functions as F
+
 from tablewright.operators import outliers as o
 from tablewright.operators.isolation import outliers_isolation_forest
 from tablewright.operators.ordering import with_row_id
@@ -47,7 +49,7 @@ QUERIES = {
     "outliers_iqr": lambda s, sf: rounded(o.outliers_iqr(extremes(s, sf), "sales_amount", "row_id"), 2).select("value"),
     "outliers_zscore": lambda s, sf: rounded(o.outliers_zscore(extremes(s, sf), "sales_amount", "row_id"), 2).select("value"),
     "outliers_modified_z": lambda s, sf: rounded(o.outliers_modified_z(extremes(s, sf), "sales_amount", "row_id"), 2).select("value"),
-    "outliers_modified_z_flat": lambda s, sf: o.outliers_modified_z(extremes(s, sf), "weight", "row_id").select("value"),
+    "outliers_modified_z_flat": lambda s, sf: o.outliers_modified_z(extremes(s, sf), "weight", "row_id").select(F.col("value").cast("double").alias("value")),
     "outliers_percentile": lambda s, sf: rounded(o.outliers_percentile(_events(s, sf), "value", "event_id"), 4),
     "outlier_votes": lambda s, sf: rounded(o.outlier_votes(extremes(s, sf, numbered=True), "row_id"), 2),
     "outlier_summary": lambda s, sf: rounded(o.outlier_summary(extremes(s, sf), "row_id"), 3),
@@ -90,7 +92,7 @@ ORACLE = {
     "outliers_iqr": _BASE + "SELECT round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND iqr",
     "outliers_zscore": _BASE + "SELECT round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND z",
     "outliers_modified_z": _BASE + "SELECT round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND mz",
-    "outliers_modified_z_flat": _BASE + "SELECT CAST(value AS DECIMAL(5, 1)) AS value FROM v WHERE column_name = 'weight' AND mz",
+    "outliers_modified_z_flat": _BASE + "SELECT value FROM v WHERE column_name = 'weight' AND mz",
     "outliers_percentile": _EVENTS + "SELECT row_id AS event_id, round(value, 4) AS value FROM v WHERE pct",
     "outlier_votes": _BASE
     + """SELECT column_name, row_id, round(value, 2) AS value,

@@ -53,7 +53,7 @@ def _documents(s, sf):
     docs = table(s, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\r\x00]", " ").alias("text"))
     src.write_clean(docs, path, "csv")
     back = src.load_csv(s, path)
-    return back.select("doc_id", F.length("text").alias("length"), F.md5("text").alias("digest"))
+    return back.select("doc_id", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"))
 
 
 QUERIES = {

@@ -24,13 +24,12 @@ def story_columns(df: DataFrame, row_id: str | None = None) -> StoryColumns:
     """The columns a story is told about."""
     df = nan_to_null(df)
     types = data_types(df, row_id)
-    numbers = [n for n, t in types.items() if is_numeric(t)]
-    flat = small_value_sets(df, numbers, 2)
-    numbers = [n for n in numbers if n not in flat]
-    named = [n for n in numbers if name_has(n, fv.STORY_METRIC_WORDS)]
     least, most = fv.STORY_SEGMENTS
+    numbers = [n for n, t in types.items() if is_numeric(t)]
     categories = [n for n, t in types.items() if is_category(t)]
-    small = small_value_sets(df, categories, most)
+    small = small_value_sets(df, [*numbers, *categories], most)
+    numbers = [n for n in numbers if n not in small or len(small[n]) > 2]
+    named = [n for n in numbers if name_has(n, fv.STORY_METRIC_WORDS)]
     fitting = [n for n in categories if len(small.get(n, [])) >= least]
     dates = [n for n, t in types.items() if is_temporal(t)]
     places = [n for n in types if name_has(n, fv.STORY_GEO_WORDS)]
