@@ -262,6 +262,11 @@ ORACLE = {
     "audit_log": _STEPS + "SELECT step, column_name, action, 'APPROVED' AS status, n AS rows_affected FROM steps",
     "write_audit": _STEPS
     + "SELECT CAST(step AS BIGINT) AS step, action, 'APPROVED' AS status, n AS rows_affected, 'dups' AS dataset_id, CAST(90 AS BIGINT) AS initial_score FROM steps",
+    "write_audit_text": _STEPS
+    + """SELECT '- [APPROVED] ' || CASE step WHEN 0 THEN 'Removed ' || n || ' duplicate rows.' WHEN 1 THEN 'Removed ' || n || ' empty rows.'
+      WHEN 4 THEN n || ' outliers of ''sales_amount'': remove.'
+      ELSE format('Filled {} missing values of ''{}'' ({}).', n, column_name, action) END AS value FROM steps
+      UNION ALL SELECT unnest(['=== Data Cleaning Audit Log ===', 'File ID: dups', 'Initial Quality Score: 90/100', 'Applied Changes:'])""",
     "cleaning_comparison": _APPROVED
     + f"""SELECT (SELECT count(*) FROM fx_dups) AS rows_before, (SELECT count(*) FROM d4) AS rows_after,
       {_score('fx_dups', ['order_id', 'customer_id', 'priority', 'sales_amount'], ['order_id', 'customer_id', 'sales_amount'])} AS score_before,

@@ -76,7 +76,7 @@ _BASE += " UNION ALL ".join(
 )
 _BASE += "), f AS (" + _per_column(
     """SELECT '{c}' AS column_name, {n} AS is_numeric, {t} AS is_temporal, count(*) - count({c}) AS missing_count,
-      (count(*) - count({c})) * 100.0 / count(*) AS missing_percent,
+      (count(*) - count({c})) / count(*) * 100 AS missing_percent,
       {t} AND arg_min({c} IS NULL, row_id) AS missing_at_start, {t} AND arg_max({c} IS NULL, row_id) AS missing_at_end,
       NOT {t} AND coalesce(max(row_id) FILTER ({c} IS NOT NULL) < min(row_id) FILTER ({c} IS NULL), true) AS missing_tail_only
     FROM gaps HAVING count(*) > count({c})"""
@@ -103,7 +103,7 @@ ORACLE = {
     "missing_at_edges": _BASE + "SELECT column_name, is_temporal, missing_at_start, missing_at_end FROM f",
     "missing_tail_only": _BASE + "SELECT column_name, missing_tail_only FROM f",
     "missing_by_segment": _BASE
-    + "SELECT column_name, segment_column, segment, segment_rows, missing_count, round(missing_count * 100.0 / segment_rows, 4) AS missing_percent FROM segs",
+    + "SELECT column_name, segment_column, segment, segment_rows, missing_count, round(missing_count / segment_rows * 100, 4) AS missing_percent FROM segs",
     "missing_causes": _BASE
     + " UNION ALL ".join(
         f"SELECT column_name, {i} AS cause_order, '{cause}' AS cause, '{sure}' AS confidence FROM ff WHERE {condition}"

@@ -99,7 +99,7 @@ ORACLE = {
       concat_ws(', ', CASE WHEN iqr THEN 'IQR' END, CASE WHEN z THEN 'Z-Score' END, CASE WHEN mz THEN 'Modified Z-Score' END, CASE WHEN pct THEN 'Percentiles' END) AS methods
       FROM flagged QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY row_id) <= 15""",
     "outlier_summary": _BASE
-    + """SELECT column_name, outlier_count, round(outlier_count * 100.0 / n, 3) AS outlier_percent, round(q1 - 1.5 * (q3 - q1), 3) AS iqr_lower,
+    + """SELECT column_name, outlier_count, round(outlier_count / n * 100, 3) AS outlier_percent, round(q1 - 1.5 * (q3 - q1), 3) AS iqr_lower,
       round(q3 + 1.5 * (q3 - q1), 3) AS iqr_upper, round(CASE WHEN std > 0 THEN mean - 3 * std ELSE 0 END, 3) AS z_lower,
       round(CASE WHEN std > 0 THEN mean + 3 * std ELSE 0 END, 3) AS z_upper FROM f JOIN s USING (column_name)""",
     "outlier_causes": _BASE

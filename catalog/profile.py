@@ -157,7 +157,7 @@ ORACLE = {
     "completeness_score": CTE_SALES
     + f"SELECT CAST(round_even((1 - sum({null_cells(SALES)}) / (count(*) * {len(SALES)}.0)) * 100, 2) AS DOUBLE) AS completeness_score FROM fx_sales",
     "missing_by_column": CTE_SALES
-    + "SELECT ordinal, column_name, missing_count, round(missing_count * 100.0 / (missing_count + non_null), 4) AS missing_percent FROM ("
+    + "SELECT ordinal, column_name, missing_count, round(missing_count / (missing_count + non_null) * 100, 4) AS missing_percent FROM ("
     + profile_sql("fx_sales", SALES)
     + ") WHERE missing_count > 0",
     "duplicate_sample": CTE_SALES

@@ -58,7 +58,7 @@ def _documents(s, sf):
 
 QUERIES = {
     "load_table": lambda s, sf: src.load_table(s, f"{sf}/supplier.parquet", ["s_suppkey", "s_name", "s_nationkey"]),
-    "validate_table": lambda s, sf: src.validate_table(table(s, sf, "nation")),
+    "validate_table": lambda s, sf: src.validate_table(table(s, sf, "supplier")),
     "blank_to_null": lambda s, sf: src.blank_to_null(text(s, sf)),
     "escape_formulas": lambda s, sf: src.escape_formulas(text(s, sf)),
     "load_csv": lambda s, sf: rounded(_load_csv(s, sf)),
@@ -74,7 +74,7 @@ _ESCAPED = "CASE WHEN regexp_matches({c}, '^[=+\\-@]') THEN '''' || {c} ELSE {c}
 
 ORACLE = {
     "load_table": "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
-    "validate_table": "SELECT * FROM nation",
+    "validate_table": "SELECT * FROM supplier",
     "blank_to_null": CTE_TEXT
     + """SELECT row_id, CASE WHEN trim("SegmentName") <> '' THEN "SegmentName" END AS "SegmentName", "Loyalty Points", "signup-date", note FROM fx_text""",
     "escape_formulas": CTE_TEXT

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ROW_ID, col
+from ..functions.columns import ROW_ID, col, quoted
 from ..functions.storage import materialise
 
 BLOCK_ROWS = 1_000_000
@@ -81,7 +81,7 @@ def carry_last(
     size = block_rows or block_rows_for(df, row_id)
     everything = {**wanted, **(before or {})}
     names = list(everything)
-    block = F.floor(col(row_id) / F.lit(size)).cast("long")
+    block = F.expr(f"{quoted(row_id)} DIV {size}")
     blocked = df.withColumn("_tw_block", block).withColumns(
         {f"_tw_x{i}": everything[n] for i, n in enumerate(names)}
     )

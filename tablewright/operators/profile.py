@@ -16,6 +16,7 @@ from ..functions.columns import (
     count_if,
     data_types,
     is_boolean,
+    is_float,
     is_nested,
     is_numeric,
     missing_cells,
@@ -24,6 +25,7 @@ from ..functions.columns import (
     row_digest,
     row_key,
     text_literal,
+    text_sql,
 )
 from ..functions.frequencies import distinct_counts
 
@@ -56,12 +58,21 @@ def duplicate_count(df: DataFrame, row_id: str | None = None) -> DataFrame:
 
 
 def preview(df: DataFrame, order_by: list[str], limit: int = 10) -> DataFrame:
-    """The first rows as text."""
+    """The first rows as text; common magnitudes are written without an exponent."""
     first = nan_to_null(df).orderBy(*[col(c) for c in order_by]).limit(limit)
-    types = data_types(df)
-    return first.select(
-        *[(F.to_json(col(n)) if is_nested(t) else col(n).cast("string")).alias(n) for n, t in types.items()]
-    )
+    return first.selectExpr(*[f"{_shown(n, t)} AS {quoted(n)}" for n, t in data_types(df).items()])
+
+
+def _shown(name: str, dtype) -> str:
+    if is_nested(dtype):
+        return text_sql(name, dtype)
+    value = quoted(name)
+    if not is_float(dtype) or dtype.typeName() == "decimal":
+        return f"CAST({value} AS STRING)"
+    # a decimal writes all digits; trailing zeros go, one digit stays
+    digits = f"regexp_replace(CAST(CAST({value} AS DECIMAL(38, 20)) AS STRING), '([.][0-9]+?)0+$', '$1')"
+    plain = f"abs({value}) >= 0.0001D AND abs({value}) < 1E16D AND (abs({value}) >= 1E7D OR abs({value}) < 0.001D)"
+    return f"CASE WHEN {plain} THEN {digits} ELSE CAST({value} AS STRING) END"
 
 
 def _column_facts(df: DataFrame, types: dict) -> DataFrame:

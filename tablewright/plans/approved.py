@@ -90,7 +90,7 @@ def _impute(df, actions, row_id, log):
             log.add(n, action, amount, message=f"Kept {amount} missing values of '{n}'.")
         elif action not in IMPUTATIONS:
             log.add(n, action, status=SKIPPED, message=f"{amount} missing values of '{n}' were left alone.")
-        elif action == "ffill" or value is not None:
+        elif action in ("ffill", "indicator") or value is not None:
             df = impute_with(df, n, action, value, row_id)
             log.add(n, action, amount, value=None if value is None else str(value),
                     message=f"Filled {amount} missing values of '{n}' ({action}).")

@@ -53,6 +53,18 @@ def test_infinite_statistics_are_left_out(spark):
     assert one(p.numeric_stats(df)) == {"column_name": "x", "min_value": 1.0, "max_value": None, "mean_value": None}
 
 
+def test_preview_writes_numbers_plainly(spark):
+    numbers = [112946260.0, 0.5, 12345678.125, 0.00025, -98765432.1, 3.0, 1234567890123456.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)] + [(99, None)], "n int, x double")
+    assert [r["x"] for r in p.preview(df, ["n"]).collect()] == [str(x) for x in numbers] + [None]
+
+
+def test_indicator_without_any_value(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2)], "x double, k int")
+    table = apply_cleaning(df, {"missing_actions": {"x": "indicator"}}).table
+    assert sorted(rows(table)) == [(None, 1, 1), (None, 2, 1)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b string")
     stats = one(p.table_stats(df))
