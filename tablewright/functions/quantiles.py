@@ -230,6 +230,8 @@ def _order_statistics(values: DataFrame, intervals: Mapping) -> dict:
     cell; values between intervals are only counted per cell, values inside an
     interval per value. Running counts over (cell, value) then name the ranks.
     """
+    if not intervals:
+        return {}
     columns = sorted({item.column for item in intervals.values()})
     cells = []
     for place, column in enumerate(columns):
