@@ -25,14 +25,13 @@ def _raw_lines(s, sf):
 
 def _load_csv(s, sf):
     path = scratch_path(s, "csv")
-    lines = _raw_lines(s, sf)
-    header = s.createDataFrame([("id,name,balance,flag",)], "value string")
-    # the header has to be the first line of each file
-    header.coalesce(1).write.text(path + "/head")
-    lines.coalesce(1).write.text(path + "/body")
-    both = s.read.text([path + "/head", path + "/body"]).select("value", F.input_file_name().alias("f"))
-    both.orderBy(~F.col("f").contains("/head/")).select("value").coalesce(1).write.text(path + "/all")
-    return src.load_csv(s, path + "/all")
+    # One column of ready lines; its label becomes the header of every file.
+    lines = _raw_lines(s, sf).withColumnRenamed("value", "id,name,balance,flag")
+    lines.write.options(
+        header=True, sep="\u0001", quote="\u0000", escape="\u0000",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
+    return src.load_csv(s, path)
 
 
 def _round_trip(s, sf):

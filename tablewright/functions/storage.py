@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_NOT_IN_PARQUET = (T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +34,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and go on from there.
 
     Used where several passes must see the same rows (numbering) or where a full
-    shuffle would otherwise run again for each pass. Survives lost executors.
+    shuffle would otherwise run again for each pass. The copy is a parquet table,
+    so later passes read only the columns they need, and it survives lost
+    executors. Columns parquet has no type for are kept by `checkpoint` instead.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    if any(isinstance(f.dataType, _NOT_IN_PARQUET) for f in df.schema.fields):
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

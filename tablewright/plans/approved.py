@@ -54,6 +54,7 @@ def apply_cleaning(
 
 
 def _drop_rows(df, config, row_id, log):
+    rows = None
     for step, key, what in (
         (drop_duplicates_first, "remove_duplicates", "duplicate rows"),
         (drop_empty_rows, "remove_empty_rows", "empty rows"),
@@ -62,12 +63,12 @@ def _drop_rows(df, config, row_id, log):
         if not config.get(key):
             log.add(None, name, status=SKIPPED, message=f"Removal of {what} was not approved.")
             continue
-        before = df.count()
+        before = df.count() if rows is None else rows
         after_frame = step(df, row_id)
         if step is drop_duplicates_first:
             after_frame = materialise(after_frame)  # one shuffle, read by all later passes
-        removed = before - after_frame.count()
-        df = after_frame
+        rows = after_frame.count()
+        removed, df = before - rows, after_frame
         if removed:
             log.add(None, name, removed, message=f"Removed {removed} {what}.")
         else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..functions.columns import (
     is_text,
     nan_to_null,
     per_column,
+    quoted,
 )
 from ..functions.frequencies import modes
 from ..functions.quantiles import approx_quantiles, exact_quantiles
@@ -57,24 +59,25 @@ def clean_table(
     empty_row = _all_missing(data_types(df, row_id))
     rows_before, empty = df.agg(F.count(F.lit(1)), count_if(empty_row)).first()
     kept = materialise(c.drop_duplicates_first(c.drop_empty_rows(df, row_id), row_id))
-    rows_after = kept.count()
+    # Missing cells are counted before any conversion: values that conversion
+    # turns into NULL are only filled in columns that had gaps to begin with.
+    old = list(data_types(kept, row_id))
+    row = kept.selectExpr(
+        "count(1) AS n", *[f"count_if({quoted(n)} IS NULL) AS m{i}" for i, n in enumerate(old)]
+    ).first()
+    rows_after = row["n"]
     copies = rows_before - empty - rows_after
     if empty:
         log.add(None, "drop_empty_rows", empty, message=f"Removed {empty} empty rows.")
     if copies:
         log.add(None, "drop_duplicates", copies, message=f"Removed {copies} duplicate rows.")
 
-    old = list(data_types(kept, row_id))
     table = c.snake_case_columns(kept, row_id)
     renamed = sum(a != b for a, b in zip(old, snake_case_labels(old)))
     if renamed:
         log.add(None, "rename_columns", renamed, message=f"Renamed {renamed} columns to snake_case.")
 
-    # Missing cells are counted before any conversion: values that conversion
-    # turns into NULL are only filled in columns that had gaps to begin with.
-    types = data_types(table, row_id)
-    row = table.agg(*[count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(types)]).first()
-    gaps = [n for i, n in enumerate(types) if row[f"m{i}"]]
+    gaps = [n for i, n in enumerate(data_types(table, row_id)) if row[f"m{i}"]]
 
     table = c.trim_text(table, c.text_columns(table, row_id))
     dates = c.date_columns(table, row_id)
@@ -86,7 +89,7 @@ def clean_table(
     for n in numbers:
         log.add(n, "coerce_numeric", message=f"Converted text column '{n}' to numbers.")
 
-    table, filled_cells = _fill_gaps(table, gaps, row_id, approx, log)
+    table, filled_cells = _fill_gaps(table, gaps, row_id, rows_after, approx, log)
     before = quality_score(df, row_id).select(F.col("quality_score").alias("quality_before"))
     after = quality_score(table, row_id).select(F.col("quality_score").alias("quality_after"))
     counts = df.sparkSession.createDataFrame(
@@ -98,7 +101,7 @@ def clean_table(
     return CleanResult(table, metrics, log.frame(df.sparkSession))
 
 
-def _fill_gaps(table, gaps, row_id, approx, log):
+def _fill_gaps(table, gaps, row_id, rows, approx, log):
     types = data_types(table, row_id)
     numeric = [n for n in gaps if is_numeric(types[n])]
     times = [n for n in gaps if is_temporal(types[n])]
@@ -107,7 +110,8 @@ def _fill_gaps(table, gaps, row_id, approx, log):
     if gaps:
         row = table.agg(*[count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(gaps)]).first()
         missing = {n: row[f"m{i}"] for i, n in enumerate(gaps)}
-    medians = (approx_quantiles if approx else exact_quantiles)(table, {n: (0.5,) for n in numeric}) if numeric else {}
+    quantiles = approx_quantiles if approx else partial(exact_quantiles, rows=rows)
+    medians = quantiles(table, {n: (0.5,) for n in numeric}) if numeric else {}
     values: dict[str, object] = {n: q[0.5] for n, q in medians.items()}
     for n, v in (modes(table, others) if others else {}).items():
         values[n] = "" if v is None and is_text(types[n]) else v
@@ -120,9 +124,8 @@ def _fill_gaps(table, gaps, row_id, approx, log):
     table = c.fill_value(table, values)
     if times:
         table = c.fill_forward(table, times, row_id)
-        has_value = table.agg(*[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(times)]).first()
-        for i, n in enumerate(times):
-            if has_value[f"n{i}"]:
+        for n in times:
+            if missing[n] < rows:
                 total += missing[n]
                 log.add(n, "fill_forward", missing[n], message=f"Filled {missing[n]} gaps in '{n}' forward.")
     return table, total
