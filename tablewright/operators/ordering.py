@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import ROW_ID, col, quoted
 from ..functions.storage import materialise
@@ -58,6 +59,12 @@ def with_row_id(
     return placed.withColumn(name, F.expr(f"{start} + {position}")).drop("_tw_at")
 
 
+def _fixed_width(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_fixed_width(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def block_rows_for(df: DataFrame, row_id: str) -> int:
     """Rows per block: a million, more when that would give too many blocks."""
     last = df.agg(F.max(col(row_id))).first()[0]
@@ -76,7 +83,9 @@ def carry_last(
     `wanted` maps new column names to expressions; those in `before` look at
     earlier rows only. Inside a block this is a window over at most one block of
     rows; across blocks the last value of each block (one row per block, at most
-    MAX_BLOCKS of them) is carried on and joined back by broadcast.
+    MAX_BLOCKS of them) is carried on and joined back. Numbers and dates are
+    broadcast; texts have no size bound, so they join by the block the window
+    needs anyway.
     """
     size = block_rows or block_rows_for(df, row_id)
     everything = {**wanted, **(before or {})}
@@ -101,7 +110,9 @@ def carry_last(
     inside = {
         n: order.rowsBetween(Window.unboundedPreceding, 0 if n in wanted else -1) for n in names
     }
-    filled = blocked.join(F.broadcast(carried), "_tw_block").withColumns(
+    if all(_fixed_width(blocked.schema[f"_tw_x{i}"].dataType) for i in range(len(names))):
+        carried = F.broadcast(carried)
+    filled = blocked.join(carried, "_tw_block").withColumns(
         {
             n: F.coalesce(F.last(f"_tw_x{i}", ignorenulls=True).over(inside[n]), F.col(f"_tw_c{i}"))
             for i, n in enumerate(names)
