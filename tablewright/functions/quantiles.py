@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .columns import double, quoted
 
 ACCURACY = 10_000  # of the sketch over the sample
-SAMPLE_VALUES = 4_000_000  # values per column that propose an interval
+SAMPLE_VALUES = 1_000_000  # at most so many values per column propose an interval
+SMALL_SAMPLE = 100_000  # and so many, or a fifth, of a small table
 INSIDE_LIMIT = 1_000_000  # rows an interval may hold before its values are grouped
 MAX_ROUNDS = 12
 COLUMNS_PER_JOB = 40
@@ -90,7 +91,7 @@ def _quantiles(df, wanted, inside_limit, sample_values, rows):
         *[f"nanvl(CAST({quoted(n)} AS DOUBLE), CAST(NULL AS DOUBLE)) AS v{i}" for i, n in enumerate(names)],
         f"rand({_SEED}) AS u",
     )
-    share = min(1.0, sample_values / max(rows, 1))
+    share = min(1.0, min(sample_values, max(SMALL_SAMPLE, rows // 5)) / max(rows, 1))
     drawn = "" if share == 1.0 else f" FILTER (WHERE u < {double(share)})"
     summary = values.selectExpr(
         *[
