@@ -1,33 +1,46 @@
-"""Where intermediate results are kept, and how a plan is cut."""
+"""Where intermediate results are kept, how a plan is cut, and how the copies go again."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _NOT_IN_PARQUET = (T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)
+_WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a fresh one only for local runs."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by `spark.checkpoint.dir`; where that is unset, a folder in the
+    warehouse, which driver and executors share on every master."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tablewright-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tablewright"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path inside the shared folder, which `drop_copies` deletes again."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_copies(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written so far; returns how many.
+
+    Call it when the results made from them are written: frames that still read them fail
+    afterwards.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame) -> DataFrame:
