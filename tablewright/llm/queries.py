@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import exact_dedup, ngram_join
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,19 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
 @_query
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLE["op6_exact_dedup"] = """
+WITH rows AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM rows WINDOW same AS (PARTITION BY text)
+"""
