@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join
+from tablewright.functions.storage import scratch_path
+
+from . import exact_dedup, ngram_join, packing, repair
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +40,16 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
 FROM rows WINDOW same AS (PARTITION BY text)
 """
+
+
+@_query
+def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    repair.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return repair.read_ids(spark, path)
+
+
+@_query
+def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.piece_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
