@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, ngram_join, packing, repair
+from . import exact_dedup, mixing, ngram_join, packing, repair
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,41 @@ def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.piece_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@_query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_by_source(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op1_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+limits AS (SELECT *, 2 * source_size / weight AS limit_at FROM sources),
+levels AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
+      - CAST(coalesce(sum(2 * source_size) OVER (ORDER BY limit_at, source IS NULL, source
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+    / CAST(sum(weight) OVER (ORDER BY limit_at, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT)
+    AS level FROM limits),
+water AS (SELECT arg_min(level, limit_at) AS level FROM levels WHERE level * weight <= 2 * source_size),
+targets AS (
+  SELECT source, source_size,
+    least(CAST(2 * source_size AS DOUBLE), coalesce((SELECT level FROM water) * weight, 2 * source_size)) AS target
+  FROM levels),
+ordered AS (
+  SELECT s.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
+    CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat('0:', doc_id)), doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  greatest(0, least(size, least(quota, source_size) - before))
+  + greatest(0, least(size, quota - least(quota, source_size) - before)) AS taken
+FROM ordered
+"""
