@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, mixing, ngram_join, packing, repair
+from . import exact_dedup, mixing, ngram_join, packing, repair, url_filter
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ SELECT doc_id, size, source_size, target,
   + greatest(0, least(size, quota - least(quota, source_size) - before)) AS taken
 FROM ordered
 """
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
