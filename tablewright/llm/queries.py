@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, mixing, ngram_join, packing, repair, url_filter
+from . import exact_dedup, fingerprints, mixing, ngram_join, packing, repair, url_filter
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ FROM ordered
 @_query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op9_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.lz_fingerprints(table(spark, sf_dir, "documents"))
