@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, fingerprints, mixing, ngram_join, packing, repair, url_filter
+from . import exact_dedup, fingerprints, mixing, ngram_join, packing, repair, toxicity, url_filter
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.lz_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
