@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, fingerprints, mixing, ngram_join, packing, repair, toxicity, url_filter
+from . import exact_dedup, fingerprints, mixing, ngram_join, packing, paragraphs, repair, toxicity, url_filter
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op9_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
