@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, fingerprints, mixing, ngram_join, packing, paragraphs, repair, toxicity, url_filter
+from . import exact_dedup, fingerprints, licences, mixing, ngram_join, packing, paragraphs, repair, toxicity, url_filter
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
