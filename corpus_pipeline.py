@@ -1 +1,65 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: documents to packed sequences, five stages that each call one operator.
+
+Every stage is written as Parquet and read again, so a stage starts from files and a lost
+executor costs a part of one stage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tablewright.functions.storage import scratch_path
+from tablewright.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from tablewright.llm.tables import ship, table
+
+
+def clean_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic, restored texts judged."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return exact_dedup.last_of_each(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of similar texts the document with the smallest doc_id."""
+    ship(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every copy that the mix takes."""
+    return mixing.mixed_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    ship(spark)
+    return packing.pack(packing.piece_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean_texts),
+    ("exact dedup", without_copies),
+    ("n-gram jaccard join", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: Learning, tokenizing and packing have no SQL form; tests compare with brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = scratch_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

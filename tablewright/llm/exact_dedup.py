@@ -1,9 +1,9 @@
 """Exact deduplication as a stateful stream, in DataFrame operations only.
 
-The normalised texts are written once, as the content store. A Structured Streaming query
+The rows are written once, as the content store, each with the digest of its normalised text. A Structured Streaming query
 over its files groups rows by digest. Its state is on disk (RocksDB), keyed by digest, and
 never expires: per digest the largest doc_id, the locator of that row's content (file and
-row number in the store) and the number of rows. The state is read back with the
+number of the row in the store) and the number of rows. The state is read back with the
 `statestore` source, so nothing passes through the driver.
 
 A digest is a proposal. The whole text of every hit is compared with the text its locator
@@ -59,38 +59,46 @@ def _state(spark: SparkSession, store: str, digest: Callable[[Column], Column],
     )
 
 
+def _text(text: Column) -> Column:
+    return lower_ascii(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _resolved(docs: DataFrame, digest: Callable[[Column], Column], bytes_a_batch: int) -> tuple[DataFrame, DataFrame]:
+    """The content store of `docs` (row, doc_id, sha, locator), and per row of it doc_id, sha,
+    locator, keep_id, keep_locator, group_size."""
+    spark = docs.sparkSession
+    store = scratch_path(spark, "content")
+    sha = F.unhex(F.sha2(_text(F.col("text")).cast("binary"), 256))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"))
+    rows.write.parquet(store)
+    state = _state(spark, store, digest, bytes_a_batch)
+    content = spark.read.parquet(store).selectExpr("*", f"{_LOCATOR} AS locator")
+    content = content.withColumn("digest", digest(F.col("sha")))
+    narrow = content.select("doc_id", "sha", "digest", "locator").join(state, "digest")
+    apart = _differing(content, state)
+    return content, narrow if apart.isEmpty() else _regrouped(narrow, apart)
+
+
 def exact_duplicates(
     docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha, bytes_a_batch: int = 256 << 30
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, locator.
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row
     with the largest doc_id stays; of several such rows (or where no row of a group has a
     doc_id) the one with the last locator. `digest` may be any function of the text's
     SHA-256: the byte check settles what it leaves open. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    store = scratch_path(spark, "content")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
-    rows.write.parquet(store)
-    state = _state(spark, store, digest, bytes_a_batch)
+    _, rows = _resolved(docs.select("doc_id", "text"), digest, bytes_a_batch)
+    kept = F.col("locator") == F.col("keep_locator")
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
-    content = spark.read.parquet(store).selectExpr("*", f"{_LOCATOR} AS locator")
-    content = content.withColumn("digest", digest(F.col("sha")))
-    narrow = content.select("doc_id", "sha", "digest", "locator").join(state, "digest")
-    apart = _differing(content, state)
-    if not apart.isEmpty():
-        narrow = _regrouped(narrow, apart)
-    return narrow.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("locator") == F.col("keep_locator")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-        "locator",
-    )
+
+def last_of_each(docs: DataFrame, bytes_a_batch: int = 256 << 30) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns."""
+    content, rows = _resolved(docs, lambda sha: sha, bytes_a_batch)
+    kept = rows.where("locator = keep_locator").select("locator")
+    return content.join(kept, "locator", "left_semi").select("row.*")
 
 
 def _differing(content: DataFrame, state: DataFrame) -> DataFrame:
@@ -99,7 +107,7 @@ def _differing(content: DataFrame, state: DataFrame) -> DataFrame:
     salts = F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int")
     groups = state.where("group_size > 1").select("digest", "keep_locator", salts.alias("salts"))
     path = scratch_path(spark, "hits")
-    content.select("doc_id", "digest", "locator", "text").join(groups, "digest").write.parquet(path)
+    content.select("doc_id", "digest", "locator", _text(F.col("row.text")).alias("text")).join(groups, "digest").write.parquet(path)
     hits = spark.read.parquet(path)
     kept = hits.where("locator = keep_locator").select(
         "digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")

@@ -152,19 +152,45 @@ def member(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def mix_by_source(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+def mix_by_source(docs: DataFrame, seed: int = 0, with_rows: bool = False) -> DataFrame:
     """Mix `docs` by its `source` column with the targets of `weighted_targets`: doc_id, size,
-    source_size, target, taken, copies (words of each copy) and the columns `keep`."""
+    source_size, target, taken, copies (words of each copy), and `row` (all columns of
+    `docs`) if asked for. Null texts have size 0; null is a source of its own."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        member(F.col("source").cast("string")).alias("member"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
-        *(F.struct(F.col(c)).alias(f"kept_{c}") for c in keep),
+        *([F.struct(*docs.columns).alias("row")] if with_rows else []),
     )
-    rows = rows if keep else written(rows)
-    sizes = (written(rows.select("source", "size")) if keep else rows).groupBy("source")
-    targets = written(weighted_targets(sizes.agg(F.sum("size").alias("source_size"))))
-    targets = targets.withColumn("member", member(F.col("source"))).drop("source")
-    rows = rows.withColumn("member", member(F.col("source"))).withColumn("members", F.array("member"))
-    mixed = mix(rows, targets.select("member", F.floor("target").cast("long").alias("target")), seed)
-    return mixed.join(F.broadcast(targets), "member").drop("member", "source")
+    rows = written(rows)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = written(weighted_targets(sizes)).withColumn("member", member(F.col("source"))).drop("source")
+    quotas = targets.select("member", F.floor("target").cast("long").alias("target"))
+    mixed = mix(rows.drop("source").withColumn("members", F.array("member")), quotas, seed)
+    return mixed.join(targets, "member").drop("member")
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The beginning of a text up to the end of its n-th word."""
+    parts = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    return F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")
+
+
+def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix itself: a row of `docs` (doc_id, text, source, n_chars and others) for every copy
+    taken. Where a copy gives its first words only, `text` ends there and `n_chars` follows."""
+    mixed = mix_by_source(docs, seed, with_rows=True)
+    copies = mixed.select("row", "size", F.explode("copies").alias("words")).where("words > 0")
+    cut = F.col("words") < F.col("size")
+    text = F.when(cut, first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    out = copies.select("row.*", text.alias("_cut_text"), cut.alias("_cut"))
+    columns = [
+        F.col("_cut_text").alias(c)
+        if c == "text"
+        else F.when(F.col("_cut"), F.char_length("_cut_text").cast("long")).otherwise(F.col(c)).alias(c)
+        if c == "n_chars"
+        else F.col(c)
+        for c in docs.columns
+    ]
+    return out.select(*columns)

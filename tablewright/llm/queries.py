@@ -7,9 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tablewright.functions.storage import scratch_path
 
-from . import exact_dedup, fingerprints, licences, mixing, ngram_join, packing, paragraphs, repair, toxicity, url_filter
+from . import (
+    exact_dedup,
+    fingerprints,
+    licences,
+    mixing,
+    ngram_join,
+    packing,
+    paragraphs,
+    repair,
+    toxicity,
+    url_filter,
+)
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +128,8 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ PREFIXES = (4, 5, 6)
 TOP = 4  # highest word scores that a document's score looks at
 CACHE = 400_000  # tokens whose score a task remembers
 FOLDS = 5
+THRESHOLD = 0.5
 STACK_FOLD = 4
 
 
@@ -179,6 +180,40 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> n
     return w
 
 
+class Model:
+    """What is learned from `docs` and `labels`; `scorer()` gives a function of lower-case texts."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, max_labelled: int):
+        sc = docs.sparkSession.sparkContext
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        grams = sc.broadcast(log_probabilities(gram_counts(docs)))  # 28**4 numbers
+        rows = written(_learned(docs, labels, max_labelled))
+        weights = sc.broadcast(word_weights(rows, grams))  # 2**BITS numbers
+
+        def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(grams.value, weights.value)
+            for batch, texts in _texts(batches):
+                found = pa.array([scorer.look(t) for t in texts], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), found], names=["toxic", "x"])
+
+        held = rows.where(F.col("fold") == STACK_FOLD).select("text", "toxic")
+        known = held.mapInArrow(looked, "toxic int, x array<double>").collect()  # a fifth of max_labelled rows
+        x = np.array([r.x for r in known]).reshape(-1, TOP)
+        y = np.array([float(bool(r.toxic)) for r in known])
+        self.coefficients = fit(x, y) if 0 < y.sum() < len(y) else _constant(y)
+        self.grams, self.weights = grams, weights
+
+    def scorer(self) -> Callable[[list[str]], np.ndarray]:
+        scorer = Scorer(self.grams.value, self.weights.value)
+
+        def scores(texts: list[str]) -> np.ndarray:
+            x = np.array([scorer.look(t) for t in texts]).reshape(-1, TOP)
+            z = x @ self.coefficients[:-1] + self.coefficients[-1]
+            return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+        return scores
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted.
 
@@ -186,40 +221,34 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     never learned from. Null texts count as empty. Without labels of both kinds all
     scores are the share of toxic labels (0 without any). Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(log_probabilities(gram_counts(docs)))  # 28**4 numbers
-    rows = written(_learned(docs, labels, max_labelled))
-    weights = spark.sparkContext.broadcast(word_weights(rows, model))  # 2**BITS numbers
-
-    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value, weights.value)
-        for batch, texts in _texts(batches):
-            found = pa.array([scorer.look(t) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), found], names=["toxic", "x"])
-
-    held = rows.where(F.col("fold") == STACK_FOLD).select("text", "toxic")
-    known = held.mapInArrow(looked, "toxic int, x array<double>").collect()  # a fifth of max_labelled rows
-    x = np.array([r.x for r in known]).reshape(-1, TOP)
-    y = np.array([float(bool(r.toxic)) for r in known])
-    coefficients = fit(x, y) if 0 < y.sum() < len(y) else _constant(y)
+    model = Model(docs, labels, max_labelled)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value, weights.value)
+        scores = model.scorer()
         for batch, texts in _texts(batches):
-            x = np.array([scorer.look(t) for t in texts]).reshape(-1, TOP)
-            z = x @ coefficients[:-1] + coefficients[-1]
-            score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(texts))], names=["doc_id", "score"])
 
-    return docs.mapInArrow(scored, "doc_id long, score double").select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scored, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
+def clean(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not predicted to be toxic."""
+    model = Model(docs, labels, max_labelled)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = model.scorer()
+        for batch, texts in _texts(batches):
+            yield batch.filter(pa.array(scores(texts) < THRESHOLD))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def _constant(y: np.ndarray) -> np.ndarray:
     share = float(y.mean()) if len(y) else 0.0
     return np.array([0.0] * TOP + [np.log((share + 1e-9) / (1 - share + 1e-9))])
