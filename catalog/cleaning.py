@@ -73,11 +73,15 @@ def _metrics(result):
     return result.metrics
 
 
+# orders with a second copy of some, each row with an id of its own
+_COPIES = """SELECT o_orderkey * 2 + 1 AS _row_id, * FROM {orders} WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey * 2 AS _row_id, * FROM {orders}"""
+
 QUERIES = {
     "drop_empty_rows": lambda s, sf: c.drop_empty_rows(dups(s, sf)),
     "drop_duplicates_first": lambda s, sf: c.drop_duplicates_first(dups(s, sf)),
     "drop_duplicates_first_by_row": lambda s, sf: c.drop_duplicates_first(
-        table(s, sf, "lineitem").select(F.col("l_orderkey").alias("_row_id"), "l_returnflag", "l_linestatus", "l_quantity"), "_row_id"
+        s.sql(_COPIES, orders=table(s, sf, "orders")), "_row_id"
     ),
     "snake_case_columns": lambda s, sf: c.snake_case_columns(text(s, sf)),
     "trim_text": lambda s, sf: c.trim_text(text(s, sf)),
@@ -199,8 +203,8 @@ ORACLE = {
     "drop_empty_rows": CTE_DUPS + """SELECT * FROM fx_dups WHERE order_id IS NOT NULL OR customer_id IS NOT NULL
       OR priority IS NOT NULL OR sales_amount IS NOT NULL""",
     "drop_duplicates_first": CTE_DUPS + "SELECT DISTINCT * FROM fx_dups",
-    "drop_duplicates_first_by_row": """SELECT min(l_orderkey) AS _row_id, l_returnflag, l_linestatus, l_quantity FROM lineitem
-      GROUP BY l_returnflag, l_linestatus, l_quantity""",
+    "drop_duplicates_first_by_row": f"""SELECT min(_row_id) AS _row_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+      FROM ({_COPIES.format(orders='orders')}) GROUP BY ALL""",
     "snake_case_columns": CTE_TEXT
     + 'SELECT row_id, "SegmentName" AS segment_name, "Loyalty Points" AS loyalty_points, "signup-date" AS signup_date, note FROM fx_text',
     "trim_text": CTE_TEXT

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tablewright.operators import outliers as o
-from tablewright.operators.isolation import outliers_isolation_forest
 from tablewright.operators.ordering import with_row_id
 
 from .common import rounded, table
@@ -41,21 +40,16 @@ def _features(s, sf):
     return o.outlier_features(extremes(s, sf), "row_id")
 
 
-def _isolation(s, sf):
-    return outliers_isolation_forest(table(s, sf, "orders"), "o_totalprice", "o_orderkey")
-
-
 QUERIES = {
-    "outliers_iqr": lambda s, sf: rounded(o.outliers_iqr(extremes(s, sf), "sales_amount", "row_id"), 2).select("value"),
-    "outliers_zscore": lambda s, sf: rounded(o.outliers_zscore(extremes(s, sf), "sales_amount", "row_id"), 2).select("value"),
-    "outliers_modified_z": lambda s, sf: rounded(o.outliers_modified_z(extremes(s, sf), "sales_amount", "row_id"), 2).select("value"),
-    "outliers_modified_z_flat": lambda s, sf: o.outliers_modified_z(extremes(s, sf), "weight", "row_id").select(F.col("value").cast("double").alias("value")),
+    "outliers_iqr": lambda s, sf: rounded(o.outliers_iqr(extremes(s, sf, numbered=True), "sales_amount", "row_id"), 2),
+    "outliers_zscore": lambda s, sf: rounded(o.outliers_zscore(extremes(s, sf, numbered=True), "sales_amount", "row_id"), 2),
+    "outliers_modified_z": lambda s, sf: rounded(o.outliers_modified_z(extremes(s, sf, numbered=True), "sales_amount", "row_id"), 2),
+    "outliers_modified_z_flat": lambda s, sf: o.outliers_modified_z(extremes(s, sf, numbered=True), "weight", "row_id").withColumn("value", F.col("value").cast("double")),
     "outliers_percentile": lambda s, sf: rounded(o.outliers_percentile(_events(s, sf), "value", "event_id"), 4),
     "outlier_votes": lambda s, sf: rounded(o.outlier_votes(extremes(s, sf, numbered=True), "row_id"), 2),
     "outlier_summary": lambda s, sf: rounded(o.outlier_summary(extremes(s, sf), "row_id"), 3),
     "outlier_causes": lambda s, sf: o.outlier_causes(_features(s, sf)).select("column_name", "cause_order", "cause", "confidence"),
     "outlier_advice": lambda s, sf: o.outlier_advice(_features(s, sf)),
-    "outliers_isolation_forest": _isolation,
 }
 
 _BASE = "WITH x AS (" + FX_EXTREMES.format(lineitem="lineitem", row_id=f"row_number() OVER (ORDER BY {', '.join(_ORDER)}) - 1") + "), long AS ("
@@ -89,10 +83,10 @@ _RULES = [
 _COND = {i: c for i, _, c, _ in _RULES}
 
 ORACLE = {
-    "outliers_iqr": _BASE + "SELECT round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND iqr",
-    "outliers_zscore": _BASE + "SELECT round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND z",
-    "outliers_modified_z": _BASE + "SELECT round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND mz",
-    "outliers_modified_z_flat": _BASE + "SELECT value FROM v WHERE column_name = 'weight' AND mz",
+    "outliers_iqr": _BASE + "SELECT row_id, round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND iqr",
+    "outliers_zscore": _BASE + "SELECT row_id, round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND z",
+    "outliers_modified_z": _BASE + "SELECT row_id, round(value, 2) AS value FROM v WHERE column_name = 'sales_amount' AND mz",
+    "outliers_modified_z_flat": _BASE + "SELECT row_id, value FROM v WHERE column_name = 'weight' AND mz",
     "outliers_percentile": _EVENTS + "SELECT row_id AS event_id, round(value, 4) AS value FROM v WHERE pct",
     "outlier_votes": _BASE
     + """SELECT column_name, row_id, round(value, 2) AS value,

@@ -75,7 +75,7 @@ QUERIES = {
     "table_stats_lineitem": lambda s, sf: _stats(table(s, sf, "lineitem")),
     "table_stats_documents": lambda s, sf: _stats(table(s, sf, "documents")),
     "duplicate_count": lambda s, sf: p.duplicate_count(dups(s, sf)),
-    "preview": lambda s, sf: p.preview(table(s, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ["c_custkey"]),
+    "preview": lambda s, sf: p.preview(table(s, sf, "customer"), ["c_custkey"]),
     "column_profile": lambda s, sf: rounded(p.column_profile(sales(s, sf), "row_id")),
     "column_profile_lineitem": lambda s, sf: rounded(
         p.column_profile(table(s, sf, "lineitem")).select("column_name", "missing_count", "unique_count", "unique_ratio"), 6
@@ -85,6 +85,9 @@ QUERIES = {
     "quality_score_duplicates": lambda s, sf: rounded(p.quality_score(dups(s, sf))),
     "quality_score_customer": lambda s, sf: rounded(p.quality_score(table(s, sf, "customer"))),
     "score_bucket": lambda s, sf: p.quality_score(dups(s, sf)).select("quality_score", "score_bucket"),
+    # Sketches can't change these: no text column is near the limit for fragmented ones.
+    "quality_score_approx": lambda s, sf: rounded(p.quality_score(sales(s, sf), "row_id", approx=True)),
+    "issues_approx": lambda s, sf: p.issues(sales(s, sf), "row_id", approx=True),
     "issues": lambda s, sf: p.issues(sales(s, sf), "row_id"),
     "issues_duplicates": lambda s, sf: p.issues(dups(s, sf)),
     "issues_healthy": lambda s, sf: p.issues(table(s, sf, "orders")),
@@ -119,8 +122,8 @@ ORACLE = {
     "table_stats_lineitem": _stats_rounded("lineitem", LINEITEM),
     "table_stats_documents": _stats_rounded("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
     "duplicate_count": CTE_DUPS + f"SELECT duplicate_rows FROM ({stats_sql('fx_dups', DUPS)})",
-    "preview": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment
-      FROM customer ORDER BY customer.c_custkey LIMIT 10""",
+    "preview": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+      CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer ORDER BY customer.c_custkey LIMIT 10""",
     "column_profile": CTE_SALES
     + "SELECT ordinal, column_name, data_type, missing_count, unique_count, round(unique_count / non_null, 4) AS unique_ratio, "
     "is_numeric, round(lo, 4) AS min_value, round(hi, 4) AS max_value, round(mean, 4) AS mean_value FROM ("
@@ -166,3 +169,4 @@ ORACLE = {
       SELECT copy_id, order_id, priority, sales_amount FROM (SELECT *, count(*) OVER (PARTITION BY order_id, priority, sales_amount) AS n FROM copies)
       WHERE n > 1 ORDER BY copy_id LIMIT 10""",
 }
+ORACLE |= {"quality_score_approx": ORACLE["quality_score"], "issues_approx": ORACLE["issues"]}

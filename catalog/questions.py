@@ -1,19 +1,11 @@
 """Batches of questions: tags and carried context."""
 
+from tablewright.functions import fixed_values as fv
 from tablewright.operators.questions import carry_context, tag_questions
 
 from .common import table
 
-# questions asked in conversations: the usual ones, follow-ups, and free text
-FX_QUESTIONS = """
-SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 19
-  WHEN 0 THEN 'Total Sales' WHEN 1 THEN 'Show the top 5 Customers' WHEN 2 THEN 'Average Revenue' WHEN 3 THEN 'Highest Profit'
-  WHEN 4 THEN 'Monthly Trend' WHEN 5 THEN 'Sales by Category' WHEN 6 THEN 'Missing Values' WHEN 7 THEN 'Data Quality Score'
-  WHEN 8 THEN 'What about the average?' WHEN 9 THEN 'how about top 3' WHEN 10 THEN 'How many orders per region'
-  WHEN 11 THEN 'and the lowest quantity' WHEN 12 THEN 'Share of profit by region' WHEN 13 THEN 'what about each month'
-  WHEN 14 THEN 'any null cells' WHEN 15 THEN 'hello' WHEN 16 THEN 'what about it' ELSE text END AS question
-FROM {conversations} WHERE role = 'user'
-"""
+FX_QUESTIONS = "SELECT conv_id, turn, text AS question FROM {conversations}"
 COLUMNS = {
     "numeric": ["sales_amount", "quantity", "profit"],
     "categorical": ["category", "region"],
@@ -31,15 +23,6 @@ QUERIES = {
     "carry_context": lambda s, sf: carry_context(questions(s, sf), "question", "conv_id", "turn", **COLUMNS).drop("question"),
 }
 
-_DIAGNOSTIC = (
-    "why reason cause explain insight decline decrease drop fall down increase rise growth grew up trending trend "
-    "perform performing underperform outperform compare comparison versus vs best worst improve weak strong"
-).split()
-_METRIC = "revenue sales profit amount total average avg sum highest lowest income cost price value quantity".split()
-_GROUPING = ["by ", "wise", "per ", "each ", "across ", "section", "segment"]
-_CALENDAR = "month year day trend date monthly daily yearly quarter".split()
-
-
 def _tags(word_match: bool, context: bool) -> str:
     def says(*words):
         if word_match:
@@ -52,11 +35,11 @@ def _tags(word_match: bool, context: bool) -> str:
         else "own"
     )
     return f"""WITH a AS (SELECT conv_id, turn, lower(question) AS q FROM ({FX_QUESTIONS.format(conversations='conversations')})),
-    b AS (SELECT conv_id, turn, q, {says(*_DIAGNOSTIC)} AS diag, {says('what about', 'and the', 'how about')} AS follows,
+    b AS (SELECT conv_id, turn, q, {says(*fv.DIAGNOSTIC_WORDS)} AS diag, {says(*fv.FOLLOW_UP_PHRASES)} AS follows,
       CASE WHEN {says('sales_amount')} THEN 'sales_amount' WHEN {says('quantity')} THEN 'quantity' WHEN {says('profit')} THEN 'profit'
-        WHEN {says(*_METRIC)} THEN 'sales_amount' END AS target0,
-      CASE WHEN {says('category')} THEN 'category' WHEN {says('region')} THEN 'region' WHEN {says(*_GROUPING)} THEN 'category'
-        WHEN {says(*_CALENDAR)} THEN 'order_date' END AS group0,
+        WHEN {says(*fv.METRIC_WORDS)} THEN 'sales_amount' END AS target0,
+      CASE WHEN {says('category')} THEN 'category' WHEN {says('region')} THEN 'region' WHEN {says(*fv.GROUPING_WORDS)} THEN 'category'
+        WHEN {says(*fv.CALENDAR_WORDS)} THEN 'order_date' END AS group0,
       try_cast(nullif(regexp_extract(q, 'top\\s+(\\d+)', 1), '') AS BIGINT) AS lim,
       CASE WHEN {says('total', 'sum')} THEN 'sum' WHEN {says('average', 'avg', 'mean')} THEN 'mean' WHEN {says('count', 'how many')} THEN 'count'
         WHEN {says('highest', 'max', 'maximum', 'peak')} THEN 'max' WHEN {says('lowest', 'min', 'minimum', 'bottom')} THEN 'min' END AS op0,

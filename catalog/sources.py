@@ -49,10 +49,20 @@ def _round_trip_parquet(s, sf):
 def _documents(s, sf):
     """Whole texts with line breaks through a CSV file and back."""
     path = scratch_path(s, "documents")
-    docs = table(s, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\r\x00]", " ").alias("text"))
-    src.write_clean(docs, path, "csv")
+    src.write_clean(table(s, sf, "documents"), path, "csv")
     back = src.load_csv(s, path)
-    return back.select("doc_id", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"))
+    length, digest = F.length("text").cast("bigint"), F.md5("text")
+    return back.select("doc_id", length.alias("length"), digest.alias("digest"), "lang", "source", "n_chars")
+
+
+def _in_files(s, sf):
+    """Parts in three files of very different sizes, numbered in file order."""
+    path = scratch_path(s, "files")
+    parts = table(s, sf, "part").select("p_partkey", "p_name")
+    few = F.col("p_partkey") % 100
+    for name, rows in (("a", few == 7), ("b", few > 7), ("c", few < 7)):
+        parts.where(rows).coalesce(1).sortWithinPartitions("p_partkey").write.parquet(f"{path}/{name}")
+    return with_row_id(s.read.option("recursiveFileLookup", True).parquet(path)).select("_row_id", "p_partkey", "p_name")
 
 
 QUERIES = {
@@ -64,6 +74,7 @@ QUERIES = {
     "write_clean_csv": _round_trip,
     "write_clean_parquet": _round_trip_parquet,
     "write_clean_long_texts": _documents,
+    "with_row_id_files": _in_files,
     "with_row_id": lambda s, sf: with_row_id(
         table(s, sf, "events").select("event_type", "ts", "event_id"), ["event_type", "ts"]
     ).select("_row_id", "event_id"),
@@ -87,8 +98,9 @@ ORACLE = {
       "Loyalty Points", "signup-date", {_ESCAPED.format(c='note')} AS note FROM fx_text""",
     "write_clean_parquet": CTE_TEXT
     + f"""SELECT row_id, "SegmentName", "Loyalty Points", "signup-date", {_ESCAPED.format(c='note')} AS note FROM fx_text""",
-    "write_clean_long_texts": f"""SELECT doc_id, length(t) AS length, md5(t) AS digest FROM (
-      SELECT doc_id, {_ESCAPED.format(c='text')} AS t FROM (
-        SELECT doc_id, regexp_replace(text, '[\\r\\x00]', ' ', 'g') AS text FROM documents))""",
+    "write_clean_long_texts": f"""SELECT doc_id, length(t) AS length, md5(t) AS digest, lang, source, n_chars FROM (
+      SELECT *, {_ESCAPED.format(c='text')} AS t FROM documents)""",
+    "with_row_id_files": """SELECT row_number() OVER (ORDER BY CASE WHEN p_partkey % 100 = 7 THEN 1 WHEN p_partkey % 100 > 7 THEN 2 ELSE 3 END,
+      p_partkey) - 1 AS _row_id, p_partkey, p_name FROM part""",
     "with_row_id": "SELECT row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS _row_id, event_id FROM events",
 }

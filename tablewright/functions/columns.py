@@ -45,6 +45,13 @@ def is_nested(dtype: T.DataType) -> bool:
     return isinstance(dtype, _NESTED)
 
 
+def is_fillable(dtype: T.DataType) -> bool:
+    """Values that a most frequent one can stand in for: no nested ones, no intervals."""
+    return not is_nested(dtype) and not isinstance(
+        dtype, (T.CalendarIntervalType, T.DayTimeIntervalType, T.YearMonthIntervalType)
+    )
+
+
 def quoted(name: str) -> str:
     """A column label in SQL text, dots and blanks included."""
     return "`" + name.replace("`", "``") + "`"

@@ -12,7 +12,6 @@ NA_TOKENS = [
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
     "nan", "null",
 ]
-MAX_COLUMNS = 1000
 FORMULA_STARTS = ["=", "+", "-", "@"]
 
 # --- quality score -----------------------------------------------------------

@@ -94,17 +94,13 @@ def small_value_sets(df: DataFrame, names: Sequence[str], limit: int) -> dict[st
     if not likely:
         return {}
     types = data_types(df)
-    values = unpivot(df, likely, digest_long=False).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
-    sets = (
-        values.groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("n"), F.collect_list("value").alias("vs"))
-        .select("column_name", "n", F.when(F.col("n") <= limit, F.array_sort("vs")).alias("vs"))
-        .collect()
-    )
-    found = {r["column_name"]: r["vs"] for r in sets if r["vs"] is not None}
-    for n in likely:  # a column without any value has an empty set
-        if n not in {r["column_name"] for r in sets}:
-            found[n] = []
+    counts = {r["column_name"]: r["unique_count"] for r in distinct_counts(df, likely).collect()}
+    small = [n for n in likely if 0 < counts.get(n, 0) <= limit]
+    found: dict[str, list[str]] = {n: [] for n in likely if not counts.get(n)}  # no value at all
+    if small:
+        values = unpivot(df, small, digest_long=False).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
+        sets = values.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("vs"))
+        found |= {r["column_name"]: r["vs"] for r in sets.collect()}
     return {n: found[n] for n in types if n in found}
 
 
@@ -123,15 +119,24 @@ def modes(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
         )
         for r in best.collect():
             result[r["column_name"]] = r["best"]["value"]
-    for n in names:
-        if n in texts:
-            continue
-        row = (
-            df.where(col(n).isNotNull())
-            .groupBy(col(n).alias("value"))
+    others = [n for n in names if n not in texts]
+    if others:
+        # One grouping for all: a cell holds the column's place and its value in the column's own slot.
+        def cell(i: int) -> str:
+            slots = [
+                f"'v{j}', {quoted(n) if j == i else f'CAST(NULL AS {types[n].simpleString()})'}"
+                for j, n in enumerate(others)
+            ]
+            return f"CASE WHEN {quoted(others[i])} IS NOT NULL THEN named_struct('place', {i}, {', '.join(slots)}) END"
+
+        slots = [f"v{j}" for j in range(len(others))]
+        cells = df.selectExpr(f"explode(array({', '.join(map(cell, range(len(others))))})) AS c").where("c IS NOT NULL")
+        best = (
+            cells.groupBy("c.place", *[f"c.{v}" for v in slots])
             .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("best"))
-            .first()
+            .groupBy("place")
+            .agg(F.min(F.struct((-F.col("n")).alias("less"), *slots)).alias("best"))
         )
-        result[n] = row["best"]["value"] if row["best"] is not None else None
+        for r in best.collect():
+            result[others[r["place"]]] = r["best"][f"v{r['place']}"]
     return result

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import (
+    is_fillable,
     ROW_ID,
     col,
     count_if,
@@ -49,7 +50,8 @@ def drop_duplicates_first(df: DataFrame, row_id: str | None = None) -> DataFrame
     """
     df = nan_to_null(df)
     if row_id is None:
-        return df.dropDuplicates()
+        # grouping compares maps by value, which dropDuplicates refuses
+        return df.groupBy(*[col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("_tw_n")).drop("_tw_n")
     keys = [col(n) for n in df.columns if n != row_id]
     kept = df.groupBy(*keys).agg(F.min(col(row_id)).alias(row_id))
     return kept.select(*[col(n) for n in df.columns])
@@ -166,7 +168,7 @@ def fill_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Fill with the most frequent value (smallest on ties); empty text if there is none."""
     types = data_types(df)
     if columns is None:
-        columns = [n for n, t in types.items() if not is_numeric(t) and not is_temporal(t)]
+        columns = [n for n, t in types.items() if not is_numeric(t) and not is_temporal(t) and is_fillable(t)]
     found = modes(df, columns)
     return fill_value(
         df, {n: "" if v is None and is_text(types[n]) else v for n, v in found.items()}

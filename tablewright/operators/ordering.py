@@ -19,6 +19,25 @@ from ..functions.storage import materialise
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 20_000
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
+_FILE, _SPLIT, _AT, _PART = "_tw_file", "_tw_split", "_tw_at", "_tw_part"
+
+
+def _with_places(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`df` with each row's file, split and position, as far as known, and the columns that
+    put rows in input order. Spark packs the splits of several files by size, so a running
+    number alone is not file order."""
+    placed = df.withColumn(_AT, F.monotonically_increasing_id())
+    if "_metadata" not in df.columns and _from_files(placed):
+        return placed.withColumns(
+            {_FILE: F.col("_metadata.file_path"), _SPLIT: F.col("_metadata.file_block_start")}
+        ), [_FILE, _SPLIT, _AT]
+    return placed, [_AT]
+
+
+def _from_files(df: DataFrame) -> bool:
+    """Whether rows still know the file they were read from."""
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    return any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size()))
 
 
 def with_row_id(
@@ -29,34 +48,30 @@ def with_row_id(
 ) -> DataFrame:
     """Add row ids 0..n-1 in the order of `order_by`, or in file order without it.
 
-    Ties are broken by the position in the input, which also keeps equal order
-    values from landing in one range. The numbered rows are written once to the
-    shared folder: counting and numbering must see the same placement.
+    File order is by path, and in a file from its beginning. A frame that is no longer
+    read straight from files (joined, grouped) has the order of its partitions. Ties are
+    broken by that order, which also keeps equal order values from landing in one range.
+    The numbered rows are written once to the shared folder: counting and numbering
+    must see the same placement.
     """
     spark = df.sparkSession
-    placed = df
+    placed, places = _with_places(df)
     if order_by:
-        tie = "_tw_tie"
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        keys = [*[col(c) for c in order_by], F.col(tie)]
-        placed = (
-            df.withColumn(tie, F.monotonically_increasing_id())
-            .repartitionByRange(n, *keys)
-            .sortWithinPartitions(*keys)
-            .drop(tie)
-        )
-    placed = materialise(placed.withColumn("_tw_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_tw_at", _POSITION_BITS).cast("int")
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    # One number per partition; the ids that come before it.
-    sizes = {row["part"]: row["n"] for row in counts.collect()}
-    starts, total = [], 0
-    for number in range(max(sizes, default=0) + 1):
-        starts.append(total)
-        total += sizes.get(number, 0)
-    start = f"array({', '.join(f'{x}L' for x in starts)})[shiftright(_tw_at, {_POSITION_BITS})]"
-    position = f"(_tw_at & {(1 << _POSITION_BITS) - 1}L)"
-    return placed.withColumn(name, F.expr(f"{start} + {position}")).drop("_tw_at")
+        keys = [*[col(c) for c in order_by], *places]
+        placed = placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*places)
+        placed, places = placed.withColumn(_AT, F.monotonically_increasing_id()), [_AT]
+    part = F.xxhash64(_FILE, _SPLIT) if _FILE in places else F.shiftright(_AT, _POSITION_BITS)
+    placed = materialise(placed.withColumn(_PART, part))
+    # One row per split or partition: what its positions must be moved by to become ids.
+    order = places[:-1] or [_PART]
+    first, rows = F.min(_AT).alias("first"), F.count(F.lit(1)).alias("rows")
+    parts = placed.groupBy(_PART).agg(first, rows, *[F.min(c).alias(c) for c in order if c != _PART])
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("rows").over(before), F.lit(0))
+    parts = parts.select(_PART, (start - F.col("first")).alias("_tw_shift"))
+    numbered = placed.join(parts, _PART).withColumn(name, F.col(_AT) + F.col("_tw_shift"))
+    return numbered.select(*[col(c) for c in df.columns if c != name], col(name))
 
 
 def _fixed_width(dtype: T.DataType) -> bool:

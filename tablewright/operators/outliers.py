@@ -28,7 +28,8 @@ from ..functions.columns import (
 from ..functions.quantiles import approx_quantiles, exact_quantiles
 
 METHODS = ["IQR", "Z-Score", "Modified Z-Score", "Percentiles"]
-_QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+#: Quantiles that a method looks at; the two scores need the moments, and one the deviations.
+_NEEDS = {"IQR": (0.25, 0.75), "Z-Score": (), "Modified Z-Score": (0.5,), "Percentiles": (0.01, 0.99)}
 
 
 @dataclass(frozen=True)
@@ -38,12 +39,12 @@ class OutlierStats:
     high: float
     mean: float
     std: float | None
-    p1: float
-    q1: float
-    median: float
-    q3: float
-    p99: float
-    mad: float
+    p1: float | None
+    q1: float | None
+    median: float | None
+    q3: float | None
+    p99: float | None
+    mad: float | None
 
     @property
     def iqr_bounds(self) -> tuple[float, float]:
@@ -71,8 +72,10 @@ def outlier_stats(
     columns: Sequence[str] | None = None,
     row_id: str | None = None,
     approx: bool = False,
+    methods: Sequence[str] = METHODS,
 ) -> dict[str, OutlierStats]:
-    """Location, spread and quantiles of each candidate with at least 5 values."""
+    """Location, spread and quantiles of each candidate with at least 5 values; of the
+    quantiles only those that `methods` look at, the others are None."""
     df = nan_to_null(df)
     names = outlier_columns(df, row_id) if columns is None else list(columns)
     if not names:
@@ -87,16 +90,19 @@ def outlier_stats(
     numbers = {n: i for i, n in enumerate(names) if moments[f"count{i}"] >= fv.OUTLIER_MIN_VALUES}
     most = max((moments[f"count{i}"] for i in range(len(names))), default=0)
     quantiles = approx_quantiles if approx else partial(exact_quantiles, rows=most)
-    found = quantiles(df, {n: _QUANTILES for n in numbers})
-    distance = df.selectExpr(
-        *[f"abs(CAST({quoted(n)} AS DOUBLE) - {double(found[n][0.5])}) AS d{i}" for n, i in numbers.items()]
-    )
-    spread = quantiles(distance, {f"d{i}": (0.5,) for i in numbers.values()}) if numbers else {}
+    wanted = tuple(sorted({p for m in methods for p in _NEEDS[m]}))
+    found = quantiles(df, {n: wanted for n in numbers}) if wanted and numbers else {n: {} for n in numbers}
+    spread: dict[str, dict[float, float | None]] = {}
+    if "Modified Z-Score" in methods and numbers:
+        distance = df.selectExpr(
+            *[f"abs(CAST({quoted(n)} AS DOUBLE) - {double(found[n][0.5])}) AS d{i}" for n, i in numbers.items()]
+        )
+        spread = quantiles(distance, {f"d{i}": (0.5,) for i in numbers.values()})
     return {
         n: OutlierStats(
             *[moments[f"{f}{i}"] for f in ("count", "min", "max", "avg", "stddev_samp")],
-            *[found[n][p] for p in _QUANTILES],
-            spread[f"d{i}"][0.5],
+            *[found[n].get(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)],
+            spread.get(f"d{i}", {}).get(0.5),
         )
         for n, i in numbers.items()
     }
@@ -106,16 +112,22 @@ def _outside(x: str, low: float, high: float) -> str:
     return f"({x} < {double(low)} OR {x} > {double(high)})"
 
 
-def flags(name: str, s: OutlierStats) -> dict[str, str]:
+def flags(name: str, s: OutlierStats, methods: Sequence[str] = METHODS) -> dict[str, str]:
     """Method -> SQL condition on the column; a missing value is never an outlier."""
     x = f"CAST({quoted(name)} AS DOUBLE)"
     zscore = f"abs(({x} - {double(s.mean)}) / {double(s.std)}) > {double(fv.Z_LIMIT)}" if s.std else "false"
-    modified = zscore
-    if s.mad:
-        scaled = f"{double(fv.MODIFIED_Z_FACTOR)} * ({x} - {double(s.median)}) / {double(s.mad)}"
-        modified = f"abs({scaled}) > {double(fv.MODIFIED_Z_LIMIT)}"
-    tests = [_outside(x, *s.iqr_bounds), zscore, modified, _outside(x, s.p1, s.p99)]
-    return {method: f"coalesce({test}, false)" for method, test in zip(METHODS, tests)}
+
+    def test(method: str) -> str:
+        if method == "IQR":
+            return _outside(x, *s.iqr_bounds)
+        if method == "Percentiles":
+            return _outside(x, s.p1, s.p99)
+        if method == "Modified Z-Score" and s.mad:
+            scaled = f"{double(fv.MODIFIED_Z_FACTOR)} * ({x} - {double(s.median)}) / {double(s.mad)}"
+            return f"abs({scaled}) > {double(fv.MODIFIED_Z_LIMIT)}"
+        return zscore
+
+    return {method: f"coalesce({test(method)}, false)" for method in methods}
 
 
 def any_flag(name: str, s: OutlierStats) -> str:
@@ -124,10 +136,10 @@ def any_flag(name: str, s: OutlierStats) -> str:
 
 def _flagged(df: DataFrame, column: str, method: str, row_id: str) -> DataFrame:
     df = nan_to_null(df)
-    stats = outlier_stats(df, [column], row_id)
+    stats = outlier_stats(df, [column], row_id, methods=(method,))
     if column not in stats:
         return df.select(col(row_id), col(column).alias("value")).limit(0)
-    return df.where(flags(column, stats[column])[method]).select(col(row_id), col(column).alias("value"))
+    return df.where(flags(column, stats[column], (method,))[method]).select(col(row_id), col(column).alias("value"))
 
 
 def outliers_iqr(df: DataFrame, column: str, row_id: str = ROW_ID) -> DataFrame:

@@ -7,8 +7,11 @@ persists them pays for one pass only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions.columns import (
@@ -101,11 +104,24 @@ def column_profile(df: DataFrame, row_id: str | None = None, approx: bool = Fals
 
     `approx=True` replaces exact distinct counts by sketches (no shuffle of values).
     """
+    return _profile(df, row_id, approx, lambda t: True)
+
+
+def _cardinalities(df: DataFrame, row_id: str | None, approx: bool) -> DataFrame:
+    """The profile with distinct counts of those columns only that can be fragmented."""
+    return _profile(df, row_id, approx, lambda t: not (is_numeric(t) or is_boolean(t)))
+
+
+def _profile(df: DataFrame, row_id: str | None, approx: bool, counted: Callable[[T.DataType], bool]) -> DataFrame:
     df = nan_to_null(df)
     types = data_types(df, row_id)
-    distinct = distinct_counts(df, list(types), approx)
-    # Both sides have one row per column of the table.
-    joined = _column_facts(df, types).join(F.broadcast(distinct), "column_name", "left")
+    joined = _column_facts(df, types)
+    names = [n for n, t in types.items() if counted(t)]
+    if names:
+        # Both sides have one row per column of the table.
+        joined = joined.join(F.broadcast(distinct_counts(df, names, approx)), "column_name", "left")
+    else:
+        joined = joined.withColumn("unique_count", F.lit(None).cast("long"))
     unique = F.coalesce(F.col("unique_count"), F.lit(0))
     return joined.select(
         "ordinal",
@@ -145,10 +161,15 @@ def quality_score(
     row_id: str | None = None,
     stats: DataFrame | None = None,
     columns: DataFrame | None = None,
+    approx: bool = False,
 ) -> DataFrame:
-    """One row: the counts behind the score, the 0..100 score and its colour."""
+    """One row: the counts behind the score, the 0..100 score and its colour.
+
+    Only text and date columns have their distinct values counted; `approx=True` does it
+    with sketches.
+    """
     stats = table_stats(df, row_id) if stats is None else stats
-    columns = column_profile(df, row_id) if columns is None else columns
+    columns = _cardinalities(df, row_id, approx) if columns is None else columns
     fragmented = columns.agg(count_if(_high_cardinality()).alias("n"))
     raw = (
         F.lit(100.0)
@@ -167,10 +188,11 @@ def issues(
     row_id: str | None = None,
     stats: DataFrame | None = None,
     columns: DataFrame | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """Findings in report order: missing columns, duplicates, fragmented columns."""
     stats = table_stats(df, row_id) if stats is None else stats
-    columns = column_profile(df, row_id) if columns is None else columns
+    columns = _cardinalities(df, row_id, approx) if columns is None else columns
     width = len(data_types(df, row_id))
 
     def finding(position: Column, issue: str, name: Column, amount: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import ROW_ID, col, data_types, is_numeric, is_text, nan_to_null
+from ..functions.columns import ROW_ID, col, data_types, is_fillable, is_numeric, is_text, nan_to_null
 from ..functions.frequencies import modes
 from ..functions.quantiles import exact_quantiles
 from .cleaning import fill_forward, fill_value, replace_columns
@@ -24,6 +24,8 @@ def fill_constant(df: DataFrame, column: str, action: str) -> object | None:
         return exact_quantiles(df, {column: (0.5,)})[column][0.5]
     if action == "mean":
         return df.agg(F.avg(col(column).cast("double"))).first()[0]
+    if action in ("mode", "indicator") and not is_fillable(data_types(df)[column]):
+        return None
     if action in ("mode", "indicator"):
         value = modes(df, [column])[column]
         if value is None and action == "indicator" and is_text(data_types(df)[column]):
@@ -69,9 +71,9 @@ class Bounds:
         return F.coalesce((x < F.lit(self.lower)) | (x > F.lit(self.upper)), F.lit(False))
 
 
-def iqr_bounds(df: DataFrame, columns: list[str]) -> dict[str, Bounds | None]:
-    """Quartile bounds of several columns in shared passes."""
-    found = exact_quantiles(df, {n: (0.25, 0.75) for n in columns})
+def iqr_bounds(df: DataFrame, columns: list[str], rows: int | None = None) -> dict[str, Bounds | None]:
+    """Quartile bounds of several columns in shared passes; `rows` saves counting them."""
+    found = exact_quantiles(df, {n: (0.25, 0.75) for n in columns}, rows=rows)
     result: dict[str, Bounds | None] = {}
     for n, q in found.items():
         if q[0.25] is None:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ROW_ID, col, count_if, data_types, is_numeric, nan_to_null
+from ..functions.columns import ROW_ID, col, count_if, data_types, is_fillable, is_numeric, nan_to_null
 from ..functions.frequencies import modes
 from ..functions.quantiles import exact_quantiles
 from ..functions.storage import materialise
@@ -81,10 +81,12 @@ def _impute(df, actions, row_id, log):
     actions = {n: a for n, a in actions.items() if n in types}
     if not actions:
         return df
-    row = df.agg(*[count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(actions)]).first()
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), *[count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(actions)]
+    ).first()
     gaps = {n: row[f"m{i}"] for i, n in enumerate(actions) if row[f"m{i}"]}
     actions = {n: a for n, a in actions.items() if n in gaps}
-    values = _constants(df, actions, types)
+    values = _constants(df, actions, types, row["n"])
     for n, action in actions.items():
         value, amount = values.get(n), gaps[n]
         if action == "keep_null":
@@ -98,23 +100,25 @@ def _impute(df, actions, row_id, log):
     return df
 
 
-def _constants(df, actions, types):
+def _constants(df, actions, types, rows):
     """Fill values of all columns, with medians and means in shared passes."""
     medians = [
         n for n, a in actions.items() if a == "median" or (a == "indicator" and is_numeric(types[n]))
     ]
     means = [n for n, a in actions.items() if a == "mean"]
     frequent = [
-        n for n, a in actions.items() if a == "mode" or (a == "indicator" and not is_numeric(types[n]))
+        n
+        for n, a in actions.items()
+        if is_fillable(types[n]) and (a == "mode" or (a == "indicator" and not is_numeric(types[n])))
     ]
-    values = {n: q[0.5] for n, q in exact_quantiles(df, {n: (0.5,) for n in medians}).items()}
+    values = {n: q[0.5] for n, q in exact_quantiles(df, {n: (0.5,) for n in medians}, rows=rows).items()}
     if means:
         row = df.agg(*[F.avg(col(n).cast("double")).alias(f"a{i}") for i, n in enumerate(means)]).first()
         values |= {n: row[f"a{i}"] for i, n in enumerate(means)}
     if frequent:
         values |= modes(df, frequent)
     for n, action in actions.items():
-        if action in ("na_string", "indicator") and values.get(n) is None:
+        if action in ("na_string", "indicator") and values.get(n) is None and is_fillable(types[n]):
             values[n] = fill_constant(df, n, action)
     return values
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
+    is_fillable,
     ROW_ID,
     col,
     count_if,
@@ -105,7 +106,7 @@ def _fill_gaps(table, gaps, row_id, rows, approx, log):
     types = data_types(table, row_id)
     numeric = [n for n in gaps if is_numeric(types[n])]
     times = [n for n in gaps if is_temporal(types[n])]
-    others = [n for n in gaps if n not in numeric and n not in times]
+    others = [n for n in gaps if n not in numeric and n not in times and is_fillable(types[n])]
     missing = {}
     if gaps:
         row = table.agg(*[count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(gaps)]).first()

@@ -39,8 +39,8 @@ def blank_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
-def validate_table(df: DataFrame, max_columns: int | None = fv.MAX_COLUMNS) -> DataFrame:
-    """The table itself, or `TableError` if it is empty or too wide."""
+def validate_table(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """The table itself, or `TableError` if it is empty or wider than `max_columns`, if given."""
     if max_columns is not None and len(df.columns) > max_columns:
         raise TableError(f"{len(df.columns)} columns, at most {max_columns} are allowed")
     if not df.columns or df.isEmpty():
@@ -58,29 +58,54 @@ def load_csv(
 
     Short lines are filled with NULL, the usual missing-value words and blank
     cells become NULL, and a column gets a number or boolean type when all its
-    values have that form. Dates stay text. A file whose quoted fields contain
-    line breaks cannot be split; by default one scan over the lines decides.
+    values have that form. Dates stay text. Files with other headers than the first
+    one raise `TableError`. A file whose quoted fields contain line breaks cannot be
+    split; by default one scan over the lines decides, for each file.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("quote", '"')
     names = reader.csv(path).columns
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    files = _file_facts(spark, path)
+    headers = sorted({f.header for f in files if f.header is not None})
+    if len(headers) > 1:
+        raise TableError(f"files with different headers: {headers[0]!r}, {headers[1]!r}")
+    whole = [f.file for f in files if f.breaks] if multi_line is None else []
+    split = [f.file for f in files if not f.breaks]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
-    raw = (
-        reader.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("columnPruning", False)  # field counts are only checked on whole lines
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    outside_quotes = F.regexp_replace(F.col(_CORRUPT), r'"([^"]|"")*"', "")
-    too_many = F.col(_CORRUPT).isNotNull() & (F.size(F.split(outside_quotes, ",", -1)) > len(names))
-    cells = raw.where(~too_many).select(
-        *[F.when(~col(n).isin(fv.NA_TOKENS), col(n)).alias(n) for n in names]
+
+    def cells(paths: str | list[str], multi: bool) -> DataFrame:
+        raw = (
+            reader.schema(schema)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", _CORRUPT)
+            .option("columnPruning", False)  # field counts are only checked on whole lines
+            .option("multiLine", multi)
+            .csv(paths)
+        )
+        outside_quotes = F.regexp_replace(F.col(_CORRUPT), r'"([^"]|"")*"', "")
+        too_many = F.col(_CORRUPT).isNotNull() & (F.size(F.split(outside_quotes, ",", -1)) > len(names))
+        return raw.where(~too_many).select(
+            *[F.when(~col(n).isin(fv.NA_TOKENS), col(n)).alias(n) for n in names]
+        )
+
+    if not whole:
+        rows = cells(path, bool(multi_line))
+    elif not split:
+        rows = cells(path, True)
+    else:
+        rows = cells(split, False).union(cells(whole, True))
+    return blank_to_null(_typed(rows) if infer else rows)
+
+
+def _file_facts(spark: SparkSession, path: str) -> list:
+    """(file, header, breaks) of each file, in one scan: its first line, and whether some line
+    has an odd number of quotes, so that a quoted field goes on in the next line."""
+    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), at.alias("at"), (quotes % 2 == 1).alias("odd"), "value"
     )
-    return blank_to_null(_typed(cells) if infer else cells)
+    facts = lines.groupBy("file").agg(F.rtrim(F.min_by("value", "at")).alias("header"), F.max("odd").alias("breaks"))
+    return sorted(facts.collect(), key=lambda f: f.file)
 
 
 def _typed(df: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from tablewright.operators import missing as m
 from tablewright.operators import outliers as o
 from tablewright.operators import recommend as r
 from tablewright.operators.ask import aggregate, bottom_n, chart_series, top_n
-from tablewright.operators.isolation import outliers_isolation_forest
 from tablewright.operators.questions import tag_questions
 from tablewright.operators.roles import infer_roles
 from tablewright.operators.story import data_insights, half_trend, peak_trough_month
@@ -76,15 +75,6 @@ def test_votes_match_pandas(spark):
     assert len(o.outlier_votes(df).collect()) == min(15, len(expected))
 
 
-def test_isolation_forest_flags_the_far_values(spark):
-    data = [(i, float(i % 100)) for i in range(960)] + [(960 + i, 10_000.0 + i) for i in range(40)]
-    df = spark.createDataFrame(data, "_row_id long, x double").repartition(4)
-    flagged = outliers_isolation_forest(df, "x", contamination=0.04).collect()
-    assert {x["_row_id"] for x in flagged} <= set(range(960, 1000)) and len(flagged) >= 20
-    again = outliers_isolation_forest(df.repartition(9), "x", contamination=0.04).collect()
-    assert sorted(map(tuple, flagged)) == sorted(map(tuple, again))
-
-
 def test_roles(spark):
     df = spark.createDataFrame(
         [(1, "2024-01-01", "Y", 1.5, None, "x", 2020, 1.0), (2, "soon", "n", 2.5, None, "y", 2021, 0.0), (3, None, "y", 0.5, None, "z", 2022, 1.0)],
