@@ -1,8 +1,8 @@
 """All checked queries: name -> Spark callable and name -> DuckDB SQL."""
 
-from . import cleaning, insight, missing, outliers, profile, questions, sources
+from . import agent, cleaning, insight, missing, outliers, profile, questions, sources
 
-MODULES = (sources, profile, cleaning, missing, outliers, insight, questions)
+MODULES = (sources, profile, cleaning, missing, outliers, insight, questions, agent)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

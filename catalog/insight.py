@@ -47,7 +47,7 @@ QUERIES = {
     "chart_stacked": lambda s, sf: _money(r.stacked_data(facts(s, sf), "return_flag", "sales_amount", "line_status")),
     "chart_histogram": lambda s, sf: _money(r.histogram_data(facts(s, sf), "quantity", 7), 6),
     "chart_heatmap": lambda s, sf: rounded(r.heatmap_data(facts(s, sf), ["sales_amount", "quantity", "discount"]), 6),
-    "chart_scatter": lambda s, sf: r.scatter_data(facts(s, sf), "sales_amount", "quantity", 0.05, seed=7),
+    "chart_scatter": lambda s, sf: r.scatter_data(facts(s, sf), "sales_amount", "quantity", 0.05, 7, ["order_id", "line_no"]),
     "aggregate": lambda s, sf: _aggregates(s, sf),
     "group_aggregate": lambda s, sf: _money(ask.group_aggregate(sales(s, sf), "priority", "sales_amount")),
     "group_aggregate_mean": lambda s, sf: rounded(ask.group_aggregate(sales(s, sf), "approval", "sales_amount", "mean")),
@@ -176,6 +176,9 @@ ORACLE = {
     + """, w AS (SELECT min(quantity) AS lo, (max(quantity) - min(quantity)) / 7 AS width FROM fx_facts)
       SELECT CAST(i AS INT) AS bin, round(lo + i * width, 6) AS lower, round(lo + (i + 1) * width, 6) AS upper,
       (SELECT count(*) FROM fx_facts, w WHERE least(floor((quantity - lo) / width), 6) = i) AS frequency FROM range(7) r(i), w""",
+    "chart_scatter": CTE_FACTS
+    + """SELECT sales_amount AS x, quantity AS y FROM fx_facts WHERE sales_amount IS NOT NULL AND quantity IS NOT NULL
+      AND ('0x' || substr(md5('7:' || order_id || ':' || line_no), 1, 8))::BIGINT < 0.05 * 4294967296""",
     "chart_heatmap": CTE_FACTS
     + """SELECT 'sales_amount' AS x, 'quantity' AS y, round(corr(sales_amount, quantity), 6) AS correlation FROM fx_facts
       UNION ALL SELECT 'sales_amount', 'discount', round(corr(sales_amount, discount), 6) FROM fx_facts

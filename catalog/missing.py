@@ -1,5 +1,6 @@
 """Why values are missing: features, causes, advice."""
 
+from tablewright.functions import fixed_values as fv
 from tablewright.operators import missing as m
 
 from .common import rounded, table
@@ -82,16 +83,22 @@ _BASE += "), f AS (" + _per_column(
     FROM gaps HAVING count(*) > count({c})"""
 ) + "), ff AS (SELECT f.*, longest_run, (SELECT count(*) FROM segs WHERE segs.column_name = f.column_name) AS segments FROM f JOIN runs USING (column_name)) "
 
+
+
+def _named(words):
+    return f"regexp_matches(column_name, '{'|'.join(words)}')"
+
+
 # the rule table of the specification: order, cause, condition, confidence of the cause
 _RULES = [
     (1, "Cause I: Excessive Missingness", "missing_percent >= 50", "High"),
     (2, "Cause I: Excessive Missingness", "missing_percent >= 20 AND missing_percent < 50", "Medium"),
-    (3, "Cause C: Intentionally Left Blank", "regexp_matches(column_name, 'middle|suffix|phone|fax|website|optional|comment|notes|address2|secondary')", "High"),
-    (4, "Cause D: Not Applicable", "regexp_matches(column_name, 'spouse|dependents|bonus|commission|marriage|partner|children')", "High"),
+    (3, "Cause C: Intentionally Left Blank", _named(fv.OPTIONAL_WORDS), "High"),
+    (4, "Cause D: Not Applicable", _named(fv.NOT_APPLICABLE_WORDS), "High"),
     (5, "Cause E: Future Placeholder Data", "is_temporal AND missing_at_end", "Medium"),
     (6, "Cause B: System Failure", "longest_run >= 10", "Medium"),
     (7, "Cause F: Data Still Being Collected", "missing_tail_only", "Medium"),
-    (8, "Cause G: Privacy or Compliance Removal", "regexp_matches(column_name, 'password|ssn|tax|income|salary|national_id|passport')", "Medium"),
+    (8, "Cause G: Privacy or Compliance Removal", _named(fv.SENSITIVE_WORDS), "Medium"),
     (9, "Cause H: Missingness Has Predictive Value", "segments > 0", "High"),
 ]
 _ANY = " OR ".join(f"({c})" for _, _, c, _ in _RULES)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import fixed_values as fv
 from tablewright.operators import outliers as o
 from tablewright.operators.ordering import with_row_id
 
@@ -72,12 +73,17 @@ f AS (SELECT column_name, count(*) AS outlier_count, max(low) < 0 AS any_negativ
 _BASE += _MOMENTS
 _EVENTS = "WITH long AS (SELECT 'value' AS column_name, event_id AS row_id, value FROM events" + _MOMENTS
 
+
+def _named(words):
+    return f"regexp_matches(column_name, '{'|'.join(words)}')"
+
+
 _RULES = [
-    (1, "Cause A: Data Entry Error", "any_tenfold OR any_negative AND regexp_matches(column_name, 'age|salary|revenue|price|amount|spend|quantity')", "High"),
+    (1, "Cause A: Data Entry Error", "any_tenfold OR any_negative AND " + _named(fv.NEVER_NEGATIVE_WORDS), "High"),
     (2, "Cause B: Measurement Error", "any_above_150 AND column_name LIKE '%age%'", "High"),
     (3, "Cause H: Unit Conversion Error", "unit_factor", "Medium"),
-    (4, "Cause C: Genuine High/Low Value", "regexp_matches(column_name, 'sales|revenue|profit|spend|amount|salary|income')", "High"),
-    (5, "Cause E: Fraud or Anomaly", "regexp_matches(column_name, 'transaction|transfer|amount|withdrawal|payment')", "Medium"),
+    (4, "Cause C: Genuine High/Low Value", _named(fv.GENUINE_VALUE_WORDS), "High"),
+    (5, "Cause E: Fraud or Anomaly", _named(fv.FRAUD_WORDS), "Medium"),
     (6, "Cause G: Different Population Segment", "true", "Medium"),
 ]
 _COND = {i: c for i, _, c, _ in _RULES}

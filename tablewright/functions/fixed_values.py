@@ -68,8 +68,6 @@ GENUINE_VALUE_WORDS = [
     "sales", "revenue", "profit", "spend", "amount", "salary", "income",
 ]
 FRAUD_WORDS = ["transaction", "transfer", "amount", "withdrawal", "payment"]
-ISOLATION_CONTAMINATION = 0.05
-ISOLATION_SEED = 42
 
 # --- column roles, cards and charts ------------------------------------------
 ROLE_DATE_WORDS = ["date", "time", "year", "month"]

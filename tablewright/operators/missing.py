@@ -101,7 +101,7 @@ def missing_position(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     df = nan_to_null(df)
     types = data_types(df, row_id)
     rid = quoted(row_id)
-    aggregates, entries = [], []
+    aggregates, entries = ["count(1) AS rows"], []
     for i, (n, t) in enumerate(types.items()):
         gap = f"{quoted(n)} IS NULL"
         aggregates += [
@@ -114,7 +114,7 @@ def missing_position(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
         temporal = str(is_temporal_column(n, t)).lower()
         entries.append(
             f"named_struct('ordinal', {i}, 'column_name', {text_literal(n)}, 'is_numeric', {str(is_numeric(t)).lower()}, "
-            f"'missing_count', m{i}, 'is_temporal', {temporal}, 'missing_at_start', {temporal} AND s{i}, "
+            f"'missing_count', m{i}, 'missing_percent', m{i} / rows * 100.0D, 'is_temporal', {temporal}, 'missing_at_start', {temporal} AND s{i}, "
             f"'missing_at_end', {temporal} AND e{i}, 'missing_tail_only', NOT {temporal} AND coalesce(v{i} < g{i}, true))"
         )
     positions = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
@@ -198,16 +198,16 @@ def missing_features(
 ) -> DataFrame:
     """One row per column with gaps: everything the cause rules look at."""
     df = nan_to_null(df)
-    gaps = columns_with_gaps(df, row_id)
-    shares = missing_summary(df, row_id).select("column_name", "missing_percent")
+    positions = missing_position(df, row_id)
+    found = positions.collect()  # a row per column
+    gaps = [r["column_name"] for r in found]
     runs = longest_null_run(df, row_id, gaps, block_rows)
     patterns = missing_by_segment(df, row_id, gaps).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("segments")
     )
     # All sides have at most one row per column of the table.
     return (
-        missing_position(df, row_id)
-        .join(F.broadcast(shares), "column_name")
+        df.sparkSession.createDataFrame(found, positions.schema)
         .join(F.broadcast(runs), "column_name", "left")
         .join(F.broadcast(patterns), "column_name", "left")
         .withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import col, name_has, nan_to_null, per_column
+from ..functions.columns import col, data_types, name_has, nan_to_null, per_column
 from ..functions.frequencies import distinct_counts, small_value_sets
 from .roles import CATEGORICAL, DATE, IDENTIFIER, NUMERICAL, infer_roles, with_role
 
@@ -170,28 +171,31 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), spread)
 
 
-def heatmap_data(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x, y, correlation) for every pair of columns; one `agg`."""
+def heatmap_data(df: DataFrame, columns: Sequence[str], batch: int = 1000) -> DataFrame:
+    """(x, y, correlation) for every pair of columns; one `agg` per `batch` pairs."""
     df = nan_to_null(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "x string, y string, correlation double")
-    frame = df.agg(
-        *[
-            correlation(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}")
-            for i, (a, b) in enumerate(pairs)
+    frames = []
+    for start in range(0, len(pairs), batch):
+        some = pairs[start : start + batch]
+        frame = df.agg(
+            *[correlation(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(some)]
+        )
+        entries = [
+            [F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("correlation")] for i, (a, b) in enumerate(some)
         ]
-    )
-    return per_column(
-        frame,
-        [
-            [F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("correlation")]
-            for i, (a, b) in enumerate(pairs)
-        ],
-    )
+        frames.append(per_column(frame, entries))
+    return reduce(DataFrame.unionAll, frames)
 
 
-def scatter_data(df: DataFrame, x: str, y: str, fraction: float, seed: int = 0) -> DataFrame:
-    """A random share of the (x, y) points."""
-    points = nan_to_null(df.select(col(x).alias("x"), col(y).alias("y"))).dropna()
-    return points.sample(fraction=fraction, seed=seed)
+def scatter_data(
+    df: DataFrame, x: str, y: str, fraction: float = 0.05, seed: int = 0, key: Sequence[str] | None = None
+) -> DataFrame:
+    """A share of the (x, y) points, drawn by a hash of the `key` columns (all columns by
+    default): the same points whatever the partitions."""
+    names = list(key or data_types(df))
+    text = F.concat_ws(":", F.lit(str(seed)), *[col(n).cast("string") for n in names])
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") < F.lit(fraction * 2**32)
+    return nan_to_null(df.where(drawn).select(col(x).alias("x"), col(y).alias("y"))).dropna()
