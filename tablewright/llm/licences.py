@@ -75,7 +75,7 @@ CONFIDENT = 0.7
 SHARED = 0.6  # of a template's pairs of neighbouring words
 VARIANTS = 60  # made of each template
 BACKGROUND = 4000  # ordinary paragraphs learned from, drawn by hash
-LONGEST = 200  # words of a paragraph looked at together; longer ones are looked at in pieces
+LONGEST = 40  # words of a paragraph looked at together; longer ones are looked at in overlapping pieces
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 #: A word that every template has one of; paragraphs without any can't be confirmed.
 _NEEDED = re.compile(
@@ -100,8 +100,8 @@ def _variants(template: str, background: list[list[str]], rng: np.random.Generat
         some = [w for w in words if rng.random() > 0.08]
         some = [str(rng.integers(1, 10)) + ".0" if w[0].isdigit() and rng.random() < 0.3 else w for w in some]
         other = background[rng.integers(len(background))] if background else []
-        cut = int(rng.integers(0, 12))
-        before, after = other[:cut], other[cut : cut + int(rng.integers(0, 12))]
+        cut = int(rng.integers(0, 20))
+        before, after = other[:cut], other[cut : cut + int(rng.integers(0, 20))]
         out.append([*before, *some, *after] if some else words)
     return out
 
@@ -221,6 +221,8 @@ def licences(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
                     for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2):
                         part = words[at : at + LONGEST]
                         key = " ".join(part)
+                        if not _NEEDED.search(key):
+                            continue
                         if key not in known:
                             if len(known) > 50_000:
                                 known.clear()
