@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import fixed_values as fv
 from tablewright.operators import ask, diagnosis as d, recommend as r, story as t
 from tablewright.operators.roles import column_roles
 
@@ -125,27 +126,37 @@ _PEAK = """SELECT strftime(strptime(b.m || '-01', '%Y-%m-%d'), '%B %Y') AS best_
 _STORY = f"""SELECT b.label AS best, round(b.v, 2) AS best_value, round(b.v / (SELECT sum(sales_amount) FROM fx_facts) * 100, 2) AS best_share,
   w.label AS worst, round(w.v, 2) AS worst_value FROM {_best('fx_facts', 'return_flag')} b, {_worst('fx_facts', 'return_flag')} w"""
 
-_ROLE_ROWS = [
-    (0, "order_id", "Identifier"), (1, "customer_id", "Identifier"), (2, "order_date", "Date/Time"), (3, "due_month", "Date/Time"),
-    (4, "returned", "Boolean"), (5, "flag", "Boolean"), (6, "is_final", "Boolean"), (7, "batch_key", "Identifier"),
-    (8, "area_code", "Numerical"), (9, "sales_amount", "Numerical"), (10, "profit_total", "Numerical"), (11, "rating", "Numerical"),
-    (12, "priority", "Categorical"), (13, "status", "Categorical"), (14, "city", "Categorical"), (15, "time_note", "Categorical"),
-]
-_FACT_ROLES = [
-    (0, "order_id", "Identifier"), (1, "line_no", "Numerical"), (2, "ship_date", "Date/Time"), (3, "sales_amount", "Numerical"),
-    (4, "quantity", "Numerical"), (5, "discount", "Numerical"), (6, "return_flag", "Categorical"), (7, "line_status", "Categorical"),
-    (8, "supplier_name", "Categorical"), (9, "region_nation", "Categorical"),
-]
+
+
+def _says(words):
+    return f"regexp_matches(column_name, '{'|'.join(words)}')"
+
+
+def _roles_sql(source: str, columns: list[str]) -> str:
+    """The role rules over types, names and distinct counts."""
+    flags = ", ".join(f"'{w}'" for w in fv.BOOLEAN_WORDS)
+    facts = " UNION ALL ".join(
+        f"""SELECT {i} AS ordinal, '{c}' AS column_name, any_value(typeof({c})) AS kind, count(*) AS n, count(DISTINCT {c}) AS u,
+          coalesce(bool_and(lower(CAST({c} AS VARCHAR)) IN ({flags})), true) AS flags,
+          (SELECT coalesce(bool_or(try_strptime(v, ['%Y-%m-%d', '%Y-%m', '%m/%d/%Y']) IS NOT NULL), false)
+            FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {source} WHERE {c} IS NOT NULL LIMIT 10)) AS reads FROM {source}"""
+        for i, c in enumerate(columns)
+    )
+    return f"""SELECT ordinal, column_name, CASE WHEN kind LIKE 'TIMESTAMP%' OR kind = 'DATE' THEN 'Date/Time'
+      WHEN {_says(fv.ROLE_DATE_WORDS)} AND (kind <> 'VARCHAR' OR reads) THEN 'Date/Time'
+      WHEN kind = 'BOOLEAN' OR u <= 2 AND flags THEN 'Boolean'
+      WHEN {_says(fv.ROLE_ID_WORDS)} AND kind NOT IN ('DOUBLE', 'FLOAT') AND (contains(column_name, 'id') OR u > 0.5 * n) THEN 'Identifier'
+      WHEN kind <> 'VARCHAR' THEN 'Numerical' ELSE 'Categorical' END AS role FROM ({facts})"""
+
+
+_ROLE_COLUMNS = """order_id customer_id order_date due_month returned flag is_final batch_key area_code sales_amount profit_total
+  rating priority status city time_note""".split()
+_FACT_COLUMNS = """order_id line_no ship_date sales_amount quantity discount return_flag line_status supplier_name region_nation""".split()
 
 
 ORACLE = {
-    "column_roles": _ROLES
-    + f"""SELECT ordinal, column_name, role FROM (VALUES {", ".join(str(x) for x in _ROLE_ROWS)}) v(ordinal, column_name, role)
-      WHERE (SELECT count(DISTINCT batch_key) > 0.5 * count(*) AND count(DISTINCT area_code) <= 0.5 * count(*) AND count(DISTINCT rating) > 2
-        AND count(DISTINCT returned) = 2 AND count(DISTINCT flag) = 2 FROM t)""",
-    "column_roles_facts": CTE_FACTS
-    + f"""SELECT ordinal, column_name, role FROM (VALUES {", ".join(str(x) for x in _FACT_ROLES)}) v(ordinal, column_name, role)
-      WHERE (SELECT count(DISTINCT line_no) > 2 AND count(DISTINCT return_flag) > 2 FROM fx_facts)""",
+    "column_roles": _ROLES + _roles_sql("t", _ROLE_COLUMNS),
+    "column_roles_facts": CTE_FACTS + _roles_sql("fx_facts", _FACT_COLUMNS),
     "kpi_cards": _ROLES
     + """SELECT 0 AS position, 'Total sales_amount' AS name, round(sum(sales_amount), 2) AS value, 'total' AS unit FROM t
       UNION ALL SELECT 1, 'Average sales_amount', round(avg(sales_amount), 2), 'average' FROM t

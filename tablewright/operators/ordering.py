@@ -22,7 +22,7 @@ _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, posi
 _FILE, _SPLIT, _AT, _PART = "_tw_file", "_tw_split", "_tw_at", "_tw_part"
 
 
-def _with_places(df: DataFrame) -> tuple[DataFrame, list[str]]:
+def with_places(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """`df` with each row's file, split and position, as far as known, and the columns that
     put rows in input order. Spark packs the splits of several files by size, so a running
     number alone is not file order."""
@@ -55,7 +55,7 @@ def with_row_id(
     must see the same placement.
     """
     spark = df.sparkSession
-    placed, places = _with_places(df)
+    placed, places = with_places(df)
     if order_by:
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         keys = [*[col(c) for c in order_by], *places]

@@ -21,6 +21,7 @@ from ..functions.columns import (
 )
 from ..functions.dates import DATE_FORMATS, parse_with
 from ..functions.frequencies import distinct_counts, small_value_sets
+from .ordering import with_places
 
 DATE, BOOLEAN, IDENTIFIER = "Date/Time", "Boolean", "Identifier"
 NUMERICAL, CATEGORICAL = "Numerical", "Categorical"
@@ -52,13 +53,18 @@ def infer_roles(df: DataFrame, row_id: str | None = None) -> dict[str, str]:
 
 
 def _readable_dates(df, names, types, row_id) -> list[str]:
-    """Date-named columns of which one of the first ten values reads as a date."""
+    """Date-named columns of which one of the first ten values reads as a date; without a row
+    id the first ones are those in input order."""
+    places = [col(row_id)] if row_id else None
+    if places is None and any(is_text(types[n]) for n in names):
+        df, at = with_places(df)
+        places = [F.col(c) for c in at]
     numbers = [n for n in names if is_numeric(types[n])]  # epoch numbers always read
     texts = [n for n in names if is_text(types[n])]
     heads = []
     for n in texts:
         filled = df.where(col(n).isNotNull())
-        first = (filled.orderBy(col(row_id)) if row_id else filled).limit(10)
+        first = filled.orderBy(*places).limit(10)
         heads.append(first.select(F.lit(n).alias("n"), parse_with(col(n), DATE_FORMATS).isNotNull().alias("ok")))
     for n in numbers:
         heads.append(df.where(col(n).isNotNull()).limit(1).select(F.lit(n).alias("n"), F.lit(True).alias("ok")))
