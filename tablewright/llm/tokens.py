@@ -12,9 +12,15 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
-GENERATION = 300_000  # words
+GENERATION = 600_000  # words
+#: Python's white space holds four control characters more than the tokenizers' does.
+_UNSURE = {True: re.compile(r" (?:\s|\Z)"), False: re.compile(r"[\x1c-\x1f]")}
+#: Byte-level tokenizers always cut around a comma, full stop or line break between letters.
+_MARKS = re.compile(r"(?<=[A-Za-z])([.,]\n|[.,\n])(?=[A-Za-z]|\Z)")
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -26,8 +32,38 @@ def _bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+class Table:
+    """Ids of strings, each with `prefix` before it."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], prefix: str):
+        self.encode, self.prefix = encode, prefix
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+
+    def learn(self, strings: Iterable[str]) -> None:
+        young, old, new = self.young, self.old.get, []
+        for s in strings:
+            if s not in young:
+                have = old(s)
+                if have is None:
+                    new.append(s)
+                else:
+                    young[s] = have
+        new = list(dict.fromkeys(new))
+        young.update(zip(new, self.encode([self.prefix + s for s in new] if self.prefix else new)))
+
+
 class Words:
-    """`ids(texts)`: each text's ids as little-endian unsigned 32-bit bytes."""
+    """`ids(texts)`: each text's ids as little-endian unsigned 32-bit bytes.
+
+    A byte-level tokenizer keeps the space before a word (`spaced`): there a single space
+    between two words starts a new one; texts with other runs of white space stay whole.
+    For other tokenizers white space only separates words.
+    """
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
@@ -35,55 +71,59 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.bare = Table(self.encode, "")
+        self.lead = Table(self.encode, " ") if spaced else self.bare
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The library's own answer for whole strings."""
         rows = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [_bytes(r.ids) for r in rows]
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Strings whose ids joined are those of `text`; None if it can't be cut.
-
-        Where a byte-level tokenizer keeps the space before a word (`spaced`), a single
-        space between two words starts a piece; texts with other runs of white space stay
-        whole. Otherwise white space only separates words.
-        """
-        if _UNSURE[self.spaced].search(text):
-            return None
-        if not self.spaced:
-            return text.split()
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else []
-
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        words = set().union(*(c for c in cut if c is not None))
-        new = list(words - self.young.keys())
-        if len(self.young) + len(new) > GENERATION:
-            self.old, self.young = self.young, {}
-            new = list(words)
-        known = {w: self.old[w] for w in new if w in self.old}
-        self.young.update(known)
-        self._learn([w for w in new if w not in known])
-        table = self.young
-        whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join([table[w] for w in c]) for c in cut]
-
-    def _learn(self, new: list[str]) -> None:
-        """Words that end in a mark or hold line breaks share the ids of their parts."""
-        parts = [[p for p in _MARKS.split(w) if p] if self.spaced else [w] for w in new]
-        distinct = list({p for each in parts for p in each})
-        coded = dict(zip(distinct, self.encode(distinct)))
-        for word, each in zip(new, parts):
-            self.young[word] = b"".join([coded[p] for p in each])
-
-
-#: Python's white space holds four control characters more than the tokenizers' does.
-_UNSURE = {True: re.compile(r" \s| \Z|\A "), False: re.compile(r"[\x1c-\x1f]")}
-#: Byte-level tokenizers always cut around a comma, full stop or line break between letters.
-_MARKS = re.compile(r"(?<=[A-Za-z])([.,]\n|[.,\n])(?=[A-Za-z]|\Z)")
+        self.bare.age()
+        self.lead.age()
+        unsure = _UNSURE[self.spaced].search
+        whole = [bool(unsure(t)) or (self.spaced and t[:1] == " ") for t in texts]
+        words = [[] if w else t.split(" ") if self.spaced else t.split() for t, w in zip(texts, whole)]
+        first = [w.pop(0) if w and self.spaced else "" for w in words]
+        found = [list(map(self.lead.young.get, w)) for w in words]
+        self._learn({w for ws, fs in zip(words, found) if None in fs for w, f in zip(ws, fs) if f is None})
+        self.bare.learn(first)
+        table = self.lead.young
+        for i, fs in enumerate(found):
+            if None in fs:
+                found[i] = [table[w] if f is None else f for w, f in zip(words[i], fs)]
+        entire = iter(self.encode([t for t, w in zip(texts, whole) if w]))
+        return [
+            next(entire) if w else b"".join(chain((self.bare.young[f],), fs)) for w, f, fs in zip(whole, first, found)
+        ]
+
+    def _learn(self, new: set[str]) -> None:
+        """Words with marks share the ids of their parts."""
+        lead, bare = self.lead, self.bare
+        old = lead.old.get
+        plain: list[str] = []
+        cut: list[tuple[str, list[str]]] = []
+        for word in new:
+            if word.isalpha():
+                parts = [word]
+            elif (have := old(word)) is not None:
+                lead.young[word] = have
+                continue
+            elif word[-1] in ".," and word[:-1].isalpha() and word[-2].isascii():
+                parts = [word[:-1], word[-1]]
+            else:
+                parts = [p for p in _MARKS.split(word) if p]
+            if not self.spaced and word.isascii():
+                parts = [p.lower() for p in parts]
+            if len(parts) == 1 and parts[0] == word:
+                plain.append(word)
+            else:
+                cut.append((word, parts))
+        lead.learn(chain(plain, (parts[0] for _, parts in cut)))
+        bare.learn(p for _, parts in cut for p in parts[1:])
+        for word, parts in cut:
+            lead.young[word] = b"".join([lead.young[parts[0]], *(bare.young[p] for p in parts[1:])])
 
 
 @lru_cache(4)
