@@ -26,6 +26,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # No space set aside ahead: with many small state partitions that takes most of the disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 ROWS_A_SALT = 2000
 _LOCATOR = "concat(_metadata.file_name, '#', lpad(CAST(_metadata.row_index AS STRING), 12, '0'))"
