@@ -29,16 +29,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_copies(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process has written so far; returns how many.
+def copies() -> list[str]:
+    """Paths of the intermediate tables this process has written and not dropped, in order."""
+    return list(_WRITTEN)
+
+
+def drop_copies(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables (all of this process by default); returns how many.
 
     Call it when the results made from them are written: frames that still read them fail
     afterwards.
     """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in copies() if paths is None else [p for p in paths if p in _WRITTEN]:
+        _WRITTEN.remove(name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(hadoop).delete(path, True))
     return gone
 
