@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -40,6 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     return materialise(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of frames that are gone. It does so when the
+    driver collects garbage, which a driver with little to do may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(text):
     """A-Z lower-cased and nothing else. `lower` does the same where all is ASCII, and is faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
