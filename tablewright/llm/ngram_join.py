@@ -23,7 +23,7 @@ their difference and then by the sets themselves. So copies in thousands need no
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import sliced, written
+from .tables import release, sliced, written
 from .words import mix, shingle_sets
 
 #: Similarity in percent; the bounds below (4/5, 1/9) follow from it.
@@ -126,12 +126,14 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at).astype(np.int64), np.concatenate(keys)
 
 
-def cells(shingles: np.ndarray) -> bytes:
-    """Shingles counted in 2**n cells by hash, about two to a cell: the counts of two sets
-    differ in sum by no more than the sets do."""
-    bits = max(5, math.ceil(math.log2(max(len(shingles), 1) / 2 + 1)))
-    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle by hash, six or more bits a shingle and 2048 at least: the bitmaps
+    of two sets differ in no more bits than the sets do in shingles. Short sets need many
+    bits, since there a single change decides."""
+    size = max(11, math.ceil(math.log2(6 * max(len(shingles), 1))))
+    bits = np.zeros(1 << size, np.uint8)
+    bits[(shingles >> np.uint64(64 - size)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,35 +174,38 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("doc_id"),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                pa.array([cells(s) for s in sets], pa.binary()),
+                pa.array([bitmap(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
             ],
-            names=["id", "shingles", "cells", "n"],
+            names=["id", "shingles", "bits", "n"],
         )
 
 
-def _folded(cell_counts: list[bytes], size: int) -> np.ndarray:
-    out = np.empty((len(cell_counts), size), np.int32)
-    for i, c in enumerate(cell_counts):
-        out[i] = np.frombuffer(c, np.uint8).reshape(size, -1).sum(1)
+def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length: neighbouring bits of longer ones merge."""
+    out = np.empty((len(bitmaps), size), np.uint8)
+    for i, b in enumerate(bitmaps):
+        row = np.frombuffer(b, np.uint8)
+        if len(row) > size:
+            row = np.packbits(np.unpackbits(row).reshape(8 * size, -1).any(1))
+        out[i] = row
     return out
 
 
 def _near_pairs(rows: list[tuple]) -> set[tuple[int, int]]:
-    """Pairs of one block that are in different components and may be similar. A saturated
-    cell only lowers the bound."""
+    """Pairs of one block that are in different components and may be similar."""
     comp = np.array([r[3] for r in rows])
     n = np.array([r[5] for r in rows])
     side = np.array([r[6] for r in rows])
     size = min(len(r[4]) for r in rows)
-    counts = _folded([r[4] for r in rows], size)
+    bits = _folded([r[4] for r in rows], size)
     found = set()
     for i in range(len(rows) - 1):
         ok = (comp[i + 1 :] != comp[i]) & (5 * np.minimum(n[i + 1 :], n[i]) >= 4 * np.maximum(n[i + 1 :], n[i]))
         ok &= (side[i + 1 :] != side[i]) | (side[i] == 0)
         at = np.flatnonzero(ok) + i + 1
         if len(at):
-            apart = np.abs(counts[at] - counts[i]).sum(1)
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
             for j in at[9 * apart <= n[at] + n[i]]:
                 a, b = rows[i][0], rows[int(j)][0]
                 if a != b:
@@ -209,7 +214,7 @@ def _near_pairs(rows: list[tuple]) -> set[tuple[int, int]]:
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, sig, block, comp, cells, n, side), sorted by (sig, block); see `_cross`."""
+    """Rows (id, sig, block, comp, bits, n, side), sorted by (sig, block); see `_cross`."""
     held: list[tuple] = []
     found: set[tuple[int, int]] = set()
 
@@ -231,11 +236,26 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (a, b, x, n, y, m) with two bitmaps and sizes those that may be similar."""
+    for batch in batches:
+        keep = []
+        for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "y", "m"))):
+            ok = 5 * min(n, m) >= 4 * max(n, m)
+            if ok:
+                bits = _folded([x, y], min(len(x), len(y)))
+                ok = 9 * int(np.bitwise_count(bits[0] ^ bits[1]).sum(dtype=np.int64)) <= n + m
+            keep.append(ok)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by the sets themselves."""
-    sets = vectors.select("id", "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    """The pairs (a, b) whose sets are similar enough: first by bitmaps, which are small, then
+    by the sets themselves."""
+    small, sets = vectors.select("id", "bits", "n"), vectors.select("id", "shingles")
+    both = pairs.join(small.toDF("a", "x", "n"), "a").join(small.toDF("b", "y", "m"), "b")
+    left = written(both.mapInArrow(_maybe, "a long, b long").distinct())
+    both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -244,7 +264,8 @@ def _cross(buckets: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFra
     """Pairs of one bucket that no link joins yet and that may be similar."""
     by_sig = Window.partitionBy("sig")
     rows = (
-        buckets.select("sig", "id")
+        buckets.where("members > 2")
+        .select("sig", "id")
         .join(labels, "id", "left")
         .withColumn("comp", F.coalesce("component", "id"))
         .withColumn("mixed", F.min("comp").over(by_sig) != F.max("comp").over(by_sig))
@@ -260,12 +281,38 @@ def _cross(buckets: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFra
     rows = rows.withColumn(
         "side", F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
     )
-    rows = rows.join(vectors.select("id", "cells", "n"), "id")
-    rows = rows.select("id", "sig", "block", "comp", "cells", "n", "side")
+    rows = rows.join(vectors.select("id", "bits", "n"), "id")
+    rows = rows.select("id", "sig", "block", "comp", "bits", "n", "side")
     rows = rows.repartition("sig", "block").sortWithinPartitions("sig", "block")
     return rows.mapInArrow(_block_pairs, "a long, b long").distinct()
 
 
+def similar_pairs(shared: DataFrame, vectors_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that join the ids of `shared` (sig, id) exactly as all similar pairs with a
+    common sig would. `vectors_of(ids)` gives (id, shingles, bits, n) of the ids it gets."""
+    by_sig = Window.partitionBy("sig")
+    shared = shared.withColumn("centre", F.min("id").over(by_sig)).withColumn("members", F.count("*").over(by_sig))
+    buckets = written(shared.where("members > 1"))
+    vectors = written(vectors_of(buckets.select("id").distinct()))
+    release(shared.sparkSession)  # the texts have been dealt out for the last time
+
+    # Buckets of two are pairs, all of them checked here; larger ones have their say later.
+    tried = buckets.where("id <> centre").groupBy("id", "centre")
+    tried = tried.agg(F.count("*").alias("often"), F.min("members").alias("members"))
+    best = Window.partitionBy("id").orderBy(F.desc("often"), "centre")
+    tried = tried.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= CENTRES) | (F.col("members") == 2))
+    tried = tried.select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    near = written(_verified(tried, vectors))
+    labels = components(near)
+    release(shared.sparkSession)
+    return near.union(written(_verified(_cross(buckets, labels, vectors), vectors)))
+
+
+def _vectors_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    rows = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    return rows.mapInArrow(_vectors, "id long, shingles array<long>, bits binary, n long")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, copies.
 
@@ -281,30 +328,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = signed.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same))
     signed = signed.withColumn("copies", F.when(F.col("n").isNotNull(), F.count("*").over(same)))
     signed = written(signed.where("n IS NOT NULL OR low <> high").drop("h2", "high"))
+    release(docs.sparkSession)  # of all signatures only the shared ones are left
     sets = signed.where("n IS NOT NULL").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("low").alias("same"), "copies"
     )
     copies = sets.where("n_shingles > 0 AND doc_id <> same")
     links = copies.select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
 
-    by_sig = Window.partitionBy("sig")
     first = copies.select(F.col("doc_id").alias("id"), "same").distinct()
     shared = signed.where("n IS NULL").select("sig", "id").join(first, "id", "left")
-    shared = shared.select("sig", F.coalesce("same", "id").alias("id")).distinct()
-    shared = shared.withColumn("centre", F.min("id").over(by_sig)).withColumn("high", F.max("id").over(by_sig))
-    buckets = written(shared.where("centre <> high").select("sig", "id", "centre"))
-
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    vectors = docs.join(wanted, "doc_id", "left_semi")
-    vectors = written(vectors.mapInArrow(_vectors, "id long, shingles array<long>, cells binary, n long"))
-
-    tried = buckets.where("id <> centre").groupBy("id", "centre").count()
-    best = Window.partitionBy("id").orderBy(F.desc("count"), "centre")
-    tried = tried.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CENTRES)
-    tried = tried.select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    near = written(_verified(tried, vectors))
-    labels = components(near)
-    near = near.union(written(_verified(written(_cross(buckets, labels, vectors)), vectors)))
+    # Rows of a sig stay together from here to the buckets: one shuffle for all steps.
+    shared = shared.select("sig", F.coalesce("same", "id").alias("id")).repartition("sig").distinct()
+    near = similar_pairs(shared, lambda wanted: _vectors_of(docs, wanted))
     labels = components(links.union(near)).toDF("doc_id", "component_id")
 
     out = sets.join(labels, "doc_id", "left")
