@@ -1,13 +1,18 @@
 """Substring deduplication by paragraphs and by passages inside them.
 
-Paragraphs are lines. Those of enough words get MinHash bands over their five-word
-shingles, tuned for recall at the similarity asked for; paragraphs that share a band are
-compared by their exact Jaccard similarity, and connected components decide what goes.
-
-A passage may be repeated inside longer paragraphs. So lines are also cut into short
-blocks where a hash of two words is the largest among its neighbours: the cuts depend on
-nearby words only, so a repeated passage is cut alike wherever it stands. Blocks are
-compared as they are, and count where enough of them follow each other.
+Paragraphs are lines of enough words. Shorter lines that follow each other are joined into
+paragraphs, which end before lines whose hash is the largest among those nearby; what is
+too short even so is joined with the line next to it. Paragraphs get MinHash bands over
+their five-word shingles, tuned for recall at the similarity asked for; paragraphs that
+share a band are compared by their exact Jaccard similarity, and connected components
+decide what goes.
+
+A passage may be repeated inside longer paragraphs, or in lines of few words. So whole
+texts are also cut into short blocks where a hash of two words is the largest among its
+neighbours: the cuts depend on nearby words only, so a repeated passage is cut alike
+wherever it stands and however its lines break. Lines are cut at their ends as well, so
+that lines repeated between others are found whole. Blocks are compared as they are, and
+count where enough of them follow each other.
 
 Repeats within one document alone are not reported.
 """
@@ -86,19 +91,65 @@ def band_hashes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of blocks: lines cut where a hash of two words is the largest within reach."""
+def blocks(hashes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Offsets of blocks: texts, given by their offsets, cut where a hash of two words is the
+    largest within reach."""
     n = len(hashes)
-    score = mix(hashes + np.concatenate([hashes[1:], hashes[:1]]) * _ODD) if n else hashes
+    text = np.repeat(np.arange(len(texts) - 1), np.diff(texts))
+    following = np.concatenate([hashes[1:], np.zeros(min(n, 1), np.uint64)])
+    following[texts[1:] - 1] = 0
+    score = mix(hashes + following * _ODD)
     top = np.ones(n, bool)
     for k in range(1, REACH + 1):
         if n > k:
-            top[k:] &= score[k:] > score[:-k]
-            top[:-k] &= score[:-k] >= score[k:]
-    top[offsets[:-1]] = True
+            apart = text[k:] != text[:-k]
+            top[k:] &= (score[k:] > score[:-k]) | apart
+            top[:-k] &= (score[:-k] >= score[k:]) | apart
+    top[texts[:-1]] = True
     return np.concatenate([np.flatnonzero(top), [n]])
 
 
+def line_blocks(cut: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sizes of the blocks `cut`, and of those that ends of lines cut further."""
+    finer = np.union1d(cut, at)
+    whole = np.isin(finer[:-1], cut) & np.isin(finer[1:], cut)
+    more = np.flatnonzero(~whole)
+    return np.concatenate([cut[:-1], finer[more]]), np.concatenate([np.diff(cut), np.diff(finer)[more]])
+
+
+def paragraphs(hashes: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of all paragraphs of at least LEAST_LINE words: long lines, runs of
+    short ones, and runs too short for that together with the line next to them."""
+    size = np.diff(at)
+    short = size < LEAST_LINE
+    begins = np.ones(len(size), bool)
+    begins[1:] = (row[1:] != row[:-1]) | (short[1:] != short[:-1]) | ~short[1:]
+    run = np.cumsum(begins)
+    score, cut = sequence_hash(hashes, at), np.ones(len(size), bool)
+    for k in range(1, min(LEAST_LINE, len(size))):
+        apart = (run[k:] != run[:-k]) | (at[k:-1] - at[: -1 - k] >= LEAST_LINE)
+        cut[k:] &= (score[k:] > score[:-k]) | apart
+        cut[:-k] &= (score[:-k] >= score[k:]) | apart
+    # The first and the last piece of a run go to the one beside them if they are too short.
+    stops = np.append(np.flatnonzero(begins)[1:], len(size))[run - 1]
+    since = at[:-1] - at[np.flatnonzero(begins)[run - 1]]
+    cut = begins | cut & (since >= LEAST_LINE) & (at[stops] - at[:-1] >= LEAST_LINE)
+    first = np.flatnonzero(cut)
+    stop = np.append(first[1:], len(size))
+    low = at[stop] - at[first] < LEAST_LINE
+    after = low & (stop < len(size)) & (row[np.minimum(stop, len(size) - 1)] == row[first])
+    before = low & ~after & (first > 0) & (row[np.maximum(first - 1, 0)] == row[first])
+    stop, first = stop + after, first - before
+    fits = at[stop] - at[first] >= LEAST_LINE
+    return at[first[fits]], at[stop[fits]]
+
+
+def _stretches(hashes: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of stretches that may overlap, one after another, and their offsets."""
+    offsets = np.concatenate([[0], np.cumsum(ends - first)])
+    return hashes[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], ends - first)], offsets
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sig, doc_id, first, words, node): a block (without node), or a band of a paragraph."""
     for batch in sliced(batches, "text"):
@@ -111,29 +162,30 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.zeros(batch.num_rows, np.int64)
         begin[row[first_line]] = at[first_line]
 
-        cut = blocks(hashes, at)
-        sizes = np.diff(cut)
-        varied = np.ones(len(hashes), bool)
+        of = np.repeat(row, np.diff(at))
+        texts = np.concatenate([at[first_line], [len(hashes)]])
+        block, sizes = line_blocks(blocks(hashes, texts), at)
+        varied = np.ones(len(hashes), np.int64)
         varied[2:] = (hashes[2:] != hashes[1:-1]) & (hashes[2:] != hashes[:-2])
-        good = (sizes >= LEAST_BLOCK) & (np.add.reduceat(varied, cut[:-1]) >= LEAST_BLOCK - 1)
-        owner = np.searchsorted(at, cut[:-1], "right") - 1
-        good &= known[row[owner]]
-        block = np.flatnonzero(good)
-        parts = [(mix(sequence_hash(hashes, cut)[block]), row[owner[block]], cut[block], sizes[block], None)]
-
-        size = np.diff(at)
+        varied = np.concatenate([[0], np.cumsum(varied)])
+        good = (sizes >= LEAST_BLOCK) & (varied[block + sizes] - varied[block] >= LEAST_BLOCK - 1)
+        good &= known[of[block]]
+        block, sizes = block[good], sizes[good]
+        sig = mix(sequence_hash(*_stretches(hashes, block, block + sizes)))
+        parts = [(sig, of[block], block, sizes, None)]
+
+        first, ends = paragraphs(hashes, at, row)
         some = np.zeros(len(hashes), np.int64)
         some[1:] = hashes[1:] != hashes[:-1]
-        long = np.flatnonzero((size >= LEAST_LINE) & (np.add.reduceat(some, at[:-1]) >= LEAST_LINE // 2) & known[row])
-        if len(long):
-            keep = np.zeros(len(size), bool)
-            keep[long] = True
-            words = hashes[np.repeat(keep, size)]
-            offsets = np.concatenate([[0], np.cumsum(size[long])])
+        some = np.concatenate([[0], np.cumsum(some)])
+        fits = (some[ends] - some[first] >= LEAST_LINE // 2) & known[of[first]]
+        first, ends = first[fits], ends[fits]
+        if len(first):
+            words, offsets = _stretches(hashes, first, ends)
             bands = band_hashes(words, offsets)
             node = np.repeat(sequence_hash(words, offsets), BANDS)
-            line = np.repeat(long, BANDS)
-            parts.append((bands.ravel(), row[line], at[line], size[line], node))
+            first, ends = np.repeat(first, BANDS), np.repeat(ends, BANDS)
+            parts.append((bands.ravel(), of[first], first, ends - first, node))
         for sig, r, first, words, node in parts:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,14 +202,16 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _line_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, shingles, bits, n) of every paragraph long enough."""
     for batch in sliced(batches, "text"):
-        hashes, at, _ = lines(batch.column("text"))
-        size = np.diff(at)
-        long = np.flatnonzero(size >= LEAST_LINE)
-        if not len(long):
+        hashes, at, row = lines(batch.column("text"))
+        if not len(hashes):
+            continue
+        first, last = paragraphs(hashes, at, row)
+        if not len(first):
             continue
-        node = sequence_hash(hashes, at)[long]
-        grams, offsets = shingles(hashes, at)
-        sets = [_distinct(grams[offsets[i] : offsets[i + 1]]) for i in long.tolist()]
+        words, at = _stretches(hashes, first, last)
+        node = sequence_hash(words, at)
+        grams, offsets = shingles(words, at)
+        sets = [_distinct(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
@@ -171,12 +225,14 @@ def _line_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _across(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` whose key occurs in several documents, with the first place it occurs at. Hot
-    keys combine before the shuffle; joining back is a plain join that Spark splits."""
-    place = F.struct("doc_id", "first")
+    """`rows` whose key occurs in several documents, and whether they are, or overlap, the first
+    place it occurs at. Hot keys combine before the shuffle; joining back is a plain join
+    that Spark splits."""
+    place = F.struct("doc_id", "first", "words")
     groups = rows.groupBy(key).agg(F.min(place).alias("origin"), F.max("doc_id").alias("last"))
     groups = groups.where("origin.doc_id <> last").drop("last")
-    return rows.join(groups, key).withColumn("kept", place == F.col("origin")).drop("origin")
+    kept = F.expr("doc_id = origin.doc_id AND first < origin.first + origin.words")
+    return rows.join(groups, key).withColumn("kept", kept).drop("origin")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -187,7 +243,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     that repeat each other in at least two documents; its first one (by doc_id and place)
     is kept, all others are to be removed. Rows without text or doc_id have no pieces; rows
     that repeat a doc_id count as one document. Pieces that repeat one or two words over
-    and over are passed by. Other columns are ignored.
+    and over are passed by. Pieces may overlap; pieces that overlap the first one of their
+    component are kept with it. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = docs.mapInArrow(_units, "sig long, doc_id long, first int, words int, node long")
@@ -196,11 +253,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     hits = written(units.join(shared, "sig"))
 
     found = written(_across(hits.where("node IS NULL").select("sig", "doc_id", "first", "words"), "sig"))
-    places = Window.partitionBy("doc_id").orderBy("first")
-    end = F.lag(F.col("first") + F.col("words")).over(places)
-    new = F.when(F.col("first") <= end + GAP, 0).otherwise(1)
-    found = found.withColumn("new", new).withColumn("passage", F.sum("new").over(places))
-    long = F.sum("words").over(Window.partitionBy("doc_id", "passage")) >= LEAST_PASSAGE
+    places = Window.partitionBy("doc_id").orderBy("first", "words").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("end", F.max(F.col("first") + F.col("words")).over(places))
+    new = F.when(F.col("first") <= F.col("end") + GAP, 0).otherwise(1)
+    more = F.col("first") + F.col("words") - F.greatest("first", F.coalesce("end", "first"))
+    found = found.withColumn("new", new).withColumn("more", F.greatest(more, F.lit(0)))  # words of no block before
+    found = found.withColumn("passage", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
+    long = F.sum("more").over(Window.partitionBy("doc_id", "passage")) >= LEAST_PASSAGE
     found = found.withColumn("long", long).where("long")
     passages = found.select("doc_id", F.lit("passage").alias("kind"), "first", "words", F.col("sig").alias("component"), "kept")
 

@@ -143,6 +143,50 @@ def test_repeated_passages(spark, nothing):
     assert paragraphs.repeated_passages(nothing).count() == 0
 
 
+def test_passages_in_short_lines(spark):
+    """Word for word in lines of one to eight words, broken elsewhere, and nearly so."""
+    rng = random.Random(9)
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows, pairs = [], []
+    for n in range(1, 9):
+        passage = prose(rng, 60, 5000)
+        for k in range(2):
+            around = [prose(rng, 30, 5000) for _ in range(2)]
+            rows.append((10 * n + k, "\n".join([around[0], wrap(passage, n), around[1]])))
+        pairs += [10 * n, 10 * n + 1]
+    broken = prose(rng, 60, 5000)
+    rows += [(100, wrap(broken, 3)), (101, wrap(broken, 4)), (102, "one\ntwo\n\nthree"), (103, "one\ntwo\n\nthree")]
+    near = wrap(prose(rng, 400, 5000), 8).split("\n")
+    other = [*near[:20], near[20] + " more", *near[21:]]
+    for d, lines in ((110, near), (111, other)):
+        rows.append((d, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = paragraphs.repeated_passages(df).collect()
+    assert {r.doc_id for r in got if r.kind == "passage"} >= {*pairs, 100, 101}
+    assert {r.doc_id for r in got if r.kind == "paragraph"} >= {110, 111}
+    assert {r.doc_id for r in got}.isdisjoint({102, 103})
+    by = {}
+    for r in got:
+        by.setdefault((r.kind, r.component), []).append(r)
+    assert all({r.doc_id for r in rs if r.kept} == {min(r.doc_id for r in rs)} for rs in by.values())
+
+
+def test_paragraphs_cover_short_lines():
+    rng = random.Random(10)
+    texts = ["\n".join(prose(rng, rng.randrange(1, most), 900) for _ in range(40)) for most in (2, 4, 9, 19, 40)]
+    alone = []
+    for column in (pa.array(texts), *[pa.array([t]) for t in texts]):
+        hashes, at, row = paragraphs.lines(column)
+        first, ends = paragraphs.paragraphs(hashes, at, row)
+        assert (ends - first >= paragraphs.LEAST_LINE).all()
+        covered = np.zeros(len(hashes), bool)
+        for a, b in zip(first, ends):
+            covered[a:b] = True
+        assert covered.all()
+        alone.append(sorted(hashes[a:b].tolist() for a, b in zip(first, ends)))
+    assert alone[0] == sorted(sum(alone[1:], []))
+
+
 def test_bands_are_tuned_for_recall():
     bands, rows = paragraphs.tuned()
     assert 1 - (1 - paragraphs.SIMILARITY**rows) ** bands >= paragraphs.RECALL
