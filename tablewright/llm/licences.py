@@ -1,11 +1,13 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines) are described by hashed word one- to three-grams. One logistic
+Paragraphs are lines, and runs of lines that are not blank, since notices are often
+wrapped. They are described by hashed word one- to three-grams. One logistic
 regression per licence family is trained on variants of the family's templates against
 the other families and against ordinary paragraphs of the corpus. A family's probability
 is calibrated on paragraphs kept from training; a paragraph whose best calibrated
 probability is under `CONFIDENT` is of the unknown class. What remains must also share
-enough pairs of neighbouring words with a template of that family.
+enough pairs of neighbouring words with a template of that family. Every place that does is
+a statement; of families that claim the same words, the most probable one has them.
 
 Templates are short public notices by which works state their licence.
 """
@@ -15,6 +17,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +81,9 @@ VARIANTS = 60  # made of each template
 BACKGROUND = 4000  # ordinary paragraphs learned from, drawn by hash
 LONGEST = 40  # words of a paragraph looked at together; longer ones are looked at in overlapping pieces
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
-#: A word that every template has one of; paragraphs without any can't be confirmed.
+#: Comment marks and blanks; a line of nothing else ends a paragraph.
+_MARKS = " \t\r\f\v#*/;%!<>|-"
+#: A word that every template has one of; paragraphs with any are no ordinary ones to learn from.
 _NEEDED = re.compile(
     r"licen[cs]e|licensed|copyright|permission|permitted|rights reserved|creative commons|redistribut|cc by|spdx|apache|gnu", re.I
 )
@@ -87,6 +93,24 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
+def _needed_words() -> list[str]:
+    """Words of which every confirmed paragraph has one: of each template, the pairs without any
+    of them are too few to be the share that confirms."""
+    chosen: set[str] = set()
+    for template in (words_of(t) for ts in TEMPLATES.values() for t in ts):
+        pairs = list(zip(template, template[1:]))
+        for word in sorted(set(template), key=lambda w: (-len(w), w)):
+            if sum(not chosen & set(p) for p in pairs) < SHARED * len(pairs):
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
+_CAN = re.compile("|".join(map(re.escape, _needed_words())))
+_PAIRS = {p for ts in TEMPLATES.values() for t in ts for p in zip(words_of(t), words_of(t)[1:])}
+_LEAST_PAIRS = min(ceil(SHARED * (len(words_of(t)) - 1)) for ts in TEMPLATES.values() for t in ts)
+
+
 def features(words: list[str]) -> np.ndarray:
     """Hashed one- to three-grams."""
     grams = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
@@ -133,17 +157,41 @@ class Classifier:
         at = features(words)
         return self.weights[at].sum(0) / np.sqrt(max(len(at), 1)) + self.constant
 
-    def judge(self, words: list[str]) -> tuple[str, float, float] | None:
-        """(family, probability, share of the best template's pairs), or None if unknown."""
+    def judge(self, words: list[str]) -> list[tuple[str, float, float, int, int]]:
+        """(family, probability, share of the template's pairs, first word, end) of all statements."""
+        near = [(k, t, share) for k, f in enumerate(FAMILIES) for t in self.templates[f] if (share := _shared(t, words)) >= SHARED]
+        if not near:
+            return []
         slope, shift = self.calibration
         p = 1 / (1 + np.exp(-np.clip(slope * self.margins(words) + shift, -30, 30)))
-        for k in np.argsort(-p):
-            if p[k] < CONFIDENT:
-                return None
-            shared = max(_shared(t, words) for t in self.templates[FAMILIES[k]])
-            if shared >= SHARED:
-                return FAMILIES[k], float(p[k]), shared
-        return None
+        return [
+            (FAMILIES[k], float(p[k]), share, *place) for k, t, share in near if p[k] >= CONFIDENT for place in _places(t, words)
+        ]
+
+
+def _places(template: list[str], words: list[str]) -> list[tuple[int, int]]:
+    """Where the template stands in words that share enough with it: the densest place, and
+    others that share enough by themselves."""
+    pairs = list(zip(template, template[1:]))
+    wanted, reach = set(pairs), len(template) * 3 // 2
+    found = []
+
+    def search(at: list[int], least: float) -> None:
+        best = None
+        for i, first in enumerate(at):
+            inside = [j for j in at[i:] if j < first + reach]
+            have = {(words[j], words[j + 1]) for j in inside}
+            share = sum(p in have for p in pairs) / len(pairs)
+            size = inside[-1] + 2 - first
+            if share >= least and (best is None or (share, -size) > best[:2]):
+                best = share, -size, first, first + size
+        if best:
+            found.append(best[2:])
+            search([j for j in at if j + 1 < best[2]], SHARED)
+            search([j for j in at if j >= best[3]], SHARED)
+
+    search([j for j, p in enumerate(zip(words, words[1:])) if p in wanted], 0.0)
+    return found
 
 
 def _shared(template: list[str], words: list[str]) -> float:
@@ -186,16 +234,67 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def pieces(text: str) -> Iterator[tuple[int, str]]:
-    """(number, paragraph) of the lines that may state a licence."""
-    if _NEEDED.search(text):
-        for number, line in enumerate(text.split("\n")):
-            if _NEEDED.search(line):
-                yield number, line
+def paragraphs(text: str) -> Iterator[tuple[list[str], list[int]]]:
+    """(words, line number of each) of the runs of lines that are not blank."""
+    words: list[str] = []
+    of: list[int] = []
+    for number, line in enumerate(text.split("\n")):
+        if not line.strip(_MARKS):
+            if words:
+                yield words, of
+            words, of = [], []
+            continue
+        more = words_of(line)
+        words += more
+        of += [number] * len(more)
+    if words:
+        yield words, of
+
+
+def windows(of: list[int]) -> Iterator[tuple[int, int]]:
+    """First words and ends of the pieces looked at: of each line, and of the whole run."""
+    starts = [i for i in range(len(of)) if not i or of[i] != of[i - 1]]
+    spans = dict.fromkeys([*zip(starts, [*starts[1:], len(of)]), (0, len(of))])
+    for first, end in spans:
+        for at in range(first, max(first + 1, end - LONGEST // 2), LONGEST // 2):
+            yield at, min(at + LONGEST, end)
+
+
+def merged(hits: list[tuple[str, float, float, int, int]]) -> list[tuple[str, float, float, int, int]]:
+    """Overlapping hits of one family as one; of different families, a hit that lies in a more
+    probable one for more than half of its words is left out."""
+    one: list[tuple[str, float, float, int, int]] = []
+    for family, p, share, first, end in sorted(hits, key=lambda h: (h[0], h[3], h[4])):
+        if one and one[-1][0] == family and first < one[-1][4]:
+            _, p0, share0, first0, end0 = one[-1]
+            one[-1] = family, max(p, p0), max(share, share0), first0, max(end, end0)
+        else:
+            one.append((family, p, share, first, end))
+    kept: list[tuple[str, float, float, int, int]] = []
+    for hit in sorted(one, key=lambda h: (-h[1], -h[2], h[3], h[0])):
+        if not any(2 * (min(hit[4], k[4]) - max(hit[3], k[3])) > hit[4] - hit[3] for k in kept):
+            kept.append(hit)
+    return sorted(kept, key=lambda h: (h[3], h[0]))
+
+
+def statements(text: str, judge) -> Iterator[tuple[int, str, float, float]]:
+    """(line number, family, probability, share) of every statement in a text."""
+    if not _CAN.search(text.lower()):
+        return
+    for words, of in paragraphs(text):
+        known = [0, *accumulate(p in _PAIRS for p in zip(words, words[1:])), 0]
+        if known[-2] < _LEAST_PAIRS:
+            continue
+        hits = []
+        for at, end in windows(of):
+            if known[max(at, end - 1)] - known[at] >= _LEAST_PAIRS:
+                hits += [(f, p, share, at + a, at + b) for f, p, share, a, b in judge(words[at:end])]
+        for family, p, share, first, _ in merged(hits):
+            yield of[first], family, p, share
 
 
 def licences(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
-    """One row per licence statement: doc_id, paragraph (line number from 0), family,
+    """One row per licence statement: doc_id, paragraph (number from 0 of its first line), family,
     probability, shared (of a template's pairs of words).
 
     The classifier is fitted on the templates and on lines of at most about `background`
@@ -212,24 +311,20 @@ def licences(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
     model = spark.sparkContext.broadcast(train([r.line[:2000] for r in lines]))  # 2**BITS numbers a family
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple | None] = {}
+        known: dict[str, list[tuple]] = {}
+
+        def judge(part: list[str]) -> list[tuple]:
+            key = " ".join(part)
+            if key not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[key] = model.value.judge(part)
+            return known[key]
+
         for batch in sliced(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for number, line in pieces(text or ""):
-                    words = words_of(line)
-                    for at in range(0, max(1, len(words) - LONGEST // 2), LONGEST // 2):
-                        part = words[at : at + LONGEST]
-                        key = " ".join(part)
-                        if not _NEEDED.search(key):
-                            continue
-                        if key not in known:
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[key] = model.value.judge(part)
-                        if known[key]:
-                            rows.append((doc, number, *known[key]))
-                            break
+                rows += [(doc, *found) for found in statements(text or "", judge)]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(

@@ -246,6 +246,24 @@ def test_licences(spark, nothing):
     assert licences.licences(nothing).count() == 0
 
 
+def test_wrapped_and_several_licences(spark):
+    rng = random.Random(11)
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software\nwithout restriction."
+    dual = "Released under the MIT License. " + prose(rng, 60) + " This work is licensed under the GNU General Public License, version 3."
+    rows = [(0, f"#\n{bsd}\n#"), (1, mit), (2, dual), (3, "Licensed under\nCC BY-NC 4.0."), (4, f"{prose(rng, 12)}\n\n{prose(rng, 9)}")]
+    rows += [(10 + i, prose(rng, 30)) for i in range(60)]
+    got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(0, 1, "BSD"), (1, 0, "MIT"), (2, 0, "GPL"), (2, 0, "MIT"), (3, 0, "CC-NC")]
+
+
+def test_confirmed_licences_have_a_needed_word():
+    needed = set(licences._needed_words())
+    for template in (licences.words_of(t) for ts in licences.TEMPLATES.values() for t in ts):
+        pairs = list(zip(template, template[1:]))
+        assert sum(not needed & set(p) for p in pairs) < licences.SHARED * len(pairs)
+
+
 def test_logistic_regression_separates():
     x = np.array([[0.0], [1.0], [2.0], [3.0]] * 20)
     w = toxicity.fit(x, (x[:, 0] > 1.5).astype(float))
