@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 
@@ -25,7 +26,8 @@ STANDS_FOR = {
 }
 #: Natural logarithms of the channel's probabilities.
 LEET, MASK, SKIP, COPY, SINGLE, BREAK = -1.0, -2.5, -4.0, -0.5, -2.0, -1.5
-LONGEST = 32  # characters of a token that may be a disguised word
+LONGEST = 32  # characters decoded as one word; longer tokens are split, or decoded in overlapping pieces
+RANDOM = -float(np.log(SYMBOLS))  # of a letter that says nothing
 
 _LETTERS = np.full(256, 255, np.uint8)
 _LETTERS[0] = 0
@@ -34,6 +36,9 @@ for _c in range(26):
 _LETTERS[[0xDF, 0xE6, 0xF0, 0xF8, 0xFE]] = 27
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$@|+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_BARE = "".join(c for c in _EDGE if c not in STANDS_FOR)
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.S)  # lattices read any run of three or more alike
+_PARTS = re.compile(f"[^\\w{re.escape(''.join(c for c in STANDS_FOR if not c.isdigit()))}]+|_+")
 _TAIL = re.compile(r"([^\w\s])\1\1+$")
 _APART = re.compile(r"[\w$@!|+](?:([.\-_*·/])[\w$@!|+])(?:\1[\w$@!|+])+$")
 #: Three or more characters standing alone, one space or tab apart.
@@ -81,8 +86,9 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.ravel().tolist()
 
-    def lattice(self, token: str, spaced: bool) -> list[list[tuple[str, float]]] | None:
-        """For each stretch of the token its readings; None if it can't be a word."""
+    def lattice(self, token: str, spaced: bool, core: tuple[int, int] | None = None) -> list[list[tuple[str, float]]] | None:
+        """For each stretch of the token its readings; None if it can't be a word. Marks
+        outside `core` (its first character and end) may also be plain punctuation."""
         out: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(token):
@@ -106,58 +112,90 @@ class Restorer:
                 return None
             else:
                 options = [("", SKIP / 2)]
+            if core and not core[0] <= i < core[1]:
+                options = [*(o for o in options if o[0]), ("", 0.0)]
             out.append(options)
             if spaced and j < len(token):
                 out.append([("", 0.0), ("\0", BREAK)])
             i = j
         return out
 
-    def viterbi(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The most likely reading; words are separated by a space."""
+    def viterbi(self, lattice: list[list[tuple[str, float]]], likely: bool = False) -> str:
+        """The most likely reading; words are separated by a space. With `likely`, empty if the
+        model finds it no likelier than letters at random."""
         model = self.model
-        best: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for options in [*lattice, [("\0", 0.0)]]:
-            following: dict[int, tuple[float, str]] = {}
+            following: dict[int, tuple[float, tuple]] = {}
             for state, (score, read) in best.items():
                 for letters, cost in options:
                     total, at, word = score + cost, state, read
                     if letters == "\0":
                         total += model[at * SYMBOLS]
-                        at, word = 0, word + " "
-                    else:
+                        at, word = 0, (read, " ")
+                    elif letters:
                         for letter in letters:
                             symbol = ord(letter) - 96
                             symbol = symbol if 0 < symbol < 27 else 27
                             total += model[at * SYMBOLS + symbol]
                             at = (at * SYMBOLS + symbol) % (SYMBOLS**3)
-                        word += letters
+                        word = (read, letters)
                     have = following.get(at)
                     if have is None or total > have[0]:
                         following[at] = (total, word)
             best = following
-        return max(best.values())[1].strip()
+        score, read = max(best.values(), key=lambda b: b[0])
+        if likely and score <= RANDOM + sum(max(cost + len(s) * RANDOM for s, cost in options) for options in lattice):
+            return ""
+        parts = []
+        while read:
+            read, letters = read
+            parts.append(letters)
+        return "".join(reversed(parts)).strip()
 
     def words(self, token: str) -> list[str]:
         """The words that a token (lower case, no white space) reads as."""
         token = _TAIL.sub("", token)
-        core = token.strip(_EDGE)
+        core, full = token.strip(_EDGE), token.strip(_BARE)
         if core.isalpha() and not _RUN.search(core):
-            return [core]
-        if not core or len(core) > LONGEST or not any(c.isalpha() for c in core):
-            return []
+            return [core] if core == full else list(dict.fromkeys([core, *self.decoded(full)]))
         if _APART.match(core):
             return self.spaced(core[::2])
-        lattice = self.lattice(core, False)
-        if lattice is None or sum(c.isalpha() for c in core) * 3 < len(core):
-            return [w for w in re.split(r"[\W\d_]+", core) if w]
-        return self.viterbi(lattice).split() + [w for w in re.split(r"[\W\d_]+", core) if len(w) > 2]
+        found = self.decoded(full)
+        least = 0 if not found or sum(c.isalpha() for c in core) * 3 < len(core) else 2
+        return found + [w for w in re.split(r"[\W\d_]+", core) if len(w) > least]
+
+    def decoded(self, token: str) -> list[str]:
+        """The words that a token reads as under the model. A token of over LONGEST characters
+        is decoded part by part, and parts that are longer in overlapping pieces."""
+        token = _LONG_RUN.sub(r"\1\1\1", token)
+        if len(token) > LONGEST:
+            parts = [p for p in _PARTS.split(token) if p]
+            if len(parts) > 1:
+                return [w for p in parts for w in self.decoded(p)]
+            half = LONGEST // 2
+            pieces = [token[at : at + LONGEST] for at in range(0, len(token) - half, half)]
+        else:
+            pieces = [token]
+        found: list[str] = []
+        for piece in pieces:
+            core = piece.strip(_EDGE)
+            first = piece.find(core)
+            lattice = self.lattice(piece, False, (first, first + len(core))) if core else None
+            if lattice is not None:
+                letters = sum(c.isalpha() for c in core)
+                found += self.viterbi(lattice, letters * 3 < len(core)).split()
+        return found
 
     def spaced(self, letters: str) -> list[str]:
         """The words that spaced letters read as."""
         found: list[str] = []
-        for at in range(0, len(letters), 2 * LONGEST):
-            part = letters[at : at + 2 * LONGEST]
-            lattice = self.lattice(part, True) if any(c.isalpha() for c in part) else None
+        for readable, some in groupby(letters, self.readable):
+            part = "".join(some)
+            lattice = self.lattice(part, True) if readable and any(c.isalpha() for c in part) else None
             if lattice is not None:
                 found += self.viterbi(lattice).split()
         return found
+
+    def readable(self, c: str) -> bool:
+        return self.lattice(c, True) is not None

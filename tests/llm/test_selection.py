@@ -183,6 +183,19 @@ def test_disguised_words_are_read():
     assert reader.words("good,") == ["good"] and reader.words("the###") == ["the"]
 
 
+def test_long_and_edge_disguises_are_read():
+    text = Counter({"stupid": 30, "idiot": 30, "loser": 30, "trash": 30, "ass": 30, "shit": 30, "good": 40, "the": 90, "people": 50, "is": 60, "on": 40})
+    reader = Restorer(log_probabilities(count_grams(text)))
+    for token, word in (
+        ("st" + "u" * 40 + "pid", "stupid"), ("the-good-people-5tup1d-the-good-people", "stupid"), ("the.good.people.the.good.people.2", "people"),
+        ("455", "ass"), ("@$$", "ass"), ("5h17", "shit"), ("!diot", "idiot"), ("(good", "good"), ("good!", "good"),
+    ):
+        assert word in reader.words(token), token
+    assert reader.words("good!") == ["good"] and reader.words("12345") == [] and reader.words("1" * 50) == []
+    assert reader.spaced("stupid" * 30) == ["stupid"] * 30
+    assert reader.spaced("stupidя5tupid") == ["stupid", "stupid"]
+
+
 def toxic_rows():
     rng = random.Random(6)
     bad = ["stupid", "idiot", "loser", "trash"]
