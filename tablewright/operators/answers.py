@@ -12,6 +12,7 @@ from . import recommend
 from .ask import COUNT, aggregate, group_aggregate, group_by_month
 from .diagnosis import diagnose
 from .profile import completeness_score, duplicate_sample, missing_by_column
+from .roles import NUMERICAL, infer_roles, with_role
 
 
 def answer(df: DataFrame, intent: Mapping, row_id: str | None = None) -> DataFrame | None:
@@ -60,5 +61,5 @@ def chart_data(df: DataFrame, chart: str, x_axis: str, y_axis: str, row_id: str
     if chart == "Histogram":
         return recommend.histogram_data(df, x_axis)
     if chart == "Heatmap":
-        return recommend.heatmap_data(df, row_id)
+        return recommend.heatmap_data(df, with_role(infer_roles(df, row_id), NUMERICAL))
     raise ValueError(f"unknown chart {chart!r}")

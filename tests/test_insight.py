@@ -9,6 +9,7 @@ from tablewright.operators import diagnosis as d
 from tablewright.operators import missing as m
 from tablewright.operators import outliers as o
 from tablewright.operators import recommend as r
+from tablewright.operators.answers import chart_data
 from tablewright.operators.ask import aggregate, bottom_n, chart_series, top_n
 from tablewright.operators.questions import tag_questions
 from tablewright.operators.roles import infer_roles
@@ -86,6 +87,21 @@ def test_roles(spark):
     }
 
 
+def test_every_chart_has_data(spark):
+    data = [(i, f"k{i % 3}", f"g{i % 2}", f"2024-0{i % 6 + 1}-01", i * 1.25, (i * 7 % 50) + 0.5, (i * i % 90) + 0.25) for i in range(120)]
+    df = spark.createDataFrame(data, "_row_id long, kind string, grade string, day string, price double, cost double, weight double")
+    df = df.withColumn("day", df["day"].cast("date"))
+    charts = [("Line Chart", "day", "price"), ("Bar Chart", "kind", "price"), ("Bar Chart", "kind", "Record Count"), ("Pie Chart", "kind", "Count"),
+              ("Scatter Plot", "price", "cost"), ("Geographic Map", "kind", "price"), ("Stacked Bar Chart", "kind", "price by grade"),
+              ("Histogram", "price", "Frequency")]
+    for chart, x, y in charts:
+        assert chart_data(df, chart, x, y, "_row_id").count() > 0, chart
+    for frame, row_id in ((df, "_row_id"), (df.drop("_row_id"), None)):
+        got = chart_data(frame, "Heatmap", "Numerical Columns Matrix", "Correlation Score", row_id).collect()
+        assert [(x.x, x.y) for x in got] == [("price", "cost"), ("price", "weight"), ("cost", "weight")]
+        assert all(abs(x.correlation - df.stat.corr(x.x, x.y)) < 1e-9 for x in got)
+
+
 def test_constant_columns_have_no_correlation(spark):
     df = spark.createDataFrame([(float(i), 7.0, float(-2 * i)) for i in range(10)], "a double, b double, c double")
     assert rows(d.top_correlation(df, "a")) == [("c", pytest.approx(-1.0), "strong", "negative")]
