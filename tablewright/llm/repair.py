@@ -25,10 +25,10 @@ from .tables import sliced
 from .tokens import words_of
 
 SHARD = 1 << 20  # ids of a shard, unless one document has more
-ROUNDS = 6
 SLOTS = 18  # bits of the table that counts pairs by hash
 PAIRS = 8192  # new symbols a round
 LEAST = 8  # times a pair must occur
+FEW = 0.99  # rounds end with one that leaves more than this share of the symbols
 FIRST = 1 << 16  # new symbols count from here; ids are smaller
 _MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sBxxxqqqq")
@@ -51,7 +51,7 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> Shard:
     last[ends - 1] = True
     size = np.ones(FIRST, np.int64)
     rules, rounds = [np.zeros((0, 2), np.int64)], []
-    for _ in range(ROUNDS):
+    while True:
         keys = seq[:-1] << 32 | seq[1:]
         slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
         slot[last[:-1]] = 1 << SLOTS
@@ -83,7 +83,7 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> Shard:
         before = len(seq)
         seq, last = seq[stays], last[stays]
         rounds.append(len(size) - FIRST)
-        if len(seq) > 0.99 * before:
+        if len(seq) > FEW * before:
             break
     docs = np.concatenate([[0], np.flatnonzero(last) + 1])
     return Shard(docs, np.array(rounds, np.int64), np.concatenate(rules), size[FIRST:], seq)

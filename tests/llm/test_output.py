@@ -63,6 +63,14 @@ def test_shards_round_trip(docs, seed):
         assert decoder.document(k).tolist() == d and decoder.document(k, low, high).tolist() == d[low:high]
 
 
+def test_long_repeats_become_few_symbols():
+    block = np.arange(1, 513)
+    ids, ends = np.tile(block, 100).astype("<u4"), 512 * np.arange(1, 101)
+    shard = repair.compress(ids, ends)
+    assert len(shard.sequence) <= 200
+    assert repair.Decoder(shard).expand(shard.sequence).tolist() == ids.tolist()
+
+
 def test_ids_from_files(spark, odd, nothing):
     path = scratch_path(spark, "ids")
     repair.write_ids(odd, path, BYTES, shard=500)
