@@ -11,10 +11,12 @@ import corpus_pipeline
 from tablewright.functions.storage import scratch_path
 
 from . import (
+    centroids,
     exact_dedup,
     fingerprints,
     licences,
     mixing,
+    negatives,
     ngram_join,
     packing,
     paragraphs,
@@ -130,6 +132,73 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+#: Vectors of whole numbers, without those that take no part.
+_WHOLE = """
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLE["op11_hard_negatives"] = f"""
+WITH whole AS ({_WHOLE.format(scale=256)} AND label IS NOT NULL),
+rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, v FROM whole),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+negatives AS (
+  SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 3
+"""
+
+
+@_query
+def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Every round as a step of its own: distances to all centroids, then floors of the means."""
+    squared = "CAST(list_sum(list_transform(list_zip(r.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [
+        f"whole AS MATERIALIZED (SELECT *, row_number() OVER () AS place FROM ({_WHOLE.format(scale=64)} AND len(embedding) = 64))",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v FROM whole "
+        "QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= 16)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT vec_id, v, min(code) % 16 AS k, min(code) // 16 AS d FROM "
+            f"(SELECT r.vec_id, r.v, r.place, 16 * {squared} + c.k AS code FROM whole r CROSS JOIN c{i} c) GROUP BY place, vec_id, v)"
+        )
+        if i < rounds:
+            steps.append(
+                f"m{i} AS (SELECT k, list(f ORDER BY i) AS v FROM (SELECT k, i, CAST(floor_mean AS BIGINT) AS f FROM "
+                f"(SELECT k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean FROM "
+                f"(SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY k, i)) GROUP BY k), "
+                f"c{i + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k))"
+            )
+    return (
+        f"WITH {', '.join(steps)} SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, "
+        "CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c USING (k)"
+    )
+
+
+ORACLE["op12_ptolemaic_clusters"] = _clusters_sql()
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
