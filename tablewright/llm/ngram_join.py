@@ -17,7 +17,11 @@ other sets write them all. Plans are chosen so that they are few. Nothing is los
 
 Signatures only propose. Within a bucket, members are first checked against few centres;
 after that only members of different components are compared, by an exact lower bound on
-their difference and then by the sets themselves. So copies in thousands need no pairs.
+their difference (bitmaps) and then by the sets themselves, which only the survivors of the
+bitmaps are asked for. So copies in thousands need no pairs, and texts are not shuffled.
+Signatures that a batch holds many times are known to be shared: all but two of their rows
+go round the shuffle that finds out, so a hot signature is no hot task there; all other
+steps group it with sums before the shuffle, or join it, which Spark splits.
 """
 
 from __future__ import annotations
@@ -32,15 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.storage import copies, drop_copies
+
 from .components import components
 from .tables import release, sliced, written
-from .words import mix, shingle_sets
+from .words import SHINGLE, mix, shingle_sets
 
 #: Similarity in percent; the bounds below (4/5, 1/9) follow from it.
 PERCENT = 80
 RATIO = 1.6  # largest to smallest size in a band
 CENTRES = 3  # checked per set before components are built
 TILE = 1500  # members of a bucket compared in one block
+TWICE = 2  # rows of a signature that a batch sends to find out whether it is shared
+FEW = 1 << 20  # ids that may be broadcast: some 30 MB
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -136,49 +144,89 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    one = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
+    other = np.array([int(mix(s ^ _SALT).sum(dtype=np.uint64)) for s in sets], np.uint64)
+    return mix(one ^ other).view(np.int64), other.view(np.int64)
+
+
+def later(keys: np.ndarray, times: int) -> np.ndarray:
+    """Which keys have occurred `times` times before, in order."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    out = np.zeros(len(keys), bool)
+    out[order[times:]] = ordered[times:] == ordered[: len(keys) - times]
+    return out
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row (digest of its set, id, set size, second digest), and (signature, id) for
-    each of its signatures; sets already seen in this task sign only once."""
+    """For each row (digest of its set, id, set size, second digest), and (signature, id, null or
+    -1) for each of its signatures: -1 where the batch shows that it is shared. Sets already seen
+    in this task sign only once."""
     seen: set[tuple[int, int]] = set()
     for batch in sliced(batches, "text"):
         sets = shingle_sets(batch.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
-        digests = [(int(s.sum(dtype=np.uint64)), int(mix(s ^ _SALT).sum(dtype=np.uint64))) for s in sets]
+        one, other = digests(sets)
         ids = batch.column("doc_id")
-        both = np.array(digests, np.uint64).reshape(-1, 2)
-        first = mix(both[:, 0] ^ both[:, 1]).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(first), ids, pa.array(n), pa.array(both[:, 1].view(np.int64))], names=["sig", "id", "n", "h2"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(one), ids, pa.array(n), pa.array(other)], names=["sig", "id", "n", "h2"])
         new = []
-        for i, digest in enumerate(digests):
+        for i, digest in enumerate(zip(one.tolist(), other.tolist())):
             if n[i] and ids[i].is_valid and digest not in seen:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(digest)
                 new.append(i)
         at, keys = signatures([sets[i] for i in new])
-        none = pa.nulls(len(keys), pa.int64())
+        shared = later(keys, TWICE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), ids.take(pa.array(np.array(new, np.int64)[at])), none, none],
+            [
+                pa.array(keys.view(np.int64)),
+                ids.take(pa.array(np.array(new, np.int64)[at])),
+                pa.array(np.full(len(keys), -1), mask=~shared),
+                pa.nulls(len(keys), pa.int64()),
+            ],
             names=["sig", "id", "n", "h2"],
         )
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text", 1 << 20):
-        sets = shingle_sets(batch.column("text"))
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                pa.array([bitmap(s) for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()),
-            ],
-            names=["id", "shingles", "bits", "n"],
-        )
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, shingles) of the texts of the wanted ids."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            found = shingle_sets(batch.column("text"), size)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+            values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["id", "shingles"])
+
+    some, _ = _chosen(docs, wanted)
+    return some.mapInArrow(sets, "id long, shingles array<long>")
+
+
+def bits_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, bits, n) of the texts of the wanted ids: bitmaps and sizes of their sets."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            found = shingle_sets(batch.column("text"), size)
+            columns = [pa.array([bitmap(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["id", "bits", "n"])
+
+    some, few = _chosen(docs, wanted)
+    if few:
+        return some.mapInArrow(bits, "id long, bits binary, n long")
+    every = docs.where("doc_id IS NOT NULL").mapInArrow(bits, "id long, bits binary, n long")
+    return every.join(wanted, "id", "left_semi")  # bitmaps are shuffled, not texts
+
+
+def _chosen(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows of `docs` with a wanted id, by broadcast if there are few ids, and whether so."""
+    few = wanted.limit(FEW + 1).count() <= FEW
+    wanted = wanted.withColumnRenamed("id", "doc_id")
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), few
 
 
 def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
@@ -249,68 +297,95 @@ def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: first by bitmaps, which are small, then
-    by the sets themselves."""
-    small, sets = vectors.select("id", "bits", "n"), vectors.select("id", "shingles")
-    both = pairs.join(small.toDF("a", "x", "n"), "a").join(small.toDF("b", "y", "m"), "b")
-    left = written(both.mapInArrow(_maybe, "a long, b long").distinct())
-    both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps don't rule out."""
+    both = pairs.join(bits.toDF("a", "x", "n"), "a").join(bits.toDF("b", "y", "m"), "b")
+    return both.mapInArrow(_maybe, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of the written pairs (a, b) those whose sets are similar enough."""
+    ids = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))
+    found = sets(ids)
+    both = pairs.join(found.toDF("b", "y"), "b").join(found.toDF("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def _cross(buckets: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs of one bucket that no link joins yet and that may be similar."""
-    by_sig = Window.partitionBy("sig")
-    rows = (
-        buckets.where("members > 2")
-        .select("sig", "id")
-        .join(labels, "id", "left")
-        .withColumn("comp", F.coalesce("component", "id"))
-        .withColumn("mixed", F.min("comp").over(by_sig) != F.max("comp").over(by_sig))
-        .withColumn("tiles", F.ceil(F.count("*").over(by_sig) / TILE).cast("int"))
-        .where("mixed")
+    both = both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared))
+    return written(both.select("a", "b"))
+
+
+def _cross(buckets: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of one bucket that no link joins yet and that may be similar.
+
+    Members of one component need no comparing. So a large bucket is cut into tiles twice: the
+    members of its most frequent component, and the rest. Blocks hold a tile of the former and
+    one of the rest (sides 1 and 2, which only meet across), or one or two tiles of the rest.
+    """
+    rows = buckets.where("members > 2").select("sig", "id").join(labels, "id", "left")
+    rows = rows.select("sig", "id", F.coalesce("component", "id").alias("comp"))
+    sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("sig").agg(
+        F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("comps")
     )
-    # A bucket of several tiles is compared tile by tile: block (i, j) holds tiles i and j.
-    # Side 0 marks blocks of one tile; rows of two tiles have sides 1 and 2, and only meet across.
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.withColumn("tile", tile).withColumn("other", other)
-    rows = rows.withColumn("block", F.least("tile", "other") * F.lit(1 << 20) + F.greatest("tile", "other"))
-    rows = rows.withColumn(
-        "side", F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
+    tiles = sizes.where("comps > 1").select(
+        "sig",
+        F.col("top.comp").alias("top"),
+        (F.col("all") <= TILE).alias("small"),
+        F.ceil(F.col("top.size") / TILE).cast("int").alias("tops"),
+        F.ceil((F.col("all") - F.col("top.size")) / TILE).cast("int").alias("rests"),
     )
-    rows = rows.join(vectors.select("id", "bits", "n"), "id")
+    rows = rows.join(tiles, "sig").withColumn("in_top", F.col("comp") == F.col("top"))
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rests"))).cast("long")
+    rows = rows.withColumn("mine", mine)
+
+    def block(i, j, across: bool, side):
+        number = F.lit(int(across) << 60) + i * F.lit(1 << 30) + j
+        return F.struct(number.alias("block"), side.alias("side"))
+
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    here = F.col("mine")
+    one, two = F.lit(1), F.lit(2)
+    with_rest = F.transform(upto("rests"), lambda j: block(here, j.cast("long"), True, one))
+    with_top = F.transform(upto("tops"), lambda i: block(i.cast("long"), here, True, two))
+    side = lambda j: F.when(here == j, 0).when(here < j, 1).otherwise(2)
+    among = F.transform(
+        upto("rests"), lambda j: block(F.least(here, j.cast("long")), F.greatest(here, j.cast("long")), False, side(j))
+    )
+    alone = F.array(block(F.lit(-1).cast("long"), F.lit(0).cast("long"), False, F.lit(0)))
+    places = F.when(F.col("small"), alone).when(F.col("in_top"), with_rest).otherwise(F.concat(with_top, among))
+    rows = rows.join(bits, "id").select("id", "sig", F.inline(places), "comp", "bits", "n")
     rows = rows.select("id", "sig", "block", "comp", "bits", "n", "side")
     rows = rows.repartition("sig", "block").sortWithinPartitions("sig", "block")
     return rows.mapInArrow(_block_pairs, "a long, b long").distinct()
 
 
-def similar_pairs(shared: DataFrame, vectors_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_pairs(
+    shared: DataFrame, bits: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Links (a, b) that join the ids of `shared` (sig, id) exactly as all similar pairs with a
-    common sig would. `vectors_of(ids)` gives (id, shingles, bits, n) of the ids it gets."""
-    by_sig = Window.partitionBy("sig")
-    shared = shared.withColumn("centre", F.min("id").over(by_sig)).withColumn("members", F.count("*").over(by_sig))
-    buckets = written(shared.where("members > 1"))
-    vectors = written(vectors_of(buckets.select("id").distinct()))
-    release(shared.sparkSession)  # the texts have been dealt out for the last time
+    common sig would. `bits(ids)` gives (id, bits, n) of the ids it gets, and
+    `sets(ids)` gives (id, shingles). Both get written tables."""
+    spark = shared.sparkSession
+    groups = shared.groupBy("sig").agg(
+        F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("members")
+    )
+    buckets = written(shared.join(groups.where("centre <> last").drop("last"), "sig"))
+    release(spark)
+    bitmaps = written(bits(written(buckets.select("id").distinct())))
+    release(spark)
 
     # Buckets of two are pairs, all of them checked here; larger ones have their say later.
     tried = buckets.where("id <> centre").groupBy("id", "centre")
     tried = tried.agg(F.count("*").alias("often"), F.min("members").alias("members"))
     best = Window.partitionBy("id").orderBy(F.desc("often"), "centre")
     tried = tried.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= CENTRES) | (F.col("members") == 2))
-    tried = tried.select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    near = written(_verified(tried, vectors))
+    tried = written(tried.select(F.col("centre").alias("a"), F.col("id").alias("b"), (F.col("members") == 2).alias("sole")))
+    likely = _possible(tried.select("a", "b"), bitmaps).join(tried, ["a", "b"])
+    first = F.row_number().over(Window.partitionBy("b").orderBy("sole", "a"))
+    likely = written(likely.withColumn("rank", first).where("sole OR rank = 1").select("a", "b"))
+    near = _verified(likely, sets)
     labels = components(near)
-    release(shared.sparkSession)
-    return near.union(written(_verified(_cross(buckets, labels, vectors), vectors)))
-
-
-def _vectors_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    rows = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return rows.mapInArrow(_vectors, "id long, shingles array<long>, bits binary, n long")
+    release(spark)
+    return near.union(_verified(written(_cross(buckets, labels, bitmaps)), sets))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -322,24 +397,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Other columns of `docs` are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # One shuffle finds equal sets (rows with n) and shared signatures (rows without).
-    same = Window.partitionBy("sig", "n", "h2")
-    signed = docs.mapInArrow(_signed, "sig long, id long, n long, h2 long").repartition("sig")
+    spark = docs.sparkSession
+    # One shuffle finds shared signatures. Rows known to be shared, and sets, are spread evenly.
+    deal = F.when(F.col("n").isNull(), F.col("sig")).otherwise(F.xxhash64("id", "sig"))
+    same = Window.partitionBy("deal", "sig")
+    signed = docs.mapInArrow(_signed, "sig long, id long, n long, h2 long").withColumn("deal", deal).repartition("deal")
     signed = signed.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same))
-    signed = signed.withColumn("copies", F.when(F.col("n").isNotNull(), F.count("*").over(same)))
-    signed = written(signed.where("n IS NOT NULL OR low <> high").drop("h2", "high"))
-    release(docs.sparkSession)  # of all signatures only the shared ones are left
-    sets = signed.where("n IS NOT NULL").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("low").alias("same"), "copies"
+    signed = written(signed.where("n IS NOT NULL OR low <> high").select("sig", "id", "n", "h2"))
+    path = copies()[-1]
+    release(spark)  # of all signatures only the shared ones are left
+    plain = signed.where("n >= 0")
+    equal = plain.groupBy("sig", "n", "h2").agg(F.min("id").alias("same"), F.count("*").alias("copies"))
+    sets = written(
+        plain.join(equal, ["sig", "n", "h2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "same", "copies")
     )
-    copies = sets.where("n_shingles > 0 AND doc_id <> same")
-    links = copies.select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
-
-    first = copies.select(F.col("doc_id").alias("id"), "same").distinct()
-    shared = signed.where("n IS NULL").select("sig", "id").join(first, "id", "left")
-    # Rows of a sig stay together from here to the buckets: one shuffle for all steps.
-    shared = shared.select("sig", F.coalesce("same", "id").alias("id")).repartition("sig").distinct()
-    near = similar_pairs(shared, lambda wanted: _vectors_of(docs, wanted))
+    same_sets = sets.where("n_shingles > 0 AND doc_id <> same")
+    links = same_sets.select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
+
+    first = same_sets.select(F.col("doc_id").alias("id"), "same").distinct()
+    shared = signed.where("coalesce(n, -1) < 0").select("sig", "id").join(first, "id", "left")
+    shared = written(shared.select("sig", F.coalesce("same", "id").alias("id")).distinct())
+    drop_copies(spark, [path])
+    near = similar_pairs(shared, lambda ids: bits_of(docs, ids), lambda ids: sets_of(docs, ids))
     labels = components(links.union(near)).toDF("doc_id", "component_id")
 
     out = sets.join(labels, "doc_id", "left")

@@ -267,14 +267,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     buckets = hits.where("node IS NOT NULL").select("sig", F.col("node").alias("id")).distinct()
     homes = paragraphs.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    def vectors(wanted: DataFrame) -> DataFrame:
-        wanted = written(wanted)
+    made: list[DataFrame] = []
+
+    def bits(wanted: DataFrame) -> DataFrame:
         some = homes.join(wanted.withColumnRenamed("id", "node"), "node", "left_semi").select("doc_id").distinct()
         rows = docs.join(some, "doc_id", "left_semi")
         rows = rows.mapInArrow(_line_vectors, "id long, shingles array<long>, bits binary, n long")
-        return rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        made.append(written(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])))
+        return made[0].select("id", "bits", "n")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return made[0].select("id", "shingles").join(wanted, "id", "left_semi")
 
-    labels = components(similar_pairs(buckets, vectors)).withColumnRenamed("id", "node")
+    labels = components(similar_pairs(buckets, bits, sets)).withColumnRenamed("id", "node")
     paragraphs = paragraphs.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     paragraphs = _across(paragraphs.select("component", "doc_id", "first", "words"), "component")
     paragraphs = paragraphs.select("doc_id", F.lit("paragraph").alias("kind"), "first", "words", "component", "kept")

@@ -15,6 +15,7 @@ from . import (
     exact_dedup,
     fingerprints,
     licences,
+    minhash,
     mixing,
     negatives,
     ngram_join,
@@ -37,7 +38,47 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
 
 @_query
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    rows = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "copies")
+
+
+@_query
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept", "copies")
+
+
+def _jaccard_sql(size: int, last: str = "") -> str:
+    """All pairs with a common shingle, counted, and what their links reach."""
+    return rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= {size}
+    THEN list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles
+  FROM worded),
+apart AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM apart x JOIN apart y USING (shingle)
+  WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.shingles) + len(y.shingles) - n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, w.b FROM reached r JOIN ways w ON r.b = w.a),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id{last},
+  count(*) OVER (PARTITION BY list_sort(shingles)) AS copies
+FROM sets JOIN least ON least.a = doc_id
+"""
+
+
+ORACLE["op8_ngram_join"] = _jaccard_sql(5)
+ORACLE["op13_minhash_dedup"] = _jaccard_sql(4, ", doc_id = component_id AS kept")
 
 
 @_query

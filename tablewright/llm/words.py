@@ -1,4 +1,4 @@
-"""64-bit hashes of words and five-word shingles for whole Arrow columns of texts."""
+"""64-bit hashes of words and word shingles (five words by default) for whole Arrow columns of texts."""
 
 from __future__ import annotations
 
@@ -76,29 +76,29 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return out
 
 
-def shingles(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of each row, repeats included, and the rows' offsets in
-    them. A row of fewer words has its whole sequence as one; a row without words has none."""
+def shingles(words: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of `size` words of each row, repeats included, and the rows' offsets
+    in them. A row of fewer words has its whole sequence as one; a row without words has none."""
     counts = np.diff(rows)
-    sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    sizes = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(counts)), sizes)
     first = rows[:-1][owner] + np.arange(offsets[-1]) - offsets[:-1][owner]
-    total = np.minimum(counts, SHINGLE)[owner].astype(np.uint64) * _COUNT
+    total = np.minimum(counts, size)[owner].astype(np.uint64) * _COUNT
     odd = _BASE
-    padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
+    padded = np.concatenate([words, np.zeros(size, np.uint64)])
     last = rows[1:][owner]
-    for k in range(SHINGLE):
+    for k in range(size):
         total = total + np.where(first + k < last, padded[first + k], np.uint64(0)) * np.uint64(odd)
         odd = (odd * odd + 2 * k + 2) % (1 << 64)
     return mix(total), offsets
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw, rows = utf8(column)
     starts, ends, bounds = word_spans(raw, rows)
-    hashes, offsets = shingles(word_hashes(raw, starts, ends), bounds)
+    hashes, offsets = shingles(word_hashes(raw, starts, ends), bounds, size)
     return [_distinct(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
 
 

@@ -51,14 +51,14 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
 
 
-def shingle_set(text):
+def shingle_set(text, size=5):
     w = words(text)
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def jaccard_components(rows):
+def jaccard_components(rows, size=5):
     """doc_id -> smallest doc_id reachable, all pairs compared; repeated ids are one document."""
-    sets = [(d, shingle_set(t)) for d, t in rows if d is not None]
+    sets = [(d, shingle_set(t, size)) for d, t in rows if d is not None]
     parent = {d: d for d, _ in sets}
 
     def find(x):

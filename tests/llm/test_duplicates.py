@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, ngram_join, paragraphs, words
+from tablewright.llm import exact_dedup, minhash, ngram_join, paragraphs, words
 from tablewright.llm.components import components
 
 from .conftest import SCHEMA, jaccard_components, lower, odd_rows, prose, shingle_set
@@ -88,6 +88,64 @@ def test_links_across_components_and_tiles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == jaccard_components(rows)
 
 
+def graded(rng, copies, near, others):
+    """A third of all rows equal, as many nearly so, one line that all share, and unlike ones."""
+    base, shared = prose(rng, 90, 5000), prose(rng, 12, 5000)
+    rows = [f"{shared}\n{base}"] * copies
+    for _ in range(near):
+        w = base.split()
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(90)] = f"y{rng.randrange(9)}"
+        rows.append(f"{shared}\n{' '.join(w)}")
+    rows += [f"{shared}\n{prose(rng, rng.randrange(20, 90), 5000)}" for _ in range(others)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_hot_signatures(spark, monkeypatch):
+    """Known to be shared within a batch, and tiles of a large component beside the rest."""
+    monkeypatch.setattr(ngram_join, "TILE", 9)
+    monkeypatch.setattr(ngram_join, "TWICE", 1)
+    rows = graded(random.Random(12), 100, 100, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    five, four = jaccard_components(rows), jaccard_components(rows, 4)
+    for _ in range(2):
+        got = ngram_join.jaccard_components(df).collect()
+        assert {r.doc_id: r.component_id for r in got} == five
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == four
+        monkeypatch.setattr(ngram_join, "FEW", 3)  # the same without broadcasts
+
+
+def test_later_keys():
+    keys = np.array([5, 7, 5, 5, 7, 5, 9], np.uint64)
+    assert ngram_join.later(keys, 2).tolist() == [False, False, False, True, False, True, False]
+    assert ngram_join.later(keys[:1], 2).tolist() == [False]
+
+
+def test_minhash_near_duplicates(odd, nothing):
+    rows = odd_rows()
+    expected = jaccard_components([(d, t) for d, t, *_ in rows], 4)
+    got = minhash.near_duplicates(odd).collect()
+    plain = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str)
+    assert plain == sorted(
+        ((d, len(shingle_set(t, 4)), expected.get(d), d is None or expected[d] == d) for d, t, *_ in rows), key=str
+    )
+    assert minhash.near_duplicates(nothing).count() == 0
+
+
+def test_tensored_tables_have_the_recall():
+    rng = np.random.default_rng(5)
+    number = minhash.side(0.999)
+    assert (1 - (1 - 0.8**minhash.ROWS) ** number) ** 2 >= 0.999 > (1 - (1 - 0.8**minhash.ROWS) ** (number - 1)) ** 2
+    met, pairs = 0, 3000
+    for _ in range(pairs):
+        x = words.mix(rng.integers(1, 1 << 62, 90, dtype=np.uint64))
+        keys = minhash.partial_keys([x[:81], x[9:]], 2 * number)  # 72 of 90 shared: 0.8 just
+        equal = keys[0] == keys[1]
+        met += bool(equal[:number].any() and equal[number:].any())
+    assert met >= 0.997 * pairs
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for _ in range(1500):
