@@ -90,7 +90,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     schema = "doc_id long, n_shingles long, one long, other long, first array<long>, second array<long>"
     sketches = written(docs.mapInArrow(_sketched(side(recall)), schema))
     digest = ["n_shingles", "one", "other"]
-    equal = sketches.groupBy(*digest).agg(F.min("doc_id").alias("same"), F.count("*").alias("copies"))
+    # Sums are written before they are joined back: a hot set's rows can then be split.
+    equal = written(sketches.groupBy(*digest).agg(F.min("doc_id").alias("same"), F.count("*").alias("copies")))
     sets = written(sketches.drop("first", "second").join(equal, digest).drop("one", "other"))
     links = sets.where("n_shingles > 0 AND doc_id <> same").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
 

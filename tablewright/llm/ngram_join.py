@@ -21,7 +21,8 @@ their difference (bitmaps) and then by the sets themselves, which only the survi
 bitmaps are asked for. So copies in thousands need no pairs, and texts are not shuffled.
 Signatures that a batch holds many times are known to be shared: all but two of their rows
 go round the shuffle that finds out, so a hot signature is no hot task there; all other
-steps group it with sums before the shuffle, or join it, which Spark splits.
+steps group it with sums before the shuffle and write the sums, or join them back, which Spark
+can then split.
 """
 
 from __future__ import annotations
@@ -333,7 +334,7 @@ def _cross(buckets: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
         F.ceil(F.col("top.size") / TILE).cast("int").alias("tops"),
         F.ceil((F.col("all") - F.col("top.size")) / TILE).cast("int").alias("rests"),
     )
-    rows = rows.join(tiles, "sig").withColumn("in_top", F.col("comp") == F.col("top"))
+    rows = rows.join(written(tiles), "sig").withColumn("in_top", F.col("comp") == F.col("top"))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rests"))).cast("long")
     rows = rows.withColumn("mine", mine)
 
@@ -368,7 +369,8 @@ def similar_pairs(
     groups = shared.groupBy("sig").agg(
         F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("members")
     )
-    buckets = written(shared.join(groups.where("centre <> last").drop("last"), "sig"))
+    groups = written(groups.where("centre <> last").drop("last"))
+    buckets = written(shared.join(groups, "sig"))
     release(spark)
     bitmaps = written(bits(written(buckets.select("id").distinct())))
     release(spark)
@@ -407,7 +409,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     path = copies()[-1]
     release(spark)  # of all signatures only the shared ones are left
     plain = signed.where("n >= 0")
-    equal = plain.groupBy("sig", "n", "h2").agg(F.min("id").alias("same"), F.count("*").alias("copies"))
+    equal = written(plain.groupBy("sig", "n", "h2").agg(F.min("id").alias("same"), F.count("*").alias("copies")))
     sets = written(
         plain.join(equal, ["sig", "n", "h2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "same", "copies")
     )

@@ -226,11 +226,11 @@ def _line_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _across(rows: DataFrame, key: str) -> DataFrame:
     """`rows` whose key occurs in several documents, and whether they are, or overlap, the first
-    place it occurs at. Hot keys combine before the shuffle; joining back is a plain join
-    that Spark splits."""
+    place it occurs at. Hot keys combine before the shuffle, and the sums are written: joining
+    them back is a plain join that Spark splits."""
     place = F.struct("doc_id", "first", "words")
     groups = rows.groupBy(key).agg(F.min(place).alias("origin"), F.max("doc_id").alias("last"))
-    groups = groups.where("origin.doc_id <> last").drop("last")
+    groups = written(groups.where("origin.doc_id <> last").drop("last"))
     kept = F.expr("doc_id = origin.doc_id AND first < origin.first + origin.words")
     return rows.join(groups, key).withColumn("kept", kept).drop("origin")
 
