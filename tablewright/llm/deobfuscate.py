@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from itertools import groupby
+from itertools import groupby, product
 
 import numpy as np
 
@@ -36,6 +36,7 @@ for _c in range(26):
 _LETTERS[[0xDF, 0xE6, 0xF0, 0xF8, 0xFE]] = 27
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$@|+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _BARE = "".join(c for c in _EDGE if c not in STANDS_FOR)
 _LONG_RUN = re.compile(r"(.)\1{3,}", re.S)  # lattices read any run of three or more alike
 _PARTS = re.compile(f"[^\\w{re.escape(''.join(c for c in STANDS_FOR if not c.isdigit()))}]+|_+")
@@ -155,16 +156,47 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         """The words that a token (lower case, no white space) reads as."""
+        if token.isalpha() and not _TWICE.search(token):
+            return [token]
         token = _TAIL.sub("", token)
         core, full = token.strip(_EDGE), token.strip(_BARE)
         if core.isalpha() and not _RUN.search(core):
-            return [core] if core == full else list(dict.fromkeys([core, *self.decoded(full)]))
+            if core == full:
+                return self.undoubled(core)
+            return list(dict.fromkeys([*self.undoubled(core), *self.decoded(full)]))
         if _APART.match(core):
             return self.spaced(core[::2])
         found = self.decoded(full)
         least = 0 if not found or sum(c.isalpha() for c in core) * 3 < len(core) else 2
         return found + [w for w in re.split(r"[\W\d_]+", core) if len(w) > least]
 
+    def undoubled(self, word: str) -> list[str]:
+        """The word, and its most likely reading if some doubled letters are better read once:
+        what Viterbi finds for the lattice of this word, whose few readings are tried in turn.
+        Words with many doubled letters, or others than a to z, take the lattice itself."""
+        parts = _TWICE.split(word)
+        if len(parts) == 1:
+            return [word]
+        if len(parts) > 7 or not (word.isascii() and len(word) <= LONGEST):
+            return list(dict.fromkeys([word, *self.decoded(word)]))
+        best, most = word, self.likelihood(word)
+        for once in product((False, True), repeat=len(parts) // 2):
+            if any(once):
+                letters = [c * (1 if o else 2) for c, o in zip(parts[1::2], once)]
+                reading = "".join([x for pair in zip(parts[::2], letters) for x in pair]) + parts[-1]
+                score = self.likelihood(reading) + SINGLE * sum(once)
+                if score > most:
+                    best, most = reading, score
+        return [word] if best == word else [word, best]
+
+    def likelihood(self, word: str) -> float:
+        """log P of a word of the letters a to z."""
+        model, at, total = self.model, 0, 0.0
+        for byte in word.encode():
+            total += model[at * SYMBOLS + byte - 96]
+            at = (at * SYMBOLS + byte - 96) % (SYMBOLS**3)
+        return total + model[at * SYMBOLS]
+
     def decoded(self, token: str) -> list[str]:
         """The words that a token reads as under the model. A token of over LONGEST characters
         is decoded part by part, and parts that are longer in overlapping pieces."""

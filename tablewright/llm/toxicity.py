@@ -147,10 +147,11 @@ class Scorer:
     """The highest word scores of texts; remembers the scores of tokens."""
 
     def __init__(self, model: np.ndarray, weights: np.ndarray):
-        self.restorer, self.weights, self.known = Restorer(model), weights, {}
+        self.restorer, self.weights, self.known = Restorer(model), weights.tolist(), {}
 
     def of_words(self, words: list[str]) -> float:
-        return max((float(self.weights[features(w)].max()) for w in words), default=0.0)
+        weights = self.weights
+        return max((weights[f] for w in words for f in features(w)), default=0.0)
 
     def look(self, text: str) -> list[float]:
         plain, spaced = tokens(text, self.restorer)
@@ -168,6 +169,19 @@ class Scorer:
         return top + [0.0] * (TOP - len(top))
 
 
+_SCORER: dict[tuple[int, int], Scorer] = {}
+
+
+def scorer_of(model: np.ndarray, weights: np.ndarray) -> Scorer:
+    """The scorer of this model, kept between the tasks of a worker: one at a time, and what it
+    remembers is bounded."""
+    key = zlib.crc32(np.ascontiguousarray(model)), zlib.crc32(np.ascontiguousarray(weights))
+    if key not in _SCORER:
+        _SCORER.clear()
+        _SCORER[key] = Scorer(model, weights)
+    return _SCORER[key]
+
+
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's method; the last coefficient is the constant's."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -191,7 +205,7 @@ class Model:
         weights = sc.broadcast(word_weights(rows, grams))  # 2**BITS numbers
 
         def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(grams.value, weights.value)
+            scorer = scorer_of(grams.value, weights.value)
             for batch, texts in _texts(batches):
                 found = pa.array([scorer.look(t) for t in texts], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), found], names=["toxic", "x"])
@@ -204,7 +218,7 @@ class Model:
         self.grams, self.weights = grams, weights
 
     def scorer(self) -> Callable[[list[str]], np.ndarray]:
-        scorer = Scorer(self.grams.value, self.weights.value)
+        scorer = scorer_of(self.grams.value, self.weights.value)
 
         def scores(texts: list[str]) -> np.ndarray:
             x = np.array([scorer.look(t) for t in texts]).reshape(-1, TOP)
