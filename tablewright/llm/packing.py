@@ -37,9 +37,8 @@ def piece_rows(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: in
         words = words_of(tokenizer, False)
         end = int(end_id).to_bytes(4, "little")
         for batch in sliced(batches, "text", 1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.ids(batch.column("text"))):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]

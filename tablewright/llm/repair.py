@@ -169,8 +169,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
             )
 
         for batch in sliced(batches, "text", 1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), words.ids(texts)):
+            for doc, coded in zip(batch.column("doc_id").to_pylist(), words.ids(batch.column("text"))):
                 if held and size + len(coded) + 4 > 4 * shard:
                     yield out()
                     number, ids, held, size = number + 1, [], [], 0

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ import corpus_pipeline
 from tablewright.functions.storage import scratch_path
 from tablewright.llm import fingerprints, packing, repair
 from tablewright.llm.tokens import Words
+from tablewright.llm.words import word_hashes
 
 from .conftest import jaccard_components, lower, odd_rows, words
 
@@ -24,7 +26,6 @@ BYTES, WORDS = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "w
 
 def library(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -32,19 +33,33 @@ def library(path):
 def test_words_make_the_library_s_ids(path, spaced):
     rng = random.Random(1)
     odd = ["", " ", "  a", "a  b", "a\n b", "a \nb", " a", "a ", "don't we'll", "x<|endoftext|>y", "a.b,c\nd", "é.à b", "a\x1cb \x85c\xa0 \xa0d", "İ ß ﬁ ΑΣ"]
-    odd += ["".join(rng.choice("abZ .,\n'1é \t\xa0\x1f") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    odd += ["<|endoftext|>", "a <|endoftext|> b", "a <|ENDOFTEXT|> b", "<|startoftext|>c", "a <| b", None, "a" * 500, "a.b " * 99]
+    odd += ["Za.\nB c,\n d.\n", "a.\n\nb", "a.b.c", "a\u2003 b", "a \u2003b", "a “b” c", "x.,y", "\n.a", "Ａ.b", "a\0b"]
+    odd += ["".join(rng.choice("abZ .,\n'1é \t\xa0\x1f“\u3000<|") for _ in range(rng.randrange(30))) for _ in range(6000)]
     table, one = Words(path, spaced), library(path)
     for start in range(0, len(odd), 500):
         part = odd[start : start + 500]
-        assert table.ids(part) == [one(t)[:-1].tobytes() for t in part]
+        assert table.ids(pa.array(part, pa.string())) == [one(t)[:-1].tobytes() for t in part]
 
 
-def test_tables_forget_words_but_not_their_ids(monkeypatch):
-    monkeypatch.setattr("tablewright.llm.tokens.GENERATION", 20)
+def test_tables_forget_words_but_not_their_ids():
     rng = random.Random(2)
-    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(9)) for _ in range(200)]
-    table, one = Words(BYTES, True), library(BYTES)
-    assert [x for t in texts for x in table.ids([t])] == [one(t)[:-1].tobytes() for t in texts]
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) + str(i) for _ in range(9)) for i in range(200)]
+    table, one = Words(BYTES, True, limit=1 << 15), library(BYTES)
+    most = 0
+    for t in texts:
+        assert table.ids(pa.array([t])) == [one(t)[:-1].tobytes()]
+        most = max(most, table.table.count)
+    assert 0 < table.table.count < most
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """Hashes of three bits: most words share one with another."""
+    weak = lambda raw, starts, ends, lower: np.uint64(1) + (word_hashes(raw, starts, ends, lower) >> np.uint64(61))
+    monkeypatch.setattr("tablewright.llm.tokens.word_hashes", weak)
+    texts = [f"w{i} w{i % 7} same, other" for i in range(60)]
+    table, one = Words(WORDS, False), library(WORDS)
+    assert table.ids(pa.array(texts)) == [one(t)[:-1].tobytes() for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
