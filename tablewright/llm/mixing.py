@@ -4,8 +4,10 @@ A document may belong to several sources. Documents are aggregated by membership
 only these sums (one row per pattern, at most `max_patterns`, else an error) reach the
 driver. There words flow from patterns to the sources' targets: each pattern offers its
 words once for every allowed copy, and later copies cost more, so nothing is repeated
-while a first copy could serve. Documents are then taken in a seeded order until their
-pattern's flow is reached; the document at the border gives its first words only.
+while a first copy could serve. Documents are then selected in a seeded order until their
+pattern's flow is reached. They are taken whole or not at all: the document at the border
+goes with whichever end is nearer to the flow, so each copy of a pattern is off by half a
+document at most.
 """
 
 from __future__ import annotations
@@ -110,7 +112,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, most: int = MOST, ma
 
     `targets` has (member, target) in words. Rows of unknown sources, of no source and of
     size 0 give nothing. Rows that repeat a doc_id are documents of their own. The order
-    in which documents are taken depends on seed and doc_id only.
+    in which documents are taken depends on seed and doc_id only; where that is null, on `tie`
+    (a long column that `docs` may have). `copies` has the words of each copy, 0 or `size`.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("members", F.array_sort(F.array_distinct(F.coalesce("members", F.array().cast("array<string>")))))
@@ -126,7 +129,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, most: int = MOST, ma
     schema = "pattern int, members array<string>, buckets int, flows array<bigint>"
     patterns = F.broadcast(spark.createDataFrame(table, schema))  # at most max_patterns rows
 
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    unnamed = F.concat(F.lit("null"), F.col("tie").cast("string")) if "tie" in docs.columns else F.lit("null")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), unnamed)))
     docs = docs.join(patterns, "members").withColumn("key", key)
     share = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     docs = docs.withColumn("bucket", F.floor(share * F.col("buckets")).cast("int"))
@@ -138,12 +142,13 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, most: int = MOST, ma
     docs = docs.join(sizes, ["pattern", "bucket"])
     before = F.col("first") + F.col("inside")
     parts = [
-        F.greatest(F.lit(0), F.least(F.col("size"), F.col("flows")[k] - before)).cast("long") for k in range(most)
+        F.when(2 * (F.col("flows")[k] - before) >= F.col("size"), F.col("size")).otherwise(0).cast("long")
+        for k in range(most)
     ]
     docs = docs.withColumn("copies", F.array(*parts))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.withColumn("taken", taken).drop(
-        "pattern", "bucket", "buckets", "flows", "key", "first", "inside", "members"
+        "pattern", "bucket", "buckets", "flows", "key", "first", "inside", "members", "tie"
     )
 
 
@@ -161,6 +166,7 @@ def mix_by_source(docs: DataFrame, seed: int = 0, with_rows: bool = False) -> Da
         member(F.col("source").cast("string")).alias("member"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"),
         *([F.struct(*docs.columns).alias("row")] if with_rows else []),
     )
     rows = written(rows)
@@ -171,26 +177,7 @@ def mix_by_source(docs: DataFrame, seed: int = 0, with_rows: bool = False) -> Da
     return mixed.join(targets, "member").drop("member")
 
 
-def first_words(text: Column, words: Column) -> Column:
-    """The beginning of a text up to the end of its n-th word."""
-    parts = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
-    return F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")
-
-
 def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: a row of `docs` (doc_id, text, source, n_chars and others) for every copy
-    taken. Where a copy gives its first words only, `text` ends there and `n_chars` follows."""
+    """The mix itself: a row of `docs` (doc_id, text, source and others) for every copy taken."""
     mixed = mix_by_source(docs, seed, with_rows=True)
-    copies = mixed.select("row", "size", F.explode("copies").alias("words")).where("words > 0")
-    cut = F.col("words") < F.col("size")
-    text = F.when(cut, first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
-    out = copies.select("row.*", text.alias("_cut_text"), cut.alias("_cut"))
-    columns = [
-        F.col("_cut_text").alias(c)
-        if c == "text"
-        else F.when(F.col("_cut"), F.char_length("_cut_text").cast("long")).otherwise(F.col(c)).alias(c)
-        if c == "n_chars"
-        else F.col(c)
-        for c in docs.columns
-    ]
-    return out.select(*columns)
+    return mixed.select("row", F.explode("copies").alias("words")).where("words > 0").select("row.*")

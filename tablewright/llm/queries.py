@@ -142,8 +142,8 @@ ordered AS (
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  greatest(0, least(size, least(quota, source_size) - before))
-  + greatest(0, least(size, quota - least(quota, source_size) - before)) AS taken
+  CASE WHEN 2 * (least(quota, source_size) - before) >= size THEN size ELSE 0 END
+  + CASE WHEN 2 * (quota - least(quota, source_size) - before) >= size THEN size ELSE 0 END AS taken
 FROM ordered
 """
 
