@@ -173,11 +173,12 @@ class Restorer:
     def undoubled(self, word: str) -> list[str]:
         """The word, and its most likely reading if some doubled letters are better read once:
         what Viterbi finds for the lattice of this word, whose few readings are tried in turn.
-        Words with many doubled letters, or others than a to z, take the lattice itself."""
+        Words with many doubled letters take the lattice itself; those with other letters than
+        a to z are left as they are."""
         parts = _TWICE.split(word)
-        if len(parts) == 1:
+        if len(parts) == 1 or not word.isascii():
             return [word]
-        if len(parts) > 7 or not (word.isascii() and len(word) <= LONGEST):
+        if len(parts) > 7:
             return list(dict.fromkeys([word, *self.decoded(word)]))
         best, most = word, self.likelihood(word)
         for once in product((False, True), repeat=len(parts) // 2):

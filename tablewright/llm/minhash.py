@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ngram_join import PERCENT, bits_of, digests, sets_of, similar_pairs
-from .tables import release, sliced, written
+from .tables import lean, release, sliced, written
 from .words import mix, shingle_sets
 
 WORDS = 4  # of a shingle
@@ -54,8 +54,9 @@ def partial_keys(sets: list[np.ndarray], number: int, rows: int = ROWS) -> np.nd
 
 
 def _sketched(number: int):
+    @lean
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             sets = shingle_sets(batch.column("text"), WORDS)
             some = [i for i, s in enumerate(sets) if len(s)]
             keys = np.zeros((len(sets), 2 * number), np.uint64)

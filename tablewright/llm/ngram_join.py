@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.storage import copies, drop_copies
 
 from .components import components
-from .tables import release, sliced, written
+from .tables import lean, release, sliced, written
 from .words import SHINGLE, mix, shingle_sets
 
 #: Similarity in percent; the bounds below (4/5, 1/9) follow from it.
@@ -161,12 +161,13 @@ def later(keys: np.ndarray, times: int) -> np.ndarray:
     return out
 
 
+@lean
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each row (digest of its set, id, set size, second digest), and (signature, id, null or
     -1) for each of its signatures: -1 where the batch shows that it is shared. Sets already seen
     in this task sign only once."""
     seen: set[tuple[int, int]] = set()
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", 1 << 20):
         sets = shingle_sets(batch.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
         one, other = digests(sets)
@@ -175,7 +176,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = []
         for i, digest in enumerate(zip(one.tolist(), other.tolist())):
             if n[i] and ids[i].is_valid and digest not in seen:
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 seen.add(digest)
                 new.append(i)
@@ -195,6 +196,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, shingles) of the texts of the wanted ids."""
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             found = shingle_sets(batch.column("text"), size)
@@ -210,6 +212,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFram
 def bits_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, bits, n) of the texts of the wanted ids: bitmaps and sizes of their sets."""
 
+    @lean
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             found = shingle_sets(batch.column("text"), size)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import sliced, written
+from .tables import lean, sliced, written
 from .tokens import words_of
 
 LENGTH = 2048
@@ -33,6 +33,7 @@ def piece_rows(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: in
     """The pieces of every row: ids of the whole text (null: empty), then `end_id`. Only
     longer documents are cut, every `length` ids."""
 
+    @lean
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer, False)
         end = int(end_id).to_bytes(4, "little")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import sliced
+from .tables import lean, sliced
 from .tokens import words_of
 
 SHARD = 1 << 20  # ids of a shard, unless one document has more
@@ -151,6 +151,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     """Encode every whole text (null: empty), append `end_id`, and write shards to `path`, in
     ascending doc_id order (rows without one first, equal ones by text)."""
 
+    @lean
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer, True)
         end = int(end_id).to_bytes(4, "little")

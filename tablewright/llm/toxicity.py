@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .deobfuscate import CELLS, SPACED, Restorer, count_grams, log_probabilities
-from .tables import sliced, written
+from .tables import lean, sliced, written
 
 MAX_LABELLED = 60_000
 BITS = 18
 PREFIXES = (4, 5, 6)
 TOP = 4  # highest word scores that a document's score looks at
 CACHE = 400_000  # tokens whose score a task remembers
+_MASK = (1 << BITS) - 1
+_PIECES = tuple(zip((0, *PREFIXES), PREFIXES))  # that beginnings are made of
 FOLDS = 5
 THRESHOLD = 0.5
 STACK_FOLD = 4
@@ -39,13 +41,14 @@ def fold_of(doc_id):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", 1 << 20):
         yield batch, [(t or "").lower() for t in batch.column("text").to_pylist()]
 
 
 def gram_counts(docs: DataFrame) -> np.ndarray:
     """4-gram counts over the words of all rows."""
 
+    @lean
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(CELLS), Counter()
         for _, texts in _texts(batches):
@@ -84,13 +87,16 @@ def tokens(text: str, restorer: Restorer) -> tuple[set[str], list[str]]:
         for found in SPACED.finditer(text):
             spaced += restorer.spaced("".join(found[0].split()))
         text = SPACED.sub(" ", text)
+    # Readings don't depend on a full stop or comma behind a token; without it fewer differ.
+    for mark in (". ", ", ", ".\n", ",\n"):
+        text = text.replace(mark, mark[1])
     return set(text.split()), spaced
 
 
 def features(word: str) -> list[int]:
     """Hashed names of a word and of its beginnings."""
     names = [f"{word}$", *(word[:n] for n in PREFIXES if len(word) > n)]
-    return [zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names]
+    return [zlib.crc32(n.encode()) & _MASK for n in names]
 
 
 def _learned(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -106,6 +112,7 @@ def _learned(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame
 def word_weights(rows: DataFrame, model) -> np.ndarray:
     """Log odds of each hashed feature: how much likelier it is in toxic documents."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         known: dict[str, list[int]] = {}
@@ -150,8 +157,22 @@ class Scorer:
         self.restorer, self.weights, self.known = Restorer(model), weights.tolist(), {}
 
     def of_words(self, words: list[str]) -> float:
+        return max(map(self.of_word, words), default=0.0)
+
+    def of_word(self, word: str) -> float:
+        """The largest weight of the word's `features`, whose hashes continue each other."""
         weights = self.weights
-        return max((weights[f] for w in words for f in features(w)), default=0.0)
+        if not word.isascii():
+            return max(weights[f] for f in features(word))
+        data = word.encode()
+        top, last = weights[zlib.crc32(data + b"$") & _MASK], 0
+        for start, end in _PIECES:
+            if len(data) <= end:
+                break
+            last = zlib.crc32(data[start:end], last)
+            if weights[last & _MASK] > top:
+                top = weights[last & _MASK]
+        return top
 
     def look(self, text: str) -> list[float]:
         plain, spaced = tokens(text, self.restorer)
@@ -204,6 +225,7 @@ class Model:
         rows = written(_learned(docs, labels, max_labelled))
         weights = sc.broadcast(word_weights(rows, grams))  # 2**BITS numbers
 
+        @lean
         def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = scorer_of(grams.value, weights.value)
             for batch, texts in _texts(batches):
@@ -237,6 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """
     model = Model(docs, labels, max_labelled)
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scorer()
         for batch, texts in _texts(batches):
@@ -255,10 +278,12 @@ def clean(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """The rows of `docs`, with all their columns, that are not predicted to be toxic."""
     model = Model(docs, labels, max_labelled)
 
+    @lean
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scorer()
         for batch, texts in _texts(batches):
             yield batch.filter(pa.array(scores(texts) < THRESHOLD))
+        _SCORER.clear()  # other work follows in these processes
 
     return docs.mapInArrow(kept, docs.schema)
 
