@@ -12,7 +12,7 @@ from .common import CTE_DUPS, CTE_SALES, dups, rounded, sales, table
 _ACTION = """CASE WHEN recommended_action LIKE 'Create Missing Indicator Feature%' THEN 'indicator' ELSE CASE recommended_action
   WHEN 'Keep NULL' THEN 'keep_null' WHEN 'Preserve NULL' THEN 'keep_null' WHEN 'Keep Empty / Do Not Impute' THEN 'keep_null'
   WHEN 'Mark as Pending / Keep NULL' THEN 'keep_null' WHEN 'Convert to ''N/A'' or Keep NULL' THEN 'na_string'
-  WHEN 'Interpolate or Forward Fill' THEN 'ffill' WHEN 'Forward Fill' THEN 'ffill' WHEN 'Median Imputation' THEN 'median'
+  WHEN 'Interpolate or Forward Fill' THEN if(column_name IN ('sensor_value', 'settled_value'), 'interpolate', 'ffill') WHEN 'Forward Fill' THEN 'ffill' WHEN 'Median Imputation' THEN 'median'
   WHEN 'Mode Imputation' THEN 'mode' END END"""
 
 

@@ -2,6 +2,7 @@
 
 from tablewright.functions import fixed_values as fv
 from tablewright.operators import missing as m
+from tablewright.operators.cleaning import interpolate
 
 from .common import rounded, table
 
@@ -34,6 +35,14 @@ def gaps(spark, sf):
     return spark.sql(FX_GAPS, orders=table(spark, sf, "orders"))
 
 
+def _by_time(s, sf):
+    """Event values with gaps and some rows without a time."""
+    df = table(s, sf, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 17 <> 3 THEN ts END AS ts", "CASE WHEN event_id % 5 < 2 THEN value END AS value"
+    )
+    return interpolate(df, ["value"], "event_id", by="ts", edges=False, block_rows=1000)
+
+
 def _features(s, sf):
     return m.missing_features(gaps(s, sf), "row_id")
 
@@ -46,6 +55,10 @@ QUERIES = {
     "missing_by_segment": lambda s, sf: rounded(m.missing_by_segment(gaps(s, sf), "row_id")),
     "missing_causes": lambda s, sf: m.missing_causes(_features(s, sf)).select("column_name", "cause_order", "cause", "confidence"),
     "missing_advice": lambda s, sf: rounded(m.missing_advice(_features(s, sf))),
+    "interpolate": lambda s, sf: rounded(
+        interpolate(gaps(s, sf), _NUMERIC, "row_id", block_rows=1000).select("row_id", *_NUMERIC), 6
+    ),
+    "interpolate_by_time": lambda s, sf: rounded(_by_time(s, sf), 6),
 }
 
 _ROWS = "(SELECT count(*) FROM gaps)"
@@ -104,7 +117,36 @@ _RULES = [
 _ANY = " OR ".join(f"({c})" for _, _, c, _ in _RULES)
 _COND = {number: c for number, _, c, _ in _RULES}
 
+
+def _side(c, place, side):
+    """The last value (or place) at or before a row, or the first one at or after it."""
+    known = f"CASE WHEN {c} IS NOT NULL AND {place} IS NOT NULL THEN"
+    name, rows = {"before": ("last_value", "UNBOUNDED PRECEDING AND CURRENT ROW"), "after": ("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING")}[side]
+    over = "OVER (ORDER BY {row} ROWS BETWEEN " + rows + ")"
+    return [f"{name}({known} {x} END IGNORE NULLS) {over} AS {c}_{side}_{k}" for x, k in ((c, "v"), (place, "p"))]
+
+
+def _line(c, place, edge="coalesce({c}_before_v, {c}_after_v)"):
+    between = f"{c}_before_v + ({c}_after_v - {c}_before_v) * coalesce(({place} - {c}_before_p) / nullif({c}_after_p - {c}_before_p, 0), 0)"
+    return (
+        f"round(CASE WHEN {c} IS NOT NULL OR {place} IS NULL THEN {c} "
+        f"WHEN {c}_before_v IS NOT NULL AND {c}_after_v IS NOT NULL THEN {between} ELSE {edge.format(c=c)} END, 6) AS {c}"
+    )
+
+
 ORACLE = {
+    "interpolate": "WITH gaps AS ("
+    + FX_GAPS.format(orders="orders")
+    + "), sides AS (SELECT *, "
+    + ", ".join(x.format(row="row_id") for c in _NUMERIC for side in ("before", "after") for x in _side(c, "row_id", side))
+    + " FROM gaps) SELECT row_id, "
+    + ", ".join(_line(c, "row_id") for c in _NUMERIC)
+    + " FROM sides",
+    "interpolate_by_time": """WITH e AS (SELECT event_id, CASE WHEN event_id % 17 <> 3 THEN ts END AS ts,
+        CASE WHEN event_id % 17 <> 3 THEN CAST(epoch_us(ts) AS DOUBLE) END AS micros, CASE WHEN event_id % 5 < 2 THEN value END AS value FROM events),
+      sides AS (SELECT *, """
+    + ", ".join(x.format(row="event_id") for side in ("before", "after") for x in _side("value", "micros", side))
+    + f" FROM e) SELECT event_id, ts, {_line('value', 'micros', 'NULL')} FROM sides",
     "missing_summary": _BASE + "SELECT column_name, missing_count, round(missing_percent, 4) AS missing_percent FROM f",
     "longest_null_run": _BASE + "SELECT * FROM runs",
     "missing_at_edges": _BASE + "SELECT column_name, is_temporal, missing_at_start, missing_at_end FROM f",

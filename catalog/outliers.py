@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import fixed_values as fv
 from tablewright.operators import outliers as o
 from tablewright.operators.ordering import with_row_id
+from tablewright.operators.treatments import treat_by_segment
 
 from .common import rounded, table
 
@@ -51,8 +52,25 @@ QUERIES = {
     "outlier_summary": lambda s, sf: rounded(o.outlier_summary(extremes(s, sf), "row_id"), 3),
     "outlier_causes": lambda s, sf: o.outlier_causes(_features(s, sf)).select("column_name", "cause_order", "cause", "confidence"),
     "outlier_advice": lambda s, sf: o.outlier_advice(_features(s, sf)),
+    "segment_outliers": lambda s, sf: rounded(o.segment_outliers(_tilted(s, sf), "status", "order_id", _TILTED), 6),
+    "segment_outlier_summary": lambda s, sf: rounded(
+        o.segment_outlier_summary(table(s, sf, "lineitem"), "l_suppkey", ["l_quantity", "l_extendedprice"]), 6
+    ),
+    "cap_by_segment": lambda s, sf: rounded(treat_by_segment(_tilted(s, sf), "price", "cap", "status"), 6),
 }
 
+_TILTED = ["price", "tax"]
+#: Two thirds of the rows in one segment, some rows in none, a small segment, gaps.
+_FX_TILTED = """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'most' WHEN o_orderkey % 33 = 0 THEN NULL
+    WHEN o_orderkey < 15 THEN 'few' ELSE o_orderpriority END AS status,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 101 = 1 THEN o_totalprice * 50 ELSE o_totalprice END AS price,
+  CAST(CASE WHEN o_orderkey % 89 = 2 THEN -9 ELSE o_orderkey % 10 END AS DOUBLE) / 100 AS tax FROM {orders}"""
+
+
+def _tilted(s, sf):
+    return s.sql(_FX_TILTED, orders=table(s, sf, "orders"))
+
+
 _BASE = "WITH x AS (" + FX_EXTREMES.format(lineitem="lineitem", row_id=f"row_number() OVER (ORDER BY {', '.join(_ORDER)}) - 1") + "), long AS ("
 _BASE += " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, row_id, CAST({c} AS DOUBLE) AS value FROM x WHERE {c} IS NOT NULL" for c in COLUMNS
@@ -114,3 +132,34 @@ ORACLE = {
       WHEN {_COND[1]} THEN 'Correct or Remove#High#Medium' WHEN {_COND[4]} THEN 'Keep (Do NOT Remove)#High#Low'
       ELSE 'Segment Analysis#Medium#Low' END AS advice FROM f)""",
 }
+
+_BOUNDS = """SELECT {seg} AS segment, '{c}' AS column_name, count({c}) AS n,
+  quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {t} WHERE {seg} IS NOT NULL GROUP BY 1 HAVING count({c}) >= 5"""
+
+
+def _bounds(t, seg, columns):
+    parts = " UNION ALL ".join(_BOUNDS.format(t=t, seg=seg, c=c) for c in columns)
+    return f"bounds AS (SELECT segment, column_name, n, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM ({parts}))"
+
+
+def _outside(t, seg, columns, key):
+    return " UNION ALL ".join(
+        f"SELECT {key}, b.segment, b.column_name, {c}::DOUBLE AS value, b.lower, b.upper FROM {t} JOIN bounds b "
+        f"ON b.segment = {seg} AND b.column_name = '{c}' WHERE {c} < b.lower OR {c} > b.upper"
+        for c in columns
+    )
+
+
+_TILTED_CTE = f"WITH t AS ({_FX_TILTED.format(orders='orders')}), {_bounds('t', 'status', _TILTED)} "
+_SUPPLIES = _bounds("lineitem", "l_suppkey", ["l_quantity", "l_extendedprice"])
+ORACLE |= {
+    "segment_outliers": _TILTED_CTE
+    + f"""SELECT row_id, segment, column_name, round(value, 6) AS value, round(lower, 6) AS lower, round(upper, 6) AS upper
+      FROM ({_outside('t', 'status', _TILTED, 'order_id AS row_id')})""",
+    "segment_outlier_summary": f"WITH {_SUPPLIES}, f AS ({_outside('lineitem', 'l_suppkey', ['l_quantity', 'l_extendedprice'], '1 AS one')}) "
+    """SELECT segment, column_name, n, round(lower, 6) AS lower, round(upper, 6) AS upper,
+      (SELECT count(*) FROM f WHERE f.segment = b.segment AND f.column_name = b.column_name) AS outlier_count FROM bounds b""",
+    "cap_by_segment": _TILTED_CTE
+    + """SELECT order_id, status, round(CASE WHEN lower IS NULL OR price IS NULL THEN price ELSE least(greatest(price, lower), upper) END, 6) AS price,
+      round(tax::DOUBLE, 6) AS tax FROM t LEFT JOIN bounds ON segment = status AND column_name = 'price'""",
+}

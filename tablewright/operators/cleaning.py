@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions.columns import (
@@ -24,7 +25,7 @@ from ..functions.dates import leading_formats, parse_with
 from ..functions.frequencies import modes
 from ..functions.quantiles import approx_quantiles, exact_quantiles
 from ..functions.text import INTEGER_TEXT, number_of, snake_case_labels, squeeze
-from .ordering import carry_last
+from .ordering import carry_both, carry_last
 
 
 def is_date_name(name: str) -> bool:
@@ -189,3 +190,42 @@ def fill_forward(
     types = {f.name: f.dataType for f in df.schema.fields}
     new = {n: F.coalesce(F.col(f), F.lit(firsts[f]).cast(types[n])) for f, n in names.items()}
     return replace_columns(carried, new).select(*[col(n) for n in df.columns])
+
+
+def interpolate(
+    df: DataFrame,
+    columns: Sequence[str],
+    row_id: str = ROW_ID,
+    by: str | None = None,
+    edges: bool = True,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Fill gaps of numeric columns on the straight line between the values around them.
+
+    Places are the row ids, or the values of `by` (a number, date or timestamp): then rows
+    without a place neither give values nor are filled, and between equal places the
+    earlier row's value counts. Before the first and after the last value the nearest
+    one is taken; with `edges` off such gaps stay. Filled columns become doubles.
+    """
+    if not columns:
+        return df
+    place = col(row_id).cast("double")
+    if by is not None:
+        dtype = data_types(df)[by]
+        moment = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        place = (F.unix_micros(col(by).cast("timestamp")) if moment else col(by)).cast("double")
+    names = {f"_tw_i{i}": n for i, n in enumerate(columns)}
+    value = {x: F.nanvl(col(n).cast("double"), F.lit(None).cast("double")) for x, n in names.items()}
+    wanted = {
+        x: F.when(v.isNotNull() & place.isNotNull(), F.struct(v.alias("v"), place.alias("p"))) for x, v in value.items()
+    }
+    around = carry_both(df, wanted, row_id, block_rows)
+    new = {}
+    for x, n in names.items():
+        before, after = F.col(f"{x}_before"), F.col(f"{x}_after")
+        share = F.try_divide(place - before["p"], after["p"] - before["p"])
+        line = before["v"] + (after["v"] - before["v"]) * F.coalesce(share, F.lit(0.0))
+        nearest = F.coalesce(before["v"], after["v"]) if edges else F.lit(None).cast("double")
+        filled = F.when(before.isNotNull() & after.isNotNull(), line).otherwise(nearest)
+        new[n] = F.when(value[x].isNull() & place.isNotNull(), filled).otherwise(value[x])
+    return replace_columns(around, new).select(*[col(n) for n in df.columns])

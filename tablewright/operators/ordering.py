@@ -136,3 +136,44 @@ def carry_last(
     return filled.drop(
         "_tw_block", *[f"_tw_x{i}" for i in range(len(names))], *[f"_tw_c{i}" for i in range(len(names))]
     )
+
+
+def carry_both(
+    df: DataFrame, wanted: Mapping[str, Column], row_id: str = ROW_ID, block_rows: int | None = None
+) -> DataFrame:
+    """For each row, `<name>_before` and `<name>_after`: the last non-NULL value of an expression at
+    or before it and the first one at or after it.
+
+    Both directions share the blocks, their one shuffle and their one sort. What a block lacks
+    comes from the blocks around it: a row per block (at most MAX_BLOCKS) with the nearest
+    value on either side. Blocks are equal stretches of row ids, so a long gap or a hot key
+    is no hot task.
+    """
+    size = block_rows or block_rows_for(df, row_id)
+    names = list(wanted)
+    xs = [f"_tw_x{i}" for i in range(len(names))]
+    blocked = df.withColumn("_tw_block", F.expr(f"{quoted(row_id)} DIV {size}")).withColumns(
+        {x: wanted[n] for x, n in zip(xs, names)}
+    )
+    known = {x: F.when(F.col(x).isNotNull(), col(row_id)) for x in xs}
+    ends = blocked.groupBy("_tw_block").agg(
+        *[F.max_by(x, known[x]).alias(f"{x}_last") for x in xs], *[F.min_by(x, known[x]).alias(f"{x}_first") for x in xs]
+    )
+    # One row per block, bounded by MAX_BLOCKS, so one task may order them.
+    earlier = Window.orderBy("_tw_block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy("_tw_block").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(
+        "_tw_block",
+        *[F.last(f"{x}_last", ignorenulls=True).over(earlier).alias(f"{x}_b") for x in xs],
+        *[F.first(f"{x}_first", ignorenulls=True).over(later).alias(f"{x}_a") for x in xs],
+    )
+    if all(_fixed_width(blocked.schema[x].dataType) for x in xs):
+        carried = F.broadcast(carried)
+    order = Window.partitionBy("_tw_block").orderBy(col(row_id))
+    upto, since = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    sides = {}
+    for n, x in zip(names, xs):
+        sides[f"{n}_before"] = F.coalesce(F.last(x, ignorenulls=True).over(upto), F.col(f"{x}_b"))
+        sides[f"{n}_after"] = F.coalesce(F.first(x, ignorenulls=True).over(since), F.col(f"{x}_a"))
+    filled = blocked.join(carried, "_tw_block").withColumns(sides)
+    return filled.drop("_tw_block", *xs, *[f"{x}_b" for x in xs], *[f"{x}_a" for x in xs])

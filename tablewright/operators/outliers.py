@@ -25,7 +25,9 @@ from ..functions.columns import (
     quoted,
     text_literal,
 )
+from ..functions.group_quantiles import group_quantiles
 from ..functions.quantiles import approx_quantiles, exact_quantiles
+from ..functions.storage import materialise
 
 METHODS = ["IQR", "Z-Score", "Modified Z-Score", "Percentiles"]
 #: Quantiles that a method looks at; the two scores need the moments, and one the deviations.
@@ -328,3 +330,44 @@ def outlier_advice(features: DataFrame) -> DataFrame:
         confidence.alias("confidence"),
         risk.alias("risk"),
     )
+
+
+def segment_bounds(df: DataFrame, segment: str, columns: Sequence[str] | None = None, row_id: str | None = None) -> DataFrame:
+    """(segment, column_name, n, lower, upper): quartile bounds of each column within each value of
+    `segment`, where a segment has enough values. Rows without a segment are left out."""
+    names = [n for n in (outlier_columns(df, row_id) if columns is None else columns) if n != segment]
+    if not names:
+        kind = df.schema[segment].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"segment {kind}, column_name string, n long, lower double, upper double")
+    found = group_quantiles(df, segment, names, (0.25, 0.75)).where(F.col("n") >= fv.OUTLIER_MIN_VALUES)
+    low, high = F.col("quantiles")[0], F.col("quantiles")[1]
+    reach = F.lit(fv.IQR_FACTOR) * (high - low)
+    return found.select("segment", "column_name", "n", (low - reach).alias("lower"), (high + reach).alias("upper"))
+
+
+def segment_outliers(df: DataFrame, segment: str, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(row_id, segment, column_name, value, lower, upper) of every value outside the bounds of its
+    own segment. Bounds are written once and joined by segment: a small table is broadcast by
+    Spark, and a large segment's rows can be split."""
+    bounds = materialise(segment_bounds(df, segment, columns, row_id))
+    names = [n for n in (outlier_columns(df, row_id) if columns is None else columns) if n != segment]
+    per_segment = bounds.groupBy("segment").agg(
+        F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("lower", "upper")))).alias("of")
+    )
+    values = F.array(*[F.struct(F.lit(n).alias("column_name"), col(n).cast("double").alias("value")) for n in names])
+    rows = df.select(col(row_id).alias("row_id"), col(segment).alias("segment"), values.alias("cells"))
+    rows = rows.join(materialise(per_segment), "segment")
+    rows = rows.select("row_id", "segment", "of", F.inline("cells")).withColumn("b", F.col("of")[F.col("column_name")])
+    rows = rows.where("value < b.lower OR value > b.upper")
+    return rows.select("row_id", "segment", "column_name", "value", "b.lower", "b.upper")
+
+
+def segment_outlier_summary(df: DataFrame, segment: str, columns: Sequence[str] | None = None, row_id: str | None = None) -> DataFrame:
+    """(segment, column_name, n, lower, upper, outlier_count) for every segment and column."""
+    bounds = materialise(segment_bounds(df, segment, columns, row_id))
+    numbered = df if row_id else df.withColumn("_tw_place", F.monotonically_increasing_id())
+    flagged = segment_outliers(numbered, segment, row_id or "_tw_place", columns or outlier_columns(df, row_id))
+    counts = flagged.groupBy("segment", "column_name").agg(F.count(F.lit(1)).alias("outlier_count"))
+    return bounds.join(counts, ["segment", "column_name"], "left").withColumn(
+        "outlier_count", F.coalesce("outlier_count", F.lit(0).cast("long"))
+    )

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, data_types, name_has, nan_to_null, per_column
+from ..functions.cross_products import correlations_of
 from ..functions.frequencies import distinct_counts, small_value_sets
 from .roles import CATEGORICAL, DATE, IDENTIFIER, NUMERICAL, infer_roles, with_role
 
@@ -171,23 +171,19 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), spread)
 
 
-def heatmap_data(df: DataFrame, columns: Sequence[str], batch: int = 1000) -> DataFrame:
-    """(x, y, correlation) for every pair of columns; one `agg` per `batch` pairs."""
+def heatmap_data(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(x, y, correlation) for every pair of columns, from one scan whatever their number."""
     df = nan_to_null(df)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "x string, y string, correlation double")
-    frames = []
-    for start in range(0, len(pairs), batch):
-        some = pairs[start : start + batch]
-        frame = df.agg(
-            *[correlation(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(some)]
-        )
-        entries = [
-            [F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("correlation")] for i, (a, b) in enumerate(some)
-        ]
-        frames.append(per_column(frame, entries))
-    return reduce(DataFrame.unionAll, frames)
+    spark = df.sparkSession
+    if len(columns) < 2:
+        return spark.createDataFrame([], "x string, y string, correlation double")
+    found = correlations_of(df, columns)
+    names = F.array(*[F.lit(n) for n in columns])
+    every = spark.range(len(columns) - 1).select(F.col("id").cast("int").alias("i"))
+    every = every.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(len(columns) - 1))).alias("j"))
+    return every.join(found, ["i", "j"], "left").select(  # pairs of an empty table are there too
+        F.element_at(names, F.col("i") + 1).alias("x"), F.element_at(names, F.col("j") + 1).alias("y"), "correlation"
+    )
 
 
 def scatter_data(

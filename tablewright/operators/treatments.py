@@ -11,9 +11,11 @@ from ..functions import fixed_values as fv
 from ..functions.columns import ROW_ID, col, data_types, is_fillable, is_numeric, is_text, nan_to_null
 from ..functions.frequencies import modes
 from ..functions.quantiles import exact_quantiles
-from .cleaning import fill_forward, fill_value, replace_columns
+from ..functions.storage import materialise
+from .cleaning import fill_forward, fill_value, interpolate, replace_columns
+from .outliers import segment_bounds
 
-IMPUTATIONS = ["keep_null", "median", "mean", "mode", "ffill", "na_string", "indicator"]
+IMPUTATIONS = ["keep_null", "median", "mean", "mode", "ffill", "interpolate", "na_string", "indicator"]
 OUTLIER_ACTIONS = ["keep", "remove", "cap", "nullify"]
 
 
@@ -42,6 +44,8 @@ def impute_with(
     """Apply one imputation whose constant is already known; lazy."""
     if action == "ffill":
         return fill_forward(df, [column], row_id)
+    if action == "interpolate":
+        return interpolate(df, [column], row_id) if is_numeric(data_types(df)[column]) else df
     if action == "na_string":
         df = replace_columns(df, {column: col(column).cast("string")})
     if action == "indicator":
@@ -52,7 +56,8 @@ def impute_with(
 def impute(df: DataFrame, column: str, action: str, row_id: str = ROW_ID) -> DataFrame:
     """Fill the gaps of one column; a column without gaps stays as it is.
 
-    `keep_null` and unknown actions change nothing.
+    `keep_null` and unknown actions change nothing, and so does `interpolate` on a column
+    that holds no numbers.
     """
     df = nan_to_null(df)
     if df.where(col(column).isNull()).isEmpty():
@@ -102,3 +107,39 @@ def treat_outliers(df: DataFrame, column: str, action: str) -> DataFrame:
     """Keep, remove, cap or nullify the values outside the quartile bounds."""
     df = nan_to_null(df)
     return treat_with(df, column, action, iqr_bounds(df, [column])[column])
+
+
+def treat_by_segment(df: DataFrame, column: str, action: str, by: str) -> DataFrame:
+    """Remove, cap or nullify the values outside the bounds of their own segment of `by`. Values of
+    rows without a segment, or in segments with too few values, stay."""
+    return treat_segments(df, column, action, by, written_bounds(df, column, by))
+
+
+def written_bounds(df: DataFrame, column: str, by: str) -> DataFrame:
+    """(segment, lower, upper) of one column, written once: counting and treating read the same."""
+    return materialise(segment_bounds(nan_to_null(df), by, [column]).select("segment", "lower", "upper"))
+
+
+def segment_outlier_rows(df: DataFrame, column: str, by: str, bounds: DataFrame) -> DataFrame:
+    """The values of a column outside the bounds of their segment."""
+    rows = df.select(col(by).alias("segment"), col(column).cast("double").alias("value")).join(bounds, "segment")
+    return rows.where("value < lower OR value > upper")
+
+
+def treat_segments(df: DataFrame, column: str, action: str, by: str, bounds: DataFrame) -> DataFrame:
+    """`treat_by_segment` with known bounds; lazy."""
+    if action not in ("remove", "cap", "nullify"):
+        return df
+    names = {"segment": "_tw_segment", "lower": "_tw_lower", "upper": "_tw_upper"}
+    bounds = bounds.withColumnsRenamed(names)
+    joined = nan_to_null(df).join(bounds, col(by) == F.col("_tw_segment"), "left")
+    x, low, high = col(column).cast("double"), F.col("_tw_lower"), F.col("_tw_upper")
+    outside = F.coalesce((x < low) | (x > high), F.lit(False))
+    if action == "remove":
+        joined = joined.where(~outside)
+    elif action == "cap":
+        capped = F.when(x.isNotNull(), F.when(low.isNull(), x).otherwise(F.least(F.greatest(x, low), high)))
+        joined = joined.withColumn(column, capped)
+    else:
+        joined = joined.withColumn(column, F.when(~outside, col(column)))
+    return joined.select(*[col(n) for n in df.columns])

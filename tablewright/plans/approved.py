@@ -12,7 +12,7 @@ from ..functions.columns import ROW_ID, col, count_if, data_types, is_fillable,
 from ..functions.frequencies import modes
 from ..functions.quantiles import exact_quantiles
 from ..functions.storage import materialise
-from ..operators.cleaning import drop_duplicates_first, drop_empty_rows
+from ..operators.cleaning import drop_duplicates_first, drop_empty_rows, interpolate
 from ..operators.ordering import with_row_id
 from ..operators.profile import quality_score
 from ..operators.treatments import (
@@ -21,7 +21,10 @@ from ..operators.treatments import (
     fill_constant,
     impute_with,
     iqr_bounds,
+    segment_outlier_rows,
+    treat_segments,
     treat_with,
+    written_bounds,
 )
 from .audit import SKIPPED, AuditLog
 
@@ -39,16 +42,17 @@ def apply_cleaning(
 
     `config` has `remove_duplicates`, `remove_empty_rows`, `missing_actions`
     {column: action} and `outlier_actions` {column: action}. A column that was
-    not approved carries the action "skip". Forward fill needs row ids: without
+    not approved carries the action "skip". `interpolate` weighs by rows, or by the column
+    that `interpolate_by` names. Forward fill and interpolation need row ids: without
     `row_id` they are attached in `order_by` or file order and stay in the result.
     """
     df = nan_to_null(df)
-    if row_id is None and "ffill" in config.get("missing_actions", {}).values():
+    if row_id is None and {"ffill", "interpolate"} & set(config.get("missing_actions", {}).values()):
         row_id = ROW_ID
         df = with_row_id(df, order_by, row_id)
     log = AuditLog()
     df = _drop_rows(df, config, row_id, log)
-    df = _impute(df, config.get("missing_actions", {}), row_id or ROW_ID, log)
+    df = _impute(df, config.get("missing_actions", {}), row_id or ROW_ID, log, config.get("interpolate_by"))
     df = _treat(df, config.get("outlier_actions", {}), log)
     return ApprovedResult(df, log.frame(df.sparkSession))
 
@@ -76,7 +80,7 @@ def _drop_rows(df, config, row_id, log):
     return df
 
 
-def _impute(df, actions, row_id, log):
+def _impute(df, actions, row_id, log, by=None):
     types = data_types(df, row_id)
     actions = {n: a for n, a in actions.items() if n in types}
     if not actions:
@@ -87,8 +91,17 @@ def _impute(df, actions, row_id, log):
     gaps = {n: row[f"m{i}"] for i, n in enumerate(actions) if row[f"m{i}"]}
     actions = {n: a for n, a in actions.items() if n in gaps}
     values = _constants(df, actions, types, row["n"])
+    # One carry for all interpolated columns, from the values that other steps have not touched.
+    lines = [n for n, a in actions.items() if a == "interpolate" and is_numeric(types[n]) and gaps[n] < row["n"]]
+    df = interpolate(df, lines, row_id, by)
     for n, action in actions.items():
         value, amount = values.get(n), gaps[n]
+        if action == "interpolate":
+            if n in lines:
+                log.add(n, action, amount, message=f"Filled {amount} missing values of '{n}' ({action}).")
+            else:
+                log.add(n, action, status=SKIPPED, message=f"'{n}' has no numbers to interpolate.")
+            continue
         if action == "keep_null":
             log.add(n, action, amount, message=f"Kept {amount} missing values of '{n}'.")
         elif action not in IMPUTATIONS:
@@ -129,7 +142,12 @@ def _treat(df, actions, log):
     while pending:
         # Bounds only change when rows were removed, so all columns up to and
         # including the next removal share their passes.
-        cut = next((i for i, (_, a) in enumerate(pending) if a == "remove"), len(pending) - 1)
+        if isinstance(pending[0][1], (tuple, list)):
+            (n, (action, by)), *pending = pending
+            df = _treat_segments(df, n, action, by, log)
+            continue
+        stop = next((i for i, (_, a) in enumerate(pending) if isinstance(a, (tuple, list))), len(pending))
+        cut = next((i for i, (_, a) in enumerate(pending[:stop]) if a == "remove"), stop - 1)
         batch, pending = pending[: cut + 1], pending[cut + 1 :]
         bounds = iqr_bounds(df, [n for n, _ in batch])
         known = [(n, a) for n, a in batch if bounds[n] is not None]
@@ -149,6 +167,18 @@ def _treat(df, actions, log):
     return df
 
 
+def _treat_segments(df, column, action, by, log):
+    if by not in df.columns or by == column or action not in OUTLIER_ACTIONS:
+        log.add(column, f"{action} by {by}", status=SKIPPED, message=f"Outliers of '{column}' by '{by}' were left alone.")
+        return df
+    bounds = written_bounds(df, column, by)
+    amount = segment_outlier_rows(df, column, by, bounds).count()
+    if amount:
+        df = treat_segments(df, column, action, by, bounds)
+        log.add(column, f"{action} by {by}", amount, message=f"{amount} outliers of '{column}' within '{by}': {action}.")
+    return df
+
+
 def cleaning_comparison(before: DataFrame, after: DataFrame, row_id: str | None = None) -> DataFrame:
     """Rows and quality score before and after."""
     old = quality_score(before, row_id).select(

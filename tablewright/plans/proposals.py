@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ROW_ID, nan_to_null
+from ..functions.columns import ROW_ID, data_types, is_numeric, nan_to_null
 from ..operators import missing, outliers
 from ..operators.ordering import with_row_id
 from ..operators.profile import quality_score
 
+BETWEEN = "Interpolate or Forward Fill"
 #: Advice of the cause rules -> action of `apply_cleaning`; other advice needs a person.
 MISSING_ACTIONS = {
     "Keep NULL": "keep_null",
@@ -19,7 +20,7 @@ MISSING_ACTIONS = {
     "Keep Empty / Do Not Impute": "keep_null",
     "Mark as Pending / Keep NULL": "keep_null",
     "Convert to 'N/A' or Keep NULL": "na_string",
-    "Interpolate or Forward Fill": "ffill",
+    BETWEEN: "ffill",  # of columns without numbers
     "Forward Fill": "ffill",
     "Median Imputation": "median",
     "Mode Imputation": "mode",
@@ -54,7 +55,9 @@ class Analysis:
             F.lit("outliers").alias("kind"), "column_name", F.col("outlier_count").alias("amount"), "recommended_action", "confidence", "risk"
         )
         advice = F.col("recommended_action")
+        numbers = [n for n, t in data_types(self.table).items() if is_numeric(t)]
         action = F.when(advice.startswith(INDICATOR), "indicator")
+        action = action.when((advice == BETWEEN) & F.col("column_name").isin(numbers), "interpolate")
         for kind, actions in (("missing", MISSING_ACTIONS), ("outliers", OUTLIER_ACTIONS)):
             for words, name in actions.items():
                 action = action.when((F.col("kind") == kind) & (advice == words), name)

@@ -6,9 +6,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.functions import cross_products
 from tablewright.functions.frequencies import distinct_counts, modes, small_value_sets
+from tablewright.functions.group_quantiles import group_quantiles
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators.ordering import carry_last, with_row_id
+from tablewright.operators.recommend import heatmap_data
 
 PS = (0.01, 0.25, 0.5, 0.75, 0.99)
 
@@ -88,3 +91,54 @@ def test_carry_last_matches_pandas(spark, block):
     pd.testing.assert_series_equal(
         before.astype(float).reset_index(drop=True), want.ffill().shift(), check_names=False
     )
+
+
+@pytest.mark.parametrize("partitions", [1, 150])
+def test_correlations_of_all_pairs_match_pandas(spark, partitions, monkeypatch):
+    """Gaps pair by pair, far-off means, constants, a column without values."""
+    monkeypatch.setattr(cross_products, "FAN", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 6))
+    x[:, 1] = 1e9 + x[:, 0] * 3 + x[:, 1]
+    x[rng.random((600, 6)) < 0.3] = np.nan
+    frame = pd.DataFrame(np.column_stack([x, np.full(600, 0.1), np.full(600, np.nan)]), columns=[f"c.{i}" for i in range(8)])
+    df = spark.createDataFrame(frame).replace(float("nan"), None).repartition(partitions)
+    got = {(r.i, r.j): (r.n, r.correlation) for r in cross_products.correlations_of(df, df.columns).collect()}
+    expected = frame.corr().to_numpy()
+    assert len(got) == 28
+    for (i, j), (n, r) in got.items():
+        assert n == int((frame.iloc[:, i].notna() & frame.iloc[:, j].notna()).sum())
+        assert r is None if max(i, j) > 5 else abs(r - expected[i, j]) < 1e-6
+
+
+def test_correlations_need_one_scan(spark, tmp_path):
+    df = spark.range(50).selectExpr(*[f"(id * {i + 3}) % 17 + 0.5 AS c{i}" for i in range(60)])
+    df.write.parquet(str(tmp_path / "wide"))
+    plan = heatmap_data(spark.read.parquet(str(tmp_path / "wide")), df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert heatmap_data(df, df.columns).count() == 60 * 59 // 2
+    assert [r.correlation for r in heatmap_data(df.limit(0), ["c0", "c1"]).collect()] == [None]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_quantiles_of_groups_match_pandas(spark, partitions):
+    """A group with two thirds of the rows over many ranges, frequent values, groups of one value."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        group = "hot" if i % 3 else rng.choice(["a", "b", "ü", None])
+        x = rng.choice([0.0, -0.0, 1.5]) if i % 5 == 0 else rng.gauss(0, 9)
+        rows.append((group, None if i % 11 == 0 else x, float("nan") if i % 13 == 0 else float(i % 7)))
+    rows += [("one", 4.0, None), ("none", None, None)]
+    frame = pd.DataFrame(rows, columns=["g.1", "x", "y"])
+    df = spark.createDataFrame(rows, "`g.1` string, x double, y double").repartition(partitions)
+    got = {(r.segment, r.column_name): (r.n, r.quantiles) for r in group_quantiles(df, "g.1", ["x", "y"], PS).collect()}
+    expected = 0
+    for group, part in frame.groupby("g.1"):
+        for c in ("x", "y"):
+            values = part[c].dropna()
+            if len(values):
+                expected += 1
+                assert got[group, c] == (len(values), pytest.approx(values.quantile(list(PS)).tolist(), rel=1e-12, abs=1e-12))
+    assert len(got) == expected
+    assert group_quantiles(df.limit(0), "g.1", ["x"], PS).count() == 0

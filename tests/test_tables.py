@@ -1,7 +1,10 @@
 """Edge tables and properties of profiling and cleaning."""
 
 import datetime as dt
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +12,10 @@ from tablewright import sources as src
 from tablewright.functions.storage import scratch_path
 from tablewright.functions.text import snake_case_labels
 from tablewright.operators import cleaning as c
+from tablewright.operators import outliers
 from tablewright.operators import profile as p
 from tablewright.operators import treatments as t
+from tablewright.operators.cleaning import interpolate
 from tablewright.operators.ordering import with_row_id
 from tablewright.plans.approved import apply_cleaning
 from tablewright.plans.automatic import clean_table, cleaning_advice
@@ -232,3 +237,59 @@ def test_written_table_keeps_order_and_escapes(spark):
     df = with_row_id(spark.createDataFrame([(2, "=x"), (1, " y ")], "k int, t string"), ["k"])
     src.write_clean(df, path, row_id="_row_id")
     assert [tuple(r) for r in src.load_csv(spark, path).orderBy("k").collect()] == [(1, " y "), (2, "'=x")]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_interpolation_matches_pandas(spark, partitions):
+    """Long and short gaps, a block without values, gaps at both ends."""
+    rng = random.Random(1)
+    values = [None if i < 3 or i > 480 or 100 <= i < 230 or rng.random() < 0.4 else rng.uniform(-50, 50) for i in range(500)]
+    whole = [None if i % 3 else i * i for i in range(500)]
+    times = [i * 10.0 + rng.randrange(9) for i in range(500)]
+    df = spark.createDataFrame(list(zip(range(500), values, whole, times)), "id long, x double, n int, t double")
+    df = df.repartition(partitions)
+    frame = pd.DataFrame({"x": pd.array(values, "float64"), "n": pd.array(whole, "float64")})
+    for by, index, method in ((None, range(500), "linear"), ("t", times, "index")):
+        expected = frame.set_index(pd.Index(index)).interpolate(method=method, limit_direction="both")
+        inner = frame.set_index(pd.Index(index)).interpolate(method=method, limit_area="inside")
+        for edges, want in ((True, expected), (False, inner)):
+            out = interpolate(df, ["x", "n"], "id", by=by, edges=edges, block_rows=40).orderBy("id").toPandas()
+            assert np.allclose(out[["x", "n"]].to_numpy(float), want.to_numpy(), equal_nan=True)
+            assert out.columns.tolist() == ["id", "x", "n", "t"]
+
+
+def test_interpolation_without_places_or_values(spark):
+    rows = [(0, 1.0, 0.0), (1, None, None), (2, None, 4.0), (3, 5.0, 4.0), (4, None, 4.0), (5, 9.0, 4.0), (6, 7.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, t double")
+    out = [r.x for r in interpolate(df, ["x"], "id", by="t").orderBy("id").collect()]
+    assert out == [1.0, None, 5.0, 5.0, 5.0, 9.0, 7.0]
+    blank = spark.createDataFrame([(0, None), (1, None)], "id long, x double")
+    assert [r.x for r in interpolate(blank, ["x"], "id").collect()] == [None, None]
+    assert interpolate(blank.limit(0), ["x"], "id").count() == 0
+
+
+def test_approved_interpolation(spark):
+    df = spark.createDataFrame([(0, 1.0, None, "a"), (1, None, None, None), (2, 4.0, None, "b")], "id long, x double, y double, s string")
+    config = {"missing_actions": {"x": "interpolate", "y": "interpolate", "s": "interpolate"}}
+    result = apply_cleaning(df, config, "id")
+    assert [tuple(r) for r in result.table.orderBy("id").collect()] == [(0, 1.0, None, "a"), (1, 2.5, None, None), (2, 4.0, None, "b")]
+    assert [(r.column_name, r.status[:8], r.rows_affected) for r in result.audit.where("column_name IS NOT NULL").collect()] == [("x", "APPROVED", 1), ("y", "DECLINED", 0), ("s", "DECLINED", 0)]
+
+
+def test_outliers_within_their_segment(spark):
+    """100 is usual in one segment and far out in the other; rows without a segment stay."""
+    rows = [(i, "low", float(i)) for i in range(20)] + [(20 + i, "high", 90.0 + i) for i in range(20)]
+    rows += [(40, "low", 100.0), (41, "high", 1.0), (42, None, 1e6), (43, "few", 1e6), (44, "low", None)]
+    df = spark.createDataFrame(rows, "id long, s string, x double")
+    flagged = outliers.segment_outliers(df, "s", "id", ["x"]).collect()
+    assert sorted((r.row_id, r.segment) for r in flagged) == [(40, "low"), (41, "high")]
+    result = apply_cleaning(df, {"outlier_actions": {"x": ("nullify", "s")}}, "id")
+    assert {r.id for r in result.table.where("x IS NULL").collect()} == {40, 41, 44}
+    assert [(r.action, r.rows_affected) for r in result.audit.where("column_name = 'x'").collect()] == [("nullify by s", 2)]
+    kept = apply_cleaning(df, {"outlier_actions": {"x": ("remove", "s")}}, "id").table
+    assert kept.count() == 43 and kept.where("id IN (42, 43, 44)").count() == 3
+    again = apply_cleaning(df, {"outlier_actions": {"x": ("remove", "nowhere"), "id": "keep"}}, "id")
+    assert again.table.count() == 45 and again.audit.where("status <> 'APPROVED' AND column_name = 'x'").count() == 1
+    summary = {(r.segment): r.outlier_count for r in outliers.segment_outlier_summary(df, "s", ["x"]).collect()}
+    assert summary == {"low": 1, "high": 1}
+    assert outliers.segment_outlier_summary(df.limit(0), "s", ["x"]).count() == 0
