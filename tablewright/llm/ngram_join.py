@@ -383,11 +383,8 @@ def similar_pairs(
     tried = tried.agg(F.count("*").alias("often"), F.min("members").alias("members"))
     best = Window.partitionBy("id").orderBy(F.desc("often"), "centre")
     tried = tried.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= CENTRES) | (F.col("members") == 2))
-    tried = written(tried.select(F.col("centre").alias("a"), F.col("id").alias("b"), (F.col("members") == 2).alias("sole")))
-    likely = _possible(tried.select("a", "b"), bitmaps).join(tried, ["a", "b"])
-    first = F.row_number().over(Window.partitionBy("b").orderBy("sole", "a"))
-    likely = written(likely.withColumn("rank", first).where("sole OR rank = 1").select("a", "b"))
-    near = _verified(likely, sets)
+    tried = tried.select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    near = _verified(written(_possible(tried, bitmaps)), sets)
     labels = components(near)
     release(spark)
     return near.union(_verified(written(_cross(buckets, labels, bitmaps)), sets))
