@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -48,6 +48,7 @@ PERCENT = 80
 RATIO = 1.6  # largest to smallest size in a band
 CENTRES = 3  # checked per set before components are built
 TILE = 1500  # members of a bucket compared in one block
+TOP = 2  # largest buckets of an id that are looked at first
 TWICE = 2  # rows of a signature that a batch sends to find out whether it is shared
 FEW = 1 << 20  # ids that may be broadcast: some 30 MB
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -244,8 +245,9 @@ def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _near_pairs(rows: list[tuple]) -> set[tuple[int, int]]:
-    """Pairs of one block that are in different components and may be similar."""
+def _near_pairs(rows: list[tuple], nearest: bool) -> set[tuple[int, int]]:
+    """Pairs of one block that are in different components and may be similar; with `nearest`
+    only the likeliest one for each row and those after it."""
     comp = np.array([r[3] for r in rows])
     n = np.array([r[5] for r in rows])
     side = np.array([r[6] for r in rows])
@@ -258,14 +260,16 @@ def _near_pairs(rows: list[tuple]) -> set[tuple[int, int]]:
         at = np.flatnonzero(ok) + i + 1
         if len(at):
             apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            for j in at[9 * apart <= n[at] + n[i]]:
+            likely = 9 * apart <= n[at] + n[i]
+            at, apart = at[likely], apart[likely]
+            for j in at[np.argsort(apart / (n[at] + n[i]), kind="stable")[:1]] if nearest else at:
                 a, b = rows[i][0], rows[int(j)][0]
                 if a != b:
                     found.add((min(a, b), max(a, b)))
     return found
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_pairs(batches: Iterator[pa.RecordBatch], nearest: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (id, sig, block, comp, bits, n, side), sorted by (sig, block); see `_cross`."""
     held: list[tuple] = []
     found: set[tuple[int, int]] = set()
@@ -278,13 +282,13 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
             if held and held[-1][1:3] != row[1:3]:
-                found |= _near_pairs(held)
+                found |= _near_pairs(held, nearest)
                 held = []
                 if len(found) > 50_000:
                     yield out()
             held.append(row)
     if held:
-        found |= _near_pairs(held)
+        found |= _near_pairs(held, nearest)
     yield out()
 
 
@@ -317,8 +321,9 @@ def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataF
     return written(both.select("a", "b"))
 
 
-def _cross(buckets: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs of one bucket that no link joins yet and that may be similar.
+def _cross(buckets: DataFrame, labels: DataFrame, bits: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs of one bucket that no link joins yet and that may be similar. With `nearest` a first
+    choice of them, at most TOP for each id: its likeliest partner in its largest buckets.
 
     Members of one component need no comparing. So a large bucket is cut into tiles twice: the
     members of its most frequent component, and the rest. Blocks hold a tile of the former and
@@ -332,12 +337,17 @@ def _cross(buckets: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
     )
     tiles = sizes.where("comps > 1").select(
         "sig",
+        "all",
         F.col("top.comp").alias("top"),
         (F.col("all") <= TILE).alias("small"),
         F.ceil(F.col("top.size") / TILE).cast("int").alias("tops"),
         F.ceil((F.col("all") - F.col("top.size")) / TILE).cast("int").alias("rests"),
     )
-    rows = rows.join(written(tiles), "sig").withColumn("in_top", F.col("comp") == F.col("top"))
+    rows = rows.join(written(tiles), "sig")
+    if nearest:
+        largest = Window.partitionBy("id").orderBy(F.desc("all"), "sig")  # an id has as many rows as signatures
+        rows = rows.withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= TOP).drop("rank")
+    rows = rows.withColumn("in_top", F.col("comp") == F.col("top"))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rests"))).cast("long")
     rows = rows.withColumn("mine", mine)
 
@@ -359,7 +369,7 @@ def _cross(buckets: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
     rows = rows.join(bits, "id").select("id", "sig", F.inline(places), "comp", "bits", "n")
     rows = rows.select("id", "sig", "block", "comp", "bits", "n", "side")
     rows = rows.repartition("sig", "block").sortWithinPartitions("sig", "block")
-    return rows.mapInArrow(_block_pairs, "a long, b long").distinct()
+    return rows.mapInArrow(partial(_block_pairs, nearest=nearest), "a long, b long").distinct()
 
 
 def similar_pairs(
@@ -385,9 +395,12 @@ def similar_pairs(
     tried = tried.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= CENTRES) | (F.col("members") == 2))
     tried = tried.select(F.col("centre").alias("a"), F.col("id").alias("b"))
     near = _verified(written(_possible(tried, bitmaps)), sets)
-    labels = components(near)
-    release(spark)
-    return near.union(_verified(written(_cross(buckets, labels, bitmaps)), sets))
+    # Large groups grow together through few pairs before all that is left is compared.
+    for nearest in (True, False):
+        labels = components(near)
+        release(spark)
+        near = near.union(_verified(written(_cross(buckets, labels, bitmaps, nearest)), sets))
+    return near
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
