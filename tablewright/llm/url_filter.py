@@ -1,16 +1,18 @@
 """URL filter: rules first, else the ratio of two character language models.
 
-Both models are learned from the urls that rules judge: one from accepted, one from
+Both models read whole urls, query and fragment included; only the rules look at host and path.
+They are learned from four fifths of the urls that rules judge: one from accepted, one from
 rejected urls. They are Markov models of variable order: a character's probability mixes
 its frequencies after contexts of 4, 3, 2, 1 and 0 characters, each weighted by how often
 the context was seen against how many characters followed it (Witten-Bell smoothing). A
 url's score is the mean difference of log probabilities a character, accepted minus
-rejected; the threshold is the one that separates the judged urls best. DataFrame
-operations only.
+rejected; the threshold is the one that best separates the judged urls of the other fifth,
+which the models have not seen. DataFrame operations only.
 
 Counts are kept per distinct five-character gram, and lower orders are sums of them, so a
-frequent gram is one row of the model. Only scoring joins grams with urls: there, model
-rows are repeated for a few salts, which spreads the grams that all urls share.
+frequent gram is one row of the model. Only scoring joins grams with urls. A model of at most
+`BROADCAST_GRAMS` rows is broadcast, and scores add up beside the scan; a larger one is joined
+by gram, its rows repeated for as many salts as the most frequent gram has fair shares.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 ORDER = 4  # characters of context
-SALTS = 16
+BROADCAST_GRAMS = 200_000  # some 10 MB
+FOLDS = 5  # one of them sets the threshold
 ALPHABET = 256.0  # an unseen character has 1 / ALPHABET
 STEP = 0.02  # thresholds tried
 START, END = "\x02", "\x03"
@@ -56,11 +59,21 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _grams(text: Column) -> Column:
-    """Every character of the text and its end, each with the characters before it."""
-    padded = F.concat(F.lit(START * ORDER), text, F.lit(END))
-    return F.transform(
-        F.sequence(F.lit(1), F.char_length(text) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1))
-    )
+    """Every character of the text and its end, each with the characters before it. Characters
+    are split once for a text, so the work grows with its length and not with its square."""
+    characters = F.split(F.concat(F.lit(START * ORDER), text, F.lit(END)), "")
+
+    def windows(c: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)])
+        )
+
+    return F.get(F.transform(F.array(characters), windows), F.lit(0))
+
+
+def _learns(text: Column) -> Column:
+    """Whether a judged url teaches the models; the others set the threshold."""
+    return F.crc32(text) % FOLDS != 0
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
@@ -111,33 +124,53 @@ def threshold(judged: DataFrame) -> float:
     return at
 
 
+def _scores(grams: DataFrame, ratios: DataFrame, frequent: int, total: int) -> DataFrame:
+    """(text_id, score): the mean ratio of each url's grams. `frequent` is the count of the most
+    frequent gram over different urls, `total` that of all grams."""
+    if ratios.count() <= BROADCAST_GRAMS:
+        joined = grams.join(F.broadcast(ratios), "gram")
+    else:
+        parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, min(parts, -(-frequent * parts // max(total, 1))))
+        ratios = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = grams.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(salts)).cast("int"))
+        joined = dealt.join(ratios, ["gram", "salt"])
+    return joined.groupBy("text_id").agg(F.avg("ratio").alias("score"))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of `pages` (page_id, url): page_id, host, path, rule, verdict, score.
 
     Urls that no rule fits are allowed if their score reaches the threshold. Without
-    accepted or rejected urls to learn from, all scores and the threshold are 0. Urls that
-    are null or have no host are scored as the empty string. Other columns are ignored.
+    accepted or rejected urls to learn from, all scores and the threshold are 0; without both
+    among those held back, the threshold is 0. Null urls are scored as empty ones, and urls
+    without `://` as they are. Equal urls get equal scores; rows with equal or null page_id
+    all stay. Other columns are ignored.
     """
+    rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    texts = rows.groupBy("url").agg(F.count("*").alias("pages"))
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
+    texts = texts.withColumns({"host": host, "path": path})
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    texts = rows.groupBy("host", "path", "rule", "verdict").agg(F.count("*").alias("pages"))
-    texts = written(texts.withColumn("text", F.xxhash64("host", "path")))
-
-    grams = texts.select("text", "verdict", "pages", F.explode(_grams(F.concat("host", "path"))).alias("gram"))
-    allowed = F.when(F.col("verdict") == "allow", F.col("pages")).otherwise(0)
-    blocked = F.when(F.col("verdict") == "block", F.col("pages")).otherwise(0)
-    counts = written(grams.groupBy("gram").agg(F.sum(allowed).alias("accepted"), F.sum(blocked).alias("rejected")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    ratios = written(log_ratios(counts)).select("gram", "ratio", salts)
-    dealt = grams.select("text", "gram", F.pmod("text", F.lit(SALTS)).cast("int").alias("salt"))
-    scores = dealt.join(ratios, ["gram", "salt"]).groupBy("text").agg(F.avg("ratio").alias("score"))
-    scored = written(texts.join(scores, "text").select("host", "path", "rule", "verdict", "score"))
-
-    at = threshold(scored.where("verdict IS NOT NULL").select("score", "verdict"))
+    # 128 bits tell urls apart among any number of them; 64 would not.
+    texts = written(texts.withColumns({"rule": rule, "verdict": verdict, "text_id": F.unhex(F.md5("url"))}))
+
+    taught = F.when(_learns(F.col("url")), F.col("verdict")).alias("taught")
+    grams = texts.select("text_id", "pages", taught, F.explode(_grams(F.col("url"))).alias("gram"))
+    allowed = F.when(F.col("taught") == "allow", F.col("pages")).otherwise(0)
+    blocked = F.when(F.col("taught") == "block", F.col("pages")).otherwise(0)
+    counts = written(
+        grams.groupBy("gram").agg(
+            F.sum(allowed).alias("accepted"), F.sum(blocked).alias("rejected"), F.count("*").alias("urls")
+        )
+    )
+    seen = counts.agg(F.max("urls").alias("frequent"), F.sum("urls").alias("total")).first()
+    ratios = written(log_ratios(counts.drop("urls")))
+    scores = _scores(grams.select("text_id", "gram"), ratios, seen.frequent or 0, seen.total or 0)
+    scored = written(texts.join(scores, "text_id").drop("text_id", "pages"))
+
+    held_back = scored.where(F.col("verdict").isNotNull() & ~_learns(F.col("url")))
+    at = threshold(held_back.select("score", "verdict"))
     method = F.when(F.col("score") >= F.lit(at), "allow").otherwise("block")
-    unruled = scored.select("host", "path", "score", F.coalesce("verdict", method).alias("judged"))
-    out = rows.join(unruled, ["host", "path"])
-    return out.select("page_id", "host", "path", "rule", F.col("judged").alias("verdict"), "score")
+    judged = scored.withColumn("verdict", F.coalesce("verdict", method))
+    return rows.join(judged, "url").select("page_id", "host", "path", "rule", "verdict", "score")

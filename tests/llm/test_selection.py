@@ -167,28 +167,62 @@ def plain_model(texts):
     return p
 
 
-def test_urls(spark):
+def learns(url):
+    return zlib.crc32(url.encode()) % 5 != 0
+
+
+@pytest.fixture(params=["broadcast", "salted"])
+def model_join(request, monkeypatch):
+    if request.param == "salted":
+        monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 0)
+
+
+def test_urls(spark, model_join):
+    """Rules by host and path; scores of whole urls, whether they differ in query only or have no
+    `://`; the threshold by urls that taught nothing; repeated and null page_id."""
     rng = random.Random(2)
-    urls = URLS + [
+    urls = URLS + ["x://a.example.org/q?" + c * 9 for c in "abc"] + ["mail to:" + c * 5 for c in "ab\U0001f600"] + [
         f"http://{rng.choice(['a', 'bb', 'm.c'])}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'fr', 'es'])}/{rng.randrange(90)}"
+        + rng.choice(["", "?page=2", "?ref=x#top", "#top"])
         for _ in range(120)
     ]
-    pages = spark.createDataFrame([(i, u, "h", 0.5) for i, u in enumerate([*urls, *urls[:9]])], "page_id long, url string, host string, score double")
-    got = {r.page_id: r for r in url_filter.judge(pages.repartition(4)).collect()}
-    assert len(got) == pages.count()
-    plain = {i: plain_judgement(u) for i, u in enumerate([*urls, *urls[:9]])}
-    accepted = plain_model(Counter(h + p for h, p, _, v in plain.values() if v == "allow").items())
-    rejected = plain_model(Counter(h + p for h, p, _, v in plain.values() if v == "block").items())
-    for i, (host, path, rule, verdict) in plain.items():
-        padded = "\x02" * 4 + host + path + "\x03"
+    pages = [(i, u) for i, u in enumerate([*urls, *urls[:9]])]
+    pages += [(None, urls[20]), (None, urls[20]), (3, urls[21])]
+    frame = spark.createDataFrame([(i, u, "h", 0.5) for i, u in pages], "page_id long, url string, host string, score double")
+    found = url_filter.judge(frame.repartition(4)).collect()
+    got = sorted(found, key=lambda r: (str(r.page_id), r.host, r.path, r.score))
+    plain = [(i, u or "", *plain_judgement(u)) for i, u in pages]
+    accepted = plain_model(Counter(u for _, u, _, _, _, v in plain if v == "allow" and learns(u)).items())
+    rejected = plain_model(Counter(u for _, u, _, _, _, v in plain if v == "block" and learns(u)).items())
+    scores = {}
+    for _, url, *_ in plain:
+        padded = "\x02" * 4 + url + "\x03"
         ratios = [math.log(accepted(padded[j - 4 : j + 1])) - math.log(rejected(padded[j - 4 : j + 1])) for j in range(4, len(padded))]
-        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
-        assert math.isclose(got[i].score, sum(ratios) / len(ratios), abs_tol=1e-9)
-        assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
-    unruled = [(r.score, r.verdict) for r in got.values() if r.rule is None]
-    cut = max((s for s, v in unruled if v == "block"), default=-math.inf)
-    assert all(v == "block" or s > cut for s, v in unruled)
-    assert url_filter.judge(pages.limit(0)).count() == 0
+        scores[url] = sum(ratios) / len(ratios)
+    level = {u: max(-1000, min(1000, math.floor(abs(s) / 0.02 + 0.5) * (1 if s > 0 else -1))) for u, s in scores.items()}
+    held = Counter((v, level[u]) for u, v in {u: v for _, u, _, _, _, v in plain if v and not learns(u)}.items())
+    allow, block = (sum(n for (v, _), n in held.items() if v == kind) for kind in ("allow", "block"))
+    assert allow and block
+
+    def accuracy(cut):
+        kept = sum(n for (v, k), n in held.items() if v == "allow" and k >= cut)
+        out = sum(n for (v, k), n in held.items() if v == "block" and k < cut)
+        return kept / allow + out / block
+
+    cut = max(sorted({k for _, k in held}), key=accuracy)
+    at = (cut - 0.5) * 0.02
+    want = [(i, h, p, r, v or ("allow" if scores[u] >= at else "block"), scores[u]) for i, u, h, p, r, v in plain]
+    want.sort(key=lambda r: (str(r[0]), r[1], r[2], r[5]))
+    assert [tuple(r)[:5] for r in got] == [r[:5] for r in want]
+    assert all(math.isclose(g.score, w[5], abs_tol=1e-9) for g, w in zip(got, want))
+    assert len({scores["x://a.example.org/q?" + c * 9] for c in "abc"}) == 3
+    assert len({scores[u] for u in ("", "no scheme", "mail to:aaaaa")}) == 3
+    assert url_filter.judge(frame.limit(0)).count() == 0
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.net/es/" + "ab" * 200_000), (2, "http://a.com/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages).collect()} == {1: "block", 2: "allow"}
 
 
 def test_disguised_words_are_read():
