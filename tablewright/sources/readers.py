@@ -10,9 +10,12 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, count_if, is_text, nan_to_null
+from ..functions.storage import materialise
 from ..functions.text import INTEGER_TEXT, number_of, numeric_text
+from .records import records
 
 _CORRUPT = "_tw_corrupt"
+MAX_LISTED = 1000  # files with quoted line breaks that a plan may name
 
 
 class TableError(ValueError):
@@ -59,53 +62,88 @@ def load_csv(
     Short lines are filled with NULL, the usual missing-value words and blank
     cells become NULL, and a column gets a number or boolean type when all its
     values have that form. Dates stay text. Files with other headers than the first
-    one raise `TableError`. A file whose quoted fields contain line breaks cannot be
-    split; by default one scan over the lines decides, for each file.
+    one raise `TableError`. By default one scan over the lines decides, for each file,
+    whether quoted fields contain line breaks; such files are read in splits, too, and
+    records are resolved at the edges (`records`). `multi_line=True` parses each file in one
+    task instead, and so does a file that mixes quoted breaks with bare carriage returns.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("quote", '"')
     names = reader.csv(path).columns
-    files = _file_facts(spark, path)
-    headers = sorted({f.header for f in files if f.header is not None})
+    facts = _file_facts(spark, path)
+    headers = facts.where("header IS NOT NULL").groupBy("header").count().orderBy("header").limit(2).collect()
     if len(headers) > 1:
-        raise TableError(f"files with different headers: {headers[0]!r}, {headers[1]!r}")
-    whole = [f.file for f in files if f.breaks] if multi_line is None else []
-    split = [f.file for f in files if not f.breaks]
+        raise TableError(f"files with different headers: {headers[0].header!r}, {headers[1].header!r}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+    parsing = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "multiLine": True}
 
-    def cells(paths: str | list[str], multi: bool) -> DataFrame:
-        raw = (
-            reader.schema(schema)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT)
-            .option("columnPruning", False)  # field counts are only checked on whole lines
-            .option("multiLine", multi)
-            .csv(paths)
-        )
+    def cells(raw: DataFrame) -> DataFrame:
         outside_quotes = F.regexp_replace(F.col(_CORRUPT), r'"([^"]|"")*"', "")
         too_many = F.col(_CORRUPT).isNotNull() & (F.size(F.split(outside_quotes, ",", -1)) > len(names))
         return raw.where(~too_many).select(
             *[F.when(~col(n).isin(fv.NA_TOKENS), col(n)).alias(n) for n in names]
         )
 
-    if not whole:
-        rows = cells(path, bool(multi_line))
-    elif not split:
-        rows = cells(path, True)
+    def files(paths: str | list[str], multi: bool) -> DataFrame:
+        # Field counts are only checked on whole lines, so columns are not pruned.
+        return reader.schema(schema).options(**parsing | {"multiLine": multi}, columnPruning=False).csv(paths)
+
+    if multi_line is not None:
+        rows = cells(files(path, multi_line))
+        return blank_to_null(_typed(rows) if infer else rows)
+
+    broken = facts.where("breaks").select("file", "bare").limit(MAX_LISTED + 1).collect()
+    whole = [f.file for f in broken if f.bare]
+    if len(broken) > MAX_LISTED:  # too many to name: all go the same way
+        whole = [f.file for f in facts.where("breaks AND bare").select("file").collect()]
+    listed = [f.file for f in broken] if len(broken) <= MAX_LISTED else None
+    parts = []
+    if not broken:
+        parts.append(cells(files(path, False)))
     else:
-        rows = cells(split, False).union(cells(whole, True))
+        name = F.col("_metadata.file_path")
+        if listed is not None:
+            parts.append(cells(files(path, False).where(~name.isin(listed))))
+        split = ~name.isin(whole) if listed is None else name.isin([f for f in listed if f not in whole])
+        if listed is None or len(listed) > len(whole):
+            options = {"quote": '"', "escape": '"', **{k: str(v) for k, v in parsing.items()}}
+            found = records(_lines(spark, path).where(split))
+            parsed = found.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+            parts.append(cells(parsed.select("r.*")))
+        if whole:
+            parts.append(cells(files(whole, True)))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
     return blank_to_null(_typed(rows) if infer else rows)
 
 
-def _file_facts(spark: SparkSession, path: str) -> list:
-    """(file, header, breaks) of each file, in one scan: its first line, and whether some line
-    has an odd number of quotes, so that a quoted field goes on in the next line."""
-    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), at.alias("at"), (quotes % 2 == 1).alias("odd"), "value"
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): lines between line feeds, with their file, the start of their split
+    in it, and an id that grows within the split."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+
+
+def _file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, breaks, bare) of each file, in one scan: its first line; whether some line has
+    an odd number of quotes, so that a quoted field may go on in the next line; whether lines
+    may also end in a bare carriage return."""
+
+    def odd(text):
+        return (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
+
+    bare = F.col("value").rlike(r"\r[^\r]")
+    lines = _lines(spark, path).select(
+        "file", F.when(F.col("block") == 0, F.col("at")).alias("at"), bare.alias("bare"),
+        F.when(bare, F.exists(F.split("value", "\r"), odd)).otherwise(odd(F.col("value"))).alias("odd"),
+        F.regexp_extract("value", r"\A[^\r]*", 0).alias("value"),
+    )
+    facts = lines.groupBy("file").agg(
+        F.rtrim(F.min_by("value", "at")).alias("header"), F.max("odd").alias("breaks"), F.max("bare").alias("bare")
     )
-    facts = lines.groupBy("file").agg(F.rtrim(F.min_by("value", "at")).alias("header"), F.max("odd").alias("breaks"))
-    return sorted(facts.collect(), key=lambda f: f.file)
+    return materialise(facts)
 
 
 def _typed(df: DataFrame) -> DataFrame:

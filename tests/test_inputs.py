@@ -1,5 +1,7 @@
 """File order, CSV folders, nested columns, usual questions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from tablewright.operators.questions import tag_questions
 from tablewright.plans.approved import apply_cleaning
 from tablewright.plans.automatic import clean_table
 from tablewright.sources import load_csv
-from tablewright.sources.readers import TableError, validate_table
+from tablewright.sources.readers import TableError, _lines, validate_table
+from tablewright.sources.records import open_after
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +59,68 @@ def test_csv_line_breaks_are_decided_for_each_file(spark, tmp_path):
     assert sorted(map(tuple, load_csv(spark, str(tmp_path)).collect())) == [(1, "x\ny"), (2, "z")]
 
 
+def _odd_csv(rng, rows):
+    """Quoted breaks, doubled quotes, quotes inside plain fields, empty lines, short and long lines."""
+    pieces = ["plain", 'in "ch', "", "x" * 40, '"a\nb"', '"say ""hi"",\n\n"', '"\r\nend"', '"""\n"""', '5"', '"done"', '"c, d"', "NA"]
+    lines = ["id,note,more"]
+    for i in range(rows):
+        lines.append(",".join([str(i), rng.choice(pieces), rng.choice(pieces)][: rng.choice([3, 3, 3, 3, 2])]))
+        if rng.random() < 0.1:
+            lines.append(rng.choice(["", f"{i},a,b,too many"]))
+    return "\n".join(lines) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("split", [97, 1000, 1 << 20])
+def test_csv_with_line_breaks_is_read_in_splits(spark, tmp_path, split):
+    rng = random.Random(split)
+    for i, rows in enumerate([300, 40, 0]):
+        (tmp_path / f"{i}.csv").write_bytes(_odd_csv(rng, rows).encode())
+    (tmp_path / "plain.csv").write_text("id,note,more\n7,x,y\n")
+    (tmp_path / "windows.csv").write_bytes(b'id,note,more\r\n8,"x\r\ny",z\r\n9,q,\r\n')
+    (tmp_path / "one.csv").write_bytes(b'id,note,more\n10,"' + b"line\n" * 900 + b'",z\n11,q,r\n')
+    whole = load_csv(spark, str(tmp_path), infer=False, multi_line=True).collect()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        rows = load_csv(spark, str(tmp_path), infer=False).collect()
+        parts = _lines(spark, str(tmp_path / "0.csv")).select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert parts > 5 or split > 900
+
+    def key(r):
+        return tuple(str(v) for v in r)
+
+    assert sorted(rows, key=key) == sorted(whole, key=key)
+
+
+def test_open_quotes_at_line_ends(spark):
+    lines = ['a', '"a', 'a"', '"a"', '"a""', '"a"b,"', ',"x,', 'x,"y"",z', '","', '""', '"""', "", 'a "b', "," * 5000 + '"' + '""' * 5000]
+
+    def after(line, inside):
+        quoted, start, i = inside, not inside, 0  # start: at a field's first character
+        while i < len(line):
+            if quoted:
+                if line[i] == '"' and line[i + 1 : i + 2] == '"':
+                    i += 1
+                elif line[i] == '"':
+                    quoted, start = False, False
+            elif line[i] == ",":
+                start = True
+            else:
+                quoted, start = start and line[i] == '"', False
+            i += 1
+        return quoted
+
+    df = spark.createDataFrame([(v,) for v in lines], "value string")
+    outside, inside = open_after(F.col("value"))
+    got = df.select("value", outside.alias("o"), inside.alias("i")).collect()
+    assert [(r.o, r.i) for r in got] == [(after(r.value, False), after(r.value, True)) for r in got]
+
+
 def test_wide_tables_are_fine_unless_limited(spark):
     wide = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(1200)])
     assert len(validate_table(wide).columns) == 1200
