@@ -6,7 +6,7 @@ from tablewright.operators.answers import answer, chart_data
 from tablewright.plans.approved import apply_cleaning
 from tablewright.plans.proposals import analyse, configuration
 
-from . import missing, profile
+from . import missing, outliers, profile
 from .common import CTE_DUPS, CTE_SALES, dups, rounded, sales, table
 
 _ACTION = """CASE WHEN recommended_action LIKE 'Create Missing Indicator Feature%' THEN 'indicator' ELSE CASE recommended_action
@@ -25,6 +25,11 @@ def _proposals(s, sf):
     return rows.where("kind = 'missing' AND column_name <> 'row_id'").select("column_name", "amount", "recommended_action", "action")
 
 
+def _outlier_proposals(s, sf):
+    rows = analyse(outliers.extremes(s, sf), "row_id").proposals()
+    return rows.where("kind = 'outliers'").drop("kind")
+
+
 def _apply_proposals(s, sf):
     """The proposals for orders' priorities and prices, applied as they are."""
     df = table(s, sf, "orders").selectExpr(
@@ -45,6 +50,7 @@ def _intent(kind, target=None, group=None, operation=None, limit=None, sort=None
 
 QUERIES = {
     "proposals": _proposals,
+    "proposals_outliers": _outlier_proposals,
     "apply_proposals": _apply_proposals,
     "answer_aggregation": lambda s, sf: rounded(answer(sales(s, sf), _intent("aggregation", "sales_amount", operation="mean"))),
     "answer_group_by": lambda s, sf: rounded(answer(sales(s, sf), _intent("group_by", "sales_amount", "status", "sum")), 2),
@@ -67,6 +73,9 @@ QUERIES = {
 _SALES_NULLS = "order_id customer_id order_date sales_amount priority status approval sensor_value settled_value".split()
 
 ORACLE = {
+    "proposals_outliers": f"""SELECT column_name, outlier_count AS amount, recommended_action, confidence, risk, CASE recommended_action
+      WHEN 'Flag for Investigation' THEN 'flag' WHEN 'Standardize Units / Scale Column' THEN 'rescale' WHEN 'Remove or Correct' THEN 'remove'
+      WHEN 'Correct or Remove' THEN 'remove' WHEN 'Keep (Do NOT Remove)' THEN 'keep' END AS action FROM ({outliers.ORACLE['outlier_advice']})""",
     "proposals": f"SELECT column_name, missing_count AS amount, recommended_action, {_ACTION} AS action FROM ({missing.ORACLE['missing_advice']})",
     "apply_proposals": """WITH x AS (SELECT o_orderkey AS row_no, o_orderkey AS order_key,
         CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS worth FROM orders)

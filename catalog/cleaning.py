@@ -77,6 +77,18 @@ def _metrics(result):
 _COPIES = """SELECT o_orderkey * 2 + 1 AS _row_id, * FROM {orders} WHERE o_orderkey % 3 = 0
 UNION ALL SELECT o_orderkey * 2 AS _row_id, * FROM {orders}"""
 
+#: Weights in kilograms, grams and milligrams, extreme values that no unit explains, gaps, and a
+#: column with the name that a flag would take.
+FX_MISTAKEN = """SELECT row_id, sales_amount, 1 AS heavy_outlier,
+  CASE WHEN row_id % 7 = 0 THEN NULL WHEN row_id % 53 = 1 THEN (40 + customer_id % 20) * 1000.0 WHEN row_id % 59 = 2 THEN (40 + customer_id % 20) * 100.0
+  WHEN row_id % 61 = 3 THEN -5000.0 WHEN row_id % 67 = 4 THEN 900.0 ELSE 40.0 + customer_id % 20 END AS heavy FROM {fx_sales}"""
+UNITS = {"outlier_actions": {"sales_amount": "flag", "heavy": "rescale"}}
+
+
+def _mistaken(s, sf):
+    return s.sql(FX_MISTAKEN, fx_sales=sales(s, sf))
+
+
 QUERIES = {
     "drop_empty_rows": lambda s, sf: c.drop_empty_rows(dups(s, sf)),
     "drop_duplicates_first": lambda s, sf: c.drop_duplicates_first(dups(s, sf)),
@@ -132,6 +144,16 @@ QUERIES = {
     ),
     "treat_outliers_remove": lambda s, sf: rounded(t.treat_outliers(sales(s, sf), "sales_amount", "remove").select("row_id", "sales_amount")),
     "treat_outliers_cap": lambda s, sf: rounded(t.treat_outliers(sales(s, sf), "sales_amount", "cap").select("row_id", "sales_amount")),
+    "treat_outliers_rescale": lambda s, sf: rounded(t.treat_outliers(sales(s, sf), "sales_amount", "rescale").select("row_id", "sales_amount")),
+    "treat_outliers_flag": lambda s, sf: rounded(
+        t.treat_outliers(sales(s, sf), "sales_amount", "flag").select("row_id", "sales_amount", "sales_amount_outlier")
+    ),
+    "apply_cleaning_units": lambda s, sf: rounded(
+        apply_cleaning(_mistaken(s, sf), UNITS).table.select("row_id", "sales_amount", "sales_amount_outlier", "heavy", "heavy_outlier"), 6
+    ),
+    "apply_cleaning_units_log": lambda s, sf: apply_cleaning(_mistaken(s, sf), UNITS).audit.select(
+        "column_name", "action", "status", "rows_affected", "message"
+    ),
     "treat_outliers_nullify": lambda s, sf: rounded(t.treat_outliers(sales(s, sf), "sales_amount", "nullify").select("row_id", "sales_amount")),
 }
 
@@ -199,6 +221,15 @@ _TREATED = CTE_SALES + f""", i AS (SELECT row_id, order_id, customer_id,
 
 _SALES_BOUNDS = CTE_SALES + _BOUNDS.format(c="sales_amount", t="fx_sales")
 
+#: The unit a value outside the bounds is too large by, if dividing brings it inside; else 1.
+_UNIT = """CASE WHEN {c} < lo OR {c} > hi THEN CASE WHEN ({c} / mid) ^ 2 >= 1000 AND ({c} / mid) ^ 2 < 100000 AND {c} / 100 >= lo AND {c} / 100 <= hi THEN 100.0
+  WHEN ({c} / mid) ^ 2 >= 100000 AND ({c} / mid) ^ 2 < 10000000 AND {c} / 1000 >= lo AND {c} / 1000 <= hi THEN 1000.0 ELSE 1.0 END ELSE 1.0 END"""
+_MISTAKEN = CTE_SALES + ", f AS (" + FX_MISTAKEN.format(fx_sales="fx_sales") + ")" + "".join(
+    f""", {a} AS (SELECT mid, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1,
+      quantile_cont({c}::DOUBLE, 0.5) AS mid, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM f))"""
+    for a, c in (("s", "sales_amount"), ("h", "heavy"))
+) + " "
+
 ORACLE = {
     "drop_empty_rows": CTE_DUPS + """SELECT * FROM fx_dups WHERE order_id IS NOT NULL OR customer_id IS NOT NULL
       OR priority IS NOT NULL OR sales_amount IS NOT NULL""",
@@ -286,6 +317,20 @@ ORACLE = {
     + "SELECT row_id, round(sales_amount, 4) AS sales_amount FROM fx_sales, b WHERE NOT coalesce(sales_amount < lo OR sales_amount > hi, false)",
     "treat_outliers_cap": _SALES_BOUNDS
     + "SELECT row_id, CASE WHEN sales_amount IS NOT NULL THEN round(least(greatest(sales_amount, lo), hi), 4) END AS sales_amount FROM fx_sales, b",
+    "treat_outliers_rescale": _SALES_BOUNDS
+    + f", m AS (SELECT quantile_cont(sales_amount::DOUBLE, 0.5) AS mid FROM fx_sales) SELECT row_id, round(sales_amount / {_UNIT.format(c='sales_amount')}, 4) AS sales_amount FROM fx_sales, b, m",
+    "treat_outliers_flag": _SALES_BOUNDS
+    + "SELECT row_id, round(sales_amount, 4) AS sales_amount, CAST(coalesce(sales_amount < lo OR sales_amount > hi, false) AS INT) AS sales_amount_outlier FROM fx_sales, b",
+    "apply_cleaning_units": _MISTAKEN
+    + f"""SELECT row_id, round(sales_amount, 6) AS sales_amount, CAST(coalesce(sales_amount < s.lo OR sales_amount > s.hi, false) AS INT) AS sales_amount_outlier,
+      round(heavy / {_UNIT.format(c='heavy').replace('lo ', 'h.lo ').replace('hi ', 'h.hi ').replace('mid', 'h.mid')}, 6) AS heavy, heavy_outlier FROM f, s, h""",
+    "apply_cleaning_units_log": _MISTAKEN
+    + f"""SELECT 'sales_amount' AS column_name, 'flag' AS action, 'APPROVED' AS status, count(*) AS rows_affected,
+      format('{{}} outliers of ''sales_amount'': flag.', count(*)) AS message FROM f, s WHERE sales_amount < lo OR sales_amount > hi HAVING count(*) > 0
+      UNION ALL SELECT 'heavy', 'rescale', 'APPROVED', count(*), format('{{}} outliers of ''heavy'': rescale.', count(*))
+      FROM f, h WHERE {_UNIT.format(c='heavy')} > 1 HAVING count(*) > 0
+      UNION ALL SELECT NULL, 'drop_duplicates', 'DECLINED/SKIPPED', 0, 'Removal of duplicate rows was not approved.'
+      UNION ALL SELECT NULL, 'drop_empty_rows', 'DECLINED/SKIPPED', 0, 'Removal of empty rows was not approved.'""",
     "treat_outliers_nullify": _SALES_BOUNDS
     + "SELECT row_id, CASE WHEN sales_amount >= lo AND sales_amount <= hi THEN round(sales_amount, 4) END AS sales_amount FROM fx_sales, b",
 }

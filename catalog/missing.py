@@ -53,6 +53,7 @@ QUERIES = {
     "missing_at_edges": lambda s, sf: m.missing_at_edges(gaps(s, sf), "row_id"),
     "missing_tail_only": lambda s, sf: m.missing_tail_only(gaps(s, sf), "row_id"),
     "missing_by_segment": lambda s, sf: rounded(m.missing_by_segment(gaps(s, sf), "row_id")),
+    "missing_association": lambda s, sf: rounded(m.missing_association(gaps(s, sf), "row_id"), 5),
     "missing_causes": lambda s, sf: m.missing_causes(_features(s, sf)).select("column_name", "cause_order", "cause", "confidence"),
     "missing_advice": lambda s, sf: rounded(m.missing_advice(_features(s, sf))),
     "interpolate": lambda s, sf: rounded(
@@ -153,6 +154,18 @@ ORACLE = {
     "missing_tail_only": _BASE + "SELECT column_name, missing_tail_only FROM f",
     "missing_by_segment": _BASE
     + "SELECT column_name, segment_column, segment, segment_rows, missing_count, round(missing_count / segment_rows * 100, 4) AS missing_percent FROM segs",
+    # Chi-square by its definition: observed against expected counts of both rows of the table.
+    "missing_association": _BASE
+    + ", cells AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, '{g}' AS g, {g} AS v, count(*) AS r, count(*) - count({c}) AS m FROM gaps WHERE {g} IS NOT NULL GROUP BY {g}"
+        for c in GAPS if c != "status" for g in _SEGMENTS if c != g
+    )
+    + """), t AS (SELECT *, sum(r) OVER w AS n, sum(m) OVER w AS tm FROM cells WINDOW w AS (PARTITION BY c, g)),
+      x AS (SELECT c, g, count(*) AS segments, any_value(n)::BIGINT AS rows, any_value(tm)::BIGINT AS missing_count,
+        sum((m - r * tm / n) ^ 2 / (r * tm / n) + ((r - m) - r * (n - tm) / n) ^ 2 / (r * (n - tm) / n)) FILTER (tm > 0 AND tm < n) AS chi FROM t GROUP BY c, g)
+      SELECT c AS column_name, g AS segment_column, segments, rows, missing_count, round(CASE WHEN segments > 1 THEN chi END, 5) AS chi_square,
+        round(CASE WHEN segments > 1 THEN sqrt(chi / rows) END, 5) AS cramers_v FROM x""",
     "missing_causes": _BASE
     + " UNION ALL ".join(
         f"SELECT column_name, {i} AS cause_order, '{cause}' AS cause, '{sure}' AS confidence FROM ff WHERE {condition}"

@@ -140,24 +140,10 @@ def segment_columns(df: DataFrame, row_id: str | None = None) -> list[str]:
     return list(small_value_sets(df, names, fv.SEGMENT_MAX_DISTINCT - 1))
 
 
-def missing_by_segment(
-    df: DataFrame, row_id: str | None = None, columns: list[str] | None = None
-) -> DataFrame:
-    """Segments in which more than half of a column is missing (and more than 3 rows).
-
-    One grouping by (segment column, segment) counts all columns at once; it
-    yields at most 14 rows per segment column.
-    """
-    df = nan_to_null(df)
-    types = data_types(df, row_id)
-    gaps = columns_with_gaps(df, row_id) if columns is None else columns
-    segments = segment_columns(df, row_id)
-    schema = (
-        "column_name string, segment_column string, segment string, segment_rows long, "
-        "missing_count long, missing_percent double"
-    )
-    if not gaps or not segments:
-        return df.sparkSession.createDataFrame([], schema)
+def _segment_counts(df: DataFrame, gaps: list[str], segments: list[str]) -> DataFrame:
+    """(segment_column, segment, segment_rows, column_name, missing_count): one grouping by (segment
+    column, segment) counts all columns at once; it yields at most 14 rows per segment column."""
+    types = data_types(df)
     cells = df.select(
         F.explode(
             F.array(
@@ -182,10 +168,26 @@ def missing_by_segment(
             )
         ),
     )
+    return long.where(F.col("segment_column") != F.col("column_name"))
+
+
+def missing_by_segment(
+    df: DataFrame, row_id: str | None = None, columns: list[str] | None = None
+) -> DataFrame:
+    """Segments in which more than half of a column is missing (and more than 3 rows)."""
+    df = nan_to_null(df)
+    gaps = columns_with_gaps(df, row_id) if columns is None else columns
+    segments = segment_columns(df, row_id)
+    schema = (
+        "column_name string, segment_column string, segment string, segment_rows long, "
+        "missing_count long, missing_percent double"
+    )
+    if not gaps or not segments:
+        return df.sparkSession.createDataFrame([], schema)
     percent = F.col("missing_count") / F.col("segment_rows") * 100.0
     return (
-        long.withColumn("missing_percent", percent)
-        .where(F.col("segment_column") != F.col("column_name"))
+        _segment_counts(df, gaps, segments)
+        .withColumn("missing_percent", percent)
         .where(F.col("missing_percent") > fv.SEGMENT_MIN_PERCENT)
         .where(F.col("segment_rows") > fv.SEGMENT_MIN_ROWS)
         .select("column_name", "segment_column", "segment", "segment_rows", "missing_count", "missing_percent")
@@ -193,6 +195,35 @@ def missing_by_segment(
     )
 
 
+def missing_association(df: DataFrame, row_id: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, segment_column, segments, rows, missing_count, chi_square, cramers_v): how far
+    missing values of a column go with the values of a segment column, from 0 to 1.
+
+    Finds what the fixed rule of `missing_by_segment` cannot: shares that differ but stay under a
+    half, or exceed it everywhere. Rows without a segment are left out. Chi-square and V are null
+    where there is nothing to compare: one segment, or all or no values missing in these rows.
+    """
+    df = nan_to_null(df)
+    gaps = columns_with_gaps(df, row_id) if columns is None else columns
+    segments = segment_columns(df, row_id)
+    if not gaps or not segments:
+        schema = "column_name string, segment_column string, segments long, rows long, missing_count long, chi_square double, cramers_v double"
+        return df.sparkSession.createDataFrame([], schema)
+    # With m of r rows missing in a segment, M of n in all: sum of (m - r M/n)^2 / (r M/n (1 - M/n)).
+    # The sum of m^2 / r carries all of it, so one more grouping of the counts is enough.
+    m, r = F.col("missing_count"), F.col("segment_rows")
+    sums = _segment_counts(df, gaps, segments).groupBy("column_name", "segment_column").agg(
+        F.count(F.lit(1)).alias("segments"), F.sum(r).alias("rows"), F.sum(m).alias("missing_count"),
+        F.sum(m.cast("double") * m / r).alias("squares"),
+    )
+    n, total = F.col("rows").cast("double"), F.col("missing_count").cast("double")
+    compares = (F.col("segments") > 1) & (total > 0) & (total < n)
+    chi = F.greatest(F.lit(0.0), (F.col("squares") - total * total / n) * n * n / (total * (n - total)))
+    sums = sums.withColumn("chi_square", F.when(compares, chi))
+    v = F.when(F.col("chi_square").isNotNull(), F.least(F.lit(1.0), F.sqrt(F.col("chi_square") / n)))
+    return sums.select("column_name", "segment_column", "segments", "rows", "missing_count", "chi_square", v.alias("cramers_v"))
+
+
 def missing_features(
     df: DataFrame, row_id: str = ROW_ID, block_rows: int | None = None
 ) -> DataFrame:

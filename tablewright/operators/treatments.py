@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,9 @@ from .cleaning import fill_forward, fill_value, interpolate, replace_columns
 from .outliers import segment_bounds
 
 IMPUTATIONS = ["keep_null", "median", "mean", "mode", "ffill", "interpolate", "na_string", "indicator"]
-OUTLIER_ACTIONS = ["keep", "remove", "cap", "nullify"]
+SEGMENT_ACTIONS = ["keep", "remove", "cap", "nullify", "flag"]
+OUTLIER_ACTIONS = [*SEGMENT_ACTIONS, "rescale"]
+UNIT_FACTORS = (100.0, 1000.0)  # mistaken units, as the cause rule for units looks for them
 
 
 def fill_constant(df: DataFrame, column: str, action: str) -> object | None:
@@ -69,6 +72,7 @@ def impute(df: DataFrame, column: str, action: str, row_id: str = ROW_ID) -> Dat
 class Bounds:
     lower: float
     upper: float
+    median: float | None = None
 
     def outside(self, column: str) -> Column:
         """True outside the bounds; missing values are never outside."""
@@ -76,27 +80,63 @@ class Bounds:
         return F.coalesce((x < F.lit(self.lower)) | (x > F.lit(self.upper)), F.lit(False))
 
 
-def iqr_bounds(df: DataFrame, columns: list[str], rows: int | None = None) -> dict[str, Bounds | None]:
-    """Quartile bounds of several columns in shared passes; `rows` saves counting them."""
-    found = exact_quantiles(df, {n: (0.25, 0.75) for n in columns}, rows=rows)
+    def factor(self, column: str) -> Column:
+        """What a value outside the bounds is too large by: the unit factor nearest to its ratio to
+        the median on a scale of logarithms, if the value divided by it lies within the bounds;
+        else null."""
+        if self.median is None or self.median <= 0:
+            return F.lit(None).cast("double")
+        x = col(column).cast("double")
+        ratio = x / F.lit(self.median)
+        nearest = F.lit(None).cast("double")
+        for f in UNIT_FACTORS:  # from f / sqrt(10) up to f * sqrt(10)
+            near = (ratio * ratio >= F.lit(f * f / 10)) & (ratio * ratio < F.lit(f * f * 10))
+            nearest = F.when(near, F.lit(f)).otherwise(nearest)
+        scaled = x / nearest
+        return F.when(self.outside(column) & (scaled >= F.lit(self.lower)) & (scaled <= F.lit(self.upper)), nearest)
+
+    def concerns(self, column: str, action: str) -> Column:
+        """True for the values that an action is about."""
+        return self.factor(column).isNotNull() if action == "rescale" else self.outside(column)
+
+
+def iqr_bounds(
+    df: DataFrame, columns: list[str], rows: int | None = None, medians: Collection[str] = ()
+) -> dict[str, Bounds | None]:
+    """Quartile bounds of several columns in shared passes, with the median of those in `medians`;
+    `rows` saves counting them."""
+    ranks = {n: (0.25, 0.5, 0.75) if n in medians else (0.25, 0.75) for n in columns}
+    found = exact_quantiles(df, ranks, rows=rows)
     result: dict[str, Bounds | None] = {}
     for n, q in found.items():
         if q[0.25] is None:
             result[n] = None
             continue
         reach = fv.IQR_FACTOR * (q[0.75] - q[0.25])
-        result[n] = Bounds(q[0.25] - reach, q[0.75] + reach)
+        result[n] = Bounds(q[0.25] - reach, q[0.75] + reach, q.get(0.5))
     return result
 
 
+def flag_name(df: DataFrame, column: str) -> str:
+    """`<column>_outlier`, with as many underscores as keep it apart from the table's columns."""
+    name, taken = f"{column}_outlier", {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def treat_with(df: DataFrame, column: str, action: str, bounds: Bounds | None) -> DataFrame:
     """Apply one outlier action with known bounds; lazy. Rows with NULL survive."""
-    if bounds is None or action not in ("remove", "cap", "nullify"):
+    if bounds is None or action == "keep" or action not in OUTLIER_ACTIONS:
         return df
     outside = bounds.outside(column)
     if action == "remove":
         return df.where(~outside)
+    if action == "flag":
+        return df.withColumn(flag_name(df, column), outside.cast("int"))
     x = col(column).cast("double")
+    if action == "rescale":
+        return replace_columns(df, {column: x / F.coalesce(bounds.factor(column), F.lit(1.0))})
     if action == "cap":
         capped = F.least(F.greatest(x, F.lit(bounds.lower)), F.lit(bounds.upper))
         return replace_columns(df, {column: F.when(x.isNotNull(), capped)})
@@ -104,14 +144,19 @@ def treat_with(df: DataFrame, column: str, action: str, bounds: Bounds | None) -
 
 
 def treat_outliers(df: DataFrame, column: str, action: str) -> DataFrame:
-    """Keep, remove, cap or nullify the values outside the quartile bounds."""
+    """Keep, remove, cap, nullify or flag the values outside the quartile bounds, or `rescale` those
+    that a mistaken unit explains: they are divided by 100 or 1000, others outside stay.
+
+    `flag` adds a column `<column>_outlier` of 0 and 1; no row is lost. Missing values are never outside.
+    """
     df = nan_to_null(df)
-    return treat_with(df, column, action, iqr_bounds(df, [column])[column])
+    medians = [column] if action == "rescale" else []
+    return treat_with(df, column, action, iqr_bounds(df, [column], medians=medians)[column])
 
 
 def treat_by_segment(df: DataFrame, column: str, action: str, by: str) -> DataFrame:
-    """Remove, cap or nullify the values outside the bounds of their own segment of `by`. Values of
-    rows without a segment, or in segments with too few values, stay."""
+    """Remove, cap, nullify or flag the values outside the bounds of their own segment of `by`. Values
+    of rows without a segment, or in segments with too few values, stay."""
     return treat_segments(df, column, action, by, written_bounds(df, column, by))
 
 
@@ -128,13 +173,15 @@ def segment_outlier_rows(df: DataFrame, column: str, by: str, bounds: DataFrame)
 
 def treat_segments(df: DataFrame, column: str, action: str, by: str, bounds: DataFrame) -> DataFrame:
     """`treat_by_segment` with known bounds; lazy."""
-    if action not in ("remove", "cap", "nullify"):
+    if action == "keep" or action not in SEGMENT_ACTIONS:
         return df
     names = {"segment": "_tw_segment", "lower": "_tw_lower", "upper": "_tw_upper"}
     bounds = bounds.withColumnsRenamed(names)
     joined = nan_to_null(df).join(bounds, col(by) == F.col("_tw_segment"), "left")
     x, low, high = col(column).cast("double"), F.col("_tw_lower"), F.col("_tw_upper")
     outside = F.coalesce((x < low) | (x > high), F.lit(False))
+    if action == "flag":
+        return joined.select(*[col(n) for n in df.columns], outside.cast("int").alias(flag_name(df, column)))
     if action == "remove":
         joined = joined.where(~outside)
     elif action == "cap":

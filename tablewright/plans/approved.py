@@ -18,6 +18,7 @@ from ..operators.profile import quality_score
 from ..operators.treatments import (
     IMPUTATIONS,
     OUTLIER_ACTIONS,
+    SEGMENT_ACTIONS,
     fill_constant,
     impute_with,
     iqr_bounds,
@@ -149,11 +150,11 @@ def _treat(df, actions, log):
         stop = next((i for i, (_, a) in enumerate(pending) if isinstance(a, (tuple, list))), len(pending))
         cut = next((i for i, (_, a) in enumerate(pending[:stop]) if a == "remove"), stop - 1)
         batch, pending = pending[: cut + 1], pending[cut + 1 :]
-        bounds = iqr_bounds(df, [n for n, _ in batch])
+        bounds = iqr_bounds(df, [n for n, _ in batch], medians=[n for n, a in batch if a == "rescale"])
         known = [(n, a) for n, a in batch if bounds[n] is not None]
         if not known:
             continue
-        row = df.agg(*[count_if(bounds[n].outside(n)).alias(f"o{i}") for i, (n, _) in enumerate(known)]).first()
+        row = df.agg(*[count_if(bounds[n].concerns(n, a)).alias(f"o{i}") for i, (n, a) in enumerate(known)]).first()
         for i, (n, action) in enumerate(known):
             amount = row[f"o{i}"]
             if not amount:
@@ -168,7 +169,7 @@ def _treat(df, actions, log):
 
 
 def _treat_segments(df, column, action, by, log):
-    if by not in df.columns or by == column or action not in OUTLIER_ACTIONS:
+    if by not in df.columns or by == column or action not in SEGMENT_ACTIONS:
         log.add(column, f"{action} by {by}", status=SKIPPED, message=f"Outliers of '{column}' by '{by}' were left alone.")
         return df
     bounds = written_bounds(df, column, by)

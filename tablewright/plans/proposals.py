@@ -30,6 +30,8 @@ OUTLIER_ACTIONS = {
     "Correct or Remove": "remove",
     "Keep (Do NOT Remove)": "keep",
     "Keep Outliers": "keep",
+    "Standardize Units / Scale Column": "rescale",
+    "Flag for Investigation": "flag",
 }
 INDICATOR = "Create Missing Indicator Feature"
 UNAPPROVED = "skip"

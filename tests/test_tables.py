@@ -16,6 +16,7 @@ from tablewright.operators import outliers
 from tablewright.operators import profile as p
 from tablewright.operators import treatments as t
 from tablewright.operators.cleaning import interpolate
+from tablewright.operators.missing import missing_association
 from tablewright.operators.ordering import with_row_id
 from tablewright.plans.approved import apply_cleaning
 from tablewright.plans.automatic import clean_table, cleaning_advice
@@ -293,3 +294,29 @@ def test_outliers_within_their_segment(spark):
     summary = {(r.segment): r.outlier_count for r in outliers.segment_outlier_summary(df, "s", ["x"]).collect()}
     assert summary == {"low": 1, "high": 1}
     assert outliers.segment_outlier_summary(df.limit(0), "s", ["x"]).count() == 0
+
+
+def test_rescale_and_flag(spark):
+    values = [10.0, 11.0, 12.0, 13.0, 14.0, None, 1100.0, 12500.0, 500.0, -1200.0]
+    df = spark.createDataFrame([(i, v, "s") for i, v in enumerate(values * 3)], "id int, x double, x_outlier string")
+    # More plain values, so that the bounds stay narrow.
+    df = df.union(spark.range(200).selectExpr("cast(id + 100 as int)", "10.0D + id % 5", "'s'"))
+    scaled = {r.id: r.x for r in t.treat_outliers(df, "x", "rescale").collect()}
+    assert [scaled[i] for i in range(10)] == [10.0, 11.0, 12.0, 13.0, 14.0, None, 11.0, 12.5, 500.0, -1200.0]
+    flagged = t.treat_outliers(df, "x", "flag")
+    assert flagged.columns == ["id", "x", "x_outlier", "x_outlier_"] and flagged.count() == df.count()
+    assert {r.id: r.x_outlier_ for r in flagged.where("id < 10").collect()} == {i: int(i > 5) for i in range(10)}
+    empty = df.limit(0)
+    assert t.treat_outliers(empty, "x", "rescale").count() == 0 and t.treat_outliers(empty, "x", "flag").count() == 0
+    negative = df.selectExpr("id", "-x AS x")  # no unit explains values against a median below 0
+    assert t.treat_outliers(negative, "x", "rescale").exceptAll(negative).isEmpty()
+    by = t.treat_by_segment(df.drop("x_outlier").withColumn("s", F.lit("a")), "x", "flag", "s")
+    assert {r.id: r.x_outlier for r in by.where("id < 10").collect()} == {i: int(i > 5) for i in range(10)}
+
+
+def test_missing_association_without_anything_to_compare(spark):
+    df = spark.createDataFrame([("a", "x", None, 1), ("b", "x", None, None), (None, "x", None, 2)], "g string, one string, none int, some int")
+    rows = {(r.column_name, r.segment_column): r for r in missing_association(df).collect()}
+    assert rows["some", "g"].cramers_v == 1.0 and rows["some", "g"].rows == 2
+    assert rows["some", "one"].cramers_v is None and rows["none", "g"].cramers_v is None
+    assert missing_association(df.limit(0)).count() == 0
