@@ -360,6 +360,54 @@ def test_wrapped_and_several_licences(spark):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(0, 1, "BSD"), (1, 0, "MIT"), (2, 0, "GPL"), (2, 0, "MIT"), (3, 0, "CC-NC")]
 
 
+#: Wordings that no template has word for word.
+WORDINGS = [
+    ("LGPL", "you can modify this library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("LGPL", "Foo is licensed under the GNU Lesser General Public License, version 3"),
+    ("AGPL", "You should have received a copy of the GNU Affero General Public License along with this server."),
+    ("AGPL", "The service is licensed under the GNU Affero General Public License, version 3 or later"),
+    ("GPL", "you may redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version"),
+    ("GPL", "The driver is licensed under the GNU General Public License, version 2"),
+    ("MPL", "The file is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was lost"),
+    ("MPL", "Foo is licensed under the Mozilla Public License, version 1.1"),
+    ("ISC", "Permission to use, copy, modify, and distribute this program for any purpose with or without fee is hereby granted"),
+    ("ISC", "Foo is released under the ISC license by its authors"),
+    ("CC0", "to the extent possible under law, the person has waived all copyright and related rights to this text"),
+    ("CC0", "The data are dedicated to the public domain under CC0 1.0 Universal."),
+    ("Apache", "Foo is available under Apache 2.0 since May"),
+    ("Apache", "Foo is licensed under the Apache License, Version 2.0, see the file"),
+    ("MIT", "Foo is released under the MIT License, see the file"),
+    ("MIT", "Foo is licensed under the terms of the MIT license"),
+    ("BSD", "Foo is released under the BSD 2-Clause License"),
+    ("CC-BY", "The photograph is licensed under a Creative Commons Attribution 3.0 International License."),
+    ("CC-NC", "The poem is licensed under a Creative Commons Attribution-NonCommercial 3.0 International License."),
+    ("Proprietary", "Copyright 1999 The Foo Company, all rights reserved"),
+]
+ORDINARY = [
+    "all rights reserved for members were debated", "the club has all rights reserved for its oldest members",
+    "she asked for permission to use the copy of the book", "the license of the driver was released under protest",
+    "the general public may use the library with a license", "the Apache chief signed version 2 of the treaty",
+    "MIT students are licensed to sail", "copyright law is a part of the course", "the GNU project began in 1983",
+    "you may obtain a copy of the key at the desk", "no part of the house may be sold without permission",
+    "the creative commons of the village are open", "he waived all rights to the estate", "a licence was granted to the inn",
+    "to the extent possible under law, the council has answered", "Released under the zlib License.", "SPDX-License-Identifier: Zlib",
+    "the above notice was included in all papers", "the isc of the county is a public body", "this software is free of charge for any person",
+]
+
+
+def test_other_wordings_and_ordinary_sentences(spark):
+    """Precision and recall of families on wordings that are no templates, among ordinary sentences."""
+    rng = random.Random(13)
+    rows = [(i, f"{prose(rng, 12)}\n\n{t}\n\n{prose(rng, 12)}") for i, (_, t) in enumerate(WORDINGS)]
+    rows += [(100 + i, f"{prose(rng, 12)}\n\n{t}\n\n{prose(rng, 12)}") for i, t in enumerate(ORDINARY)]
+    rows += [(1000 + i, prose(rng, 30)) for i in range(200)] + [rows[0]]
+    got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found, want = {(r.doc_id, r.family) for r in got}, {(i, f) for i, (f, _) in enumerate(WORDINGS)}
+    right = len(found & want)
+    assert right / len(want) >= 0.9 and right / len(found) >= 0.9, (sorted(want - found), sorted(found - want))
+    assert len([r for r in got if r.doc_id == 0]) == 2 * len([f for i, f in found if i == 0])  # repeated rows
+
+
 def test_confirmed_licences_have_a_needed_word():
     needed = set(licences._needed_words())
     for template in (licences.words_of(t) for ts in licences.TEMPLATES.values() for t in ts):
