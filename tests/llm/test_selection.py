@@ -360,7 +360,7 @@ def test_wrapped_and_several_licences(spark):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(0, 1, "BSD"), (1, 0, "MIT"), (2, 0, "GPL"), (2, 0, "MIT"), (3, 0, "CC-NC")]
 
 
-#: Wordings that no template has word for word.
+#: Wordings used while templates and the fit were chosen, so no held-out measure; some contain a template.
 WORDINGS = [
     ("LGPL", "you can modify this library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("LGPL", "Foo is licensed under the GNU Lesser General Public License, version 3"),
@@ -396,7 +396,7 @@ ORDINARY = [
 
 
 def test_other_wordings_and_ordinary_sentences(spark):
-    """Precision and recall of families on wordings that are no templates, among ordinary sentences."""
+    """Precision and recall of families on other wordings, among ordinary sentences."""
     rng = random.Random(13)
     rows = [(i, f"{prose(rng, 12)}\n\n{t}\n\n{prose(rng, 12)}") for i, (_, t) in enumerate(WORDINGS)]
     rows += [(100 + i, f"{prose(rng, 12)}\n\n{t}\n\n{prose(rng, 12)}") for i, t in enumerate(ORDINARY)]
