@@ -1,6 +1,9 @@
 """Profiles, scores and issues."""
 
+from pyspark.sql import functions as F
+
 from tablewright.operators import profile as p
+from tablewright.operators import stored_profile as sp
 
 from .common import CTE_DUPS, CTE_SALES, dups, null_cells, rounded, sales, table, union_columns
 
@@ -93,6 +96,8 @@ QUERIES = {
     "issues_healthy": lambda s, sf: p.issues(table(s, sf, "orders")),
     "completeness_score": lambda s, sf: p.completeness_score(sales(s, sf), "row_id"),
     "missing_by_column": lambda s, sf: rounded(p.missing_by_column(sales(s, sf), "row_id")),
+    "merged_profile": lambda s, sf: _merged_profile(s, sf, []),
+    "merged_profile_by_status": lambda s, sf: _merged_profile(s, sf, ["o_orderstatus"]),
     "duplicate_sample": lambda s, sf: p.duplicate_sample(_numbered_dups(s, sf), "copy_id"),
 }
 
@@ -106,6 +111,32 @@ def _numbered_dups(s, sf):
     )
 
 
+def _merged_profile(s, sf, by):
+    """Parts by month and status, merged to coarser ones. Distinct counts up to 100 are
+    exact in a sketch that small; larger ones are estimates and only tested (tests/test_stored_profile)."""
+    orders = table(s, sf, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
+    parts = sp.profile_parts(orders, ["month", "o_orderstatus"])
+    facts = sp.stored_column_profile(sp.merge_parts(parts, by))
+    few = F.when(F.col("unique_count") <= 100, F.col("unique_count"))
+    return rounded(facts.select(*by, "column_name", "missing_count", few.alias("few_values"), "min_value", "max_value", "mean_value"))
+
+
+def _merged_sql(by):
+    keys = "".join(f"{b}, " for b in by)
+    group = f" GROUP BY {', '.join(by)}" if by else ""
+    numeric = ["o_orderkey", "o_custkey", "o_totalprice"]
+    return " UNION ALL ".join(
+        f"SELECT {keys}'{c}' AS column_name, count(*) - count({c}) AS missing_count, "
+        f"CASE WHEN count(DISTINCT {c}) <= 100 THEN count(DISTINCT {c}) END AS few_values, "
+        + ", ".join(
+            (f"round({f}(CAST({c} AS DOUBLE)), 4)" if c in numeric else "CAST(NULL AS DOUBLE)") + f" AS {label}"
+            for f, label in (("min", "min_value"), ("max", "max_value"), ("avg", "mean_value"))
+        )
+        + f" FROM orders{group}"
+        for c in [*numeric, "o_orderdate", "o_orderpriority"]
+    )
+
+
 def _scored(source, columns):
     return (
         f"SELECT row_count, column_count, missing_values, duplicate_rows, round(missing_percent, 4) AS missing_percent, "
@@ -163,6 +194,8 @@ ORACLE = {
     + "SELECT ordinal, column_name, missing_count, round(missing_count / (missing_count + non_null) * 100, 4) AS missing_percent FROM ("
     + profile_sql("fx_sales", SALES)
     + ") WHERE missing_count > 0",
+    "merged_profile": _merged_sql([]),
+    "merged_profile_by_status": _merged_sql(["o_orderstatus"]),
     "duplicate_sample": CTE_SALES
     + """, copies AS (SELECT order_id * 2 AS copy_id, order_id, priority, sales_amount FROM fx_sales
         UNION ALL SELECT order_id * 2 + 1, order_id, priority, sales_amount FROM fx_sales WHERE order_id % 50 = 3)
