@@ -23,52 +23,18 @@ INTENT_COLUMNS = [
 ]
 
 
-def _alternatives(words: Sequence[str]) -> str:
-    """A pattern for one of the words, the longest that fits, told apart by first letters."""
-    tails: dict[str, list[str]] = {}
-    for word in sorted(set(words), key=lambda w: (-len(w), w)):
-        tails.setdefault(word[0], []).append(re.escape(word[1:]))
-    return "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in sorted(tails.items()))
-
-
-def _matcher(known: Sequence[str], match: str) -> tuple[str, Callable[[Sequence[str]], str]]:
-    """SQL for the known words a lowered text mentions, and words -> SQL: is one of them there?
-
-    One pattern looks at every place of the text and keeps the longest known word
-    that starts there; shorter ones that start it are mentioned with it. Rules then
-    ask the array `_tw_found`, so a text is read once whatever the number of rules.
-    Words that are empty or not ASCII are looked for on their own.
-    """
-    if match not in ("substring", "word"):
-        raise ValueError(f"unknown match {match!r}")
-    whole = match == "word"
-    clean = (lambda w: w.strip()) if whole else (lambda w: w)
-    pooled = sorted({clean(w) for w in known if clean(w) and w.isascii()})
-
-    def alone(word: str) -> str:
-        if whole:
-            return f"(_tw_text RLIKE {text_literal(chr(92) + 'b(' + re.escape(word) + ')' + chr(92) + 'b')})"
-        return f"contains(_tw_text, {text_literal(word)})"
-
-    def starts(short: str, long: str) -> bool:
-        if not long.startswith(short):
-            return False
-        ends = len(long) == len(short) or bool(re.match(r"\w", short[-1])) != bool(re.match(r"\w", long[len(short)]))
-        return ends or not whole
-
-    def mentions(words: Sequence[str]) -> str:
-        asked = {clean(w) for w in words}
-        found = [long for long in pooled if any(w in pooled and starts(w, long) for w in asked)]
-        conditions = [alone(w) for w in sorted(asked) if w not in pooled]
-        if found:
-            conditions.append(f"arrays_overlap(_tw_found, array({', '.join(map(text_literal, found))}))")
-        return "(" + " OR ".join(conditions) + ")" if conditions else "false"
-
-    edge = r"\b" if whole else ""
-    if not pooled:
-        return "CAST(array() AS ARRAY<STRING>)", mentions
-    pattern = f"{edge}(?=({_alternatives(pooled)}){edge})"
-    return f"regexp_extract_all(_tw_text, {text_literal(pattern)}, 1)", mentions
+def _matcher(match: str) -> Callable[[Sequence[str]], str]:
+    """words -> SQL: does the lowered text mention one of them?"""
+    if match == "substring":
+        # a word around another one of the list adds nothing to the list
+        return lambda words: "(" + " OR ".join(
+            f"contains(_tw_text, {text_literal(w)})" for w in words if not any(v != w and v in w for v in words)
+        ) + ")"
+    if match == "word":
+        return lambda words: (
+            "(_tw_text RLIKE " + text_literal(r"\b(" + "|".join(re.escape(w.strip()) for w in words) + r")\b") + ")"
+        )
+    raise ValueError(f"unknown match {match!r}")
 
 
 def _first_of(options: Sequence[tuple[str, str | None]]) -> str:
@@ -95,15 +61,7 @@ def tag_questions(
     questions are about. `match="word"` asks for whole words; the default finds
     words inside other words, too.
     """
-    topic_words = [
-        (["duplicate"], "duplicates"), (["missing", "null"], "missing_values"), (["quality", "score"], "quality_score")
-    ]
-    words = fv.OPERATION_WORDS
-    spoken = [
-        fv.METRIC_WORDS, fv.GROUPING_WORDS, fv.CALENDAR_WORDS, fv.DIAGNOSTIC_WORDS, fv.FOLLOW_UP_PHRASES, fv.PIE_WORDS,
-        *(w for _, w, _ in words), *(w for w, _ in topic_words), [n.lower() for n in [*numeric, *categorical]],
-    ]
-    found, mentions = _matcher([w for some in spoken for w in some], match)
+    mentions = _matcher(match)
     metric = numeric[0] if numeric else None
     category = categorical[0] if categorical else None
 
@@ -115,10 +73,15 @@ def tag_questions(
         group_options.append((mentions(fv.GROUPING_WORDS), category))
     if temporal:
         group_options.append((mentions(fv.CALENDAR_WORDS), temporal[0]))
-    topics = [(mentions(w), topic) for w, topic in topic_words]
+    words = fv.OPERATION_WORDS
+    topics = [
+        (mentions(["duplicate"]), "duplicates"),
+        (mentions(["missing", "null"]), "missing_values"),
+        (mentions(["quality", "score"]), "quality_score"),
+    ]
     parsed = questions.select(
         "*", F.coalesce(F.lower(col(text)), F.lit("")).alias("_tw_text")
-    ).selectExpr("*", f"{found} AS _tw_found").selectExpr(
+    ).selectExpr(
         "*",
         f"try_cast(regexp_extract(_tw_text, {text_literal(fv.TOP_N_PATTERN)}, 1) AS BIGINT) AS _tw_limit",
         f"{mentions(fv.DIAGNOSTIC_WORDS)} AS _tw_diagnostic",
@@ -130,7 +93,7 @@ def tag_questions(
         f"{mentions(fv.PIE_WORDS)} AS _tw_pie",
         f"{_first_of(topics)} AS _tw_topic",
     ).selectExpr(
-        "* EXCEPT (_tw_text, _tw_found, _tw_spoken, _tw_order)",
+        "* EXCEPT (_tw_text, _tw_spoken, _tw_order)",
         "CASE WHEN _tw_limit IS NOT NULL THEN coalesce(_tw_spoken, 'sum') ELSE _tw_spoken END AS _tw_op",
         "CASE WHEN _tw_limit IS NOT NULL THEN 'desc' ELSE _tw_order END AS _tw_sort",
     )
