@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -28,9 +28,11 @@ from ..functions.columns import (
     text_literal,
 )
 from ..functions.frequencies import small_value_sets
-from .ordering import carry_last
+from .ordering import block_rows_for
 from .profile import missing_by_column
 
+_MASK_BITS = 60  # columns whose gaps one number holds
+
 
 def missing_summary(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Columns with missing values, their number and share of the rows."""
@@ -58,42 +60,46 @@ def longest_null_run(
 ) -> DataFrame:
     """Longest block of consecutive missing values per column with gaps.
 
-    All missing rows after the same filled row form one run. That filled row's
-    id is carried forward block by block, then runs are counted by
-    (column, id), which combines before the shuffle: one endless run is one
-    counter per task.
+    Only row ids and a bit per column are shuffled. In a block, a row's distance from the last
+    filled row before it is the length of its run so far. Runs over block ends follow
+    from a row per block and column (at most MAX_BLOCKS blocks): its rows before the first
+    and up to the last filled one. Rows without an id have no place and are left out.
     """
     df = nan_to_null(df)
     chosen = columns_with_gaps(df, row_id) if columns is None else columns
     if not chosen:
         return df.sparkSession.createDataFrame([], "column_name string, longest_run long")
-    flags = df.select(
-        col(row_id).alias(ROW_ID), *[col(n).isNull().alias(f"g{i}") for i, n in enumerate(chosen)]
+    size = block_rows or block_rows_for(df, row_id)
+    masks = []
+    for start in range(0, len(chosen), _MASK_BITS):
+        part = enumerate(chosen[start : start + _MASK_BITS])
+        masks.append(" | ".join(f"shiftleft(CAST({quoted(n)} IS NULL AS BIGINT), {i})" for i, n in part))
+    rid = quoted(row_id)
+    rows = df.where(col(row_id).isNotNull()).selectExpr(
+        f"{rid} DIV {size} AS block", f"{rid} AS id", *[f"{m} AS m{k}" for k, m in enumerate(masks)]
     )
-    last_filled = {f"f{i}": F.when(~F.col(f"g{i}"), F.col(ROW_ID)) for i in range(len(chosen))}
-    carried = carry_last(flags, last_filled, ROW_ID, block_rows=block_rows)
-    runs = carried.select(
-        F.explode(
-            F.array(
-                *[
-                    F.when(
-                        F.col(f"g{i}"),
-                        F.struct(
-                            F.lit(n).alias("column_name"),
-                            F.coalesce(F.col(f"f{i}"), F.lit(-1)).alias("after"),
-                        ),
-                    )
-                    for i, n in enumerate(chosen)
-                ]
-            )
-        ).alias("run")
-    ).where("run IS NOT NULL")
-    return (
-        runs.groupBy("run.column_name", "run.after")
-        .agg(F.count(F.lit(1)).alias("length"))
-        .groupBy("column_name")
-        .agg(F.max("length").alias("longest_run"))
+    order = Window.partitionBy("block").orderBy("id")
+    rows = rows.withColumn("at", F.row_number().over(order))
+    filled = [f"CASE WHEN m{i // _MASK_BITS} & {1 << i % _MASK_BITS}L = 0 THEN at END" for i in range(len(chosen))]
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"f{i}": F.max(F.expr(x)).over(upto) for i, x in enumerate(filled)})
+    # The frame is dealt by block already.
+    blocks = rows.groupBy("block").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.min(f"f{i}").alias(f"a{i}") for i in range(len(chosen))],
+        *[F.max(f"f{i}").alias(f"z{i}") for i in range(len(chosen))],
+        *[F.max(F.col("at") - F.col(f"f{i}")).alias(f"r{i}") for i in range(len(chosen))],
+    )
+    entries = ", ".join(
+        f"named_struct('column_name', {text_literal(n)}, 'first', a{i}, 'last', z{i}, 'inside', r{i})" for i, n in enumerate(chosen)
     )
+    ends = blocks.selectExpr("block", "rows", f"inline(array({entries}))")
+    earlier = Window.partitionBy("column_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    known = F.last(F.col("before") + F.col("last"), ignorenulls=True).over(earlier)
+    head = F.col("before") + F.coalesce(F.col("first") - 1, F.col("rows")) - F.coalesce(known, F.lit(0))
+    runs = ends.select("column_name", F.greatest("inside", head).alias("run"))
+    return runs.groupBy("column_name").agg(F.max("run").alias("longest_run")).where("longest_run > 0")
 
 
 def missing_position(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:

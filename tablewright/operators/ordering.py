@@ -51,8 +51,9 @@ def with_row_id(
     File order is by path, and in a file from its beginning. A frame that is no longer
     read straight from files (joined, grouped) has the order of its partitions. Ties are
     broken by that order, which also keeps equal order values from landing in one range.
-    The numbered rows are written once to the shared folder: counting and numbering
-    must see the same placement.
+    The placed rows are written once to the shared folder: counting and numbering
+    must see the same placement. So are the shifts of their parts: Spark then knows how
+    small they are and broadcasts them, and no pass over the rows shuffles them for an id.
     """
     spark = df.sparkSession
     placed, places = with_places(df)
@@ -69,7 +70,7 @@ def with_row_id(
     parts = placed.groupBy(_PART).agg(first, rows, *[F.min(c).alias(c) for c in order if c != _PART])
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("rows").over(before), F.lit(0))
-    parts = parts.select(_PART, (start - F.col("first")).alias("_tw_shift"))
+    parts = materialise(parts.select(_PART, (start - F.col("first")).alias("_tw_shift")))
     numbered = placed.join(parts, _PART).withColumn(name, F.col(_AT) + F.col("_tw_shift"))
     return numbered.select(*[col(c) for c in df.columns if c != name], col(name))
 

@@ -78,6 +78,19 @@ def test_row_ids_are_contiguous_and_ordered(spark, partitions):
     assert (numbered.sort_values("_row_id")["k"].values == np.arange(5000)).all()
 
 
+def test_row_ids_cost_no_shuffle_when_read(spark):
+    rows = spark.range(20_000).selectExpr("id", "sha2(CAST(id AS STRING), 256) AS text")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # the rows are larger
+    try:
+        numbered = with_row_id(rows, ["text"], partitions=4)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert numbered.select("_row_id").distinct().count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @pytest.mark.parametrize("block", [1, 7, 200, 10_000])
 def test_carry_last_matches_pandas(spark, block):
     rng = random.Random(3)

@@ -32,6 +32,25 @@ def test_longest_run_matches_pandas(spark, block, partitions):
     assert got == {"a": want, "b": 400}
 
 
+def test_longest_run_with_repeated_and_missing_ids(spark):
+    data = [(i, None if 20 <= i < 30 or i == 50 else 1, None) for i in [*range(-5, 60), *range(15, 30)]]
+    data += [(None, None, None)] * 40
+    wide = ", ".join(f"x{i} int" for i in range(70))
+    df = spark.createDataFrame([(*r, *[None if r[0] in (3, 4, i) else i for i in range(70)]) for r in data], f"_row_id long, a int, b int, {wide}")
+    for block in (1, 7, 5000):
+        got = {x["column_name"]: x["longest_run"] for x in m.longest_null_run(df.repartition(3), block_rows=block).collect()}
+        want = {f"x{i}": 3 if i in (2, 5) else 2 for i in range(70)}
+        assert got == {"a": 20, "b": 80, **want}
+
+
+def test_runs_shuffle_ids_and_bits_only(spark):
+    data = [(i, None if i % 3 else i, None if i % 5 else i) for i in range(100)]
+    df = spark.createDataFrame(data, "_row_id long, a long, b long")
+    plan = m.longest_null_run(df, columns=["a", "b"], block_rows=10)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan  # no row per missing cell
+    assert plan.count("Exchange") == 2  # rows by block, and a row per block and column
+
+
 def test_a_column_without_values_is_one_run_and_all_tail(spark):
     df = spark.createDataFrame([(i, None) for i in range(20)], "_row_id long, a int")
     features = m.missing_features(df).first()
