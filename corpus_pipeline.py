@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.functions.storage import copies, drop_copies, scratch_path
 from tablewright.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from tablewright.llm.tables import release, ship, table
+from tablewright.llm.tables import release, ship, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _MADE: list[str] = []  # intermediate tables of the last stage
@@ -25,6 +25,7 @@ def stage(function: Stage) -> Stage:
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         drop_copies(spark, _MADE)
         release(spark)
         before = set(copies())

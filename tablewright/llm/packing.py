@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ def piece_rows(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: in
     """The pieces of every row: ids of the whole text (null: empty), then `end_id`. Only
     longer documents are cut, every `length` ids."""
 
-    @lean
+    @partial(lean, tokens=True)
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer, False)
         end = int(end_id).to_bytes(4, "little")

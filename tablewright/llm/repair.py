@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,7 +152,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     """Encode every whole text (null: empty), append `end_id`, and write shards to `path`, in
     ascending doc_id order (rows without one first, equal ones by text)."""
 
-    @lean
+    @partial(lean, tokens=True)
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer, True)
         end = int(end_id).to_bytes(4, "little")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -21,9 +22,19 @@ from tablewright.functions.storage import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of the Arrow batches that go to Python and back: copies of a few of them are held by each
+#: task on both sides, outside the heap. Operators cut texts into slices of 1 to 4 MB anyway.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _SHIPPED: set[str] = set()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH bytes in this session, unless it has a size of its own."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this library to the executors once, as `--py-files` does."""
     if spark.sparkContext.applicationId not in _SHIPPED:
@@ -73,12 +84,16 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20)
             yield batch.slice(start)
 
 
-def lean(function: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+def lean(function: Callable[..., Iterator[pa.RecordBatch]], tokens: bool = False) -> Callable[..., Iterator[pa.RecordBatch]]:
     """A function of batches that gives freed memory back when it ends: workers live on for
-    other stages, and allocators keep what they once had."""
+    other stages, and allocators keep what they once had. Unless it makes `tokens` itself, it
+    first drops the words that tokenizing has left in its worker."""
 
     @wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None if tokens else sys.modules.get("tablewright.llm.tokens")
+        if left:
+            left.words_of.cache_clear()
         try:
             yield from function(batches)
         finally:

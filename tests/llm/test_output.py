@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tablewright.functions.storage import scratch_path
 from tablewright.llm import fingerprints, packing, repair
-from tablewright.llm.tokens import Words
+from tablewright.llm.tables import lean
+from tablewright.llm.tokens import Words, words_of
 from tablewright.llm.words import word_hashes
 
 from .conftest import jaccard_components, lower, odd_rows, words
@@ -235,3 +237,29 @@ def test_pipeline(spark):
     assert sum(r["length"] for r in packed) == sum(len(one(r["text"])) for r in mixed)
     check_gapless(((r["sequence_id"], r["offset"], r["length"]) for r in packed), 2048)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_send_small_batches_to_python(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefgh', 512) AS text")  # 12 MB in a task
+        sized = corpus_pipeline.stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "bytes long"))
+        assert max(r["bytes"] for r in sized(spark, docs, "").collect()) < 5 << 20
+        spark.conf.set(key, str(8 << 20))  # a size of the session's own stays
+        assert 5 << 20 < max(r["bytes"] for r in sized(spark, docs, "").collect()) < 9 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_other_work_drops_the_words_of_tokenizing():
+    words_of(WORDS, False)
+    list(partial(lean, tokens=True)(lambda batches: batches)(iter([1])))
+    assert words_of.cache_info().currsize == 1
+    assert list(lean(lambda batches: batches)(iter([1]))) == [1]
+    assert words_of.cache_info().currsize == 0
