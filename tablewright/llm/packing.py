@@ -152,7 +152,8 @@ def pack(pieces: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame
         groups = max(1, groups // 4, -(-left.count() // group))
         tag, before = tag + 1, gap
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    number = F.col("round") * F.lit(1 << 52) + F.col("grp") * F.lit(1 << 26) + F.col("bin")
+    # in longs: `grp` and 1 << 26 are ints, whose product is beyond an int from the 33rd partition on
+    number = F.col("round") * F.lit(1 << 52) + F.col("grp").cast("long") * F.lit(1 << 26) + F.col("bin")
     all_rows = done[0]
     for more in done[1:]:
         all_rows = all_rows.unionByName(more)

@@ -207,6 +207,28 @@ def test_packing(odd, nothing, group):
     assert packing.pack(packing.piece_rows(nothing, WORDS)).count() == 0
 
 
+def short_texts(spark):
+    """400 documents of 1 to 400 words, which make a piece each."""
+    return spark.range(400).selectExpr("id AS doc_id", "repeat('word ', int(id) + 1) AS text")
+
+
+def check_many_partitions(got, docs):
+    """More partitions than an int's bits have room for, and all pieces in sequences of their own."""
+    one = library(WORDS)
+    lengths = {r.doc_id: len(one(r.text)) for r in docs.collect()}
+    assert sorted((r.doc_id, r.length) for r in got) == sorted(lengths.items())
+    check_gapless(((r.sequence_id, r.offset, r.length) for r in got), 2048)
+    assert min(r.sequence_id for r in got) >= 0
+    assert max(r.sequence_id >> 26 & (1 << 26) - 1 for r in got) >= 32
+
+
+def test_pipeline_packs_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "pack", partial(packing.pack, group=4))
+    docs, path = short_texts(spark), scratch_path(spark, "stage")
+    dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").write.parquet(path)
+    check_many_partitions(spark.read.parquet(path).collect(), docs)
+
+
 def test_pipeline(spark):
     """Every stage's decisions on what the one before kept, by plain Python."""
     sf = "/root/testdata/sf0.001"
