@@ -229,6 +229,13 @@ def test_pipeline_packs_many_partitions(spark, monkeypatch):
     check_many_partitions(spark.read.parquet(path).collect(), docs)
 
 
+@pytest.mark.parametrize("group", [2, 9])
+def test_sequence_ids_have_room_for_many_partitions(spark, group):
+    docs = short_texts(spark)
+    got = packing.pack(packing.piece_rows(docs.repartition(3), WORDS), group=group).collect()
+    check_many_partitions(got, docs)
+
+
 def test_pipeline(spark):
     """Every stage's decisions on what the one before kept, by plain Python."""
     sf = "/root/testdata/sf0.001"
